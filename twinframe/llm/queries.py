@@ -1,12 +1,14 @@
 """Registry of the training-data queries, and the SQL of those that SQL can express."""
 
-from twinframe.llm import exact_dedup, packing, secrets, token_counts, token_files
+from twinframe.llm import decontamination, exact_dedup, near_dedup, packing, secrets, token_counts, token_files
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op7_token_files": token_files.op7_token_files,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
-SQL = {"op2_exact_dedup": exact_dedup.SQL}
+SQL = {"op2_exact_dedup": exact_dedup.SQL, "op6_minhash_near_dedup": near_dedup.SQL}

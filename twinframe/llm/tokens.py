@@ -31,7 +31,7 @@ class ChunkEncoder:
         split = [(t or b"").split() for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        new = list(set().union(*split) - self.cache.keys())
+        new = [c for c in set().union(*split) if c not in self.cache]
         ids = self.library.encode_batch([c.decode() for c in new], add_special_tokens=False)
         now = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, ids)}
         self.cache.update(now)
