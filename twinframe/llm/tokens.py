@@ -7,14 +7,18 @@ Each distinct chunk goes through the library once per worker; texts are then joi
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Cached chunks per worker (some 100 bytes each); beyond it the cache starts anew.
-CACHE_CHUNKS = 400_000
+#: Cached chunks per worker (some 200 bytes each); beyond it the cache starts anew.
+CACHE_CHUNKS = 1_200_000
 #: Longer chunks aren't kept.
 CACHE_CHARS = 64
+#: New chunks go to the library joined by a digit, which is always a token by itself; those that hold it go one by one.
+MARK = "0"
+JOINED = 2_000
 
 
 class ChunkEncoder:
@@ -26,20 +30,38 @@ class ChunkEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        mark = self._ids([MARK])[0]
+        self.mark = int.from_bytes(mark, "little") if len(mark) == 4 else None
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _encode_new(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        alone = []
+        bare = []
+        for c in chunks:
+            (alone if b"0" in c or self.mark is None else bare).append(c)
+        parts = [bare[at : at + JOINED] for at in range(0, len(bare), JOINED)]
+        for part, ids in zip(parts, self._ids([f" {MARK} ".join(c.decode() for c in part) for part in parts])):
+            cuts = (np.flatnonzero(np.frombuffer(ids, "<u4") == self.mark) * 4).tolist()
+            if len(cuts) != len(part) - 1:
+                alone += part
+                continue
+            yield from zip(part, (ids[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(ids)])))
+        yield from zip(alone, self._ids([c.decode() for c in alone]))
 
     def encode(self, texts: Iterable[bytes]) -> list[bytes]:
         split = [(t or b"").split() for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        new = [c for c in set().union(*split) if c not in self.cache]
-        ids = self.library.encode_batch([c.decode() for c in new], add_special_tokens=False)
-        now = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, ids)}
-        self.cache.update(now)
-        get = self.cache.__getitem__
+        cache = self.cache
+        new = [c for c in set().union(*split) if c not in cache]
+        cache.update(self._encode_new(new))
+        get = cache.__getitem__
         out = [b"".join(map(get, chunks)) for chunks in split]
         for c in new:
             if len(c) > CACHE_CHARS:
-                del self.cache[c]
+                del cache[c]
         return out
 
 
