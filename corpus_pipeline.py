@@ -1,12 +1,57 @@
-"""The training-data pipeline over documents: each stage works on all that the one before it kept."""
+"""The training-data pipeline over documents: each stage works on all that the one before it kept.
 
-STAGES = []
+Every stage but the last returns whole rows of its input. Rows without a doc_id can't be named as a copy or a leak of another and stay.
+"""
+
+from twinframe.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
+from twinframe.llm.common import documents, prepare, table, written
+
+
+def _without(docs, dropped):
+    """The rows of docs whose doc_id isn't among those of ``dropped``."""
+    gone = dropped.select(dropped["doc_id"].alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def toxicity_filter(spark, docs, sf_dir):
+    """Documents that score under the threshold for toxicity."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup_filter(spark, docs, sf_dir):
+    """Of equal texts, the longest original stays."""
+    return _without(docs, exact_dedup.exact_dedup(docs).where("NOT kept"))
+
+
+def near_dedup_filter(spark, docs, sf_dir):
+    """Of each group of near-duplicates, the smallest doc_id stays."""
+    return _without(docs, near_dedup.near_groups(docs).where("NOT kept"))
+
+
+def decontamination_filter(spark, docs, sf_dir):
+    """Documents without a passage of the benchmark."""
+    prepare(spark)
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark, docs, sf_dir):
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("exact_dedup", exact_dedup_filter),
+    ("near_dedup", near_dedup_filter),
+    ("decontamination", decontamination_filter),
+    ("packing", packing_stage),
+]
 #: Token ids and nearest neighbours aren't expressible in SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,14 +1,17 @@
 """Registry of the training-data queries, and the SQL of those that SQL can express."""
 
-from twinframe.llm import decontamination, exact_dedup, near_dedup, packing, secrets, token_counts, token_files
+from twinframe.llm import decontamination, exact_dedup, licences, lm_scores, near_dedup, packing, secrets, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op7_token_files": token_files.op7_token_files,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_licence_scans": licences.op9_licence_scans,
+    "op10_lm_scores": lm_scores.op10_lm_scores,
 }
-SQL = {"op2_exact_dedup": exact_dedup.SQL, "op6_minhash_near_dedup": near_dedup.SQL}
+SQL = {"op2_exact_dedup": exact_dedup.SQL, "op6_minhash_near_dedup": near_dedup.SQL, "op10_lm_scores": lm_scores.SQL}
