@@ -15,6 +15,7 @@ bounds it: a pair is dropped when the chance of reaching the threshold is under
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 25, 1e-9
 #: Members of a bucket that a chunk holds, on average.
 CHUNK = 256
+#: A link by so many more shingles than it needs counts as sure in a block; others don't spare later comparisons.
+SLACK = 8
+#: Up to so many doc_ids (8 bytes each) are broadcast.
+BROADCAST_IDS = 1_000_000
 #: Distinct words whose hashes a worker keeps.
 CACHE_WORDS = 1_000_000
 
@@ -91,6 +96,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view("i8")
 
 
+@lru_cache
 def least_matches() -> list[tuple[int, int]]:
     """(n, m): after n hash values a pair with under m equal ones has a chance below MISS of reaching the threshold."""
     t = THRESHOLD / NUMBER
@@ -143,8 +149,13 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([np.sort(shingles(t).view("i8")) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))], names=["node", "found"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ids, "node", "left_semi")
-    return wanted.mapInArrow(make, "node long, found array<long>")
+    return texts_of(docs, ids).mapInArrow(make, "node long, found array<long>")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, text of the documents whose doc_id is in ``ids`` (node); texts are shuffled only if the ids are too many to broadcast."""
+    ids = written(ids, "ids")
+    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -190,10 +201,20 @@ def blocks_of(placed: DataFrame) -> DataFrame:
 
 
 def across(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links a, b between different components of the same bucket: enough of them to join all that are linked."""
+    """Links a, b between different components of the same bucket: enough of them to join all that are linked.
+
+    Blocks hold the low 32 bits of the shingles' hashes, in which no common shingle is missed; what looks like a link there is verified
+    on the full sets.
+    """
     rows = written(blocks_of(placed), "blocks")
-    full = sets_of(docs, rows.select("node").distinct())
-    full = written(full.join(reps.select("node", "keys", "signature"), "node"), "members")
+
+    def shorten(batches):
+        for batch in batches:
+            found = [np.sort(shingles(t).astype("u4")).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "found"])
+
+    full = texts_of(docs, rows.select("node").distinct()).mapInArrow(shorten, "node long, found binary")
+    full = written(full.join(reps.select("node", "signature"), "node"), "members")
     full_rows = rows.join(full, "node").repartition("key", "block").sortWithinPartitions("key", "block")
 
     def search(batches):
@@ -202,9 +223,9 @@ def across(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
             if len(rows) < 2:
                 return out
             nodes, comps = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-            keys = np.array([r[4] for r in rows])
-            sigs = np.frombuffer(b"".join(r[5] for r in rows), "u4").reshape(-1, HASHES)
-            found = [np.array(r[6], "i8") for r in rows]
+            sigs = np.frombuffer(b"".join(r[4] for r in rows), "u4").reshape(-1, HASHES)
+            keys = np.array([band_keys(x) for x in sigs])
+            found = [np.frombuffer(r[5], "u4") for r in rows]
             sizes = np.array([len(f) for f in found])
             root = {c: c for c in comps.tolist()}
             band = np.argmax(keys[0] == rows[0][0])
@@ -221,10 +242,12 @@ def across(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                 j = j[survives(sigs[j], np.broadcast_to(sigs[i], (len(j), HASHES)))]
                 for k in j.tolist():
                     if top(comps[i].item()) != top(comps[k].item()):
-                        common = np.isin(found[i], found[k], assume_unique=True).sum() if sizes[i] < 64 else (found[k][np.minimum(np.searchsorted(found[k], found[i]), sizes[k] - 1)] == found[i]).sum()
-                        if NUMBER * common >= THRESHOLD * (sizes[i] + sizes[k] - common):
-                            root[top(comps[i].item())] = top(comps[k].item())
+                        common = (found[k][np.minimum(np.searchsorted(found[k], found[i]), sizes[k] - 1)] == found[i]).sum()
+                        union = sizes[i] + sizes[k] - common
+                        if NUMBER * common >= THRESHOLD * union:
                             out.append((nodes[i].item(), nodes[k].item()))
+                            if NUMBER * (common - SLACK) >= THRESHOLD * (union + SLACK):
+                                root[top(comps[i].item())] = top(comps[k].item())
             return out
 
         now, rows = None, []
@@ -238,7 +261,8 @@ def across(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
             yield _pairs(out)
         yield _pairs(links(rows))
 
-    return written(full_rows.select("key", "block", "node", "component", "keys", "signature", "found").mapInArrow(search, "a long, b long").distinct(), "links")
+    seen = full_rows.select("key", "block", "node", "component", "signature", "found").mapInArrow(search, "a long, b long")
+    return verified(written(seen.distinct(), "seen"), reps, docs)
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
