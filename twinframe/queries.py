@@ -1,4 +1,441 @@
-"""Registry of the engine's queries and their SQL."""
+"""The engine's queries over the driver tables, each with SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinframe import vocab
+from twinframe.functions import spans, text as fn
+from twinframe.operators import catalog, detect, gate, identity, redaction, restore, score
+from twinframe.sources import structure
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+HOST_SQL = r"\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9][a-z0-9-]*){2,}\b"
+HOSTS = f"""
+h AS (SELECT doc_id, unnest(regexp_extract_all(text, '{HOST_SQL}')) AS host FROM documents),
+k AS (SELECT doc_id, host, count(*) AS n FROM h WHERE regexp_matches(host, '\\.[a-z]{{2,}}$') GROUP BY ALL)"""
+
+
+@query(f"WITH {HOSTS} SELECT doc_id, host, n FROM k")
+def host_scan(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", F.explode(detect.hosts(F.col("text"))).alias("x"))
+    return d.groupBy("doc_id", F.col("x.t").alias("host")).agg(F.count("*").alias("n"))
+
+
+def _domains(docs: DataFrame) -> DataFrame:
+    seen = docs.select("doc_id", F.explode(detect.hosts(F.col("text"))).alias("x")).groupBy(F.col("x.t").alias("real_name")).agg(F.min("doc_id").alias("doc_id"))
+    return identity.allocate(seen.withColumn("entity_type", F.lit("domain")), F.struct("doc_id", "real_name"))
+
+
+@query(f"""WITH {HOSTS}, f AS (SELECT host, min(doc_id) AS doc_id FROM k GROUP BY host)
+SELECT host, 'DOMAIN_' || lpad(CAST(row_number() OVER (ORDER BY doc_id, host) AS VARCHAR), 3, '0') AS alias FROM f""")
+def domain_alias(spark, sf_dir):
+    return _domains(t(spark, sf_dir, "documents")).select(F.col("real_name").alias("host"), "alias")
+
+
+@query(f"""WITH {HOSTS}, f AS (SELECT host, min(doc_id) AS doc_id FROM k GROUP BY host),
+a AS (SELECT host, 'DOMAIN_' || lpad(CAST(row_number() OVER (ORDER BY doc_id, host) AS VARCHAR), 3, '0') AS alias FROM f),
+x AS (SELECT d.doc_id, regexp_extract_all(text, '{HOST_SQL}') AS hits, regexp_split_to_array(text, '{HOST_SQL}') AS gaps FROM documents d),
+y AS (SELECT doc_id, gaps, hits, unnest(range(1, len(gaps) + 1)) AS i FROM x),
+z AS (SELECT y.doc_id, i, gaps[i] || coalesce(a.alias, hits[i], '') AS part FROM y LEFT JOIN a ON a.host = y.hits[i])
+SELECT doc_id, md5(string_agg(part, '' ORDER BY i)) AS twin_md5 FROM z GROUP BY doc_id""")
+def host_twin(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents")
+    aliases = _domains(docs).select("real_name", "alias")
+    found = docs.select("doc_id", F.explode(spans.find(F.col("text"), detect.HOST, in_bytes=False)).alias("x"))
+    edits = found.join(aliases, F.col("x.t") == F.col("real_name")).groupBy("doc_id").agg(F.collect_list(F.struct("x.s", "x.e", F.col("alias").alias("r"))).alias("edits"))
+    d = docs.select("doc_id", "text").join(edits, "doc_id", "left")
+    twin = F.when(F.col("edits").isNull(), F.col("text")).otherwise(spans.apply(F.col("text"), F.col("edits")))
+    return d.select("doc_id", F.md5(twin.cast("binary")).alias("twin_md5"))
+
+
+RULES = {"hex_token": "[0-9a-f]{40}", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"}
+FOUND = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS secret_type, len(regexp_extract_all(text, '{p}')) AS n FROM documents" for k, p in RULES.items())
+
+
+@query(f"SELECT doc_id, secret_type, CAST(n AS BIGINT) AS n FROM ({FOUND}) WHERE n > 0")
+def secret_counts(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", F.explode(redaction.scan(F.col("text"))).alias("f"))
+    return d.groupBy("doc_id", F.col("f.type").alias("secret_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{RULES["hex_token"]}', '<<REDACTED:hex_token>>', 'g'), '{RULES["email"]}', '<<REDACTED:email>>', 'g')) AS redacted_md5 FROM documents""")
+def secret_redact(spark, sf_dir):
+    text = F.col("text")
+    return t(spark, sf_dir, "documents").select("doc_id", F.md5(redaction.redact(text, redaction.scan(text)).cast("binary")).alias("redacted_md5"))
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '{RULES['hex_token']}') AS blocks FROM documents")
+def secret_gate(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", redaction.blocks_export(redaction.scan(F.col("text"))).alias("blocks"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '[0-9a-f]{40}') AS hits, regexp_split_to_array(text, '[0-9a-f]{40}') AS gaps FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(hits) + 1)) AS i, gaps, hits FROM m WHERE len(hits) > 0)
+SELECT doc_id, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + 40 * (i - 1) AS BIGINT) AS original,
+       CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + length('<<REDACTED:hex_token>>') * (i - 1) AS BIGINT) AS redacted FROM p""")
+def offset_map(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", F.filter(redaction.scan(F.col("text")), lambda f: f["type"] == "hex_token").alias("f"))
+    marked = F.transform("f", lambda f: F.struct(f["s"].alias("s"), f["e"].alias("e"), F.lit("<<REDACTED:hex_token>>").alias("r")))
+    d = d.select("doc_id", marked.alias("f")).select("doc_id", "f", F.posexplode("f").alias("k", "x"))
+    at = F.col("x.s") - F.aggregate(F.slice("f", F.lit(1), F.col("k")), F.lit(0), lambda a, f: a + f["e"] - f["s"] - F.length(f["r"]))
+    d = d.select("doc_id", "f", at.alias("redacted"))
+    return d.select("doc_id", spans.source_offset(F.col("f"), F.col("redacted")).cast("bigint").alias("original"), F.col("redacted").cast("bigint").alias("redacted"))
+
+
+@query(r"""WITH h AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '[\x{00C0}-\x{024F}]', '_', 'g'), '\b[A-Z][a-z]{2,}(?:[ \t]+[A-Z][a-z]{2,})*\b')) AS phrase FROM documents)
+SELECT phrase, count(*) AS n FROM h GROUP BY phrase ORDER BY n DESC, phrase LIMIT 50""")
+def phrase_top(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(detect.PHRASE), F.lit(0))).alias("phrase"))
+    return d.groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(50)
+
+
+@query(r"""WITH x AS (SELECT doc_id, text, regexp_split_to_array(text, '[0-9a-f]{40}')[1] AS before FROM documents WHERE regexp_matches(text, '[0-9a-f]{40}'))
+SELECT doc_id, CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS BIGINT) AS line,
+       CAST(length(string_split(before, chr(10))[-1]) + 1 AS BIGINT) AS col_chars, CAST(strlen(string_split(before, chr(10))[-1]) + 1 AS BIGINT) AS col_bytes FROM x""")
+def line_col(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", "text", F.get(spans.find(F.col("text"), "[0-9a-f]{40}", in_bytes=False), F.lit(0))["s"].alias("s")).where("s IS NOT NULL")
+    return d.select("doc_id", fn.line_of(F.col("text"), F.col("s")).alias("line"), fn.column_of(F.col("text"), F.col("s")).alias("col_chars"), fn.column_of(F.col("text"), F.col("s"), True).alias("col_bytes"))
+
+
+@query("SELECT doc_id, sha256(text) AS checksum FROM documents")
+def doc_checksum(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("checksum"))
+
+
+def _snapshots(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("d/"), F.col("doc_id").cast("string")))
+    before = d.where("doc_id % 13 != 0").select("path", F.sha2("text", 256).alias("checksum"))
+    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return before, d.where("doc_id % 11 != 0").select("path", F.sha2(edited, 256).alias("checksum"))
+
+
+@query("""SELECT 'd/' || doc_id AS path, CASE WHEN doc_id % 13 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 7 = 0 THEN 'modified' ELSE 'unchanged' END AS change
+FROM documents WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0)""")
+def rescan_changes(spark, sf_dir):
+    return catalog.changes(*_snapshots(spark, sf_dir))
+
+
+@query("SELECT 'd/' || doc_id AS path, sha256(text) AS checksum FROM documents WHERE doc_id % 13 <> 0 AND (doc_id % 11 = 0 OR doc_id % 7 = 0)")
+def stale_files(spark, sf_dir):
+    return catalog.stale(*_snapshots(spark, sf_dir))
+
+
+KIND = "CASE c_custkey % 4 WHEN 0 THEN 'organization' WHEN 1 THEN 'payment_provider' WHEN 2 THEN 'env_var' ELSE 'interface' END"
+PREFIX = "CASE c_custkey % 4 WHEN 0 THEN 'ORG' WHEN 1 THEN 'PAYMENT_PROVIDER' WHEN 2 THEN 'ENV_VAR' ELSE 'IFACE' END"
+
+
+def _customers(spark, sf_dir):
+    return t(spark, sf_dir, "customer").select("c_custkey", "c_name", F.expr(KIND).alias("entity_type"))
+
+
+@query(f"SELECT c_custkey, {PREFIX} || '_' || CASE WHEN c_custkey < 100 THEN lpad(CAST(c_custkey AS VARCHAR), 3, '0') ELSE CAST(c_custkey AS VARCHAR) END AS alias FROM customer")
+def alias_format(spark, sf_dir):
+    return _customers(spark, sf_dir).select("c_custkey", fn.format_alias(F.col("entity_type"), F.col("c_custkey")).alias("alias"))
+
+
+TOKEN = f"CASE c_custkey % 5 WHEN 0 THEN {PREFIX} || '_' || c_custkey WHEN 1 THEN lower({PREFIX}) || '_' || c_custkey WHEN 2 THEN {PREFIX} || '_00' || c_custkey || 's' WHEN 3 THEN c_name ELSE {PREFIX} || '-' || c_custkey END"
+
+
+@query(f"""WITH x AS (SELECT c_custkey, {TOKEN} AS token FROM customer)
+SELECT c_custkey, regexp_matches(token, '^(PAYMENT_PROVIDER|ENV_VAR|IFACE|ORG)_[0-9]+$') AS is_alias,
+       CASE WHEN regexp_matches(token, '^(PAYMENT_PROVIDER|ENV_VAR|IFACE|ORG)_[0-9]+$') THEN regexp_extract(token, '^(.*)_[0-9]+$', 1) END AS prefix,
+       CASE WHEN regexp_matches(token, '^(PAYMENT_PROVIDER|ENV_VAR|IFACE|ORG)_[0-9]+$') THEN CAST(regexp_extract(token, '_([0-9]+)$', 1) AS BIGINT) END AS number FROM x""")
+def alias_parse(spark, sf_dir):
+    d = t(spark, sf_dir, "customer").select("c_custkey", F.expr(TOKEN).alias("token"))
+    p = fn.parse_alias(F.col("token"))
+    return d.select("c_custkey", fn.is_alias(F.col("token")).alias("is_alias"), p["prefix"].alias("prefix"), p["number"].alias("number"))
+
+
+@query(f"""WITH x AS (SELECT c_custkey, {TOKEN} AS token FROM customer)
+SELECT c_custkey, regexp_replace(regexp_replace(upper(regexp_replace(token, '[^A-Za-z0-9]', '', 'g')), '([0-9])S$', '\\1'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') AS canonical FROM x""")
+def alias_canonical(spark, sf_dir):
+    d = t(spark, sf_dir, "customer").select("c_custkey", F.expr(TOKEN).alias("token"))
+    return d.select("c_custkey", fn.canonical(F.col("token")).alias("canonical"))
+
+
+IDENT = "replace(initcap(p_name), ' ', '') || 'HTTPKey_' || p_size"
+IDENT_SQL = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') || 'HTTPKey_' || p_size"
+WORDS_SQL = f"string_split(regexp_replace(regexp_replace({IDENT_SQL}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), 'HTTPKey_', 'HTTP Key ', 'g'), ' ')"
+
+
+@query(f"SELECT p_partkey, array_to_string({WORDS_SQL}, '|') AS words FROM part")
+def split_words(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", F.array_join(fn.split_words(F.expr(IDENT)), "|").alias("words"))
+
+
+@query("SELECT p_partkey, lower(regexp_replace(p_brand || '-' || p_name || '_' || p_size, '[^A-Za-z0-9]', '', 'g')) AS folded FROM part")
+def fold_name(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", fn.fold_name(F.concat_ws("_", F.concat_ws("-", "p_brand", "p_name"), F.col("p_size").cast("string"))).alias("folded"))
+
+
+@query("""WITH x AS (SELECT n_nationkey, string_split(lower(n_name), '_') AS w, n_name FROM nation),
+c AS (SELECT *, list_transform(w, lambda x: upper(x[1]) || x[2:]) AS k FROM x),
+v AS (SELECT n_nationkey, unnest([n_name, array_to_string(k, ''), w[1] || array_to_string(k[2:], ''), array_to_string(w, '_'), array_to_string(w, '-'),
+      array_to_string(w, '.'), array_to_string(w, ' '), upper(array_to_string(w, '')), array_to_string(k, ' '), upper(array_to_string(w, '_'))]) AS v FROM c),
+a AS (SELECT * FROM v UNION SELECT n_nationkey, v || 's' FROM v WHERE NOT v LIKE '%s')
+SELECT DISTINCT n_nationkey, v AS variant FROM a""")
+def case_variants(spark, sf_dir):
+    return t(spark, sf_dir, "nation").select("n_nationkey", F.explode(fn.case_variants(F.col("n_name"))).alias("variant"))
+
+
+COMMON_SQL = ", ".join(f"'{w}'" for w in vocab.COMMON_WORDS)
+
+
+@query(f"""WITH w AS (SELECT p_partkey, unnest(string_split(p_name || ' Item x1 id planTier', ' ')) AS w FROM part)
+SELECT DISTINCT w AS name, strlen(w) >= 3 AND (w IN ('planTier') OR lower(w) NOT IN ({COMMON_SQL})) AS identifying FROM w""")
+def is_identifying(spark, sf_dir):
+    d = t(spark, sf_dir, "part").select(F.explode(F.split(F.concat("p_name", F.lit(" Item x1 id planTier")), " ")).alias("name")).distinct()
+    return d.select("name", fn.is_identifying(F.col("name")).alias("identifying"))
+
+
+SUFFIX_CASE = " ".join(f"WHEN w LIKE '%{s}' AND length(w) > {len(s)} THEN '{k}'" for s, k in sorted(vocab.TYPED_SUFFIXES, key=lambda x: -len(x[0])))
+PASCAL_SQL = "upper(n_name[1]) || lower(replace(n_name[2:], '_', '')) || ['Service', 'RequestDto', 'Tier', 'API', 'Thing', 'UserCreated'][1 + n_nationkey % 6]"
+PASCAL = "concat(upper(substr(n_name, 1, 1)), lower(replace(substr(n_name, 2), '_', '')), element_at(array('Service', 'RequestDto', 'Tier', 'API', 'Thing', 'UserCreated'), 1 + n_nationkey % 6))"
+
+
+@query(f"WITH x AS (SELECT n_nationkey, {PASCAL_SQL} AS w FROM nation) SELECT n_nationkey, w AS word, CASE {SUFFIX_CASE} END AS entity_type FROM x")
+def classify_pascal(spark, sf_dir):
+    d = t(spark, sf_dir, "nation").select("n_nationkey", F.expr(PASCAL).alias("word"))
+    return d.select("n_nationkey", "word", fn.classify_pascal(F.col("word")).alias("entity_type"))
+
+
+LINE_SQL = "'Pays by Stripe in ' || n_name || '; striped okta. @author Jane Okafor' || chr(10) || 'Contact: Max Anne Berg, set ' || replace(n_name, ' ', '_') || '_MAX_KEY'"
+LINE = "concat('Pays by Stripe in ', n_name, '; striped okta. @author Jane Okafor\\nContact: Max Anne Berg, set ', replace(n_name, ' ', '_'), '_MAX_KEY')"
+
+
+@query(f"""WITH x AS (SELECT n_nationkey, unnest(regexp_extract_all({LINE_SQL}, '(?i)stripe|okta')) AS name FROM nation)
+SELECT n_nationkey, name, CASE WHEN lower(name) = 'stripe' THEN 'payment_provider' ELSE 'partner' END AS entity_type, count(*) AS n FROM x GROUP BY ALL""")
+def vendor_match(spark, sf_dir):
+    d = t(spark, sf_dir, "nation").select("n_nationkey", F.explode(detect.vendors(F.expr(LINE))).alias("x"))
+    return d.groupBy("n_nationkey", F.col("x.t").alias("name"), F.col("x.type").alias("entity_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT n_nationkey, unnest(regexp_extract_all({LINE_SQL}, '(?i)(?:author|contact):?[ \\t]+((?-i:[A-Z][a-z]+(?:[ \\t]+[A-Z][a-z]+){{1,2}}))', 1)) AS name FROM nation")
+def person_marker(spark, sf_dir):
+    return t(spark, sf_dir, "nation").select("n_nationkey", F.explode(detect.persons(F.expr(LINE))).alias("x")).select("n_nationkey", F.col("x.t").alias("name"))
+
+
+@query("SELECT n_nationkey, unnest([n_name, n_name || '_MAX_KEY']) AS name FROM nation")
+def env_var_scan(spark, sf_dir):
+    return t(spark, sf_dir, "nation").select("n_nationkey", F.explode(detect.env_vars(F.expr(LINE))).alias("x")).select("n_nationkey", F.col("x.t").alias("name"))
+
+
+@query(f"WITH x AS (SELECT n_nationkey, {PASCAL_SQL} AS w FROM nation) SELECT n_nationkey, w AS name, coalesce(CASE {SUFFIX_CASE} END, 'dto') AS entity_type, CASE WHEN CASE {SUFFIX_CASE} END IS NULL THEN 0.8 ELSE 0.85 END::DOUBLE AS confidence FROM x")
+def pascal_scan(spark, sf_dir):
+    d = t(spark, sf_dir, "nation").select("n_nationkey", F.explode(detect.compounds(F.concat(F.lit("use "), F.expr(PASCAL), F.lit(" now")))).alias("x"))
+    return d.select("n_nationkey", F.col("x.t").alias("name"), F.col("x.type").alias("entity_type"), F.col("x.confidence").alias("confidence"))
+
+
+DICT = {"the": "column", "License": "organization", "Version": "product", "Apache License": "organization"}
+
+
+@query("""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+')) AS w FROM documents WHERE regexp_matches(text, 'GNU General'))
+SELECT doc_id, 'License' AS term, count(*) AS n FROM x WHERE w = 'License' GROUP BY doc_id""")
+def dictionary_match(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").where(F.contains("text", F.lit("GNU General"))).select("doc_id", "text")
+    d = detect.dictionary_matches(d, {"License": "organization"}).select("doc_id", F.explode("terms").alias("x"))
+    return d.groupBy("doc_id", F.col("x.t").alias("term")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT c_custkey, c_name AS real_name, {KIND} AS entity_type, {PREFIX} || '_' || CASE WHEN n < 100 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS alias
+FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey) AS n FROM customer)""")
+def alias_allocate(spark, sf_dir):
+    d = identity.allocate(_customers(spark, sf_dir).withColumnRenamed("c_name", "real_name"), F.col("c_custkey"))
+    return d.select("c_custkey", "real_name", "entity_type", "alias")
+
+
+def _identities(spark, sf_dir):
+    d = identity.allocate(_customers(spark, sf_dir).withColumnRenamed("c_name", "real_name"), F.col("c_custkey"))
+    return d.withColumn("uuid", F.sha2(F.concat_ws("\x1f", F.lit("identity"), "entity_type", "real_name"), 256)).withColumn("scope_path", F.lit("identity"))
+
+
+@query(f"""WITH x AS (SELECT c_custkey, {KIND} AS k, {PREFIX} AS p, row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey) AS n,
+ row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY sha256('identity' || chr(31) || {KIND} || chr(31) || c_name)) AS m FROM customer)
+SELECT c_custkey, p || '_' || CASE WHEN m < 100 THEN lpad(CAST(m AS VARCHAR), 3, '0') ELSE CAST(m AS VARCHAR) END AS new_alias, n <> m AS changed FROM x""")
+def rekey(spark, sf_dir):
+    return identity.rekey(_identities(spark, sf_dir)).select("c_custkey", "new_alias", "changed")
+
+
+@query(f"SELECT {KIND} AS entity_type, count(*) AS n FROM customer GROUP BY ALL")
+def type_counts(spark, sf_dir):
+    return identity.type_counts(_customers(spark, sf_dir))
+
+
+@query(f"SELECT c_custkey, c_custkey % 10 = 3 OR ({KIND} IN ('organization', 'payment_provider')) AS alias_it FROM customer")
+def should_alias(spark, sf_dir):
+    d = _customers(spark, sf_dir)
+    return d.select("c_custkey", detect.should_alias(F.col("c_name"), F.col("entity_type"), F.col("c_custkey") % 10 == 3).alias("alias_it"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'overlapping' WHEN 2 THEN 'out of bounds' ELSE 'inverted' END AS error,
+CASE WHEN c_custkey % 4 = 0 THEN '<' || c_name[3:5] || '>' || c_name[8:] END AS edited FROM customer""")
+def edit_apply(spark, sf_dir):
+    edits = F.expr("""array(named_struct('s', 5, 'e', 7, 'r', '>'), named_struct('s', 0, 'e',
+        CASE c_custkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 6 WHEN 2 THEN 999 ELSE -1 END, 'r', '<'))""")
+    d = t(spark, sf_dir, "customer")
+    return d.select("c_custkey", spans.edit_error(F.col("c_name"), edits).alias("error"), spans.apply(F.col("c_name"), edits).alias("edited"))
+
+
+REPLY = f"concat('see ', {TOKEN}, ', ', {PREFIX}, '_', c_custkey, 'Impl or ORG_99999999.')"
+REPLY_SQL = f"'see ' || {TOKEN} || ', ' || {PREFIX} || '_' || c_custkey || 'Impl or ORG_99999999.'"
+
+
+@query(f"""WITH w AS (SELECT {PREFIX} || '_' || CASE WHEN c_custkey < 100 THEN lpad(CAST(c_custkey AS VARCHAR), 3, '0') ELSE CAST(c_custkey AS VARCHAR) END AS alias, c_name FROM customer WHERE c_custkey % 3 <> 0),
+c AS (SELECT alias, c_name, regexp_replace(upper(regexp_replace(alias, '[^A-Za-z0-9]', '', 'g')), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') AS canon FROM w),
+x AS (SELECT c_custkey, unnest(list_filter(regexp_split_to_array({REPLY_SQL}, '[^A-Za-z0-9_]+'), lambda t: t <> '')) AS token FROM customer),
+y AS (SELECT *, regexp_replace(regexp_replace(upper(regexp_replace(token, '[^A-Za-z0-9]', '', 'g')), '([0-9])S$', '\\1'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') AS canon,
+ CASE WHEN token LIKE '%Impl' THEN regexp_replace(upper(regexp_replace(token[:-5], '[^A-Za-z0-9]', '', 'g')), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') END AS stem FROM x)
+SELECT c_custkey, token, coalesce(e.c_name, f.c_name, s.c_name) AS real_name,
+ CASE WHEN e.c_name IS NOT NULL THEN 'exact' WHEN f.c_name IS NOT NULL THEN 'canonical' WHEN s.c_name IS NOT NULL THEN 'affix' END AS match_kind,
+ coalesce(e.c_name, f.c_name, s.c_name) IS NULL AND regexp_matches(token, '^(PAYMENT_PROVIDER|ENV_VAR|IFACE|ORG)_[0-9]+$') AS unresolved
+FROM y LEFT JOIN c e ON e.alias = y.token LEFT JOIN c f ON f.canon = y.canon LEFT JOIN c s ON s.canon = y.stem""")
+def restore_tokens(spark, sf_dir):
+    known = _customers(spark, sf_dir).where("c_custkey % 3 != 0").select(fn.format_alias(F.col("entity_type"), F.col("c_custkey")).alias("alias"), F.col("c_name").alias("real_name"))
+    said = t(spark, sf_dir, "customer").select("c_custkey", F.expr(REPLY).alias("text"))
+    return restore.resolve(restore.tokens_of(said, "c_custkey"), restore.vocabulary(known)).select("c_custkey", "token", "real_name", "match_kind", "unresolved")
+
+
+@query("""WITH c AS (SELECT 'ORG_' || repeat('0', CAST(c_custkey % 3 AS INT)) || c_custkey // 3 AS alias, 'ORG' || c_custkey // 3 AS canonical, c_name FROM customer)
+SELECT canonical, count(DISTINCT c_name) > 1 AS ambiguous FROM c GROUP BY canonical""")
+def vocab_ambiguity(spark, sf_dir):
+    d = t(spark, sf_dir, "customer").select(F.expr("concat('ORG_', repeat('0', int(c_custkey % 3)), c_custkey div 3)").alias("alias"), F.col("c_name").alias("real_name"))
+    return restore.vocabulary(d).select("canonical", "ambiguous").distinct()
+
+
+@query("SELECT doc_id, CAST((length(r) - length(replace(r, '<<REDACTED:', ''))) / 11 AS BIGINT) AS markers FROM (SELECT doc_id, regexp_replace(text, '[0-9a-f]{40}', '<<REDACTED:hex_token>>', 'g') AS r FROM documents)")
+def marker_count(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[0-9a-f]{40}", "<<REDACTED:hex_token>>").alias("r"))
+    return d.select("doc_id", F.regexp_count("r", F.lit(redaction.MARKER)).cast("bigint").alias("markers"))
+
+
+LEAKS = """n AS (SELECT w AS real_name, unnest([lower(w), lower(w) || 's']) AS token FROM (SELECT unnest(['licensed', 'Apache', 'Version', 'mit', 'gnu']) AS w) WHERE w <> 'Version'),
+x AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS token FROM documents),
+k AS (SELECT doc_id, real_name, count(*) AS n FROM x JOIN n USING (token) GROUP BY ALL)"""
+
+
+def _leaks(spark, sf_dir):
+    names = spark.createDataFrame([(w,) for w in ("licensed", "Apache", "Version", "mit", "gnu")], "real_name string")
+    return gate.leaks(t(spark, sf_dir, "documents"), names)
+
+
+@query(f"WITH {LEAKS} SELECT doc_id, real_name, n FROM k")
+def leak_gate(spark, sf_dir):
+    return _leaks(spark, sf_dir)
+
+
+@query(f"WITH {LEAKS} SELECT real_name, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY real_name ORDER BY n DESC, real_name LIMIT 3")
+def top_leaks(spark, sf_dir):
+    return gate.top_leaks(_leaks(spark, sf_dir), 3)
+
+
+@query(f"""WITH {LEAKS} SELECT CAST((SELECT sum(len(regexp_extract_all(text, '[0-9a-f]{{40}}'))) FROM documents) AS BIGINT) AS high_secrets, count(*) AS leaks, true AS refused FROM k""")
+def export_policy(spark, sf_dir):
+    found = t(spark, sf_dir, "documents").select(F.explode(redaction.scan(F.col("text"))).alias("f")).select("f.confidence")
+    return gate.export_policy(found, _leaks(spark, sf_dir), True)
+
+
+@query(f"""SELECT c_name AS real_name, o_orderkey AS file_id, 'o/' || o_orderstatus || '/' || o_orderkey AS path FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 5 = 0""")
+def locate(spark, sf_dir):
+    ids = t(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("uuid"), F.col("c_name").alias("real_name"))
+    orders = t(spark, sf_dir, "orders")
+    files = orders.select(F.col("o_orderkey").alias("file_id"), F.concat(F.lit("o/"), "o_orderstatus", F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return catalog.locate(ids, orders.select(F.col("o_custkey").alias("uuid"), F.col("o_orderkey").alias("file_id")), files).select("real_name", "file_id", "path")
+
+
+@query("SELECT 'o/' || o_orderkey AS path, CAST(l_linenumber AS BIGINT) AS byte_start, CAST(l_linenumber AS BIGINT) + 40 AS byte_end, l_returnflag AS secret_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def secret_sites(spark, sf_dir):
+    start = F.col("l_linenumber").cast("bigint")
+    red = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), start.alias("byte_start"), (start + 40).alias("byte_end"), F.col("l_returnflag").alias("secret_type"))
+    files = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return catalog.secret_sites(red, files)
+
+
+@query("""WITH k AS (SELECT lower(replace(n_name, '_', '')) AS norm, unnest(CASE n_nationkey % 4 WHEN 0 THEN ['table', 'dto'] WHEN 1 THEN ['service', 'api', 'event'] WHEN 2 THEN ['table', 'service'] ELSE ['dto'] END) AS kind, n_nationkey FROM nation)
+SELECT norm, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, CAST(count(*) + (min(n_nationkey) % 8 = 0)::INT AS BIGINT) AS members, CASE WHEN min(n_nationkey) % 8 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence
+FROM k WHERE n_nationkey % 4 < 2 GROUP BY norm""")
+def unify_propose(spark, sf_dir):
+    n = t(spark, sf_dir, "nation")
+    kinds = F.expr("CASE n_nationkey % 4 WHEN 0 THEN array('table', 'dto') WHEN 1 THEN array('service', 'api', 'event') WHEN 2 THEN array('table', 'service') ELSE array('dto') END")
+    keys = n.select(F.explode(kinds).alias("entity_type"), F.initcap("n_name").alias("real_name"), F.lit("a").alias("scope_path"))
+    again = n.where("n_nationkey % 8 = 0").select(F.lit("table").alias("entity_type"), F.upper("n_name").alias("real_name"), F.lit("b").alias("scope_path"))
+    return identity.propose(keys.unionByName(again)).select("norm", F.array_join("kinds", ",").alias("kinds"), "members", "confidence")
+
+
+@query("""WITH r AS (SELECT lang, quality AS actual, CAST(length(text) > 1500 AS INT) AS predicted FROM documents JOIN labels USING (doc_id)),
+s AS (SELECT lang, sum(CASE WHEN predicted = 1 AND actual = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN predicted = 1 AND actual <> 1 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN predicted <> 1 AND actual = 1 THEN 1 ELSE 0 END) AS fn FROM r GROUP BY ROLLUP (lang))
+SELECT lang, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END::DOUBLE AS recall, CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END::DOUBLE AS precision FROM s""")
+def score_report(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", "lang", (F.length("text") > 1500).cast("int").alias("predicted"))
+    rows = d.join(t(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("actual")), "doc_id")
+    return score.report(rows, "lang")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20")
+def audit_last_n(spark, sf_dir):
+    return catalog.last_entries(t(spark, sf_dir, "events"), 20, "event_id").select("event_id", "event_type")
+
+
+@query(r"""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM (SELECT doc_id, '# Title' || chr(10) || text || chr(10) || '```' || chr(10) || '# no' || chr(10) || '```' || chr(10) || '### Sub' AS text FROM documents))
+SELECT doc_id, CAST(len(l) AS BIGINT) AS lines, CAST(2 AS BIGINT) AS fences,
+ CAST(len(list_filter(l, lambda x: regexp_matches(x, '^#[ \t]+\S'))) - 1 AS BIGINT) AS h1, CAST(len(list_filter(l, lambda x: regexp_matches(x, '^###[ \t]+\S'))) AS BIGINT) AS h3 FROM x""")
+def md_fingerprint(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", structure.markdown_fingerprint(F.concat(F.lit("# Title\n"), "text", F.lit("\n```\n# no\n```\n### Sub"))).alias("m"))
+    return d.select("doc_id", *(F.col("m")[k].alias(k) for k in ("lines", "fences", "h1", "h3")))
+
+
+@query(r"""WITH x AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda p: p <> '') AS c FROM pages)
+SELECT page_id, array_to_string(c, '|') AS components FROM x""")
+def path_components(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", F.array_join(fn.components(F.regexp_replace("url", "^[a-z]+://", "")), "|").alias("components"))
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'src/a/dto/x' || n_nationkey WHEN 1 THEN 'src/y' || n_nationkey || '.dto' WHEN 2 THEN NULL ELSE NULL END AS module FROM nation""")
+def resolve_import(spark, sf_dir):
+    spec = F.expr("CASE n_nationkey % 4 WHEN 0 THEN concat('./dto/x', n_nationkey, '.ts') WHEN 1 THEN concat('../y', n_nationkey, '.dto') WHEN 2 THEN 'rxjs' ELSE '../../../up' END")
+    return t(spark, sf_dir, "nation").select("n_nationkey", fn.resolve_import(F.lit("src/a/b.ts"), spec).alias("module"))
+
+
+FORMAT_PATH = "concat('f/', n_nationkey, element_at(array('.MD', '.ddl', '.yaml', '.json', '.tsx', '.puml', '.log', '', '.yml'), 1 + n_nationkey % 9))"
+
+
+@query("SELECT n_nationkey, ['markdown', 'sql', 'openapi', 'json', 'typescript', 'plantuml', 'text', 'plantuml', 'yaml'][1 + n_nationkey % 9] AS parser FROM nation")
+def format_dispatch(spark, sf_dir):
+    content = F.expr("CASE n_nationkey % 9 WHEN 2 THEN 'info: x\\nopenapi: 3.0' WHEN 7 THEN '  @startuml' ELSE n_name END")
+    return t(spark, sf_dir, "nation").select("n_nationkey", fn.format_of(F.expr(FORMAT_PATH), content).alias("parser"))
+
+
+@query("SELECT s_suppkey, s_name AS opened, true AS hidden FROM supplier")
+def sealed_round_trip(spark, sf_dir):
+    d = t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    s = catalog.rotated(catalog.sealed(d, "supplier", "s_name", "s_suppkey", "one"), "supplier", "s_name", "s_suppkey", "one", "two").withColumn("hidden", ~F.contains(F.hex("s_name"), F.hex(F.lit("Supplier"))))
+    return catalog.unsealed(s, "supplier", "s_name", "s_suppkey", "two").select("s_suppkey", F.col("s_name").alias("opened"), "hidden")
+
+
+@query()
+def sanitize_twin(spark, sf_dir):
+    from twinframe.plans import sanitize
+
+    docs = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    out, _ = sanitize.export(docs, {"GNU General Public License": "organization"})
+    return out.select("doc_id", F.md5(F.col("twin").cast("binary")).alias("twin_md5"), F.size("applied").cast("bigint").alias("applied"), "outcome")
