@@ -1,6 +1,7 @@
 """Token counts by separator scan: document lengths from flat files of ids that have no index.
 
-A file is a run of unsigned 32-bit little-endian ids with an end-of-document id after each document. Each file is read in blocks,
+A file is a run of unsigned little-endian ids (16-bit where the vocabulary fits, else 32-bit) with an end-of-document id after each
+document. Each file is read in blocks,
 by any task; a block's separators come from one vectorised comparison. A document may span blocks: a prefix scan over the
 blocks' summaries (number of separators, place of the last) gives each block its first document's start and ordinal.
 """
@@ -21,20 +22,20 @@ END_ID = 49407
 BLOCK_TOKENS = 1 << 20
 
 
-def write_flat(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> DataFrame:
+def write_flat(docs: DataFrame, tokenizer: str, folder: str, end_id: int, width: int) -> DataFrame:
     """Writes flat files; returns path, ordinal, doc_id: which document is a file's how-manieth. Nothing about places is kept."""
 
     def write(batches):
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        enc, end = tokens.encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, kind = tokens.encoder(tokenizer), f"<u{width}"
+        end = np.array([end_id], kind).tobytes()
         path, n = f"{folder}/{uuid.uuid4().hex}.ids", 0
         with fs.open_output_stream(filesystem(path)[1]) as out:
             for batch in batches:
                 for ids in enc.encode(batch.column("text").cast(pa.binary()).to_pylist()):
-                    if end in ids:
-                        ids = (a := np.frombuffer(ids, "<u4"))[a != end_id].tobytes()
-                    out.write(ids)
+                    a = np.frombuffer(ids, "<u4")
+                    out.write(a[a != end_id].astype(kind).tobytes())
                     out.write(end)
                 k = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([path] * k, pa.string()), pa.array(range(n, n + k), pa.int64()), batch.column("doc_id")], names=["path", "ordinal", "doc_id"])
@@ -43,7 +44,7 @@ def write_flat(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> Dat
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(write, "path string, ordinal long, doc_id long"), "order")
 
 
-def scan(paths: DataFrame, end_id: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def scan(paths: DataFrame, end_id: int, width: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """path, ordinal, start, n_tokens (without the separator), ended: each document of the files named in ``path``.
 
     Ids after a file's last separator are one more document with ended = false; an empty file has none.
@@ -53,7 +54,7 @@ def scan(paths: DataFrame, end_id: int, block_tokens: int = BLOCK_TOKENS) -> Dat
         for batch in batches:
             names = batch.column("path").to_pylist()
             fs = [filesystem(p) for p in names]
-            n = [f.get_file_info(p).size // 4 for f, p in fs]
+            n = [f.get_file_info(p).size // width for f, p in fs]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64())], names=["path", "n"])
 
     def search(batches):
@@ -61,8 +62,8 @@ def scan(paths: DataFrame, end_id: int, block_tokens: int = BLOCK_TOKENS) -> Dat
             for path, block, first, n in zip(*(c.to_pylist() for c in batch.columns)):
                 fs, name = filesystem(path)
                 with fs.open_input_file(name) as f:
-                    f.seek(4 * first)
-                    at = np.flatnonzero(np.frombuffer(f.read(4 * n), "<u4") == end_id) + first
+                    f.seek(width * first)
+                    at = np.flatnonzero(np.frombuffer(f.read(width * n), f"<u{width}") == end_id) + first
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([block], pa.int64()), pa.array([first + n], pa.int64()), pa.array([at.tolist()], pa.list_(pa.int64()))], names=["path", "block", "stop", "ends"])
 
     files = paths.select("path").distinct().mapInArrow(sizes, "path string, n long")
@@ -100,9 +101,11 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     """
     spark = docs.sparkSession
     prepare(spark)
-    order = write_flat(docs, tokenizer or tokens.default_path(), new_path(spark, "flat"), end_id)
-    counted = scan(order, end_id, block_tokens)
-    return order.join(counted, ["path", "ordinal"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"))
+    tokenizer = tokenizer or tokens.default_path()
+    width = 2 if max(tokens.encoder(tokenizer).library.get_vocab_size() - 1, end_id) < 1 << 16 else 4
+    order = write_flat(docs, tokenizer, new_path(spark, "flat"), end_id, width)
+    counted = scan(order, end_id, width, block_tokens)
+    return order.join(counted.hint("merge"), ["path", "ordinal"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"))
 
 
 def op5_token_counts(spark, sf_dir):
