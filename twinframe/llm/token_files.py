@@ -35,8 +35,9 @@ LEVEL = 3
 
 def train(docs: DataFrame, tokenizer: str) -> bytes:
     """A zstandard dictionary over serialized id arrays of a bounded sample; empty where there is too little to train on."""
-    sample = docs.select(F.substring(text_of(), 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS)
-    texts = [r.text.encode() for r in sample.collect()]
+    ids = [r.doc_id for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()]
+    rows = docs.where(F.col("doc_id").isin([d for d in ids if d is not None])).select(F.substring(text_of(), 1, SAMPLE_CHARS).alias("text"), "doc_id")
+    texts = [r.text.encode() for r in rows.orderBy("doc_id", "text").limit(SAMPLE_DOCS).collect()]
     arrays = [x for x in tokens.encoder(tokenizer).encode(texts) if len(x) >= 8]
     if sum(map(len, arrays)) < 100 * 1024 or len(arrays) < 10:
         return b""
