@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -76,6 +78,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more, and has Spark drop the shuffle files of finished work.
+
+    Spark drops those once the driver's garbage is collected, first Python's references and then the JVM's.
+    """
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            if "/twinframe/" in file:
+                drop_path(spark, file.rsplit("/", 1)[0])
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

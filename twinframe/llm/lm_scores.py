@@ -23,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import documents, prepare, written
+from twinframe.llm.common import documents, prepare, release, written
 
 BACKOFF = 0.4
 #: Words and bigrams with at least this share of the tokens are broadcast: at most 1 / HOT of each, 16 bytes each.
-HOT = 5e-6
+HOT = 1e-6
 #: N-grams per hash partition, and what a task holds before it hands its counts on.
-PART_GRAMS, HELD = 2_000_000, 1_500_000
-CACHE_WORDS = 1_000_000
+PART_GRAMS, HELD = 2_000_000, 1_000_000
+CACHE_WORDS = 500_000
 
 _words: dict[bytes, int] = {}
 
@@ -93,23 +93,28 @@ def _sorted_table(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.n
     return keys[order], pdf[value].to_numpy("f8")[order]
 
 
+def add_up(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct bigrams, each with the sum of its counts."""
+    k = pair_hash(v, w)
+    order = np.argsort(k)
+    k = k[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    return v[order[first]], w[order[first]], np.add.reduceat(c[order], first)
+
+
 def bigrams(docs: DataFrame, hot, n_parts: int) -> DataFrame:
-    """v, w, c: the bigrams of two occurrences or more. Tasks hand on packed counts, dealt by v, or by v and w where v is hot."""
+    """k, v, w, c: the bigrams of two occurrences or more, with their hash. Tasks hand on packed counts, dealt by v, or by v and w where v is hot."""
 
     def count(batches):
         held: list[np.ndarray] = []
 
         def merged():
-            v, w, c = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((w, v))
-            v, w, c = v[order], w[order], c[order]
-            first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
-            return v[first], w[first], np.add.reduceat(c, first)
+            return add_up(*(np.concatenate(x) for x in zip(*held)))
 
         def out():
             v, w, c = merged()
             part = np.where(find(hot.value[0], v)[0], pair_hash(v, w), v * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)) % np.uint64(n_parts)
-            order = np.argsort(part, kind="stable")
+            order = np.lexsort((v, part))
             v, w, c, part = v[order], w[order], c[order], part[order]
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() + [len(part)]
             rows = []
@@ -142,13 +147,10 @@ def bigrams(docs: DataFrame, hot, n_parts: int) -> DataFrame:
         def out():
             v = np.concatenate([np.repeat(np.frombuffer(r[1], "u8"), np.frombuffer(r[2], "u4")) for r in rows])
             w, c = np.concatenate([np.frombuffer(r[3], "u8") for r in rows]), np.concatenate([np.frombuffer(r[4], "u4") for r in rows]).astype("i8")
-            order = np.lexsort((w, v))
-            v, w, c = v[order], w[order], c[order]
-            first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
-            c = np.add.reduceat(c, first)
+            v, w, c = add_up(v, w, c)
             keep = c > 1
-            first = first[keep]
-            return pa.RecordBatch.from_arrays([_long(v[first]), _long(w[first]), pa.array(c[keep])], names=["v", "w", "c"])
+            v, w = v[keep], w[keep]
+            return pa.RecordBatch.from_arrays([_long(pair_hash(v, w)), _long(v), _long(w), pa.array(c[keep])], names=["k", "v", "w", "c"])
 
         for batch in batches:
             for row in zip(*(x.to_pylist() for x in batch.columns)):
@@ -161,7 +163,7 @@ def bigrams(docs: DataFrame, hot, n_parts: int) -> DataFrame:
             yield out()
 
     packed = docs.select("text").mapInArrow(count, "p long, v binary, runs binary, w binary, c binary")
-    return packed.repartition(n_parts, "p").sortWithinPartitions("p").mapInArrow(gather, "v long, w long, c long")
+    return packed.repartition(n_parts, "p").sortWithinPartitions("p").mapInArrow(gather, "k long, v long, w long, c long")
 
 
 ROWS = "p long, kind int, batch long, keys binary, nums binary, docs binary"
@@ -173,12 +175,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def by_part(keys: np.ndarray, n_parts: int):
-    """(partition, positions of its keys in ascending order of key) for each partition that has keys."""
-    part = (keys >> np.uint64(7)) % np.uint64(n_parts)
-    order = np.lexsort((keys, part))
-    cuts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0]).tolist() + [len(keys)] if len(keys) else [0]
+    """(partition, positions of its keys in ascending order of key) for each partition that has keys. Partitions are key ranges."""
+    order = np.argsort(keys)
+    part = (keys[order] >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() + [len(keys)] if len(keys) else [0]
     for a, b in zip(cuts, cuts[1:]):
-        yield int(part[order[a]]), order[a:b]
+        yield int(part[a]), order[a:b]
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -196,32 +198,40 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     least = max(2, math.ceil(HOT * total))
     hot_words = spark.sparkContext.broadcast(_sorted_table(words.where(F.col("c") >= least), "h", "c"))
     pairs = written(bigrams(docs, hot_words, n_parts), "bigrams")
+    release(spark)
     back = math.log(BACKOFF) - math.log(max(total, 1))
     joined = pairs.join(words.select(F.col("h").alias("v"), F.col("c").alias("cv")), "v").join(words.select(F.col("h").alias("w"), F.col("c").alias("cw")), "w")
-    gains = written(joined.select("v", "w", "c", (F.log("c") - F.log("cv") - F.log("cw") - F.lit(back)).alias("x")), "gains")
-    hot = gains.where(F.col("c") >= least).toPandas()
-    keys = pair_hash(hot["v"].to_numpy("i8").view("u8"), hot["w"].to_numpy("i8").view("u8"))
-    order = np.argsort(keys)
-    hot_pairs = spark.sparkContext.broadcast((keys[order], hot["x"].to_numpy("f8")[order]))
+    gains = written(joined.select("k", "c", (F.log("c") - F.log("cv") - F.log("cw") - F.lit(back)).alias("x")), "gains")
+    del joined
+    release(spark, pairs)
+    hot_pairs = spark.sparkContext.broadcast(_sorted_table(gains.where(F.col("c") >= least), "k", "x"))
+
+    def tables(batches):
+        held, size = [], 0
 
-    def tables(pair: bool):
-        def run(batches):
-            for batch in batches:
-                columns = [c.to_numpy().view("u8") for c in batch.columns[:-1]]
-                keys, x = pair_hash(*columns) if pair else columns[0], batch.columns[-1].to_numpy()
-                yield _rows([(p, 0, 0, keys[at].tobytes(), x[at].tobytes(), None) for p, at in by_part(keys, n_parts)])
+        def out():
+            keys, x = (np.concatenate(c) for c in zip(*held))
+            return _rows([(p, 0, 0, keys[at].tobytes(), x[at].tobytes(), None) for p, at in by_part(keys, n_parts)])
 
-        return run
+        for batch in batches:
+            held.append((batch.column(0).to_numpy().view("u8").copy(), batch.column(1).to_numpy().copy()))
+            size += batch.num_rows
+            if size > HELD:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
     def explode(batches):
         task = TaskContext.get().partitionId() << 32
         wk, wc = hot_words.value
         wx, (pk, px) = np.log(wc) + back, hot_pairs.value
-        for number, batch in enumerate(batches):
-            texts = [word_hashes(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        number, texts, ids = 0, [], []
+
+        def out():
             n = len(texts)
             sums = np.array([-math.log(BACKOFF) if len(h) else 0.0 for h in texts])
-            out = []
+            rows = []
             one, doc = np.concatenate([*texts, np.empty(0, "u8")]), np.repeat(np.arange(n), [len(h) for h in texts])
             same = doc[1:] == doc[:-1]
             two, doc2 = pair_hash(one[:-1][same], one[1:][same]), doc[1:][same]
@@ -230,11 +240,24 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 sums += np.bincount(of[hit], x[at[hit]], n)
                 keys, of = keys[~hit], of[~hit]
                 for p, at in by_part(keys, n_parts):
-                    out.append((p, 1, task + number, keys[at].tobytes(), None, of[at].astype("u2").tobytes()))
-            ids = [d if d is not None else 0 for d in batch.column("doc_id").to_pylist()]
-            nulls = np.array([d is None for d in batch.column("doc_id").to_pylist()], "u1")
-            out.append((-1 - (number % n_parts), 2, task + number, np.array(ids, "i8").tobytes() + nulls.tobytes(), sums.tobytes(), np.array([len(h) for h in texts], "i8").tobytes()))
-            yield _rows(out)
+                    own = keys[at]
+                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    rows.append((p, 1, task + number, own[first].tobytes(), np.diff(np.r_[first, len(own)]).astype("u4").tobytes(), of[at].astype("u2").tobytes()))
+            nulls = np.array([d is None for d in ids], "u1")
+            rows.append((-1 - (number % n_parts), 2, task + number, np.array([d or 0 for d in ids], "i8").tobytes() + nulls.tobytes(), sums.tobytes(), np.array([len(h) for h in texts], "i8").tobytes()))
+            return _rows(rows)
+
+        size = 0
+        for batch in batches:
+            found = [word_hashes(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            if ids and (size > HELD or len(ids) + len(found) > 65_536):
+                yield out()
+                number, texts, ids, size = number + 1, [], [], 0
+            texts += found
+            ids += batch.column("doc_id").to_pylist()
+            size += sum(map(len, found))
+        if ids:
+            yield out()
 
     def join(batches):
         now, keys, x = None, [], []
@@ -254,9 +277,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                         order = np.argsort(keys[0])
                         keys, x = [keys[0][order]], [x[0][order]]
                     hit, at = find(keys[0], np.frombuffer(k, "u8"))
-                    of, inverse = np.unique(np.frombuffer(d, "u2")[hit], return_inverse=True)
+                    runs = np.frombuffer(v, "u4")
+                    of, inverse = np.unique(np.frombuffer(d, "u2")[np.repeat(hit, runs)], return_inverse=True)
                     if len(of):
-                        out.append((p, 1, b, None, np.bincount(inverse, x[0][at[hit]]).tobytes(), of.tobytes()))
+                        out.append((p, 1, b, None, np.bincount(inverse, np.repeat(x[0][at[hit]], runs[hit])).tobytes(), of.tobytes()))
             yield _rows(out)
 
     def total_up(batches):
@@ -282,8 +306,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         if rows:
             yield out()
 
-    counted = words.where(F.col("c") < least).select("h", (F.log("c") + F.lit(back)).alias("x")).mapInArrow(tables(False), ROWS)
-    gained = gains.where(F.col("c") < least).select("v", "w", "x").mapInArrow(tables(True), ROWS)
+    counted = words.where(F.col("c") < least).select("h", (F.log("c") + F.lit(back)).alias("x")).mapInArrow(tables, ROWS)
+    gained = gains.where(F.col("c") < least).select("k", "x").mapInArrow(tables, ROWS)
     every = counted.unionAll(gained).unionAll(docs.mapInArrow(explode, ROWS))
     summed = every.repartition(n_parts, "p").sortWithinPartitions("p", "kind").mapInArrow(join, ROWS)
     return summed.repartition(n_parts, "batch").sortWithinPartitions("batch", "p").mapInArrow(total_up, "doc_id long, n_tokens long, log_score double, log_mean double")
