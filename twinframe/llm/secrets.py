@@ -72,7 +72,7 @@ def spans(text: Column, pattern: str, group: int | None = None) -> Column:
 
 def encoding_of(token: Column):
     """struct<number, body> of a token's encoding, and a function that picks a field of ENCODINGS by the number in ``_e``."""
-    body = F.rtrim(F.lit("="), token)
+    body = F.rtrim(token, F.lit("="))
     number = F.lit(len(ENCODINGS) - 1)
     for k in range(len(ENCODINGS) - 2, -1, -1):
         number = F.when(F.rlike(token, F.lit(ENCODINGS[k][1])), k).otherwise(number)
@@ -100,19 +100,20 @@ def evaluated(cands: DataFrame) -> DataFrame:
     turns = F.aggregate(F.zip_with("_x", after, lambda a, b: F.when(b.isNotNull() & ((a >= k / 2) != (b >= k / 2)), 1.0).otherwise(0.0)), F.lit(1.0), lambda a, v: a + v)
     d = d.select("*", n.alias("_n"), k.alias("_k"), total.alias("_s"), squares.alias("_ss"), pairs.alias("_p"), cross.alias("_c"), high.alias("_h"), turns.alias("_r"))
     n, k, h, low = F.col("_n"), F.col("_k"), F.col("_h"), F.col("_n") - F.col("_h")
-    chi2 = k / n * F.col("_p") - n
-    variance = F.col("_ss") / n - F.pow(F.col("_s") / n, F.lit(2.0))
-    covariance = F.col("_c") / n - F.pow(F.col("_s") / n, F.lit(2.0))
-    mu, inner = 2 * h * low / n + 1, 2 * h * low * (2 * h * low - n) / (n * n * (n - 1))
+    over = F.try_divide  # null for a zero divisor, whichever branch Spark evaluates
+    chi2 = over(k, n) * F.col("_p") - n
+    variance = over(F.col("_ss"), n) - F.pow(over(F.col("_s"), n), F.lit(2.0))
+    covariance = over(F.col("_c"), n) - F.pow(over(F.col("_s"), n), F.lit(2.0))
+    mu, inner = over(2 * h * low, n) + 1, over(2 * h * low * (2 * h * low - n), n * n * (n - 1))
     same, q, c = F.col("_p") - n, F.col("_ioc"), F.col("_cubes")
     spread = F.sqrt(2 * n * (n - 1) * q * (1 - q) + 4 * n * (n - 1) * (n - 2) * F.greatest(c - q * q, zero))
     return d.select(
         *cands.columns,
         "encoding",
-        ((chi2 - (k - 1)) / F.sqrt(2 * (k - 1))).alias("chi2"),
-        F.when(inner > 0, (F.col("_r") - mu) / F.sqrt(inner)).otherwise(F.lit(-99.0)).alias("runs"),
-        F.when(variance > 0, F.sqrt(n) * covariance / variance + 1 / F.sqrt(n)).otherwise(F.lit(99.0)).alias("serial"),
-        normal_cdf((same - n * (n - 1) * q) / spread).alias("p_text"),
+        over(chi2 - (k - 1), F.sqrt(2 * (k - 1))).alias("chi2"),
+        F.when(inner > 0, over(F.col("_r") - mu, F.sqrt(inner))).otherwise(F.lit(-99.0)).alias("runs"),
+        F.when(variance > 0, over(F.sqrt(n) * covariance, variance) + over(F.lit(1.0), F.sqrt(n))).otherwise(F.lit(99.0)).alias("serial"),
+        F.coalesce(normal_cdf(over(same - n * (n - 1) * q, spread)), F.lit(1.0)).alias("p_text"),
     )
 
 
