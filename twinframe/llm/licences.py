@@ -108,7 +108,7 @@ class Templates:
 def parts(text: str) -> list[tuple[int, int]]:
     """Distinct (start, end) of the whole text, its paragraphs and its lines, in code points."""
     out = {(0, len(text)): None}
-    for pattern in (r"(?:[^\n]|\n(?![^\S\n]*\n))+", r"[^\n]+"):
+    for pattern in (r"[^\n](?:[^\n]|\n(?![^\S\n]*\n))*", r"[^\n]+"):
         out |= {m.span(): None for m in re.finditer(pattern, text)}
     return list(out)
 

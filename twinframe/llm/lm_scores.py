@@ -30,7 +30,7 @@ BACKOFF = 0.4
 HOT = 1e-6
 #: N-grams per hash partition, and what a task holds before it hands its counts on.
 PART_GRAMS, HELD = 2_000_000, 1_000_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 _words: dict[bytes, int] = {}
 

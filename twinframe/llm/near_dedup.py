@@ -40,7 +40,7 @@ SLACK = 8
 #: Up to so many doc_ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 1_000_000
 #: Distinct words whose hashes a worker keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 _words: dict[bytes, int] = {}
 

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Cached chunks per worker (some 200 bytes each); beyond it the cache starts anew.
-CACHE_CHUNKS = 1_200_000
+CACHE_CHUNKS = 900_000
 #: Longer chunks aren't kept.
 CACHE_CHARS = 64
 #: New chunks go to the library joined by a digit, which is always a token by itself; those that hold it go one by one.
