@@ -28,9 +28,9 @@ from twinframe.llm.common import documents, prepare, release, written
 BACKOFF = 0.4
 #: Words and bigrams with at least this share of the tokens are broadcast: at most 1 / HOT of each, 16 bytes each.
 HOT = 1e-6
-#: N-grams per hash partition, and what a task holds before it hands its counts on.
-PART_GRAMS, HELD = 2_000_000, 1_000_000
-CACHE_WORDS = 300_000
+#: N-grams per hash partition, and what a task holds before it hands its counts on: bigrams in arrays, words in a dictionary.
+PART_GRAMS, HELD, HELD_WORDS = 2_000_000, 1_000_000, 300_000
+CACHE_WORDS = 200_000
 
 _words: dict[bytes, int] = {}
 
@@ -77,7 +77,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 held.update((text or b"").lower().split())
-                if len(held) > HELD:
+                if len(held) > HELD_WORDS:
                     yield out()
                     held.clear()
         yield out()
