@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from twinframe.functions import spans
 from twinframe.functions import text as fn
 from twinframe.operators import catalog, detect, diff, redaction, restore, score
-from twinframe.plans import sanitize
+from twinframe.plans import project, sanitize
 from twinframe.sources import structure, tree
 
 
@@ -120,6 +120,55 @@ def test_export_round_trip(spark):
     assert {r.doc_id: r.restored for r in back.collect()} == {1: docs.first().text, 2: "VANTOR uses stripe — Straße.", 3: ""}
 
 
+def test_variants(spark):
+    for name in ("PlanTier", "HTTPServer_key", "acme", "Straße Ost", "--"):
+        assert detect.spellings(name) == value(spark, fn.case_variants(F.col("t")), t=name)
+    d = spark.createDataFrame([("VANTOR, vantors VantorBilling xvantor plan_tiers é PLAN-TIER",), (None,)], "text string")
+    got = detect.dictionary_matches(d, {"Vantor": "organization", "PlanTier": "dto"}).collect()
+    assert [x.t for x in got[0].terms] == ["Vantor"] and [x.t for x in got[0].variants] == ["VANTOR", "vantors", "plan_tiers", "PLAN-TIER"]
+    assert got[0].variants[-1].e == len(d.first().text.encode()) and got[1].variants == []
+    off = detect.dictionary_matches(d, {"Vantor": "organization"}, frozenset(["vantors"]), variants=True).first()
+    assert [x.t for x in off.variants] == ["VANTOR"]
+
+
+def test_document_variants_leave_what_is_found(spark):
+    d = spark.createDataFrame([("PlanTier is plan tier, PLAN_TIER or xplan-tier",)], "t string").withColumn("found", detect.scan_text(F.col("t")))
+    got = d.select(detect.with_document_variants(F.col("t"), F.col("found")).alias("x")).first().x
+    assert [(x.t, x.confidence) for x in got] == [("PlanTier", 0.85), ("plan tier", 0.82), ("PLAN_TIER", 0.9)]
+
+
+def test_review(spark):
+    row = ("a\nVantor b\nc\nd", "a\nORG_001 b\nc\nd", "a\norg1 x\nc\nORG_007 <<REDACTED:email>>")
+    d = spark.createDataFrame([row, (None, None, None)], "original string, twin string, reply string")
+    got = diff.review(d, [("ORG_001", "Vantor")]).collect()
+    assert got[0].restored == "a\nVantor x\nc\nORG_007 <<REDACTED:email>>" and not got[0].may_patch and got[0].unresolved == ["ORG_007"]
+    assert [(h.kind, [(n.line, n.kind) for n in h.notes]) for h in got[0].changes] == [("Changed", [(2, "fuzzy")]), ("Changed", [(4, "unresolved"), (4, "redaction")])]
+    assert len(got[0].edits) == 2 and got[1].restored is None and got[1].may_patch
+
+
+def test_project(spark, tmp_path):
+    p = project.Project(spark, f"file://{tmp_path}/cat")
+    with pytest.raises(ValueError):
+        p.verify(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+    p.term("Vantor", "organization")
+    docs = spark.createDataFrame([(1, "a.txt", "Vantor pays via Stripe, mail a.b@c.org"), (2, "b.txt", None)], "doc_id long, path string, text string")
+    twins = {r.doc_id: r.twin for r in p.export(docs).collect()}
+    assert "Vantor" not in twins[1] and "<<REDACTED:email>>" in twins[1]
+    assert p.verify(spark.createDataFrame(list(twins.items()), "doc_id long, text string")).count() == 0
+    assert [r.path for r in p.where("vantor").collect()] == ["a.txt"] and [r.secret_type for r in p.secrets().collect()] == ["email"]
+    issued = {r.real_name: r.alias for r in p.table("identities").collect()}
+    more = spark.createDataFrame([(3, "c.txt", "Okta for Vantor")], "doc_id long, path string, text string")
+    assert issued["Vantor"] in p.export(more).first().twin
+    assert {r.path: r.change for r in p.rescan(docs).collect()}["c.txt"] == "removed"
+    p.resolve("ORG_099", "Nimbus Labs", "organization")
+    with pytest.raises(ValueError):
+        p.resolve("ORG_099", "Other", "organization")
+    assert p.restore(spark.createDataFrame([("ORG_099",)], "text string")).first().restored == "Nimbus Labs"
+    p.backup(f"file://{tmp_path}/copy")
+    assert project.Project(spark, f"file://{tmp_path}/copy").recover().count() == p.recover().count() >= 2
+    assert p.rekey() >= 1 and [r.action for r in p.audit(2).collect()] == ["rekey", "resolve"]
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.sampled_from(["Vantor", "okta", "ORG", "é", "plan", "Tier", "_", "-", "\n", "12", "S"]), max_size=8))
 def test_words_rebuild_name(spark, parts):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,9 +71,12 @@ def protected(text: Column) -> Column:
     return spans.find(text, PROTECTED)
 
 
-def settle(offered: Column, guarded: Column) -> Column:
-    """The conflict rule over candidates in order of pass: identities yield to identities and guarded spans, structure to any claim."""
-    start = F.array().cast(f"array<{CANDIDATE}>")
+def settle(offered: Column, guarded: Column, already: Column | None = None) -> Column:
+    """The conflict rule over candidates in order of pass: identities yield to identities and guarded spans, structure to any claim.
+
+    Candidates of ``already`` stand; the offered ones come after them.
+    """
+    start = F.array().cast(f"array<{CANDIDATE}>") if already is None else already
 
     def step(acc, x):
         identity = fn.is_identity(x["type"])
@@ -81,52 +86,107 @@ def settle(offered: Column, guarded: Column) -> Column:
     return F.array_sort(F.aggregate(offered, start, step))
 
 
-def scan_text(text: Column, dictionary: Column | None = None) -> Column:
-    """All passes in order: dictionary matches if given, vendors, persons, variables, hosts, compounds, phrases."""
+def scan_text(text: Column, dictionary: Column | None = None, variants: Column | None = None) -> Column:
+    """All passes in order: dictionary matches if given, vendors, persons, variables, hosts, compounds, phrases, dictionary variants if given."""
     passes = [vendors(text), persons(text), env_vars(text), _typed(hosts(text), "domain", 0.9), compounds(text), phrases(text)]
-    offered = F.concat(*([dictionary] if dictionary is not None else []), *passes)
+    offered = F.concat(*(x for x in (dictionary, *passes, variants) if x is not None))
     return settle(offered, protected(text))
 
 
+#: Shortest variant in bytes, and what a variant's hit is worth.
+VARIANT_BYTES, VARIANT = 4, 0.82
+_ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def spellings(name: str) -> list[str]:
+    """What ``functions.text.case_variants`` gives, for workers."""
+    import regex
+
+    lower = [w.lower() for w in regex.split(r"[^\p{L}\p{N}]+", regex.sub(fn.HUMP, " ", name)) if w]
+    if not lower:
+        return []
+    capital = [w[:1].upper() + w[1:] for w in lower]
+    base = {name, "".join(capital), lower[0] + "".join(capital[1:]), *(by.join(lower) for by in "_-. "), "".join(lower).upper(), " ".join(capital), "_".join(lower).upper()}
+    return sorted(base | {v + "s" for v in base if not v.endswith("s")})
+
+
+def _folded_variants(names: dict[str, str], allowed: frozenset[str]) -> dict[str, str]:
+    """ASCII-lower-cased variants and the type of their name, that of the first name in order where several share one."""
+    out: dict[str, str] = {}
+    for name in sorted(names):
+        for v in spellings(name):
+            if v != name and len(v.encode()) >= VARIANT_BYTES and v.lower() not in allowed:
+                out.setdefault(v.translate(_ASCII_LOWER), names[name])
+    return out
+
+
+def _bounded(text: str, s: int, e: int, identity: bool) -> bool:
+    """Identities may stand inside a compound, at a hump; other names are whole tokens, of which an underscore is part."""
+    before, after, first = text[s - 1 : s] if s else "", text[e : e + 1], text[s : s + 1]
+    if identity:
+        left = not before or not before.isalnum() or first.isupper() and not before.isupper()
+        return left and (not after or not after.isalnum() or after.isupper())
+    return not (before.isalnum() or before == "_" or after.isalnum() or after == "_")
+
+
+def _hit(text: str, s: int, e: int, kind: str, confidence: float) -> dict:
+    at = len(text[:s].encode())
+    return {"s": at, "e": at + len(text[s:e].encode()), "t": text[s:e], "type": kind, "confidence": confidence}
+
+
 def dictionary_matches(docs: DataFrame, terms: dict[str, str], allow: frozenset[str] = frozenset(), variants: bool = True) -> DataFrame:
-    """Adds column ``terms``: dictionary hits by one automaton, leftmost longest, with the boundary rule of the term's type.
+    """Adds ``terms`` and ``variants``: dictionary hits by automata, leftmost longest, with the boundary rule of the term's type.
 
-    ``terms`` maps a term to its type and is broadcast; callers bound it. A longest match that fails its boundary consumes its text.
+    Variants are other spellings of a term in any case, each found under its surface text. ``terms`` maps a term to its type and is
+    broadcast; callers bound it. A longest match that fails its boundary consumes its text.
     """
     import ahocorasick
 
-    folded = {a.lower() for a in allow}
+    folded = frozenset(a.lower() for a in allow)
     wanted = {t: k for t, k in terms.items() if t.lower() not in folded and t not in vocab.STOP_LIST}
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    schema = f"array<{CANDIDATE}>"
+    schema = f"struct<terms:array<{CANDIDATE}>,variants:array<{CANDIDATE}>>"
 
-    def bounded(text: str, s: int, e: int, identity: bool) -> bool:
-        before, after, first = text[s - 1 : s], text[e : e + 1], text[s : s + 1]
-        if identity:
-            left = not before or not before.isalnum() or first.isupper() and not before.isupper()
-            return left and (not after or not after.isalnum() or after.isupper())
-        return not (before.isalnum() or before == "_" or after.isalnum() or after == "_")
+    def machine(words: dict[str, str]):
+        m = ahocorasick.Automaton()
+        for word, kind in words.items():
+            m.add_word(word, (len(word), kind))
+        if words:
+            m.make_automaton()
+        return m if words else None
+
+    def hits(m, text: str, within: str, confidence: float) -> list[dict]:
+        found = ((end + 1 - n, end + 1, kind) for end, (n, kind) in m.iter_long(within)) if m else ()
+        return [_hit(text, s, e, kind, confidence) for s, e, kind in found if _bounded(text, s, e, kind in vocab.IDENTITY)]
 
     @F.pandas_udf(schema)
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = ahocorasick.Automaton()
-        for term, kind in shared.value.items():
-            machine.add_word(term, (term, kind))
-        if shared.value:
-            machine.make_automaton()
+    def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        exact = machine(shared.value)
+        others = machine(_folded_variants(shared.value, folded)) if variants else None
         for batch in batches:
-            out = []
-            for text in batch:
-                rows = []
-                for end, (term, kind) in machine.iter_long(text or "") if shared.value else ():
-                    s, e = end + 1 - len(term), end + 1
-                    if bounded(text, s, e, kind in vocab.IDENTITY):
-                        at = len(text[:s].encode())
-                        rows.append({"s": at, "e": at + len(term.encode()), "t": term, "type": kind, "confidence": 1.0})
-                out.append(rows)
-            yield pd.Series(out)
-
-    return docs.withColumn("terms", match.asNondeterministic()("text"))
+            texts = [t or "" for t in batch]
+            other = [[h for h in hits(others, t, t.translate(_ASCII_LOWER), VARIANT) if h["t"] not in shared.value] for t in texts]
+            yield pd.DataFrame({"terms": [hits(exact, t, t, 1.0) for t in texts], "variants": other})
+
+    return docs.withColumn("_m", match.asNondeterministic()("text")).select(*docs.columns, "_m.terms", "_m.variants")
+
+
+def _document_variants(texts: pd.Series, found: pd.Series) -> pd.Series:
+    def one(text, names) -> list[dict]:
+        words = _folded_variants({x["t"]: x["type"] for x in names if x["confidence"] >= CONFIDENT} if names is not None else {}, frozenset())
+        if not text or not words:
+            return []
+        folded = text.translate(_ASCII_LOWER)
+        pattern = re.compile(r"(?<![^\W])(?:" + "|".join(map(re.escape, sorted(words, key=lambda w: (-len(w), w)))) + r")(?![^\W])")
+        return [_hit(text, m.start(), m.end(), words[m[0]], VARIANT) for m in pattern.finditer(folded)]
+
+    return pd.Series([one(t, x) for t, x in zip(texts, found)])
+
+
+def with_document_variants(text: Column, found: Column) -> Column:
+    """The settled candidates of a text and, where they leave room, whole-token variants of the confident ones among them."""
+    more = F.pandas_udf(_document_variants, f"array<{CANDIDATE}>").asNondeterministic()(text, found)
+    return settle(more, protected(text), found)
 
 
 def should_alias(name: Column, entity_type: Column, confirmed: Column) -> Column:

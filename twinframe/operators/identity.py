@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,5 +73,18 @@ def confirm_concepts(identities: DataFrame, concepts: DataFrame) -> DataFrame:
     return free.withColumn("number", number).withColumn("alias", fn.format_alias(F.col("entity_type"), F.col("number"))).drop("wanted", "_t", "_n")
 
 
+def resolve(existing: DataFrame, alias: str, name: str, entity_type: str, scope: str = "file") -> DataFrame:
+    """The identities and one that a model invented, under the alias that it gave it, which must be well formed and not issued."""
+    match = re.match(fn.ALIAS, alias)
+    if not match:
+        raise ValueError(f"{alias} has not the shape of an alias")
+    if not existing.where(F.col("alias") == alias).isEmpty():
+        raise ValueError(f"{alias} is issued already")
+    cells = {"entity_type": entity_type, "real_name": name, "alias": alias}
+    row = existing.sparkSession.range(1).select(*(F.lit(v).alias(k) for k, v in cells.items()), F.lit(int(match[2])).cast("bigint").alias("number"))
+    row = row.withColumn("scope_path", scope_of(F.col("entity_type"), F.lit(scope))).withColumn("uuid", key_of(F.lit(scope), F.col("entity_type"), F.col("real_name")))
+    return existing.unionByName(row.select(*(c for c in row.columns if c in existing.columns)), allowMissingColumns=True)
+
+
 def type_counts(rows: DataFrame, column: str = "entity_type") -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))

@@ -37,15 +37,22 @@ def tokens_of(docs: DataFrame, id_column: str) -> DataFrame:
     return docs.select(id_column, F.explode(F.filter(F.split("text", "[^A-Za-z0-9_]+"), lambda t: t != "")).alias("token"))
 
 
+NOTES = "array<struct<line:int,kind:string,token:string,real_name:string>>"
+
+
 def restore_text(docs: DataFrame, identities: list[tuple[str, str]]) -> DataFrame:
-    """Adds restored and unresolved (array) to docs. ``identities`` is (alias, real_name), bounded by the caller and broadcast."""
+    """Adds restored, unresolved (array) and notes to docs. ``identities`` is (alias, real_name), bounded by the caller and broadcast.
+
+    Notes name, by line of the restored text, what a reader should look at: names that no exact alias gave (fuzzy), aliases of no
+    identity (unresolved) and markers of redacted secrets (redaction).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(identities)
 
     def canon(token: str) -> str:
         out = re.sub(r"([0-9])S$", r"\1", re.sub("[^A-Za-z0-9]", "", token).upper())
         return re.sub(r"(?<![0-9])0+(?=[0-9])", "", out)
 
-    @F.pandas_udf("restored string, unresolved array<string>")
+    @F.pandas_udf(f"restored string, unresolved array<string>, notes {NOTES}")
     def run(texts: pd.Series) -> pd.DataFrame:
         exact = dict(shared.value)
         fuzzy: dict[str, str | None] = {}
@@ -54,23 +61,32 @@ def restore_text(docs: DataFrame, identities: list[tuple[str, str]]) -> DataFram
             fuzzy[c] = name if fuzzy.get(c, name) == name else None
         inside = re.compile("|".join(sorted(map(re.escape, exact), key=lambda a: (-len(a), a)))) if exact else None
         shape = re.compile(fn.ALIAS)
+        affixes = sorted(vocab.AFFIXES, key=len, reverse=True)
+
+        def word(token: str) -> tuple[str, str | None]:
+            if token in exact:
+                return exact[token], None
+            stem = next((token[: -len(a)] for a in affixes if token.endswith(a)), "")
+            name = fuzzy.get(canon(token)) or exact.get(stem) or (fuzzy.get(canon(stem)) if stem else None)
+            if name:
+                return name, "fuzzy"
+            if shape.match(token):
+                return token, "unresolved"
+            return inside.sub(lambda x: exact[x[0]], token) if inside else token, None
 
         def one(text):
-            missing: list[str] = []
-
-            def swap(m: re.Match) -> str:
-                token = m[0]
-                stem = next((token[: -len(a)] for a in sorted(vocab.AFFIXES, key=len, reverse=True) if token.endswith(a)), "")
-                name = exact.get(token) or fuzzy.get(canon(token)) or exact.get(stem) or (fuzzy.get(canon(stem)) if stem else None)
-                if name:
-                    return name
-                if shape.match(token):
-                    missing.append(token)
-                    return token
-                return inside.sub(lambda x: exact[x[0]], token) if inside else token
-
-            return (None, []) if text is None else (re.sub("[A-Za-z0-9_]+", swap, text), missing)
-
-        return pd.DataFrame([one(t) for t in texts], columns=["restored", "unresolved"])
-
-    return docs.withColumn("_r", run("text")).select(*docs.columns, "_r.restored", "_r.unresolved")
+            if text is None:
+                return None, [], []
+            out, notes, line, at = [], [], 1, 0
+            for m in re.finditer(r"<<REDACTED:[^>\n]*>>|[A-Za-z0-9_]+", text):
+                new, kind = (m[0], "redaction") if m[0].startswith("<<") else word(m[0])
+                out += [text[at : m.start()], new]
+                line += text.count("\n", at, m.start())
+                if kind:
+                    notes.append({"line": line, "kind": kind, "token": m[0], "real_name": new if kind == "fuzzy" else None})
+                line, at = line + new.count("\n"), m.end()
+            return "".join(out) + text[at:], [x["token"] for x in notes if x["kind"] == "unresolved"], notes
+
+        return pd.DataFrame([one(t) for t in texts], columns=["restored", "unresolved", "notes"])
+
+    return docs.withColumn("_r", run("text")).select(*docs.columns, "_r.restored", "_r.unresolved", "_r.notes")

@@ -11,8 +11,8 @@ from twinframe.functions import spans, text as fn
 from twinframe.operators import detect, identity, redaction
 from twinframe.sources import structure
 
-#: Learned names go to the executors as one automaton; a larger dimension must be cut by scope first.
-MAX_TERMS = 2_000_000
+#: Learned names and their variants go to the executors as automata; a larger dimension must be cut by scope first.
+MAX_TERMS = 300_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def candidates(docs: DataFrame, terms: dict[str, str] | None = None) -> DataFram
     d = d.withColumn("parser", fn.format_of(F.coalesce("path", F.lit("")), F.col("text")))
     declared = F.transform(structure.declared("parser", "text"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["name"].alias("t"), x["type"].alias("type"), F.lit(1.0).alias("confidence")))
     d = d.withColumn("declared", declared)
-    return d.withColumn("found", detect.settle(F.concat("declared", detect.scan_text(F.col("text"), F.col("terms"))), detect.protected(F.col("text"))))
+    d = d.withColumn("found", detect.settle(F.concat("declared", detect.scan_text(F.col("text"), F.col("terms"), F.col("variants"))), detect.protected(F.col("text"))))
+    return d.withColumn("found", detect.with_document_variants(F.col("text"), F.col("found")))
 
 
 def identities(found: DataFrame, confirmed: dict[str, str] | None = None, existing: DataFrame | None = None) -> DataFrame:
@@ -76,15 +77,19 @@ def bytes_applied(text, edits):
     return F.concat(F.array_join(done["out"], ""), F.decode(F.substring(raw, done["at"] + 1, F.octet_length(text)), "UTF-8"))
 
 
-def export(docs: DataFrame, terms: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(twins, identities) of docs (doc_id, path, text). Two passes: a name learned in any document is found in every other."""
+def export(docs: DataFrame, terms: dict[str, str] | None = None, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(twins, identities) of docs (doc_id, path, text). Two passes: a name learned in any document is found in every other.
+
+    Identities issued before (``existing``) keep their aliases and are looked for as well.
+    """
     safe = cut(redacted(docs))
-    first = cut(identities(candidates(safe, terms), terms))
+    first = identities(candidates(safe, terms), terms, existing)
+    first = cut(first if existing is None else existing.unionByName(first.select(*existing.columns)))
     learned = {r.real_name: r.entity_type for r in first.select("real_name", "entity_type").limit(MAX_TERMS + 1).collect()}
     if len(learned) > MAX_TERMS:
         raise ValueError("too many names for one dictionary; export by scope")
     second = cut(candidates(safe, learned | (terms or {})))
-    known = first.unionByName(identities(second, terms, first))
+    known = first.unionByName(identities(second, terms, first).select(*first.columns))
     return twins(second, known), known
 
 

@@ -258,6 +258,27 @@ def dictionary_match(spark, sf_dir):
     return d.groupBy("doc_id", F.col("x.t").alias("term")).agg(F.count("*").alias("n"))
 
 
+TIERS = "concat('Plan_Tier of ', n_name, ', planTier; PLAN-TIERS planTierX xplan_tier ', repeat('plan.tier ', int(n_nationkey % 3)))"
+TIERS_SQL = "'Plan_Tier of ' || n_name || ', planTier; PLAN-TIERS planTierX xplan_tier ' || repeat('plan.tier ', n_nationkey % 3)"
+TIERS_FOUND = f"""WITH x AS (SELECT n_nationkey, unnest(regexp_split_to_array({TIERS_SQL}, '[ ,;]+')) AS name FROM nation)
+SELECT n_nationkey, name, count(*) AS n FROM x WHERE regexp_full_match(name, '(?i)plan[._-]?tiers?') GROUP BY ALL"""
+
+
+@query(TIERS_FOUND)
+def variant_match(spark, sf_dir):
+    d = t(spark, sf_dir, "nation").select("n_nationkey", F.expr(TIERS).alias("text"))
+    d = detect.dictionary_matches(d, {"PlanTier": "dto"}).select("n_nationkey", F.explode("variants").alias("x"))
+    return d.groupBy("n_nationkey", F.col("x.t").alias("name")).agg(F.count("*").alias("n"))
+
+
+@query(TIERS_FOUND)
+def doc_variants(spark, sf_dir):
+    d = t(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("PlanTier "), F.expr(TIERS)).alias("text"))
+    d = d.withColumn("found", detect.scan_text(F.col("text"))).withColumn("found", detect.with_document_variants(F.col("text"), F.col("found")))
+    d = d.select("n_nationkey", F.explode("found").alias("x")).where(F.col("x.confidence") == detect.VARIANT)
+    return d.groupBy("n_nationkey", F.col("x.t").alias("name")).agg(F.count("*").alias("n"))
+
+
 @query(f"""SELECT c_custkey, c_name AS real_name, {KIND} AS entity_type, {PREFIX} || '_' || CASE WHEN n < 100 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS alias
 FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey) AS n FROM customer)""")
 def alias_allocate(spark, sf_dir):
