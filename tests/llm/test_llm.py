@@ -354,6 +354,16 @@ def test_lm_scores_against_brute_force(spark):
         assert got[i].n_tokens == len(x) and got[i].log_score == pytest.approx(want, abs=1e-6)
 
 
+def test_lm_scores_with_all_bigrams(spark):
+    assert "HAVING" not in lm_scores.ALL_SQL and lm_scores.ALL_SQL != lm_scores.SQL
+    lists = [["a", "b", "c"], ["a", "b", "d"], ["once"]]
+    one, two = Counter(w for x in lists for w in x), Counter(p for x in lists for p in zip(x, x[1:]))
+    got = {r.doc_id: r for r in lm_scores.lm_scores(docs(spark, [" ".join(x) for x in lists]), least=1).collect()}
+    for i, x in enumerate(lists):
+        want = math.log(one[x[0]] / 7) + sum(math.log(two[p] / one[p[0]]) for p in zip(x, x[1:]))
+        assert got[i].n_tokens == len(x) and got[i].log_score == pytest.approx(want, abs=1e-9)
+
+
 def test_pipeline_stages(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]

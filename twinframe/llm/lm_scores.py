@@ -1,7 +1,7 @@
 """Stupid-backoff scores as joins of n-gram count tables, partitioned by hash, with the documents' n-grams.
 
 With c the counts over the corpus and N its tokens, a token w after v scores c(v w) / c(v) where the bigram table has v w, else
-0.4 c(w) / N; a document's first token scores c(w) / N. Bigrams of a single occurrence aren't kept in the table. In logarithms, a
+0.4 c(w) / N; a document's first token scores c(w) / N. The table holds the bigrams of at least ``least`` occurrences. In logarithms, a
 document's sum is that of log 0.4 c(w) / N over its tokens, plus, over its bigrams in the table, a gain that belongs to the bigram:
 log c(v w) / c(v) - log 0.4 c(w) / N. So both tables map an n-gram's hash to a number, are inner-joined to the exploded n-grams, and
 the numbers are summed per document.
@@ -102,8 +102,8 @@ def add_up(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.
     return v[order[first]], w[order[first]], np.add.reduceat(c[order], first)
 
 
-def bigrams(docs: DataFrame, hot, n_parts: int) -> DataFrame:
-    """k, v, w, c: the bigrams of two occurrences or more, with their hash. Tasks hand on packed counts, dealt by v, or by v and w where v is hot."""
+def bigrams(docs: DataFrame, hot, n_parts: int, least: int) -> DataFrame:
+    """k, v, w, c: the bigrams of ``least`` occurrences or more, with their hash. Tasks hand on packed counts, dealt by v, or by v and w where v is hot."""
 
     def count(batches):
         held: list[np.ndarray] = []
@@ -148,7 +148,7 @@ def bigrams(docs: DataFrame, hot, n_parts: int) -> DataFrame:
             v = np.concatenate([np.repeat(np.frombuffer(r[1], "u8"), np.frombuffer(r[2], "u4")) for r in rows])
             w, c = np.concatenate([np.frombuffer(r[3], "u8") for r in rows]), np.concatenate([np.frombuffer(r[4], "u4") for r in rows]).astype("i8")
             v, w, c = add_up(v, w, c)
-            keep = c > 1
+            keep = c >= least
             v, w = v[keep], w[keep]
             return pa.RecordBatch.from_arrays([_long(pair_hash(v, w)), _long(v), _long(w), pa.array(c[keep])], names=["k", "v", "w", "c"])
 
@@ -183,11 +183,11 @@ def by_part(keys: np.ndarray, n_parts: int):
         yield int(part[a]), order[a:b]
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
+def lm_scores(docs: DataFrame, least: int = 2) -> DataFrame:
     """doc_id, n_tokens, log_score (natural logarithm, summed over tokens), log_mean (per token).
 
     Null and empty texts have no tokens and score 0 for both. Every row is scored for itself, and counts for the corpus, also if it
-    repeats a doc_id or has none. An empty table gives an empty result.
+    repeats a doc_id or has none. An empty table gives an empty result. Bigrams of under ``least`` occurrences back off; 1 keeps all.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -195,16 +195,16 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     words = written(unigrams(docs), "unigrams")
     total = words.agg(F.sum("c")).first()[0] or 0
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_GRAMS))
-    least = max(2, math.ceil(HOT * total))
-    hot_words = spark.sparkContext.broadcast(_sorted_table(words.where(F.col("c") >= least), "h", "c"))
-    pairs = written(bigrams(docs, hot_words, n_parts), "bigrams")
+    hot_count = max(2, math.ceil(HOT * total))
+    hot_words = spark.sparkContext.broadcast(_sorted_table(words.where(F.col("c") >= hot_count), "h", "c"))
+    pairs = written(bigrams(docs, hot_words, n_parts, least), "bigrams")
     release(spark)
     back = math.log(BACKOFF) - math.log(max(total, 1))
     joined = pairs.join(words.select(F.col("h").alias("v"), F.col("c").alias("cv")), "v").join(words.select(F.col("h").alias("w"), F.col("c").alias("cw")), "w")
     gains = written(joined.select("k", "c", (F.log("c") - F.log("cv") - F.log("cw") - F.lit(back)).alias("x")), "gains")
     del joined
     release(spark, pairs)
-    hot_pairs = spark.sparkContext.broadcast(_sorted_table(gains.where(F.col("c") >= least), "k", "x"))
+    hot_pairs = spark.sparkContext.broadcast(_sorted_table(gains.where(F.col("c") >= hot_count), "k", "x"))
 
     def tables(batches):
         held, size = [], 0
@@ -306,15 +306,25 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         if rows:
             yield out()
 
-    counted = words.where(F.col("c") < least).select("h", (F.log("c") + F.lit(back)).alias("x")).mapInArrow(tables, ROWS)
-    gained = gains.where(F.col("c") < least).select("k", "x").mapInArrow(tables, ROWS)
+    counted = words.where(F.col("c") < hot_count).select("h", (F.log("c") + F.lit(back)).alias("x")).mapInArrow(tables, ROWS)
+    gained = gains.where(F.col("c") < hot_count).select("k", "x").mapInArrow(tables, ROWS)
     every = counted.unionAll(gained).unionAll(docs.mapInArrow(explode, ROWS))
     summed = every.repartition(n_parts, "p").sortWithinPartitions("p", "kind").mapInArrow(join, ROWS)
     return summed.repartition(n_parts, "batch").sortWithinPartitions("batch", "p").mapInArrow(total_up, "doc_id long, n_tokens long, log_score double, log_mean double")
 
 
+def _rounded(scores: DataFrame) -> DataFrame:
+    return scores.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("log_mean", 6).alias("log_mean"))
+
+
 def op10_lm_scores(spark, sf_dir):
-    return lm_scores(documents(spark, sf_dir)).select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("log_mean", 6).alias("log_mean"))
+    """By its SQL: bigrams of one occurrence back off."""
+    return _rounded(lm_scores(documents(spark, sf_dir)))
+
+
+def op10_lm_scores_all(spark, sf_dir):
+    """Every bigram with its true count."""
+    return _rounded(lm_scores(documents(spark, sf_dir), least=1))
 
 
 SQL = r"""
@@ -334,3 +344,4 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_tokens, round(coalesce(sum(s.x),
        round(coalesce(sum(s.x) / len(w.w), 0), 6) AS log_mean
 FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id, len(w.w)
 """
+ALL_SQL = SQL.replace(" HAVING count(*) > 1", "")

@@ -13,5 +13,6 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_licence_scans": licences.op9_licence_scans,
     "op10_lm_scores": lm_scores.op10_lm_scores,
+    "op10_lm_scores_all": lm_scores.op10_lm_scores_all,
 }
-SQL = {"op2_exact_dedup": exact_dedup.SQL, "op6_minhash_near_dedup": near_dedup.SQL, "op10_lm_scores": lm_scores.SQL}
+SQL = {"op2_exact_dedup": exact_dedup.SQL, "op6_minhash_near_dedup": near_dedup.SQL, "op10_lm_scores": lm_scores.SQL, "op10_lm_scores_all": lm_scores.ALL_SQL}
