@@ -7,6 +7,10 @@ from twinframe.llm import decontamination, exact_dedup, near_dedup, packing, tox
 from twinframe.llm.common import documents, prepare, table, written
 
 
+#: Similarity in hundredths from which the pipeline counts documents as near-duplicates; op6's own contract is 85.
+NEAR = 80
+
+
 def _without(docs, dropped):
     """The rows of docs whose doc_id isn't among those of ``dropped``."""
     gone = dropped.select(dropped["doc_id"].alias("_gone")).distinct()
@@ -25,7 +29,7 @@ def exact_dedup_filter(spark, docs, sf_dir):
 
 def near_dedup_filter(spark, docs, sf_dir):
     """Of each group of near-duplicates, the smallest doc_id stays."""
-    return _without(docs, near_dedup.near_groups(docs).where("NOT kept"))
+    return _without(docs, near_dedup.near_groups(docs, NEAR).where("NOT kept"))
 
 
 def decontamination_filter(spark, docs, sf_dir):

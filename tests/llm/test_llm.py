@@ -190,6 +190,22 @@ def test_large_bucket_is_cut_into_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_groups(texts)
 
 
+def test_near_stage_between_both_thresholds(spark):
+    rng = random.Random(11)
+    texts = []
+    for k in range(40):  # one changed word of n touches 5 shingles: a similarity of (n - 9) / (n + 1)
+        words = [f"d{k}w{rng.randrange(10**9)}" for _ in range((50, 60, 64, 80)[k % 4])]
+        texts += [" ".join(words), " ".join("new" if i == 20 else w for i, w in enumerate(words))]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    share = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(0.8 <= x < 0.85 for x in share) >= 20
+    table = docs(spark, texts)
+    stage = {r.doc_id for r in corpus_pipeline.near_dedup_filter(spark, table, None).collect()}
+    assert stage == {i for i in range(80) if i % 2 == 0 or share[i // 2] < 0.8}
+    assert {r.doc_id for r in near_dedup.near_groups(table).where("kept").collect()} == {i for i in range(80) if i % 2 == 0 or share[i // 2] < 0.85}
+    assert near_dedup.hashes_for(85) == 125 and near_dedup.hashes_for(80) == 185
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (40, 30), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}

@@ -27,11 +27,10 @@ from twinframe.llm.common import documents, prepare, written
 from twinframe.llm.components import components
 
 SHINGLE = 5
-#: Link when NUMBER * intersection >= THRESHOLD * union.
+#: Link when NUMBER * intersection >= threshold * union. THRESHOLD is the contract of op6.
 THRESHOLD, NUMBER = 85, 100
-#: A pair at the threshold shares no band with a probability of (1 - 0.85 ** 5) ** 25 = 4e-7.
-BANDS, ROWS = 25, 5
-HASHES = BANDS * ROWS
+#: There are so many bands that a pair at the threshold shares none with a probability of NO_BAND at most: 25 at 85, 37 at 80.
+ROWS, NO_BAND = 5, 4.4e-7
 BATCH, MISS = 25, 1e-9
 #: Members of a bucket that a chunk holds, on average.
 CHUNK = 256
@@ -45,12 +44,18 @@ CACHE_WORDS = 300_000
 _words: dict[bytes, int] = {}
 
 
-def _parameters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashes_for(threshold: int) -> int:
+    """Hash values of a signature: ROWS for each band."""
+    return ROWS * math.ceil(math.log(NO_BAND) / math.log(1 - (threshold / NUMBER) ** ROWS))
+
+
+@lru_cache
+def _parameters(hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
-    return rng.integers(0, 1 << 32, HASHES, "u4"), rng.integers(0, 1 << 31, HASHES, "u4") * 2 + 1, rng.integers(0, 1 << 63, SHINGLE, "u8") * 2 + 1
+    return rng.integers(0, 1 << 32, hashes, "u4"), rng.integers(0, 1 << 31, hashes, "u4") * 2 + 1, rng.integers(0, 1 << 63, SHINGLE, "u8") * 2 + 1
 
 
-XOR, FACTOR, PLACE = _parameters()
+PLACE = _parameters(hashes_for(THRESHOLD))[2]
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -75,42 +80,43 @@ def shingles(text: bytes | None) -> np.ndarray:
 
 
 def signature(found: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """The least value of each hash over the set. ``room`` is scratch space of HASHES rows, so that nothing large is allocated."""
-    out = np.full(HASHES, 0xFFFFFFFF, "u4")
+    """The least value of each hash over the set. ``room`` is scratch space of one row per hash, so that nothing large is allocated."""
+    xor, factor, _ = _parameters(len(room))
+    out = np.full(len(room), 0xFFFFFFFF, "u4")
     x = (found >> np.uint64(32)).astype("u4")
     for at in range(0, len(x), room.shape[1]):
         part = x[at : at + room.shape[1]]
         here = room[:, : len(part)]
-        np.bitwise_xor(part, XOR[:, None], out=here)
-        np.multiply(here, FACTOR[:, None], out=here)
+        np.bitwise_xor(part, xor[:, None], out=here)
+        np.multiply(here, factor[:, None], out=here)
         np.minimum(out, here.min(1), out=out)
     return out
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key per band; the band's number is mixed in."""
-    key = np.arange(1, BANDS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
-    for v in sig.reshape(BANDS, ROWS).T.astype("u8"):
+    key = np.arange(1, len(sig) // ROWS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+    for v in sig.reshape(-1, ROWS).T.astype("u8"):
         key = (key ^ v) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
     return key.view("i8")
 
 
 @lru_cache
-def least_matches() -> list[tuple[int, int]]:
+def least_matches(threshold: int) -> list[tuple[int, int]]:
     """(n, m): after n hash values a pair with under m equal ones has a chance below MISS of reaching the threshold."""
-    t = THRESHOLD / NUMBER
+    t = threshold / NUMBER
 
     def reach(n: int, m: int) -> float:  # P(similarity >= t) under Beta(m + 1, n - m + 1)
         return sum(math.comb(n + 1, j) * t**j * (1 - t) ** (n + 1 - j) for j in range(m + 1))
 
-    return [(n, next(m for m in range(n + 1) if reach(n, m) >= MISS)) for n in range(BATCH, HASHES + 1, BATCH)]
+    return [(n, next(m for m in range(n + 1) if reach(n, m) >= MISS)) for n in range(BATCH, hashes_for(threshold) + 1, BATCH)]
 
 
-def survives(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def survives(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
     """Of rows of two signature matrices: which pairs no batch drops. Dropped pairs take no part in later batches."""
     alive, equal, at = np.arange(len(a)), np.zeros(len(a), int), 0
-    for n, m in least_matches():
+    for n, m in least_matches(threshold):
         equal[alive] += (a[alive, at:n] == b[alive, at:n]).sum(1)
         alive, at = alive[equal[alive] >= m], n
     out = np.zeros(len(a), bool)
@@ -118,11 +124,11 @@ def survives(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, threshold: int) -> DataFrame:
     """doc_id, n_shingles, digest (128 bits of the set; null if empty), signature, keys."""
 
     def sign(batches):
-        room = np.empty((HASHES, 512), "u4")
+        room = np.empty((hashes_for(threshold), 512), "u4")
         for batch in batches:
             n, digest, sig, keys = [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -158,25 +164,25 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """The pairs a, b (distinct) that are links, on their full sets."""
 
     def prune(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u4").reshape(-1, HASHES) for c in ("sa", "sb"))
-            keep = pa.array(survives(a, b))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u4").reshape(-1, hashes_for(threshold)) for c in ("sa", "sb"))
+            keep = pa.array(survives(a, b, threshold))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     sig = reps.select("node", "signature", "n_shingles")
     two = pairs.join(sig.select(F.col("node").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb")), "b")
     two = two.join(sig.select(F.col("node").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na")), "a")
-    two = two.where(NUMBER * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
+    two = two.where(NUMBER * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     left = written(two.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long").distinct(), "survivors")
     full = sets_of(docs, left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     full = written(full, "sets")
     both = left.join(full.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b").join(full.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a")
     common = F.size(F.array_intersect("fa", "fb"))
-    return written(both.where(NUMBER * common >= THRESHOLD * (F.size("fa") + F.size("fb") - common)).select("a", "b").distinct(), "links")
+    return written(both.where(NUMBER * common >= threshold * (F.size("fa") + F.size("fb") - common)).select("a", "b").distinct(), "links")
 
 
 def blocks_of(placed: DataFrame) -> DataFrame:
@@ -200,7 +206,7 @@ def blocks_of(placed: DataFrame) -> DataFrame:
     return d.select("key", F.explode(block).alias("block"), "node", "component")
 
 
-def across(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def across(placed: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """Links a, b between different components of the same bucket: enough of them to join all that are linked.
 
     Blocks hold the low 32 bits of the shingles' hashes, in which no common shingle is missed; what looks like a link there is verified
@@ -223,7 +229,7 @@ def across(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
             if len(rows) < 2:
                 return out
             nodes, comps = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-            sigs = np.frombuffer(b"".join(r[4] for r in rows), "u4").reshape(-1, HASHES)
+            sigs = np.frombuffer(b"".join(r[4] for r in rows), "u4").reshape(len(rows), -1)
             keys = np.array([band_keys(x) for x in sigs])
             found = [np.frombuffer(r[5], "u4") for r in rows]
             sizes = np.array([len(f) for f in found])
@@ -237,16 +243,16 @@ def across(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
             for i in range(len(rows) - 1):
                 j = i + 1 + np.flatnonzero(comps[i + 1 :] != comps[i])
-                j = j[NUMBER * np.minimum(sizes[j], sizes[i]) >= THRESHOLD * np.maximum(sizes[j], sizes[i])]
+                j = j[NUMBER * np.minimum(sizes[j], sizes[i]) >= threshold * np.maximum(sizes[j], sizes[i])]
                 j = j[~(keys[j, :band] == keys[i, :band]).any(1)]  # a pair is compared in the first band that it shares
-                j = j[survives(sigs[j], np.broadcast_to(sigs[i], (len(j), HASHES)))]
+                j = j[survives(sigs[j], np.broadcast_to(sigs[i], (len(j), sigs.shape[1])), threshold)]
                 for k in j.tolist():
                     if top(comps[i].item()) != top(comps[k].item()):
                         common = (found[k][np.minimum(np.searchsorted(found[k], found[i]), sizes[k] - 1)] == found[i]).sum()
                         union = sizes[i] + sizes[k] - common
-                        if NUMBER * common >= THRESHOLD * union:
+                        if NUMBER * common >= threshold * union:
                             out.append((nodes[i].item(), nodes[k].item()))
-                            if NUMBER * (common - SLACK) >= THRESHOLD * (union + SLACK):
+                            if NUMBER * (common - SLACK) >= threshold * (union + SLACK):
                                 root[top(comps[i].item())] = top(comps[k].item())
             return out
 
@@ -262,32 +268,32 @@ def across(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
         yield _pairs(links(rows))
 
     seen = full_rows.select("key", "block", "node", "component", "signature", "found").mapInArrow(search, "a long, b long")
-    return verified(written(seen.distinct(), "seen"), reps, docs)
+    return verified(written(seen.distinct(), "seen"), reps, docs, threshold)
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([min(r) for r in rows], pa.int64()), pa.array([max(r) for r in rows], pa.int64())], names=["a", "b"])
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept.
+def near_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, at a similarity of ``threshold`` hundredths or more.
 
     Null, empty and white-space-only texts have no shingles and are linked with nothing, and so are rows of null doc_id, whose
     component_id is null and which stay. Rows that repeat a doc_id count as one document that has the links of each. An empty table
     gives an empty result.
     """
     prepare(docs.sparkSession)
-    every = written(signed(docs), "signed")
+    every = written(signed(docs, threshold), "signed")
     some = every.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     reps = written(some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n_shingles", "signature", "keys"), "doc_id").alias("x")).select("node", "digest", "x.*"), "reps")
     bands = reps.select("node", F.explode("keys").alias("key"))
     crowded = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").select("key", "first")
     buckets = written(bands.join(crowded, "key").select("key", "node", "first"), "buckets")
     stars = buckets.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(stars, reps, docs)
+    links = verified(stars, reps, docs, threshold)
     found = written(components(links), "components")
     placed = buckets.join(found, "node", "left").select("key", "node", "first", F.coalesce("component", "node").alias("component"))
-    more = across(written(placed, "placed"), reps, docs)
+    more = across(written(placed, "placed"), reps, docs, threshold)
     if not more.isEmpty():
         found = written(components(links.unionAll(more)), "components")
     of = reps.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
