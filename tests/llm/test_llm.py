@@ -228,6 +228,16 @@ def test_overlaps(spark):
     assert decontamination.overlaps(table, bench.limit(0)).count() == 0
 
 
+def test_overlaps_of_scattered_substitutions_and_short_items(spark):
+    item = [f"w{i}" for i in range(15)]
+    changed = lambda places, n=15: " ".join("other" if i in places else w for i, w in enumerate(item[:n]))
+    texts = ["x y " + changed({4, 9}) + " z", changed({4, 8, 12}), changed({2, 4, 8, 10, 12}), "x " + changed({4}, 10), "q " + changed({3}, 6), "the red fox ran", "the red dog ran"]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(item[:10])), (2, " ".join(item[:6])), (3, "Red fox"), (4, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.n_equal) for r in decontamination.overlaps(docs(spark, texts), bench).collect()}
+    assert got[0, 0] == (7, 10, 9) and got[1, 0] == (0, 12, 10) and (2, 0) not in got and got[3, 1] == (1, 10, 9) and got[4, 2] == (1, 6, 5)
+    assert got[5, 3] == (1, 2, 2) and (6, 3) not in got and not any(i == 4 for _, i in got)
+
+
 def test_overlaps_join_without_broadcast(spark, monkeypatch):
     bench = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
     table = docs(spark, ["x y " + " ".join(f"w{i}" for i in range(20)), "none"])

@@ -2,8 +2,9 @@
 
 A seed is a hash of five words at the places that a fixed mask keeps; words at the other places may differ. Seeds of the benchmark
 items are joined to seeds of the documents at every word position. A hit fixes an alignment of item and document, and the words on
-that alignment are compared one by one: the best segment, where an equal word counts 1 and a substituted one -4, has a similarity
-of at least 0.8. An overlap counts from ten equal words, or all words of a shorter item.
+that alignment are compared one by one. An overlap is a segment of ten words or more, or of the item's length if that is less, with
+at least 0.8 of its words equal: where an equal word counts 1 and a substituted one -4, its score is 0 or more. Items of under six
+words have no such seeds; a seed of all their words finds them as they are.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 
 from twinframe.llm.common import documents, prepare, table, text_of
 
-#: Places that the masks keep. Each keeps five words; the first is the shortest, so items of under six words have no seeds.
+#: Places that the masks keep. Each keeps five words; the first is the shortest, so items of under six words have none of these seeds.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7))
 SPAN = 6
-MIN_EQUAL = 10
+MIN_WORDS = 10
 PENALTY = 4
 #: Up to so many benchmark seeds (some 40 bytes each) are broadcast; more are joined by shuffling both sides.
 BROADCAST_SEEDS = 500_000
@@ -27,55 +28,76 @@ def words(column: Column) -> Column:
     return F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def seeds(rows: DataFrame, id_column: str) -> DataFrame:
-    """id, words, place, seed: one row per mask and word position at which the mask fits."""
-    places = F.when(F.size("words") >= SPAN, F.sequence(F.lit(0), F.size("words") - SPAN)).otherwise(F.array().cast("array<int>"))
+def seeds(rows: DataFrame, id_column: str, short: list[int], whole: bool = False) -> DataFrame:
+    """id, words, place, seed: one row per mask and word position at which the mask fits.
+
+    ``short`` has the lengths of items of under SPAN words, each a mask of its own; with ``whole``, of texts of that length only.
+    """
+    span = min([SPAN, *short])
+    places = F.when(F.size("words") >= span, F.sequence(F.lit(0), F.size("words") - span)).otherwise(F.array().cast("array<int>"))
     at = rows.select(id_column, "words", F.explode(places).alias("place"))
 
-    def seed(k: int) -> Column:
-        h = F.xxhash64(F.lit(k), *(F.get(F.col("words"), F.col("place") + p) for p in MASKS[k]))
-        return h if MASKS[k][-1] < SPAN else F.when(F.col("place") + MASKS[k][-1] < F.size("words"), h)
+    def seed(k: int, mask: tuple[int, ...]) -> Column:
+        h = F.xxhash64(F.lit(k), *(F.get(F.col("words"), F.col("place") + p) for p in mask))
+        if k < 0 and whole:
+            return F.when(F.size("words") == len(mask), h)
+        return h if mask[-1] < span else F.when(F.col("place") + mask[-1] < F.size("words"), h)
 
-    return at.select(id_column, "words", "place", F.explode(F.array(*map(seed, range(len(MASKS))))).alias("seed")).where(F.col("seed").isNotNull())
+    every = [seed(k, mask) for k, mask in enumerate(MASKS)] + [seed(-n, tuple(range(n))) for n in short]
+    return at.select(id_column, "words", "place", F.explode(F.array(*every)).alias("seed")).where(F.col("seed").isNotNull())
 
 
-def best_segment(a: Column, b: Column) -> Column:
-    """struct<equal, first, last> of the segment of two aligned word arrays with the highest score, its first place and its last."""
-    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & x.isNotNull())
-    start = F.struct(*(F.lit(v).alias(n) for n, v in (("at", 0), ("score", 0), ("equal", 0), ("from", 0), ("top", 0), ("top_equal", 0), ("first", 0), ("last", -1))))
+def best_segment(a: Column, b: Column, least: Column) -> Column:
+    """struct<equal, first, last> of the segment of at least ``least`` words of two aligned word arrays with the highest score, its first
+    place and its last; last is -1 if none has a score of 0 or more.
 
-    def step(s, eq):
-        fresh = s["score"] <= 0
-        score = F.when(fresh, 0).otherwise(s["score"]) + F.when(eq, 1).otherwise(-PENALTY)
-        equal = F.when(fresh, 0).otherwise(s["equal"]) + F.when(eq, 1).otherwise(0)
-        begun = F.when(fresh, s["at"]).otherwise(s["from"])
-        better = score > s["top"]
+    ``sum`` is the score of all words so far, ``back`` that of all but the last ``least``, and ``low`` the least of those: the best
+    start for a segment that ends here.
+    """
+    both = F.least(F.size(a), F.size(b))  # a segment lies within the item and the text
+    same = F.zip_with(F.slice(a, F.lit(1), both), F.slice(b, F.lit(1), both), lambda x, y: x == y)
+    names = (("at", 0), ("sum", 0), ("all", 0), ("back", 0), ("back_all", 0), ("low", 0), ("low_all", 0), ("from", 0), ("top", -1), ("equal", 0), ("first", 0), ("last", -1))
+    start = F.struct(*(F.lit(v).alias(n) for n, v in names))
+    pairs = F.zip_with(same, F.concat(F.array_repeat(F.lit(None).cast("boolean"), least), F.slice(same, F.lit(1), F.greatest(F.size(same) - least, F.lit(0)))), lambda x, y: F.struct(x.alias("now"), y.alias("then")))
+
+    def step(s, p):
+        score = lambda eq: F.when(eq, 1).otherwise(-PENALTY)
+        gone = p["then"].isNotNull()
+        back = s["back"] + F.when(gone, score(p["then"])).otherwise(0)
+        back_all = s["back_all"] + F.when(gone & p["then"], 1).otherwise(0)
+        lower = gone & (back <= s["low"])
+        low, low_all, begun = (F.when(lower, x).otherwise(s[n]) for x, n in ((back, "low"), (back_all, "low_all"), (s["at"] + 1 - least, "from")))
+        total, equal = s["sum"] + score(p["now"]), s["all"] + F.when(p["now"], 1).otherwise(0)
+        better = (s["at"] + 1 >= least) & (total - low > s["top"])
         return F.struct(
-            (s["at"] + 1).alias("at"), score.alias("score"), equal.alias("equal"), begun.alias("from"),
-            F.when(better, score).otherwise(s["top"]).alias("top"), F.when(better, equal).otherwise(s["top_equal"]).alias("top_equal"),
+            (s["at"] + 1).alias("at"), total.alias("sum"), equal.alias("all"), back.alias("back"), back_all.alias("back_all"),
+            low.alias("low"), low_all.alias("low_all"), begun.alias("from"),
+            F.when(better, total - low).otherwise(s["top"]).alias("top"), F.when(better, equal - low_all).otherwise(s["equal"]).alias("equal"),
             F.when(better, begun).otherwise(s["first"]).alias("first"), F.when(better, s["at"]).otherwise(s["last"]).alias("last"),
         )
 
-    return F.aggregate(same, start, step, lambda s: F.struct(s["top_equal"].alias("equal"), s["first"], s["last"]))
+    # zip_with pads the shorter array, so pairs are cut to the aligned words.
+    return F.aggregate(F.slice(pairs, F.lit(1), F.size(same)), start, step, lambda s: F.struct(s["equal"], s["first"], s["last"]))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, n_words, n_equal: the best overlap of each document and benchmark item that have one.
 
-    start is the overlap's first word in the document, n_words its length. Null or empty texts, and items of under six words, have
-    none; a null doc_id or item_id is carried like any other value. Of equally good overlaps the first is given. Rows that repeat an
+    start is the overlap's first word in the document, n_words its length. Null or empty texts have none; a null doc_id or item_id is carried like any other value. Of equally good overlaps the first is given. Rows that repeat an
     id are searched each for itself and reported once. Empty tables give an empty result.
     """
     prepare(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(text_of()).alias("words"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(text_of()).alias("words"))
     shift = (F.col("place") - F.col("item_place")).alias("shift")
-    theirs = seeds(items, "item_id").select("seed", "item_id", F.col("place").alias("item_place"), F.col("words").alias("item_words"))
-    n = benchmark.agg(F.sum(F.length("text") / 2)).first()[0] or 0  # a word and its gap have two characters at least
-    if n * len(MASKS) <= BROADCAST_SEEDS:
-        hits = seeds(docs, "doc_id").join(F.broadcast(theirs), "seed").select("doc_id", "item_id", "item_words", shift, "words")
+    # A word and its gap have two characters at least; of lengths under SPAN there are a few.
+    size = F.size(words(text_of()))
+    n, short = benchmark.agg(F.sum(F.length("text") / 2), F.sort_array(F.collect_set(F.when((size > 0) & (size < SPAN), size)))).first()
+    theirs = seeds(items, "item_id", short, whole=True).select("seed", "item_id", F.col("place").alias("item_place"), F.col("words").alias("item_words"))
+    if (n or 0) * len(MASKS) <= BROADCAST_SEEDS:
+        hits = seeds(docs, "doc_id", short).join(F.broadcast(theirs), "seed").select("doc_id", "item_id", "item_words", shift, "words")
     else:  # words don't travel with seeds; they rejoin the distinct alignments
-        hits = seeds(docs, "doc_id").drop("words").join(theirs.drop("item_words"), "seed").select("doc_id", "item_id", shift).distinct()
+        hits = seeds(docs, "doc_id", short).drop("words").join(theirs.drop("item_words"), "seed").select("doc_id", "item_id", shift).distinct()
         hits = hits.join(docs, hits["doc_id"].eqNullSafe(docs["doc_id"])).drop(docs["doc_id"])
         items = items.withColumnRenamed("words", "item_words")
         hits = hits.join(items, hits["item_id"].eqNullSafe(items["item_id"])).drop(items["item_id"])
@@ -84,8 +106,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = hits.select("doc_id", "item_id", "shift", part, F.array_join("item_words", " ").alias("item"))
     # An alignment's many seeds give one row. Its words are aggregates, not keys, so that Catalyst leaves the comparison above the join.
     aligned = hits.groupBy("doc_id", "item_id", "shift", F.xxhash64("part", "item").alias("version")).agg(F.first("part").alias("part"), F.split(F.first("item"), " ").alias("item"))
-    both = aligned.select("doc_id", "item_id", "shift", skip.alias("skip"), F.size("item").alias("item_size"), best_segment(F.slice("item", skip + 1, F.size("item")), F.split("part", " ")).alias("x"))
-    good = both.where(F.col("x.equal") >= F.least(F.lit(MIN_EQUAL), F.col("item_size")))
+    both = aligned.select("doc_id", "item_id", "shift", skip.alias("skip"), F.size("item").alias("item_size"), best_segment(F.slice("item", skip + 1, F.size("item")), F.split("part", " "), F.least(F.lit(MIN_WORDS), F.size("item"))).alias("x"))
+    good = both.where("x.last >= 0")
     first = (F.col("shift") + F.col("skip") + F.col("x.first")).cast("long")
     found = good.select("doc_id", "item_id", F.struct(F.col("x.equal").cast("long").alias("n_equal"), (-first).alias("back"), (F.col("x.last") - F.col("x.first") + 1).cast("long").alias("n_words")).alias("o"))
     best = found.groupBy("doc_id", "item_id").agg(F.max("o").alias("o"))
