@@ -367,27 +367,34 @@ def test_licences(spark):
         assert sorted(index.match(licences.words(text))) == sorted((n, s) for n, s in dice.items() if s == best >= 0.8)
 
 
-def test_lm_scores_against_brute_force(spark):
-    rng = random.Random(9)
-    texts = [" ".join(rng.choice("abcdeFG") for _ in range(rng.randrange(0, 40))) for _ in range(60)] + [None, LONG, LONG]
-    lists = [(t or "").lower().split() for t in texts]
-    one = Counter(w for x in lists for w in x)
-    two = Counter(p for x in lists for p in zip(x, x[1:]))
-    n = sum(one.values())
-    got = {r.doc_id: r for r in lm_scores.lm_scores(docs(spark, texts)).collect()}
-    for i, x in enumerate(lists):
-        want = sum(math.log(one[w] / n) if k == 0 else math.log(two[x[k - 1], w] / one[x[k - 1]]) if two[x[k - 1], w] > 1 else math.log(0.4 * one[w] / n) for k, w in enumerate(x))
-        assert got[i].n_tokens == len(x) and got[i].log_score == pytest.approx(want, abs=1e-6)
+def brute_lm(lists, corpus, order):
+    counts = Counter(tuple(x[i : i + k]) for x in corpus for k in range(1, order + 1) for i in range(len(x) - k + 1))
+    n = sum(map(len, corpus))
+
+    def score(history, w):
+        if not history:
+            return max(counts[w,], 0.4) / max(n, 1)
+        c = counts[*history, w]
+        return c / counts[history] if c else 0.4 * score(history[1:], w)
 
+    return [sum(math.log(score(tuple(x[max(0, i - order + 1) : i]), w)) for i, w in enumerate(x)) for x in lists]
 
-def test_lm_scores_with_all_bigrams(spark):
-    assert "HAVING" not in lm_scores.ALL_SQL and lm_scores.ALL_SQL != lm_scores.SQL
-    lists = [["a", "b", "c"], ["a", "b", "d"], ["once"]]
-    one, two = Counter(w for x in lists for w in x), Counter(p for x in lists for p in zip(x, x[1:]))
-    got = {r.doc_id: r for r in lm_scores.lm_scores(docs(spark, [" ".join(x) for x in lists]), least=1).collect()}
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("own", [True, False])
+def test_lm_scores_against_brute_force(spark, monkeypatch, order, own):
+    monkeypatch.setattr(lm_scores, "BATCH_WORDS", 500)
+    monkeypatch.setattr(lm_scores, "PART_BYTES", 2_000)
+    monkeypatch.setattr(lm_scores, "MAX_TASKS", 3)
+    rng = random.Random(9)
+    make = lambda n: [" ".join(rng.choice("abcdeFG") for _ in range(rng.randrange(0, 40))) for _ in range(n)]
+    texts, other = make(60) + [None, LONG, LONG, "zz a zz"], make(20) + [None, "", "q"]
+    lists = [(t or "").lower().split() for t in texts]
+    want = brute_lm(lists, lists if own else [(t or "").lower().split() for t in other], order)
+    got = {r.doc_id: r for r in lm_scores.lm_scores(docs(spark, texts), None if own else docs(spark, other), order).collect()}
     for i, x in enumerate(lists):
-        want = math.log(one[x[0]] / 7) + sum(math.log(two[p] / one[p[0]]) for p in zip(x, x[1:]))
-        assert got[i].n_tokens == len(x) and got[i].log_score == pytest.approx(want, abs=1e-9)
+        assert got[i].n_tokens == len(x) and got[i].log_score == pytest.approx(want[i], abs=1e-6, rel=1e-9)
+        assert got[i].log_mean == pytest.approx(want[i] / len(x) if x else 0, abs=1e-9, rel=1e-9)
 
 
 def test_pipeline_stages(spark, sf_dir):

@@ -1,35 +1,36 @@
-"""Stupid-backoff scores as joins of n-gram count tables, partitioned by hash, with the documents' n-grams.
+"""Stupid-backoff scores: n-gram count tables, partitioned by hash, joined to the exploded n-grams and summed per document.
 
-With c the counts over the corpus and N its tokens, a token w after v scores c(v w) / c(v) where the bigram table has v w, else
-0.4 c(w) / N; a document's first token scores c(w) / N. The table holds the bigrams of at least ``least`` occurrences. In logarithms, a
-document's sum is that of log 0.4 c(w) / N over its tokens, plus, over its bigrams in the table, a gain that belongs to the bigram:
-log c(v w) / c(v) - log 0.4 c(w) / N. So both tables map an n-gram's hash to a number, are inner-joined to the exploded n-grams, and
-the numbers are summed per document.
+With c the counts over the corpus, a token w after the words u v scores c(u v w) / c(u v) where the corpus has u v w, else 0.4 times what
+it scores after v alone, and at last c(w) / N; N is the count of the empty n-gram. Every n-gram of every order counts, however rare.
 
-N-grams are exploded into packed rows: one per batch of documents and hash partition, with the hashes and the documents they are
-in. A word or bigram of at least HOT of the corpus is resolved by broadcast before the shuffle (there are at most 1 / HOT of each), so no
-partition gets a hot key. Batches are numbered by task and order, the same in a retry.
+Texts are exploded in batches. Of each batch, every distinct n-gram goes once, as its 64-bit hash with the batch's count, to the hash
+partition that owns it, so a frequent n-gram costs as many entries as there are batches, never one per occurrence. A partition adds the
+counts up to its part of the tables, joins them to the batches' n-grams, and answers each batch with the counts in ascending order of
+hash. The batch's own words travel along, as numbers; with the answers, each token is scored and each document summed.
+
+An entry of a shuffle holds all that one batch and one partition exchange. Batches are numbered by task and order, the same in a retry of a
+table scan.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import documents, prepare, release, written
+from twinframe.llm.common import documents, prepare
 
 BACKOFF = 0.4
-#: Words and bigrams with at least this share of the tokens are broadcast: at most 1 / HOT of each, 16 bytes each.
-HOT = 1e-6
-#: N-grams per hash partition, and what a task holds before it hands its counts on: bigrams in arrays, words in a dictionary.
-PART_GRAMS, HELD, HELD_WORDS = 2_000_000, 1_000_000, 300_000
+#: Words and documents of a batch, and bytes of text whose n-grams a hash partition owns, on average.
+BATCH_WORDS, BATCH_DOCS, PART_BYTES = 1_000_000, 100_000, 24_000_000
+#: Spark tasks of a shuffle at most; a task takes its hash partitions one after another.
+MAX_TASKS = 20_000
 CACHE_WORDS = 200_000
 
 _words: dict[bytes, int] = {}
@@ -52,249 +53,151 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys are in a sorted table, and where."""
-    if not len(table):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), int)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return table[at] == keys, at
+def grams(one: np.ndarray, place: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(positions, hashes) of the n-grams of each order from 1 that end at a position; place is a word's place in its document."""
+    out = [(np.arange(len(one)), one)]
+    full = one
+    for k in range(2, order + 1):
+        full = np.r_[full[:0], np.zeros(min(1, len(full)), "u8"), pair_hash(full[:-1], one[1:])]
+        at = np.flatnonzero(place >= k - 1)
+        out.append((at, full[at]))
+    return out
 
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view("i8") if x.dtype == np.uint64 else x.astype("i8"))
+def token_scores(counts: list[np.ndarray], place: np.ndarray, total: int) -> np.ndarray:
+    """The logarithm of each token's score. counts[k] is the count of the (k + 1)-gram that ends at a position.
 
+    A word that the corpus lacks counts as 0.4 of an occurrence.
+    """
+    score = np.log(np.maximum(counts[0], BACKOFF)) - math.log(max(total, 1))
+    for k in range(1, len(counts)):
+        known = counts[k] > 0
+        before = np.r_[np.ones(min(1, len(score))), counts[k - 1][:-1]]
+        hit = np.log(np.maximum(counts[k], 1)) - np.log(np.maximum(before, 1))
+        score = np.where(known, hit, np.where(place >= k, score + math.log(BACKOFF), score))
+    return score
 
-def unigrams(docs: DataFrame) -> DataFrame:
-    """h, c: the words' hashes and counts, pre-aggregated in each task."""
 
-    def count(batches):
-        held: Counter = Counter()
+ROWS = "p long, kind int, batch long, a binary, b binary, c binary"
+_ROWS = pa.schema([("p", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+#: Kinds of rows: a batch's words; n-grams that are counted and asked for, only counted, only asked for; answers.
+WORDS, BOTH, COUNT, ASK, ANSWER = range(5)
 
-        def out():
-            keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in held), "u8", len(held))
-            return pa.RecordBatch.from_arrays([_long(keys), pa.array(held.values(), pa.int64())], names=["h", "c"])
 
-        for batch in batches:
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                held.update((text or b"").lower().split())
-                if len(held) > HELD_WORDS:
-                    yield out()
-                    held.clear()
-        yield out()
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _ROWS)], schema=_ROWS)
 
-    return docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
+def _press(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
-def _sorted_table(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """A bounded table on the driver, sorted by unsigned key."""
-    pdf = df.select(key, value).toPandas()
-    keys = pdf[key].to_numpy("i8").view("u8")
-    order = np.argsort(keys)
-    return keys[order], pdf[value].to_numpy("f8")[order]
 
+def _unpress(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
-def add_up(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct bigrams, each with the sum of its counts."""
-    k = pair_hash(v, w)
-    order = np.argsort(k)
-    k = k[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return v[order[first]], w[order[first]], np.add.reduceat(c[order], first)
 
+def _split_keys(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending keys as their low 48 bits, which don't compress, and their high 16, which do."""
+    four = keys.astype("<u8").view("<u2").reshape(-1, 4)
+    return four[:, :3].tobytes(), _press(four[:, 3])
 
-def bigrams(docs: DataFrame, hot, n_parts: int, least: int) -> DataFrame:
-    """k, v, w, c: the bigrams of ``least`` occurrences or more, with their hash. Tasks hand on packed counts, dealt by v, or by v and w where v is hot."""
 
-    def count(batches):
-        held: list[np.ndarray] = []
+def _join_keys(low: bytes, high: bytes) -> np.ndarray:
+    top = _unpress(high, "<u2")
+    return np.hstack([np.frombuffer(low, "<u2").reshape(-1, 3), top[:, None]]).view("<u8").ravel()
 
-        def merged():
-            return add_up(*(np.concatenate(x) for x in zip(*held)))
 
-        def out():
-            v, w, c = merged()
-            part = np.where(find(hot.value[0], v)[0], pair_hash(v, w), v * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)) % np.uint64(n_parts)
-            order = np.lexsort((v, part))
-            v, w, c, part = v[order], w[order], c[order], part[order]
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() + [len(part)]
-            rows = []
-            for a, b in zip(cuts, cuts[1:]):  # v is sorted: each value once, with the length of its run
-                starts = np.flatnonzero(np.r_[True, v[a + 1 : b] != v[a : b - 1]])
-                runs = np.diff(np.r_[starts, b - a]).astype("u4")
-                rows.append((int(part[a]), v[a:b][starts].tobytes(), runs.tobytes(), w[a:b].tobytes(), c[a:b].astype("u4").tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], names=["p", "v", "runs", "w", "c"])
-
-        size = 0
-        for batch in batches:
-            texts = [word_hashes(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            v, w = (np.concatenate([h[a:b] for h in texts if len(h) > 1] or [np.empty(0, "u8")]) for a, b in ((None, -1), (1, None)))
-            if len(v):
-                held.append((v, w, np.ones(len(v), "i8")))
-                size += len(v)
-            if size > 2 * HELD:
-                held[:] = [merged()]
-                size = len(held[0][0])
-                if size > HELD:
-                    yield out()
-                    held.clear()
-                    size = 0
-        if held:
-            yield out()
+def exploded(docs: DataFrame, order: int, n_parts: int, kind: int) -> DataFrame:
+    """The rows of each batch of docs: its n-grams by hash partition and, unless they are only counted, its words."""
 
-    def gather(batches):
-        now, rows = None, []
+    def run(batches):
+        task = TaskContext.get().partitionId() << 32
+        number, size, texts, ids = 0, 0, [], []
 
         def out():
-            v = np.concatenate([np.repeat(np.frombuffer(r[1], "u8"), np.frombuffer(r[2], "u4")) for r in rows])
-            w, c = np.concatenate([np.frombuffer(r[3], "u8") for r in rows]), np.concatenate([np.frombuffer(r[4], "u4") for r in rows]).astype("i8")
-            v, w, c = add_up(v, w, c)
-            keep = c >= least
-            v, w = v[keep], w[keep]
-            return pa.RecordBatch.from_arrays([_long(pair_hash(v, w)), _long(v), _long(w), pa.array(c[keep])], names=["k", "v", "w", "c"])
+            batch, lens = task + number, np.array([len(t) for t in texts], "i8")
+            one = np.concatenate([*texts, np.empty(0, "u8")])
+            place = np.arange(len(one)) - np.repeat(np.cumsum(lens) - lens, lens)
+            keys, runs = np.unique(np.concatenate([h for _, h in grams(one, place, order)]), return_counts=True)
+            keys, runs = np.r_[np.zeros(1, "u8"), keys], np.r_[len(one), runs]  # 0: the empty n-gram
+            part = (keys >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(keys)]
+            rows = [(int(part[a]), kind, batch, *_split_keys(keys[a:b]), _press(runs[a:b])) for a, b in zip(cuts, cuts[1:])]
+            if kind != COUNT:
+                words, at = np.unique(one, return_inverse=True)
+                nulls = np.array([d is None for d in ids], "u1")
+                about = np.array([d or 0 for d in ids], "i8").tobytes() + lens.tobytes() + nulls.tobytes()
+                rows.append((number % n_parts, WORDS, batch, words.tobytes(), _press(at.astype("u4")), about))
+            return _rows(rows)
 
         for batch in batches:
-            for row in zip(*(x.to_pylist() for x in batch.columns)):
-                if row[0] != now:
-                    if rows:
-                        yield out()
-                    now, rows = row[0], []
-                rows.append(row)
-        if rows:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                found = word_hashes(text)
+                if ids and (size + len(found) > BATCH_WORDS or len(ids) >= BATCH_DOCS):
+                    yield out()
+                    number, size, texts, ids = number + 1, 0, [], []
+                texts.append(found)
+                ids.append(doc)
+                size += len(found)
+        if ids:
             yield out()
 
-    packed = docs.select("text").mapInArrow(count, "p long, v binary, runs binary, w binary, c binary")
-    return packed.repartition(n_parts, "p").sortWithinPartitions("p").mapInArrow(gather, "k long, v long, w long, c long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROWS)
 
 
-ROWS = "p long, kind int, batch long, keys binary, nums binary, docs binary"
-_ROWS = pa.schema([("p", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("nums", pa.binary()), ("docs", pa.binary())])
+def _answered(batches):
+    """Adds up the counts of a hash partition and joins them to the n-grams that are asked for; words pass through."""
+    now, rows = None, []
 
+    def out():
+        keys = [_join_keys(r[3], r[4]) for r in rows]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        runs = np.concatenate([np.zeros(len(k)) if r[1] == ASK else _unpress(r[5], "<i8") for r, k in zip(rows, keys)])
+        counts = np.bincount(at, runs)[at].astype("<i8")
+        ends = np.cumsum([len(k) for k in keys]).tolist()
+        return _rows([(r[0], ANSWER, r[2], _press(counts[a:b]), None, None) for r, a, b in zip(rows, [0, *ends], ends) if r[1] != COUNT])
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _ROWS)], schema=_ROWS)
-
-
-def by_part(keys: np.ndarray, n_parts: int):
-    """(partition, positions of its keys in ascending order of key) for each partition that has keys. Partitions are key ranges."""
-    order = np.argsort(keys)
-    part = (keys[order] >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
-    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() + [len(keys)] if len(keys) else [0]
-    for a, b in zip(cuts, cuts[1:]):
-        yield int(part[a]), order[a:b]
-
-
-def lm_scores(docs: DataFrame, least: int = 2) -> DataFrame:
-    """doc_id, n_tokens, log_score (natural logarithm, summed over tokens), log_mean (per token).
-
-    Null and empty texts have no tokens and score 0 for both. Every row is scored for itself, and counts for the corpus, also if it
-    repeats a doc_id or has none. An empty table gives an empty result. Bigrams of under ``least`` occurrences back off; 1 keeps all.
-    """
-    spark = docs.sparkSession
-    prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = written(unigrams(docs), "unigrams")
-    total = words.agg(F.sum("c")).first()[0] or 0
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_GRAMS))
-    hot_count = max(2, math.ceil(HOT * total))
-    hot_words = spark.sparkContext.broadcast(_sorted_table(words.where(F.col("c") >= hot_count), "h", "c"))
-    pairs = written(bigrams(docs, hot_words, n_parts, least), "bigrams")
-    release(spark)
-    back = math.log(BACKOFF) - math.log(max(total, 1))
-    joined = pairs.join(words.select(F.col("h").alias("v"), F.col("c").alias("cv")), "v").join(words.select(F.col("h").alias("w"), F.col("c").alias("cw")), "w")
-    gains = written(joined.select("k", "c", (F.log("c") - F.log("cv") - F.log("cw") - F.lit(back)).alias("x")), "gains")
-    del joined
-    release(spark, pairs)
-    hot_pairs = spark.sparkContext.broadcast(_sorted_table(gains.where(F.col("c") >= hot_count), "k", "x"))
-
-    def tables(batches):
-        held, size = [], 0
-
-        def out():
-            keys, x = (np.concatenate(c) for c in zip(*held))
-            return _rows([(p, 0, 0, keys[at].tobytes(), x[at].tobytes(), None) for p, at in by_part(keys, n_parts)])
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[1] == WORDS:
+                yield _rows([row])
+                continue
+            if row[0] != now:
+                if rows:
+                    yield out()
+                now, rows = row[0], []
+            rows.append(row)
+    if rows:
+        yield out()
 
-        for batch in batches:
-            held.append((batch.column(0).to_numpy().view("u8").copy(), batch.column(1).to_numpy().copy()))
-            size += batch.num_rows
-            if size > HELD:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
 
-    def explode(batches):
-        task = TaskContext.get().partitionId() << 32
-        wk, wc = hot_words.value
-        wx, (pk, px) = np.log(wc) + back, hot_pairs.value
-        number, texts, ids = 0, [], []
+SCORES = "doc_id long, n_tokens long, log_score double, log_mean double"
 
-        def out():
-            n = len(texts)
-            sums = np.array([-math.log(BACKOFF) if len(h) else 0.0 for h in texts])
-            rows = []
-            one, doc = np.concatenate([*texts, np.empty(0, "u8")]), np.repeat(np.arange(n), [len(h) for h in texts])
-            same = doc[1:] == doc[:-1]
-            two, doc2 = pair_hash(one[:-1][same], one[1:][same]), doc[1:][same]
-            for keys, of, (table, x) in ((one, doc, (wk, wx)), (two, doc2, (pk, px))):
-                hit, at = find(table, keys)
-                sums += np.bincount(of[hit], x[at[hit]], n)
-                keys, of = keys[~hit], of[~hit]
-                for p, at in by_part(keys, n_parts):
-                    own = keys[at]
-                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    rows.append((p, 1, task + number, own[first].tobytes(), np.diff(np.r_[first, len(own)]).astype("u4").tobytes(), of[at].astype("u2").tobytes()))
-            nulls = np.array([d is None for d in ids], "u1")
-            rows.append((-1 - (number % n_parts), 2, task + number, np.array([d or 0 for d in ids], "i8").tobytes() + nulls.tobytes(), sums.tobytes(), np.array([len(h) for h in texts], "i8").tobytes()))
-            return _rows(rows)
 
-        size = 0
-        for batch in batches:
-            found = [word_hashes(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            if ids and (size > HELD or len(ids) + len(found) > 65_536):
-                yield out()
-                number, texts, ids, size = number + 1, [], [], 0
-            texts += found
-            ids += batch.column("doc_id").to_pylist()
-            size += sum(map(len, found))
-        if ids:
-            yield out()
-
-    def join(batches):
-        now, keys, x = None, [], []
-        for batch in batches:
-            out = []
-            for p, kind, b, k, v, d in zip(*(c.to_pylist() for c in batch.columns)):
-                if p != now:
-                    now, keys, x, ready = p, [], [], False
-                if kind == 0:
-                    keys.append(np.frombuffer(k, "u8"))
-                    x.append(np.frombuffer(v, "f8"))
-                elif kind == 2:
-                    out.append((p, 2, b, k, v, d))
-                elif keys:
-                    if not ready:
-                        keys, x, ready = [np.concatenate(keys)], [np.concatenate(x)], True
-                        order = np.argsort(keys[0])
-                        keys, x = [keys[0][order]], [x[0][order]]
-                    hit, at = find(keys[0], np.frombuffer(k, "u8"))
-                    runs = np.frombuffer(v, "u4")
-                    of, inverse = np.unique(np.frombuffer(d, "u2")[np.repeat(hit, runs)], return_inverse=True)
-                    if len(of):
-                        out.append((p, 1, b, None, np.bincount(inverse, np.repeat(x[0][at[hit]], runs[hit])).tobytes(), of.tobytes()))
-            yield _rows(out)
-
-    def total_up(batches):
+def _scored(order: int):
+    def run(batches):
         now, rows = None, []
 
         def out():
-            k, v, d = next(r[3:] for r in rows if r[1] == 2)
-            sums, n = np.frombuffer(v, "f8").copy(), np.frombuffer(d, "i8")
-            for r in rows:
-                if r[1] == 1:
-                    sums[np.frombuffer(r[5], "u2")] += np.frombuffer(r[4], "f8")
-            ids, nulls = np.frombuffer(k[: 8 * len(n)], "i8"), np.frombuffer(k[8 * len(n) :], "u1").astype(bool)
-            mean = np.divide(sums, n, out=np.zeros(len(n)), where=n > 0)
-            return pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(n), pa.array(sums), pa.array(mean)], names=["doc_id", "n_tokens", "log_score", "log_mean"])
+            words, at, about = rows[0][3:]
+            n = len(about) // 17
+            ids, lens, nulls = np.frombuffer(about, "i8", n), np.frombuffer(about, "i8", n, 8 * n), np.frombuffer(about, "u1", n, 16 * n)
+            one = np.frombuffer(words, "u8")[_unpress(at, "<u4")]
+            place = np.arange(len(one)) - np.repeat(np.cumsum(lens) - lens, lens)
+            found = grams(one, place, order)
+            answers = np.concatenate([_unpress(r[3], "<i8") for r in rows[1:]])
+            keys, back = np.unique(np.concatenate([h for _, h in found]), return_inverse=True)
+            if rows[0][1] != WORDS or len(answers) != len(keys) + 1:
+                raise ValueError("a batch of texts came out otherwise in a retry: score a stored table")
+            each, counts, begun = answers[1:][back], [], 0
+            for positions, h in found:
+                full = np.zeros(len(one), "i8")
+                full[positions] = each[begun : begun + len(h)]
+                counts.append(full)
+                begun += len(h)
+            sums = np.bincount(np.repeat(np.arange(n), lens), token_scores(counts, place, int(answers[0])), n).astype("f8")
+            mean = np.divide(sums, lens, out=np.zeros(n), where=lens > 0)
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls.astype(bool)), pa.array(lens), pa.array(sums), pa.array(mean)], names=["doc_id", "n_tokens", "log_score", "log_mean"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -306,25 +209,34 @@ def lm_scores(docs: DataFrame, least: int = 2) -> DataFrame:
         if rows:
             yield out()
 
-    counted = words.where(F.col("c") < hot_count).select("h", (F.log("c") + F.lit(back)).alias("x")).mapInArrow(tables, ROWS)
-    gained = gains.where(F.col("c") < hot_count).select("k", "x").mapInArrow(tables, ROWS)
-    every = counted.unionAll(gained).unionAll(docs.mapInArrow(explode, ROWS))
-    summed = every.repartition(n_parts, "p").sortWithinPartitions("p", "kind").mapInArrow(join, ROWS)
-    return summed.repartition(n_parts, "batch").sortWithinPartitions("batch", "p").mapInArrow(total_up, "doc_id long, n_tokens long, log_score double, log_mean double")
+    return run
 
 
-def _rounded(scores: DataFrame) -> DataFrame:
-    return scores.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("log_mean", 6).alias("log_mean"))
-
+def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = 2) -> DataFrame:
+    """doc_id, n_tokens, log_score (natural logarithm, summed over tokens), log_mean (per token).
 
-def op10_lm_scores(spark, sf_dir):
-    """By its SQL: bigrams of one occurrence back off."""
-    return _rounded(lm_scores(documents(spark, sf_dir)))
+    Counts are those of ``corpus`` (a table with ``text``), or of docs themselves; there nothing backs off but by a word that begins a
+    document. Null and empty texts have no tokens and score 0 for both. Every row is scored for itself, and counts for the corpus, also
+    if it repeats a doc_id or has none. An empty table gives an empty result; with an empty corpus all words are unknown.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    own = corpus is None
+    texts = docs.select("text") if own else docs.select("text").unionAll(corpus.select("text"))
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
+    tasks = min(n_parts, MAX_TASKS)
+    rows = exploded(docs, order, n_parts, BOTH if own else ASK)
+    if not own:
+        rows = rows.unionAll(exploded(corpus.select(F.lit(None).alias("doc_id"), "text"), order, n_parts, COUNT))
+    counted = rows.repartitionById(tasks, F.expr(f"int(p % {tasks})")).sortWithinPartitions("p", "kind", "batch").mapInArrow(_answered, ROWS)
+    slot = F.expr(f"int(((batch >> 32) + (batch & 4294967295)) % {tasks})")
+    return counted.repartitionById(tasks, slot).sortWithinPartitions("batch", "kind", "p").mapInArrow(_scored(order), SCORES)
 
 
-def op10_lm_scores_all(spark, sf_dir):
-    """Every bigram with its true count."""
-    return _rounded(lm_scores(documents(spark, sf_dir), least=1))
+def op10_lm_scores(spark, sf_dir):
+    scores = lm_scores(documents(spark, sf_dir))
+    return scores.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("log_mean", 6).alias("log_mean"))
 
 
 SQL = r"""
@@ -335,7 +247,7 @@ WITH w AS (
 t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM w),
 p AS (SELECT t.*, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM t),
 one AS (SELECT w, count(*) AS c FROM t GROUP BY w),
-two AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) > 1),
+two AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w),
 n AS (SELECT count(*) AS n FROM t),
 s AS (
   SELECT p.doc_id, CASE WHEN p.v IS NULL THEN ln(b.c / n.n) WHEN two.c IS NOT NULL THEN ln(two.c / a.c) ELSE ln(0.4 * b.c / n.n) END AS x
@@ -344,4 +256,3 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_tokens, round(coalesce(sum(s.x),
        round(coalesce(sum(s.x) / len(w.w), 0), 6) AS log_mean
 FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id, len(w.w)
 """
-ALL_SQL = SQL.replace(" HAVING count(*) > 1", "")
