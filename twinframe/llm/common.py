@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -31,11 +32,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A URI in the folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A URI in the folder that the cluster names in ``spark.checkpoint.dir``. Only a local session may do without: it gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="twinframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _local[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="twinframe-")
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(root)
     root = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
@@ -44,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_local: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -102,6 +105,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -127,7 +127,7 @@ def exploded(docs: DataFrame, order: int, n_parts: int, kind: int) -> DataFrame:
                 words, at = np.unique(one, return_inverse=True)
                 nulls = np.array([d is None for d in ids], "u1")
                 about = np.array([d or 0 for d in ids], "i8").tobytes() + lens.tobytes() + nulls.tobytes()
-                rows.append((number % n_parts, WORDS, batch, words.tobytes(), _press(at.astype("u4")), about))
+                rows.append((((task >> 32) + number) % n_parts, WORDS, batch, words.tobytes(), _press(at.astype("u4")), about))
             return _rows(rows)
 
         for batch in batches:

@@ -70,17 +70,18 @@ def scan(paths: DataFrame, end_id: int, width: int, block_tokens: int = BLOCK_TO
     step = F.lit(block_tokens)
     starts = F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step.cast("long"))).otherwise(F.array().cast("array<long>"))
     blocks = files.select("path", "n", F.explode(starts).alias("first")).select("path", (F.col("first") / block_tokens).cast("long").alias("block"), "first", F.least(step, F.col("n") - F.col("first")).cast("long").alias("size"))
-    summary = blocks.repartition("path", "block").mapInArrow(search, "path string, block long, stop long, ends array<long>")
+    summary = written(blocks.repartition("path", "block").mapInArrow(search, "path string, block long, stop long, ends array<long>"), "separators")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max("block").over(Window.partitionBy("path"))
-    stitched = summary.select(
+    # The prefix scan takes two numbers a block, not its separators.
+    scanned = summary.select("path", "block", F.size("ends").alias("n"), F.array_max("ends").alias("last")).select(
         "path",
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).cast("long").alias("base"),
-        F.coalesce(F.max(F.array_max("ends")).over(before) + 1, F.lit(0)).cast("long").alias("open"),
-        "ends",
+        "block",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"),
+        F.coalesce(F.max("last").over(before) + 1, F.lit(0)).cast("long").alias("open"),
         (F.col("block") == last).alias("final"),
-        "stop",
     )
+    stitched = summary.join(scanned, ["path", "block"])
     froms = F.concat(F.array("open"), F.transform("ends", lambda e: e + 1))
     tos = F.concat(F.col("ends"), F.when(F.col("final") & (F.element_at(froms, -1) < F.col("stop")), F.array("stop")).otherwise(F.array().cast("array<long>")))
     rows = stitched.select("path", "base", "ends", F.posexplode(F.arrays_zip(froms.alias("a"), tos.alias("b"))).alias("k", "x"))

@@ -26,22 +26,33 @@ MAGIC = b"TFZ1"
 INDEX = np.dtype([("doc_id", "<i8"), ("n_tokens", "<u8"), ("offset", "<u8"), ("null", "u1")])
 TAIL = "<QQ4s"
 TAIL_BYTES = struct.calcsize(TAIL)
-#: The dictionary is trained on the ids of so many documents, those of smallest hash of doc_id, so many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 512, 16_384, 64 * 1024
+#: The dictionary is trained on at most so many documents, those of smallest hash of doc_id, and so many bytes of ids of each.
+SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1_024, 32 * 1024, 64 * 1024
 #: Documents per file.
 FILE_DOCS = 20_000
+#: Files whose places are summed up in one task; only the sums of such bands of files meet in one.
+BAND_FILES = 4_096
 LEVEL = 3
 
 
 def train(docs: DataFrame, tokenizer: str) -> bytes:
-    """A zstandard dictionary over serialized id arrays of a bounded sample; empty where there is too little to train on."""
-    ids = [r.doc_id for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()]
-    rows = docs.where(F.col("doc_id").isin([d for d in ids if d is not None])).select(F.substring(text_of(), 1, SAMPLE_CHARS).alias("text"), "doc_id")
-    texts = [r.text.encode() for r in rows.orderBy("doc_id", "text").limit(SAMPLE_DOCS).collect()]
-    arrays = [x for x in tokens.encoder(tokenizer).encode(texts) if len(x) >= 8]
-    if sum(map(len, arrays)) < 100 * 1024 or len(arrays) < 10:
-        return b""
-    return zstandard.train_dictionary(DICT_BYTES, arrays, level=LEVEL).as_bytes()
+    """A zstandard dictionary over serialized id arrays of a bounded sample. What is too little to train on is the dictionary itself."""
+
+    def encode(batches):
+        enc = tokens.encoder(tokenizer)
+        for batch in batches:
+            ids = [x[:SAMPLE_BYTES] for x in enc.encode(batch.column("text").cast(pa.binary()).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    least = [r.doc_id for r in rows.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()]
+    known = F.col("doc_id").isin([d for d in least if d is not None])
+    chosen = rows.where(known | F.col("doc_id").isNull() if None in least else known).mapInArrow(encode, "doc_id long, ids binary")
+    arrays = [bytes(r.ids) for r in chosen.orderBy("doc_id", "ids").limit(SAMPLE_DOCS).collect()]
+    try:
+        return zstandard.train_dictionary(min(DICT_BYTES, max(256, sum(map(len, arrays)) // 8)), [x for x in arrays if len(x) >= 8], level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(arrays)[:DICT_BYTES]
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -73,7 +84,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int, files
         for batch in batches:
             ids = [x + end for x in enc.encode(batch.column("text").cast(pa.binary()).to_pylist())]
             doc = batch.column("doc_id")
-            no = [0 if d is None else int(np.searchsorted(bounds, float(d), "right")) for d in doc.to_pylist()]
+            no = np.searchsorted(bounds, doc.cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(), "right")
             yield pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), doc, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([press.compress(x) for x in ids], pa.binary())], names=["file_no", "doc_id", "n_tokens", "frame"])
 
     def write(batches):
@@ -136,8 +147,11 @@ def read_index(f, dictionary: bytes) -> np.ndarray:
 def read_files(manifest: DataFrame, dictionary: bytes) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the files, from the files alone."""
     spark = manifest.sparkSession
-    base = F.coalesce(F.sum("n_tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.withColumn("base", base.cast("long")).select("path", "base")
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    grouped = manifest.withColumn("band", F.floor(F.col("file_no") / BAND_FILES))
+    bands = grouped.groupBy("band").agg(F.sum("n_tokens").alias("n_tokens")).select("band", before(Window.orderBy("band")).alias("start"))
+    inside = grouped.select("band", "path", before(Window.partitionBy("band").orderBy("file_no")).alias("base"))
+    files = inside.join(bands, "band").select("path", (F.col("base") + F.col("start")).alias("base"))
 
     def scan(batches):
         press = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))

@@ -1,15 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The examples are a bounded sample of the labelled rows. Their terms are those whose document frequency differs between toxic and
-clean examples (chi-squared). The index cuts the examples into blocks; each term has its postings per block and its largest weight per
-block, so the sum over a query's terms bounds every cosine in a block. Blocks are scored in falling order of that bound until it is
-under the k-th best cosine found, so the k nearest are exact. Their votes, weighted by closeness, are calibrated by isotonic regression
-on leave-one-out votes of the examples. A text without any of the terms takes the rate of the examples that have none.
+The examples are a bounded sample of the labelled rows; every term of theirs is indexed. A term's weight is (1 + log tf) idf, times the
+chi-squared of its document frequency between toxic and clean examples, so that terms which tell nothing hardly count; none is left out.
+The index cuts the examples into blocks; each term has its postings per block and its largest weight per block, so the sum over a query's
+terms bounds every cosine in a block. The blocks of highest bound are scored first, then all whose bound reaches the k-th best cosine
+found, so the k nearest are exact. Their votes, weighted by closeness, are calibrated by isotonic regression on leave-one-out votes of
+the examples, shrunk towards the vote itself where toxic examples are few. A text without any of the terms takes the rate of the examples that have none.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -19,16 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from twinframe.llm.common import documents, prepare, table, written
+from twinframe.llm.common import documents, fresh, prepare, table
 
 #: Labelled rows that the index holds at most: those of smallest hash of doc_id.
 MAX_EXAMPLES = 6_000
-MAX_TERMS, MIN_CHI2, MIN_DF = 1_024, 30.0, 3
-NEAREST, BLOCK, THRESHOLD = 15, 64, 0.3
+#: Neighbours, examples of a block, blocks that are scored first, and the score from which a text is predicted toxic.
+NEAREST, BLOCK, FIRST, THRESHOLD = 15, 64, 4, 0.3
+#: Added to each chi-squared, so that the terms of an uninformative sample still weigh.
+FLOOR = 1e-3
+#: Toxic examples from which the calibrated vote outweighs the vote itself: with few, the fit follows chance.
+PRIOR = 300
 STEM = 5
 WORD = r"[^\W_]+"
-#: Query vectors whose result a worker keeps.
-CACHE = 100_000
 
 
 def words(text: bytes | None) -> list[str]:
@@ -37,58 +39,82 @@ def words(text: bytes | None) -> list[str]:
     return found + [w[:STEM] + "~" for w in found if len(w) > STEM]
 
 
-class Index:
-    """Examples as unit vectors over ``terms``: ids, labels and, by term, postings cut into blocks of examples."""
-
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]]):
-        self.idf = idf
-        empty = [label for _, label, tf in examples if not tf]
-        self.empty_rate = (sum(empty) + 0.1) / (len(empty) + 1) if examples else 0.0
-        held = [(doc, label, self.vector(tf)) for doc, label, tf in examples if tf]
-        self.ids = np.array([h[0] for h in held], "i8")
-        self.labels = np.array([h[1] for h in held], "f8")
-        self.n_blocks = -(-len(held) // BLOCK)
-        self.postings: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-        self.most: dict[str, np.ndarray] = {}
-        lists: dict[str, list[tuple[int, float]]] = {}
-        for k, (_, _, v) in enumerate(held):
-            for t, w in v.items():
-                lists.setdefault(t, []).append((k, w))
-        for t, entries in lists.items():
-            self.most[t] = np.zeros(self.n_blocks)
-            self.postings[t] = {}
-            at, weight = np.array([e[0] for e in entries]), np.array([e[1] for e in entries])
-            for b in np.unique(at // BLOCK).tolist():
-                here = at // BLOCK == b
-                self.postings[t][b] = (at[here] % BLOCK, weight[here])
-                self.most[t][b] = weight[here].max()
-        self.steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        if len(held):
-            votes = np.array([self.vote(self.nearest(v, skip=k)) for k, (_, _, v) in enumerate(held)])
-            self.steps = isotonic(votes, self.labels)
+def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges one after another, and the range that each is of."""
+    size = stop - start
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + np.repeat(start - np.cumsum(size) + size, size), of
 
-    def vector(self, tf: dict[str, int]) -> dict[str, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(tf.items())}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()}
 
-    def nearest(self, query: dict[str, float], skip: int = -1, k: int = NEAREST) -> list[tuple[float, int]]:
+class Index:
+    """Examples as unit vectors over all their terms: ids, labels and, by term and block, postings and largest weights."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, terms: list[str], example: np.ndarray, term: np.ndarray, tf: np.ndarray):
+        """``example``, ``term`` and ``tf`` are parallel: which example has which term how often. Examples are numbered as in ``ids``."""
+        self.ids, self.labels = ids, labels.astype("f8")
+        self.terms = terms
+        self.numbers: dict[str, int] | None = None
+        n, toxic = len(ids), self.labels.sum()
+        bare = np.ones(n, bool)
+        bare[example] = False
+        self.empty_rate = float((self.labels[bare].sum() + 0.1) / (bare.sum() + 1)) if n else 0.0
+        df, a = np.bincount(term, minlength=len(terms)), np.bincount(term, self.labels[example], len(terms))
+        spread = df * (n - df) * toxic * (n - toxic)
+        chi2 = np.divide(n * (a * n - df * toxic) ** 2, spread, out=np.zeros(len(terms)), where=spread > 0)
+        self.factor = (np.log((1 + n) / (1 + df)) + 1) * (chi2 + FLOOR)
+        weight = (1 + np.log(tf)) * self.factor[term]
+        weight /= np.sqrt(np.bincount(example, weight**2, n))[example]
+        order = np.lexsort((example, term))
+        given = term
+        self.example, self.weight, term = example[order].astype("i4"), weight[order].astype("f4"), term[order]
+        block = self.example // BLOCK
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.empty(0, int)
+        self.n_blocks = -(-n // BLOCK)
+        self.block = block[first]
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0, "f4")
+        self.postings = np.r_[first, len(term)]
+        self.entries = np.searchsorted(term[first], np.arange(len(terms) + 1))
+        self.steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        if n > bare.sum():
+            back = np.argsort(example, kind="stable")
+            cuts = np.searchsorted(example[back], np.arange(n + 1))
+            own = [back[a:b] for a, b in zip(cuts, cuts[1:])]
+            held = np.flatnonzero(~bare).tolist()
+            votes = np.array([self.vote(self.nearest(*self.vector(given[own[k]], tf[own[k]]), skip=k)) for k in held])
+            self.steps = isotonic(votes, self.labels[held])
+
+    def vector(self, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct term numbers and their weights, of length 1."""
+        w = (1 + np.log(tf)) * self.factor[term]
+        return term, w / np.sqrt((w * w).sum())
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, skip: int = -1, k: int = NEAREST) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine over 0; ties go to the earlier example."""
-        terms = [(t, w) for t, w in query.items() if t in self.most]
-        if not terms:
-            return []
-        bound = sum(w * self.most[t] for t, w in terms)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in terms:
-                if hit := self.postings[t].get(b):
-                    score[hit[0]] += w * hit[1]
-            found = [(-round(float(score[i]), 12), b * BLOCK + i) for i in np.flatnonzero(score > 0).tolist() if b * BLOCK + i != skip]
-            best = sorted(best + found)[:k]
-        return [(-s, i) for s, i in best]
+        entry, of = ranges(self.entries[term], self.entries[term + 1])
+        block, q = self.block[entry], weight[of]
+        bound = np.bincount(block, q * self.most[entry], self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        score = np.zeros(len(self.ids))
+        done = np.zeros(self.n_blocks, bool)
+
+        def add(blocks: np.ndarray) -> None:
+            done[blocks] = True
+            chosen = np.zeros(self.n_blocks, bool)
+            chosen[blocks] = True
+            here = chosen[block]
+            at, e = ranges(self.postings[entry[here]], self.postings[entry[here] + 1])
+            np.add(score, np.bincount(self.example[at], q[here][e] * self.weight[at], len(score)), out=score)
+            if skip >= 0:
+                score[skip] = 0
+
+        add(order[:FIRST])
+        least = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        add(np.flatnonzero((bound > 0) & (bound >= least - 1e-6) & ~done))
+        top = np.flatnonzero(score > 0)
+        if len(top) > k:
+            top = top[score[top] >= np.partition(score[top], -k)[-k]]
+        top = top[np.lexsort((top, -score[top]))][:k]
+        return list(zip(score[top].tolist(), top.tolist()))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         if not near:
@@ -96,11 +122,15 @@ class Index:
         weights = [1 / (1.05 - min(s, 1.0)) for s, _ in near]
         return float(sum(w * self.labels[i] for w, (_, i) in zip(weights, near)) / sum(weights))
 
-    def score(self, tf: dict[str, int]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(self.vector(tf)) if tf else []
+    def score(self, text: bytes | None) -> tuple[float, list[tuple[float, int]]]:
+        if self.numbers is None:
+            self.numbers = {t: k for k, t in enumerate(self.terms)}
+        known = [(self.numbers[w], n) for w, n in Counter(words(text)).items() if w in self.numbers]
+        near = self.nearest(*self.vector(*np.array(sorted(known)).T)) if known else []
         if not near:
             return self.empty_rate, near
-        return float(np.interp(self.vote(near), *self.steps)), near
+        vote, toxic = self.vote(near), self.labels.sum()
+        return float((toxic * np.interp(vote, *self.steps) + PRIOR * vote) / (toxic + PRIOR)), near
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,53 +151,43 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
-    """The index over the rows of ``labels`` (doc_id, toxic) that aren't held out. Rows with null doc_id or toxic are no examples."""
-    spark = docs.sparkSession
+    """The index over the rows of ``labels`` (doc_id, toxic) that aren't held out. Rows with null doc_id or toxic are no examples.
+
+    Of rows that repeat a doc_id one is the example, so the driver gets ``max_examples`` texts' terms at most.
+    """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     rows = rows.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)  # at most max_examples rows of 16 bytes are broadcast
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    known = known.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
 
     def count(batches):
         for batch in batches:
-            rows = [(d, y, w, n) for d, y, t in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()) for w, n in [(None, 0), *Counter(words(t)).items()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.string(), pa.int32()))], names=["doc_id", "toxic", "word", "n"])
-
-    counts = written(known.mapInArrow(count, "doc_id long, toxic int, word string, n int"), "counts")
-    size, toxic = counts.where("word IS NULL").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    a, df = F.col("a").cast("double"), F.col("df").cast("double")
-    n, p = F.lit(float(size)), F.lit(float(toxic))
-    chi2 = n * F.pow(a * n - df * p, F.lit(2.0)) / (df * (n - df) * p * (n - p))
-    terms = counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("df")).where(f"df >= {MIN_DF} AND df < {size}")
-    terms = terms.withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "word").limit(MAX_TERMS) if 0 < toxic < size else terms.limit(0)
-    idf = {r.word: math.log((1 + size) / (1 + r.df)) + 1 for r in terms.collect()}
-    chosen = counts.where(F.col("word").isNull() | F.col("word").isin(list(idf))) if idf else counts.where("word IS NULL")
-    examples: dict[int, tuple[int, dict[str, int]]] = {}
-    for r in chosen.collect():
-        own = examples.setdefault(r.doc_id, (r.toxic, {}))[1]
-        if r.word is not None:
-            own[r.word] = own.get(r.word, 0) + r.n
-    return Index(idf, [(d, y, tf) for d, (y, tf) in sorted(examples.items())])
+            tf = [Counter(words(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            terms, n = pa.array([list(c) for c in tf], pa.list_(pa.string())), pa.array([list(c.values()) for c in tf], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), terms, n], names=["doc_id", "toxic", "terms", "n"])
+
+    got = known.mapInArrow(count, "doc_id long, toxic int, terms array<string>, n array<long>").toArrow().sort_by("doc_id").combine_chunks()
+    lists = got.column("terms").combine_chunks()
+    codes = lists.flatten().dictionary_encode() if len(got) else pa.array([], pa.string()).dictionary_encode()
+    sizes = lists.value_lengths().to_numpy() if len(got) else np.empty(0, int)
+    tf = got.column("n").combine_chunks().flatten().to_numpy() if len(got) else np.empty(0, int)
+    return Index(got.column("doc_id").to_numpy(), got.column("toxic").to_numpy(), codes.dictionary.to_pylist(), np.repeat(np.arange(len(got)), sizes), codes.indices.to_numpy(), tf)
 
 
 def scored(docs: DataFrame, index: Index, score: str = "score", evidence: str | None = "evidence") -> DataFrame:
     """Adds the score and, if named, the evidence (array of struct<doc_id, label, cosine> of the nearest examples) to docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_EXAMPLES and MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_EXAMPLES
 
     def run(batches):
-        model, cache = shared.value, {}
+        model = shared.value
         for batch in batches:
             scores, why = [], []
             for t in batch.column("text").cast(pa.binary()).to_pylist():
-                tf = Counter(w for w in words(t) if w in model.idf)
-                key = frozenset(tf.items())
-                if key not in cache:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    s, near = model.score(tf)
-                    cache[key] = s, [{"doc_id": int(model.ids[i]), "label": int(model.labels[i]), "cosine": c} for c, i in near]
-                scores.append(cache[key][0])
-                why.append(cache[key][1])
+                s, near = model.score(t)
+                scores.append(s)
+                if evidence:
+                    why.append([{"doc_id": int(model.ids[i]), "label": int(model.labels[i]), "cosine": c} for c, i in near])
             arrays = [*batch.columns, pa.array(scores, pa.float64())]
             if evidence:
                 arrays.append(pa.array(why, pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))))
@@ -195,7 +215,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score under THRESHOLD."""
     prepare(docs.sparkSession)
-    return scored(docs, fit(docs, labels), "_toxicity", None).where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    score = fresh("toxicity", docs)
+    return scored(docs, fit(docs, labels), score, None).where(F.col(score) < THRESHOLD).drop(score)
 
 
 def op3_toxicity(spark, sf_dir):
