@@ -81,6 +81,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """The rows as a table in the shared folder, with a number of their own that stays the same in every later reading."""
+    return written(df.withColumn(column, F.monotonically_increasing_id()), "rows")
+
+
+#: Up to so many row numbers (8 bytes each) are broadcast.
+BROADCAST_IDS = 1_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """The numbered rows whose number isn't in ``gone`` (distinct), without the number. Texts are shuffled only if too many go to broadcast."""
+    gone = written(gone, "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, column, "left_anti").drop(column)
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables of ``written`` that nothing reads any more, and has Spark drop the shuffle files of finished work.
 

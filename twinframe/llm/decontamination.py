@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import documents, prepare, table, text_of
+from twinframe.llm.common import documents, fresh, numbered, prepare, table, text_of, without, written
 
 #: Places that the masks keep. Each keeps five words; the first is the shortest, so items of under six words have none of these seeds.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7))
@@ -80,44 +80,60 @@ def best_segment(a: Column, b: Column, least: Column) -> Column:
     return F.aggregate(F.slice(pairs, F.lit(1), F.size(same)), start, step, lambda s: F.struct(s["equal"], s["first"], s["last"]))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start, n_words, n_equal: the best overlap of each document and benchmark item that have one.
+def row_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """row, doc_id, item_id, start, n_words, n_equal: the best overlap of each row (doc_id, text) and item that have one.
 
-    start is the overlap's first word in the document, n_words its length. Null or empty texts have none; a null doc_id or item_id is carried like any other value. Of equally good overlaps the first is given. Rows that repeat an
-    id are searched each for itself and reported once. Empty tables give an empty result.
+    ``row`` is a unique long, that of docs or else a new one.
     """
-    prepare(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(text_of()).alias("words"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(text_of()).alias("words"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(text_of()).alias("words"), F.monotonically_increasing_id().alias("item"))
+    items = written(items, "items")
     shift = (F.col("place") - F.col("item_place")).alias("shift")
     # A word and its gap have two characters at least; of lengths under SPAN there are a few.
-    size = F.size(words(text_of()))
-    n, short = benchmark.agg(F.sum(F.length("text") / 2), F.sort_array(F.collect_set(F.when((size > 0) & (size < SPAN), size)))).first()
-    theirs = seeds(items, "item_id", short, whole=True).select("seed", "item_id", F.col("place").alias("item_place"), F.col("words").alias("item_words"))
-    if (n or 0) * len(MASKS) <= BROADCAST_SEEDS:
-        hits = seeds(docs, "doc_id", short).join(F.broadcast(theirs), "seed").select("doc_id", "item_id", "item_words", shift, "words")
+    size = F.size("words")
+    n, short = items.agg(F.sum(size), F.sort_array(F.collect_set(F.when((size > 0) & (size < SPAN), size)))).first()
+    theirs = seeds(items, "item", short, whole=True).select("seed", "item", F.col("place").alias("item_place"), F.col("words").alias("item_words"))
+    small = (n or 0) * len(MASKS) <= BROADCAST_SEEDS
+    if "row" not in docs.columns:  # texts that are read once need no table
+        docs = docs.withColumn("row", F.monotonically_increasing_id()) if small else numbered(docs, "row")
+    docs = docs.select(F.struct("row", F.col("doc_id").cast("long").alias("doc_id")).alias("row"), words(text_of()).alias("words"))
+    if small:
+        hits = seeds(docs, "row", short).join(F.broadcast(theirs), "seed").select("row", "item", "item_words", shift, "words")
     else:  # words don't travel with seeds; they rejoin the distinct alignments
-        hits = seeds(docs, "doc_id", short).drop("words").join(theirs.drop("item_words"), "seed").select("doc_id", "item_id", shift).distinct()
-        hits = hits.join(docs, hits["doc_id"].eqNullSafe(docs["doc_id"])).drop(docs["doc_id"])
-        items = items.withColumnRenamed("words", "item_words")
-        hits = hits.join(items, hits["item_id"].eqNullSafe(items["item_id"])).drop(items["item_id"])
+        hits = seeds(docs, "row", short).drop("words").join(theirs.drop("item_words"), "seed").select("row", "item", shift).distinct()
+        hits = hits.join(docs, "row").join(items.select("item", F.col("words").alias("item_words")), "item")
     skip = F.greatest(F.lit(0), -F.col("shift"))
     part = F.array_join(F.slice("words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("item_words") - skip), " ").alias("part")
-    hits = hits.select("doc_id", "item_id", "shift", part, F.array_join("item_words", " ").alias("item"))
+    hits = hits.select("row", "item", "shift", part, F.array_join("item_words", " ").alias("of"))
     # An alignment's many seeds give one row. Its words are aggregates, not keys, so that Catalyst leaves the comparison above the join.
-    aligned = hits.groupBy("doc_id", "item_id", "shift", F.xxhash64("part", "item").alias("version")).agg(F.first("part").alias("part"), F.split(F.first("item"), " ").alias("item"))
-    both = aligned.select("doc_id", "item_id", "shift", skip.alias("skip"), F.size("item").alias("item_size"), best_segment(F.slice("item", skip + 1, F.size("item")), F.split("part", " "), F.least(F.lit(MIN_WORDS), F.size("item"))).alias("x"))
-    good = both.where("x.last >= 0")
+    aligned = hits.groupBy("row", "item", "shift").agg(F.first("part").alias("part"), F.split(F.first("of"), " ").alias("of"))
+    both = aligned.select("row", "item", "shift", skip.alias("skip"), best_segment(F.slice("of", skip + 1, F.size("of")), F.split("part", " "), F.least(F.lit(MIN_WORDS), F.size("of"))).alias("x"))
+    good = both.where("x.last >= 0").join(F.broadcast(items.select("item", "item_id")) if small else items.select("item", "item_id"), "item")
     first = (F.col("shift") + F.col("skip") + F.col("x.first")).cast("long")
-    found = good.select("doc_id", "item_id", F.struct(F.col("x.equal").cast("long").alias("n_equal"), (-first).alias("back"), (F.col("x.last") - F.col("x.first") + 1).cast("long").alias("n_words")).alias("o"))
-    best = found.groupBy("doc_id", "item_id").agg(F.max("o").alias("o"))
+    found = good.select("row", "item_id", F.struct(F.col("x.equal").cast("long").alias("n_equal"), (-first).alias("back"), (F.col("x.last") - F.col("x.first") + 1).cast("long").alias("n_words")).alias("o"))
+    best = found.groupBy("row", "item_id").agg(F.max("o").alias("o"))
+    return best.select("row.row", "row.doc_id", "item_id", (-F.col("o.back")).alias("start"), "o.n_words", "o.n_equal")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, start, n_words, n_equal: the best overlap of each document and benchmark item that have one.
+
+    start is the overlap's first word in the document, n_words its length. Null or empty texts have none; a null doc_id or item_id is
+    carried like any other value. Of equally good overlaps the first is given. Rows that repeat an id are searched each for itself and
+    reported once. Empty tables give an empty result.
+    """
+    prepare(docs.sparkSession)
+    many = row_overlaps(docs.select("doc_id", "text"), benchmark).select("doc_id", "item_id", F.struct("n_equal", (-F.col("start")).alias("back"), "n_words").alias("o"))
+    best = many.groupBy("doc_id", "item_id").agg(F.max("o").alias("o"))
     return best.select("doc_id", "item_id", (-F.col("o.back")).alias("start"), "o.n_words", "o.n_equal")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without an overlap with any benchmark item."""
-    leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    """The rows of docs without an overlap with any benchmark item, each judged by its own text."""
+    prepare(docs.sparkSession)
+    row = fresh("row", docs)
+    rows = numbered(docs, row)
+    leaks = row_overlaps(rows.select(F.col(row).alias("row"), "doc_id", "text"), benchmark).select(F.col("row").alias(row)).distinct()
+    return without(rows, leaks, row)
 
 
 def op4_benchmark_decontamination(spark, sf_dir):

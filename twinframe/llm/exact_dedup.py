@@ -3,7 +3,7 @@
 Texts are equal when identical after ASCII white space is deleted. A text's key is the SHA-256 of that form; the index
 holds a 16-bit fingerprint per live key in a cuckoo table, and each fingerprint slot points to the stored record, so a
 filter hit is verified against the content of its bucket: the full 256-bit key. When an insertion runs out of kicks, the
-table doubles and is refilled from the stored keys.
+table doubles and is refilled from the stored keys. A key takes some 300 bytes, so the index of a bucket of 250,000 keys takes 75 MB.
 
 At scale, each map task folds its rows into a small index first, so a group of copies, however large, leaves one row per
 task; those rows meet in the bucket that their key names, and one index per bucket settles the group.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import WHITE, documents, partitions, prepare, text_of, written
+from twinframe.llm.common import WHITE, documents, fresh, numbered, partitions, prepare, text_of, without, written
 
 SLOTS = 4
 MAX_KICKS = 500
@@ -124,15 +124,15 @@ class CuckooIndex:
         return ((k, p) for k, p in zip(self.keys, self.payload) if k is not None)
 
 
-FOLDED = "digest binary, n_chars long, keep_id long, group_size long"
-_ARROW = pa.schema([("digest", pa.binary()), ("n_chars", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+FOLDED = "digest binary, n_chars long, keep_id long, row long, group_size long"
+_ARROW = pa.schema([("digest", pa.binary()), ("n_chars", pa.int64()), ("keep_id", pa.int64()), ("row", pa.int64()), ("group_size", pa.int64())])
 #: Keys that an index of a map task holds before it hands them on.
 LOCAL_KEYS = 200_000
 
 
-def _better(a: tuple, b: tuple) -> tuple:
-    """Of (chars, id): the longer text, then the smaller id; a null id comes last."""
-    return a if (a[0], a[1] is not None, -(a[1] or 0)) >= (b[0], b[1] is not None, -(b[1] or 0)) else b
+def _rank(x: tuple) -> tuple:
+    """Of (chars, id, row): the longer text, then the smaller id, then the smaller row number; a null id comes last."""
+    return x[0], x[1] is not None, -(x[1] or 0), -x[2]
 
 
 def _fold(limit: int | None):
@@ -147,9 +147,9 @@ def _fold(limit: int | None):
 
         index = CuckooIndex()
         for batch in batches:
-            for key, chars, doc, n in zip(*(c.to_pylist() for c in batch.columns)):
-                seen = index.get(key)
-                index.insert(key, (chars, doc, n) if seen is None else (*_better(seen[:2], (chars, doc)), seen[2] + n))
+            for key, chars, doc, row, n in zip(*(c.to_pylist() for c in batch.columns)):
+                seen, new = index.get(key), (chars, doc, row)
+                index.insert(key, (*new, n) if seen is None else (*max(seen[:3], new, key=_rank), seen[3] + n))
             if limit and index.live >= limit:
                 yield from out()
                 index = CuckooIndex()
@@ -164,14 +164,15 @@ def digests(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.length(text_of()).cast("long").alias("n_chars"),
         F.unhex(F.sha2(F.regexp_replace(text_of(), f"{WHITE}+", ""), 256)).alias("digest"),
+        *(["row"] if "row" in docs.columns else []),
     )
 
 
 def groups(rows: DataFrame, n_rows: int) -> DataFrame:
-    """One row per key of ``digests``: the row that stays and the number of copies."""
-    start = rows.select("digest", "n_chars", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    """One row per key of ``digests`` (with row, a number of its own): the row that stays and the number of copies."""
+    start = rows.select("digest", "n_chars", F.col("doc_id").alias("keep_id"), "row", F.lit(1).cast("long").alias("group_size"))
     local = start.mapInArrow(_fold(LOCAL_KEYS), FOLDED)
-    return local.repartition(partitions(rows.sparkSession, n_rows, 1_000_000), "digest").mapInArrow(_fold(None), FOLDED)
+    return local.repartition(partitions(rows.sparkSession, n_rows, 250_000), "digest").mapInArrow(_fold(None), FOLDED)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -181,9 +182,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     to any other. Rows that repeat a doc_id and a text share one outcome. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    rows = written(digests(docs), "digests")  # 50 bytes a document: the texts are read once
-    n = rows.count()
-    group = groups(rows, n).select("digest", "keep_id", "group_size")
+    rows = numbered(digests(docs.select("doc_id", "text")), "row")  # 60 bytes a document: the texts are read once
+    group = groups(rows, rows.count()).select("digest", "keep_id", "group_size")
     return rows.join(group, "digest", "left").select(
         "doc_id",
         "keep_id",
@@ -194,6 +194,16 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of docs for each text, the same that exact_dedup keeps; of rows that also share the doc_id, one."""
+    prepare(docs.sparkSession)
+    row = fresh("row", docs)
+    every = numbered(docs, row)
+    rows = written(digests(every.select("doc_id", "text", F.col(row).alias("row"))), "digests")
+    group = groups(rows, rows.count()).select(F.col("row").alias(row))
+    return without(every, rows.select(F.col("row").alias(row)).join(group, row, "left_anti"), row)
+
+
 INDEX = "bucket int, digest binary, doc_id long, n_chars long"
 
 

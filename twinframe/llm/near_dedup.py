@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import documents, prepare, written
+from twinframe.llm.common import BROADCAST_IDS, documents, fresh, numbered, prepare, without, written
 from twinframe.llm.components import components
 
 SHINGLE = 5
@@ -33,11 +33,9 @@ THRESHOLD, NUMBER = 85, 100
 ROWS, NO_BAND = 5, 4.4e-7
 BATCH, MISS = 25, 1e-9
 #: Members of a bucket that a chunk holds, on average.
-CHUNK = 256
+CHUNK = 1_024
 #: A link by so many more shingles than it needs counts as sure in a block; others don't spare later comparisons.
 SLACK = 8
-#: Up to so many doc_ids (8 bytes each) are broadcast.
-BROADCAST_IDS = 1_000_000
 #: Distinct words whose hashes a worker keeps.
 CACHE_WORDS = 300_000
 
@@ -177,12 +175,13 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int)
     two = pairs.join(sig.select(F.col("node").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb")), "b")
     two = two.join(sig.select(F.col("node").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na")), "a")
     two = two.where(NUMBER * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    left = written(two.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long").distinct(), "survivors")
+    left = written(two.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long"), "survivors")
     full = sets_of(docs, left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     full = written(full, "sets")
     both = left.join(full.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b").join(full.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a")
     common = F.size(F.array_intersect("fa", "fb"))
-    return written(both.where(NUMBER * common >= threshold * (F.size("fa") + F.size("fb") - common)).select("a", "b").distinct(), "links")
+    # Pairs are distinct already; an aggregate here would keep Spark from splitting the rows of a star's centre.
+    return written(both.where(NUMBER * common >= threshold * (F.size("fa") + F.size("fb") - common)).select("a", "b"), "links")
 
 
 def blocks_of(placed: DataFrame) -> DataFrame:
@@ -302,6 +301,21 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, threshold: int) -> DataFrame:
+    """One row of docs of each group of near-duplicates, that of the smallest doc_id, then of the smallest number (null comes last).
+
+    Every row is a document of its own, whatever its doc_id, and is dropped for its own text alone.
+    """
+    prepare(docs.sparkSession)
+    row = fresh("row", docs)
+    every = numbered(docs, row)
+    found = written(near_groups(every.select(F.col(row).alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias(row), "component_id"), "groups")
+    several = found.where(F.col(row) != F.col("component_id")).select("component_id").distinct()
+    members = found.join(several, "component_id").join(every.select(row, F.col("doc_id").cast("long").alias("own_id")), row)
+    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull(), "own_id", F.col(row).alias("number"))).alias("x")).select(F.col("x.number").alias(row))
+    return without(every, members.select(row).join(stays, row, "left_anti"), row)
+
+
 def op6_minhash_near_dedup(spark, sf_dir):
     return near_groups(documents(spark, sf_dir))
 
