@@ -1,22 +1,15 @@
 """The training-data pipeline over documents: each stage works on all that the one before it kept.
 
-Every stage but the last returns whole rows of its input. Rows without a doc_id can't be named as a copy or a leak of another and stay.
+Every stage but the last returns whole rows of its input. A row is kept or dropped for its own text, whatever its doc_id.
 """
 
 from twinframe.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
-from twinframe.llm.common import documents, prepare, table, written
-
+from twinframe.llm.common import documents, table, written
 
 #: Similarity in hundredths from which the pipeline counts documents as near-duplicates; op6's own contract is 85.
 NEAR = 80
 
 
-def _without(docs, dropped):
-    """The rows of docs whose doc_id isn't among those of ``dropped``."""
-    gone = dropped.select(dropped["doc_id"].alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-
-
 def toxicity_filter(spark, docs, sf_dir):
     """Documents that score under the threshold for toxicity."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -24,17 +17,16 @@ def toxicity_filter(spark, docs, sf_dir):
 
 def exact_dedup_filter(spark, docs, sf_dir):
     """Of equal texts, the longest original stays."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("NOT kept"))
+    return exact_dedup.deduplicated(docs)
 
 
 def near_dedup_filter(spark, docs, sf_dir):
     """Of each group of near-duplicates, the smallest doc_id stays."""
-    return _without(docs, near_dedup.near_groups(docs, NEAR).where("NOT kept"))
+    return near_dedup.deduplicated(docs, NEAR)
 
 
 def decontamination_filter(spark, docs, sf_dir):
     """Documents without a passage of the benchmark."""
-    prepare(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
