@@ -385,16 +385,35 @@ def test_toxicity_odd_rows(spark):
 
 
 def test_licences(spark):
-    mit = licences.TEMPLATES["MIT"]
-    texts = [mit.upper(), "words before\n\n" + mit + "\n\nafter", "Released under the MIT licence.", "Nothing here at all.", None, mit[: len(mit) // 3]]
+    mit, notice = licences.TEMPLATES["MIT"], "Released under the MIT License."
+    three = mit[:400] + "\n\n" + mit[400:700] + "\n\n" + mit[700:]
+    full = licences.templates_in()
+    code = "def f(x):\n    return x\n" * 30
+    texts = [mit.upper(), "words before\n\n" + mit + "\n\nafter", notice.replace("License", "licence"), "Nothing here at all.", None, mit[: len(mit) // 3]]
+    texts += [code + three + code, "By Jane Doe in 2019. " + notice + " It may change.", " ".join([notice] * 4), full["GPL-3.0"], code + licences.TEMPLATES["BSD-3-Clause"], "İİ " + notice]
     got = {(r.doc_id, r.licence): r for r in licences.licences(docs(spark, texts)).collect()}
-    assert set(got) == {(0, "MIT"), (1, "MIT"), (2, "MIT notice")} and got[1, "MIT"].start == 14 and got[0, "MIT"].dice == 1
-    index = licences.Templates(licences.TEMPLATES)
-    for text in (mit, mit[:500], "licensed under the apache license version 2.1", "released under the BSD License today"):
-        grams = licences.bigrams(licences.words(text))
-        dice = {n: 2 * len(grams & b) / (len(grams) + len(b)) for n, b in ((n, licences.bigrams(licences.words(t))) for n, t in licences.TEMPLATES.items())}
-        best = max(dice.values())
-        assert sorted(index.match(licences.words(text))) == sorted((n, s) for n, s in dice.items() if s == best >= 0.8)
+    assert set(got) == {(0, "MIT"), (1, "MIT"), (2, "MIT notice"), (6, "MIT"), (7, "MIT notice"), (8, "MIT notice"), (9, "GPL-3.0"), (10, "BSD-3-Clause"), (11, "MIT notice")}
+    assert got[1, "MIT"].start == 14 and got[0, "MIT"].dice == 1 and got[6, "MIT"].start == len(code) and got[8, "MIT notice"].n_parts == 4
+    assert texts[7][got[7, "MIT notice"].start : got[7, "MIT notice"].end] == notice[:-1] and texts[11][got[11, "MIT notice"].start :] == notice
+
+
+def test_licence_passages_against_brute_force(spark, sf_dir):
+    """Over a whole table: which templates match anywhere, by comparing every run of words of the same lengths."""
+    own = {k: v for k, v in licences.TEMPLATES.items() if len(v) < 400}
+    sets = {k: licences.bigrams(licences.words(v)) for k, v in own.items()}
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {(r.doc_id, r.licence): r for r in licences.licences(table, own).collect()}
+    for doc, text in [(r.doc_id, r.text) for r in table.collect()]:
+        found = licences.words(text or "")
+        best = {}
+        for name, b in sets.items():
+            sizes = {max(1, min(len(found) - 1, round(f * len(licences.words(own[name]))) - 1)) for f in licences.LENGTHS}
+            runs = [set(zip(found, found[1:]))] + [set(zip(found[s : s + m], found[s + 1 : s + m + 1])) for m in sizes for s in range(len(found) - 1) if (found[s], found[s + 1]) in b]
+            best[name] = max(2 * len(r & b) / (len(r) + len(b)) for r in runs)
+        top = max(best.values(), default=0)
+        assert {n for (d, n) in got if d == doc} <= {n for n, x in best.items() if x >= 0.8}
+        assert {(doc, n) for n, x in best.items() if x == top >= 0.8} <= set(got)
+        assert all(abs(got[doc, n].dice - x) < 1e-6 for n, x in best.items() if (doc, n) in got and x == top)
 
 
 def brute_lm(lists, corpus, order):

@@ -1,16 +1,21 @@
-"""Licence scans: Dice coefficient of word-bigram sets between licence templates and the parts of a text.
-
-A part is the whole text, a paragraph (between empty lines) or a line. Parts are normalised: letters and digits only, lower-cased, one
-spelling of "licence". With t the threshold, a template of b bigrams can only match parts of t / (2 - t) b to (2 - t) / t b bigrams; an
-inverted index from bigrams to templates counts the shared ones of the templates that remain.
+"""Licence scans: Dice coefficient of word-bigram sets between licence templates and passages of a text.
+
+Texts are normalised: letters and digits only, lower-cased, one spelling of "licence". A passage is the whole text or a run of words, of
+each of a few lengths about a template's own; a run may start at any word, so a licence is found inside a longer text, over several
+paragraphs or within a line. With t the threshold, a template of b bigrams can only match passages that share t / (2 - t) b of them; an
+inverted index from bigrams to templates counts the distinct ones that the whole text shares, and prunes the templates with fewer. For
+those that remain, the coefficient of every run is exact: a run's distinct bigrams are those whose last occurrence lies before it, and
+sums of such differences give all runs at once.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from bisect import bisect_left, bisect_right
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +23,10 @@ from pyspark.sql import functions as F
 from twinframe.llm.common import documents, prepare
 
 THRESHOLD = 0.8
+#: Lengths of runs, as multiples of a template's words. Between two of them, a passage loses 8 % of its words at most.
+LENGTHS = (0.7, 0.84, 1.0, 1.18, 1.4)
+#: Full texts of longer licences, one file each, named after the licence.
+TEXTS = Path(__file__).parent / "licence_texts"
 
 #: Wording of public licences and of the usual notices that name one.
 TEMPLATES = {
@@ -40,20 +49,39 @@ conditions are met: 1. Redistributions of source code must retain the above copy
 disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
 in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
 CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
-FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Apache-2.0 header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
 You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
 software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
 implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+    "GPL-3.0 header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
 published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
 distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR
 A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+    "MPL-2.0 header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
 this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
 sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by
-any means.""",
+any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors.
+We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright
+law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE. For more information, please refer to <http://unlicense.org/>""",
     "MIT notice": "Released under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -68,71 +96,112 @@ any means.""",
 }
 
 
+def lowered(text: str) -> str:
+    """Lower-cased, each character as one, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text)
+
+
 def words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower().replace("licence", "license"))
+    return re.findall(r"[^\W_]+", lowered(text).replace("licence", "license"))
 
 
 def bigrams(found: list[str]) -> set[tuple[str, str]]:
     return set(zip(found, found[1:]))
 
 
+def templates_in(folder: str | Path = TEXTS) -> dict[str, str]:
+    """The texts of a folder's .txt files by name."""
+    return {p.stem: p.read_text() for p in sorted(Path(folder).glob("*.txt"))}
+
+
+def distinct_in_runs(number: np.ndarray, size: int) -> np.ndarray:
+    """For each start, how many different non-negative numbers the run of ``size`` from there has."""
+    n = len(number)
+    order = np.argsort(number, kind="stable")
+    before = np.full(n, -1)
+    same = number[order][1:] == number[order][:-1]
+    before[order[1:][same]] = order[:-1][same]
+    own = number >= 0
+    at = np.flatnonzero(own)
+    first = np.maximum(before[own] + 1, at - size + 1)  # a bigram counts for the runs that start after its last occurrence
+    steps = np.bincount(first, minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
+    return np.cumsum(steps)[:n]
+
+
 class Templates:
     def __init__(self, templates: dict[str, str], threshold: float = THRESHOLD):
         self.threshold = threshold
-        sets = sorted(((len(b), name, b) for name, b in ((n, bigrams(words(t))) for n, t in templates.items())), key=lambda x: x[:2])
-        self.sizes = [s[0] for s in sets]
-        self.names = [s[1] for s in sets]
+        split = {n: words(t) for n, t in templates.items()}
+        self.names = [n for n, w in split.items() if len(w) > 1]
+        sets = [bigrams(split[n]) for n in self.names]
+        self.sizes = [len(b) for b in sets]
+        self.lengths = [len(split[n]) for n in self.names]
+        self.needed = [math.ceil(threshold / (2 - threshold) * b - 1e-9) for b in self.sizes]
         self.inverted: dict[tuple[str, str], list[int]] = {}
-        for k, (_, _, b) in enumerate(sets):
+        for k, b in enumerate(sets):
             for gram in b:
                 self.inverted.setdefault(gram, []).append(k)
 
-    def range(self, n: int) -> tuple[int, int]:
-        """The templates whose size lets a part of n bigrams match."""
-        t = self.threshold
-        return bisect_left(self.sizes, t / (2 - t) * n - 1e-9), bisect_right(self.sizes, (2 - t) / t * n + 1e-9)
-
-    def match(self, found: list[str]) -> list[tuple[str, float]]:
-        """The template of the highest coefficient, if that is at least the threshold; several if equal."""
-        low, high = self.range(max(len(found) - 1, 0))
-        if len(found) < 2 or low == high and len(found) - 1 <= self.sizes[-1]:
+    def match(self, found: list[str]) -> list[tuple[str, float, int, int]]:
+        """(template, coefficient, first word, end word): the passages of at least the threshold that overlap no better one of the same text."""
+        pairs = list(zip(found, found[1:]))
+        shared = Counter(k for g in set(pairs).intersection(self.inverted) for k in self.inverted[g])
+        left = [k for k, c in shared.items() if c >= self.needed[k]]
+        if not left:
             return []
-        grams = bigrams(found)
-        low, high = self.range(len(grams))
-        shared = Counter(k for g in grams if g in self.inverted for k in self.inverted[g] if low <= k < high)
-        scores = [(self.names[k], 2 * c / (len(grams) + self.sizes[k])) for k, c in shared.items()]
-        best = max((s for _, s in scores), default=0.0)
-        return [(n, s) for n, s in scores if s == best >= self.threshold]
-
-
-def parts(text: str) -> list[tuple[int, int]]:
-    """Distinct (start, end) of the whole text, its paragraphs and its lines, in code points."""
-    out = {(0, len(text)): None}
-    for pattern in (r"[^\n](?:[^\n]|\n(?![^\S\n]*\n))*", r"[^\n]+"):
-        out |= {m.span(): None for m in re.finditer(pattern, text)}
-    return list(out)
+        numbers: dict[tuple[str, str], int] = {}
+        every = np.array([numbers.setdefault(g, len(numbers)) for g in pairs])
+        offered = []
+        for k in left:
+            own = np.array([k in self.inverted.get(g, ()) for g in numbers])
+            here = np.where(own[every], every, -1)
+            whole = 2 * shared[k] / (len(numbers) + self.sizes[k])
+            if whole >= self.threshold:
+                offered.append((whole, 0, len(found), k))
+            for size in sorted({max(1, min(len(pairs), round(f * self.lengths[k]) - 1)) for f in LENGTHS}):
+                common = distinct_in_runs(here, size)
+                good = np.flatnonzero((common >= self.needed[k]) & (here >= 0))
+                if not len(good):
+                    continue
+                dice = 2 * common[good] / (distinct_in_runs(every, size)[good] + self.sizes[k])
+                keep = dice >= self.threshold
+                offered += [(d, s, min(s + size, len(pairs)) + 1, k) for d, s in zip(dice[keep].tolist(), good[keep].tolist())]
+        chosen: list[tuple[float, int, int, int]] = []
+        taken = np.full(len(found), -1)  # index of the passage that has a word
+        for d, a, b, k in sorted(set(offered), key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
+            over = np.unique(taken[a:b])
+            if not (over >= 0).any():
+                taken[a:b] = len(chosen)
+            elif not all(o >= 0 and chosen[o][:3] == (d, a, b) for o in over.tolist()):
+                continue
+            chosen.append((d, a, b, k))
+        return [(self.names[k], d, a, b) for d, a, b, k in chosen]
 
 
 def licences(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, licence, dice, start, end, n_parts: for each document and template with a match, the best part and how many match.
+    """doc_id, licence, dice, start, end, n_parts: for each document and template with a match, the best passage and how many match.
 
-    Of equally good parts the first, then the longer one is given. Null and empty texts match nothing; repeated rows and null doc_ids
-    are scanned each for itself. An empty table gives an empty result.
+    Passages overlap no better one, be it of another template; equally good templates of the same passage are all given. Of equally good
+    passages the first is given. start and end are code points. Null and empty texts match nothing; repeated rows and null doc_ids are
+    scanned each for itself. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    index = Templates(templates or TEMPLATES, threshold)
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates or TEMPLATES | templates_in(), threshold))  # as large as the templates
     schema = pa.schema([("doc_id", pa.int64()), ("licence", pa.string()), ("dice", pa.float64()), ("start", pa.int64()), ("end", pa.int64()), ("n_parts", pa.int64())])
 
     def scan(batches):
+        index = shared.value
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                hits = index.match(words(text)) if text else []
+                places = [m.span() for m in re.finditer(r"[^\W_]+", lowered(text))] if hits else []
                 best: dict[str, list] = {}
-                for start, end in parts(text or ""):
-                    for name, dice in index.match(words(text[start:end]) if text else []):
-                        own = best.setdefault(name, [(-1.0, 0, 0), 0])
-                        own[0] = max(own[0], (dice, -start, end))
-                        own[1] += 1
+                for name, dice, a, b in hits:
+                    own = best.setdefault(name, [(-1.0, 0, 0), 0])
+                    own[0] = max(own[0], (dice, -places[a][0], places[b - 1][1]))
+                    own[1] += 1
                 rows += [(doc, name, round(d, 6), -s, e, n) for name, ((d, s, e), n) in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
 
