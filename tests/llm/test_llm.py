@@ -97,6 +97,10 @@ def test_random_tokens_stand_out(spark):
     got = {r.doc_id: r.spans for r in secrets.digest(secrets.find_secrets(docs(spark, [f"use {k} now" for k in keys + names]))).collect()}
     assert sum("random:4:68" in got[i] for i in range(60)) >= 50
     assert sum("random" in got[i] for i in range(60, 120)) <= 3
+    base = [f"token={k}" for k in keys] + [f"password={n}" for n in names]
+    rows = {r.doc_id: r for r in secrets.digest(secrets.find_secrets(docs(spark, base))).collect()}
+    assert sum(rows[i].n_confirmed for i in range(60)) >= 50 and sum(rows[i].n_confirmed for i in range(60, 120)) <= 3
+    assert all(rows[i].n_assign == 1 and "random" not in rows[i].spans for i in range(120))
 
 
 def test_battery_figures(spark):

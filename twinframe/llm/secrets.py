@@ -24,6 +24,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+"
+ENCODED = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Candidates mix digits and letters, or have a capital after a small letter.
 MIXED = r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]|[a-z][A-Z]"
 KINDS = ("assign", "access", "hex", "random")
@@ -118,30 +119,38 @@ def evaluated(cands: DataFrame) -> DataFrame:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, found (array of struct<s, e, k>: the base spans by start, then kind), tokens (array of struct<s, e, t>: candidates)."""
+    """doc_id, found (array of struct<s, k, e>: the base spans by start, then kind), tokens (array of struct<s, e, t, k>).
+
+    Tokens are candidates apart from the base spans, of kind 3, and the encoded values of base spans under the kind of those.
+    """
     text = text_of()
 
     def kind(k: int, x: Column) -> Column:
         return F.transform(x, lambda v: F.struct(v["s"].alias("s"), F.lit(k).alias("k"), v["e"].alias("e")))
 
-    assign = F.filter(spans(text, ASSIGN, 2), lambda v: F.length(v["t"]) >= 6)
-    found = F.array_sort(F.concat(kind(0, assign), kind(1, spans(text, ACCESS)), kind(2, spans(text, HEX))))
+    def token(k: int, x: Column) -> Column:
+        return F.transform(x, lambda v: F.struct(v["s"].alias("s"), v["e"].alias("e"), v["t"].alias("t"), F.lit(k).alias("k")))
+
+    base = [F.filter(spans(text, ASSIGN, 2), lambda v: F.length(v["t"]) >= 6), spans(text, ACCESS), spans(text, HEX)]
     tokens = F.filter(spans(text, TOKEN), lambda v: F.rlike(v["t"], F.lit(MIXED)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"), tokens.alias("tokens")).select(
-        "doc_id", "found", F.filter("tokens", lambda t: ~F.exists("found", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))).alias("tokens")
-    )
+    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(x.alias(n) for x, n in zip([*base, tokens], ("assign", "access", "hex", "tokens"))))
+    names = ("assign", "access", "hex")
+    row = row.select("*", F.array_sort(F.concat(*(kind(k, F.col(n)) for k, n in enumerate(names)))).alias("found"))
+    apart = F.filter("tokens", lambda t: ~F.exists("found", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    encoded = F.filter(F.concat(*(token(k, F.col(n)) for k, n in enumerate(names))), lambda v: F.rlike(v["t"], F.lit(f"^{ENCODED}$")))
+    return row.select("doc_id", "found", F.concat(token(3, apart), encoded).alias("tokens"))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """The candidates of ``base_spans`` with their figures, one row each."""
-    each = rows.where(F.size("tokens") > 0).select("doc_id", F.explode("tokens").alias("x")).select("doc_id", "x.s", "x.e", "x.t")
+    """The tokens of ``base_spans`` with their figures, one row each."""
+    each = rows.where(F.size("tokens") > 0).select("doc_id", F.explode("tokens").alias("x")).select("doc_id", "x.s", "x.e", "x.t", "x.k")
     stratum = F.lit(0)
     for k, least in enumerate(STRATA):
-        stratum = F.when(F.col("e") - F.col("s") >= least, k).otherwise(stratum)
+        stratum = F.when(F.length("t") >= least, k).otherwise(stratum)
     limit = 2.97  # the normal quantile of 1 - ALPHA / 2
     even = (F.abs("runs") <= limit) & (F.abs("serial") <= limit) & (F.abs("chi2") <= 2 * limit)
     bin_ = F.least(F.floor(-STEPS * F.log10(F.greatest("p_text", F.lit(1e-300)))), F.lit(LAST)).cast("int")
-    return evaluated(each).select("doc_id", "s", "e", stratum.alias("stratum"), bin_.alias("bin"), even.alias("even"))
+    return evaluated(each).select("doc_id", "s", "e", "k", stratum.alias("stratum"), bin_.alias("bin"), even.alias("even"))
 
 
 def thresholds(cands: DataFrame) -> dict[int, int]:
@@ -156,7 +165,8 @@ def thresholds(cands: DataFrame) -> dict[int, int]:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, spans: array of struct<s, k, e> (start and end in code points, end exclusive; k numbers KINDS) by start, then kind.
+    """doc_id, spans: array of struct<s, k, e> (start and end in code points, end exclusive; k numbers KINDS) by start, then kind; and
+    confirmed: those base spans whose value the battery finds random too.
 
     Base spans stay as they are; random tokens that touch none of them are added. Null and empty texts have no spans. Repeated rows
     and null doc_ids are each scanned for themselves. An empty table gives an empty result.
@@ -168,9 +178,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     hit = F.lit(False)
     for stratum, least in first.items():
         hit = hit | ((F.col("stratum") == stratum) & (F.col("bin") >= least))
-    random = cands.where(hit & F.col("even")).groupBy("row").agg(F.collect_list(F.struct("s", F.lit(3).alias("k"), "e")).alias("random"))
+    each = F.struct("s", "k", "e")
+    random = cands.where(hit & F.col("even")).groupBy("row").agg(F.collect_list(F.when(F.col("k") == 3, each)).alias("random"), F.array_sort(F.collect_list(F.when(F.col("k") < 3, each))).alias("confirmed"))
     both = rows.select("row", "doc_id", "found").join(random, "row", "left")
-    return both.select("doc_id", F.array_sort(F.concat("found", F.coalesce("random", F.array().cast("array<struct<s:int,k:int,e:int>>")))).alias("spans"))
+    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    return both.select("doc_id", F.array_sort(F.concat("found", F.coalesce("random", none))).alias("spans"), F.coalesce("confirmed", none).alias("confirmed"))
 
 
 def _joined(spans_: Column) -> Column:
@@ -183,7 +195,7 @@ def digest(found: DataFrame) -> DataFrame:
         return F.size(F.filter("spans", lambda v: v["k"] == k)).cast("long")
 
     base = F.filter("spans", lambda v: v["k"] < 3)
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("confirmed").cast("long").alias("n_confirmed"))
 
 
 def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
