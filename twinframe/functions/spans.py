@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<s:int,e:int,t:string>>"
 
 
-def find(text: Column, pattern: str, in_bytes: bool = True) -> Column:
-    """array<struct<s, e, t>>: leftmost non-overlapping matches, start and end (exclusive) in bytes or code points."""
+def find(text: Column, pattern: str, in_bytes: bool = True, needle: str = "") -> Column:
+    """array<struct<s, e, t>>: leftmost non-overlapping matches, start and end (exclusive) in bytes or code points.
+
+    ``needle`` is a string that every match holds: texts without it are passed over without the pattern.
+    """
     size = F.octet_length if in_bytes else F.length
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("g"), hits.alias("h"))
@@ -21,7 +24,8 @@ def find(text: Column, pattern: str, in_bytes: bool = True) -> Column:
         new = F.array(F.struct(s.alias("s"), e.alias("e"), x["h"].alias("t")))
         return F.struct(e.alias("at"), F.when(x["h"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], new)).alias("out"))
 
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast(SPAN))
+    there = F.rlike(text, F.lit(pattern))
+    return F.when(F.contains(text, F.lit(needle)) & there if needle else there, F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast(SPAN))
 
 
 def overlaps(a: Column, b: Column) -> Column:

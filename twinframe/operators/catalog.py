@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import hmac
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
@@ -46,17 +50,68 @@ def last_entries(log: DataFrame, n: int, order: str = "id") -> DataFrame:
     return log.orderBy(F.desc(order)).limit(n)
 
 
-def sealed(df: DataFrame, table: str, column: str, row: str, key: str) -> DataFrame:
-    """Encrypts a text column by AES-GCM, bound to its table, column and row."""
-    place = F.concat_ws(":", F.lit(table), F.lit(column), F.col(row).cast("string"))
-    iv = F.unhex(F.substring(F.sha2(F.concat_ws("\x1f", place, column, F.lit(key)), 256), 1, 24))
-    return df.withColumn(column, F.aes_encrypt(F.col(column), F.unhex(F.sha2(F.lit(key), 256)), F.lit("GCM"), F.lit("DEFAULT"), iv, place))
+# Keys never stand in a plan: a one-row table carries them to the expressions, and plans show its column's name alone.
+SCRYPT = {"n": 1 << 14, "r": 8, "p": 1, "maxmem": 1 << 26}
+
+
+def derive_key(passphrase: str, salt: bytes) -> bytes:
+    """A key of 32 bytes by scrypt, on the driver."""
+    return hashlib.scrypt(passphrase.encode(), salt=salt, dklen=32, **SCRYPT)
+
+
+def subkey(key: bytes, purpose: str) -> bytes:
+    """A key of its own for each purpose (such as the blind index), from which the master key can't be told."""
+    return hmac.new(key, purpose.encode(), hashlib.sha256).digest()
+
+
+def wrap_key(spark: SparkSession, data_key: bytes, passphrase: str) -> bytes:
+    """salt, nonce and the data key sealed by a key of the passphrase: what a catalog stores. A new passphrase rewraps this alone."""
+    salt, nonce = os.urandom(16), os.urandom(12)
+    return salt + nonce + _gcm(spark, 1, derive_key(passphrase, salt), nonce, data_key)
+
+
+def unwrap_key(spark: SparkSession, wrapped: bytes, passphrase: str) -> bytes:
+    """The data key; raises ValueError for another passphrase."""
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        return _gcm(spark, 2, derive_key(passphrase, wrapped[:16]), wrapped[16:28], wrapped[28:])
+    except Py4JJavaError as e:
+        raise ValueError("wrong passphrase") from e
 
 
-def unsealed(df: DataFrame, table: str, column: str, row: str, key: str) -> DataFrame:
-    place = F.concat_ws(":", F.lit(table), F.lit(column), F.col(row).cast("string"))
-    return df.withColumn(column, F.aes_decrypt(F.col(column), F.unhex(F.sha2(F.lit(key), 256)), F.lit("GCM"), F.lit("DEFAULT"), place).cast("string"))
+def _gcm(spark: SparkSession, mode: int, key: bytes, nonce: bytes, data: bytes) -> bytes:
+    """AES-GCM on the driver's JVM: mode 1 seals, 2 opens."""
+    crypto = spark.sparkContext._jvm.javax.crypto
+    cipher = crypto.Cipher.getInstance("AES/GCM/NoPadding")
+    cipher.init(mode, crypto.spec.SecretKeySpec(bytearray(key), "AES"), crypto.spec.GCMParameterSpec(128, bytearray(nonce)))
+    return bytes(cipher.doFinal(bytearray(data)))
 
 
-def rotated(df: DataFrame, table: str, column: str, row: str, old: str, new: str) -> DataFrame:
+def _keyed(df: DataFrame, key: bytes) -> DataFrame:
+    return df.join(F.broadcast(df.sparkSession.createDataFrame([(bytearray(key),)], "_key binary")), F.lit(True))
+
+
+def _place(table: str, column: str, row: str) -> Column:
+    return F.concat_ws(":", F.lit(table), F.lit(column), F.col(row).cast("string"))
+
+
+def sealed(df: DataFrame, table: str, column: str, row: str, key: bytes) -> DataFrame:
+    """Encrypts a text column by AES-GCM, bound to its table, column and row. The nonce is a keyed hash of place and text."""
+    place = _place(table, column, row)
+    nonce = F.unhex(F.substring(F.sha2(F.concat_ws("\x1f", F.hex("_key"), place, column), 256), 1, 24))
+    closed = F.aes_encrypt(F.col(column), F.col("_key"), F.lit("GCM"), F.lit("DEFAULT"), nonce, place)
+    return _keyed(df, key).withColumn(column, F.when(F.col(column).isNotNull(), closed)).drop("_key")
+
+
+def unsealed(df: DataFrame, table: str, column: str, row: str, key: bytes) -> DataFrame:
+    return _keyed(df, key).withColumn(column, F.aes_decrypt(F.col(column), F.col("_key"), F.lit("GCM"), F.lit("DEFAULT"), _place(table, column, row)).cast("string")).drop("_key")
+
+
+def rotated(df: DataFrame, table: str, column: str, row: str, old: bytes, new: bytes) -> DataFrame:
     return sealed(unsealed(df, table, column, row, old), table, column, row, new)
+
+
+def without_index(redactions: DataFrame) -> DataFrame:
+    """Redactions after a rotation: hashes by the old key tell nothing any more, and the secrets they were made of aren't kept."""
+    return redactions.withColumn("match_idx", F.lit(None).cast("string"))

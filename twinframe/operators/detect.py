@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from twinframe import vocab
 from twinframe.functions import spans, text as fn
 
+# What hosts, compounds, variables, phrases and people look like.
 HOST = r"\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9][a-z0-9-]*){2,}\b"
 TLD = r"\.[a-z]{2,}$"
 PASCAL = r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b"
@@ -86,16 +87,26 @@ def settle(offered: Column, guarded: Column, already: Column | None = None) -> C
     return F.array_sort(F.aggregate(offered, start, step))
 
 
-def scan_text(text: Column, dictionary: Column | None = None, variants: Column | None = None) -> Column:
-    """All passes in order: dictionary matches if given, vendors, persons, variables, hosts, compounds, phrases, dictionary variants if given."""
+def unlisted(offered: Column, allow: frozenset[str] | None) -> Column:
+    """The candidates whose text isn't allowed to stay as it is, in any case. Allowed names are settings, hundreds at most."""
+    if not allow:
+        return offered
+    return F.filter(offered, lambda x: ~F.lower(x["t"]).isin(*sorted(a.lower() for a in allow)))
+
+
+def scan_text(text: Column, dictionary: Column | None = None, variants: Column | None = None, allow: frozenset[str] | None = None) -> Column:
+    """All passes in order: dictionary matches if given, vendors, persons, variables, hosts, compounds, phrases, dictionary variants if given.
+
+    Allowed names come from no pass.
+    """
     passes = [vendors(text), persons(text), env_vars(text), _typed(hosts(text), "domain", 0.9), compounds(text), phrases(text)]
     offered = F.concat(*(x for x in (dictionary, *passes, variants) if x is not None))
-    return settle(offered, protected(text))
+    return settle(unlisted(offered, allow), protected(text))
 
 
 #: Shortest variant in bytes, and what a variant's hit is worth.
 VARIANT_BYTES, VARIANT = 4, 0.82
-_ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def spellings(name: str) -> list[str]:
@@ -116,7 +127,7 @@ def _folded_variants(names: dict[str, str], allowed: frozenset[str]) -> dict[str
     for name in sorted(names):
         for v in spellings(name):
             if v != name and len(v.encode()) >= VARIANT_BYTES and v.lower() not in allowed:
-                out.setdefault(v.translate(_ASCII_LOWER), names[name])
+                out.setdefault(v.translate(ASCII_LOWER), names[name])
     return out
 
 
@@ -165,7 +176,7 @@ def dictionary_matches(docs: DataFrame, terms: dict[str, str], allow: frozenset[
         others = machine(_folded_variants(shared.value, folded)) if variants else None
         for batch in batches:
             texts = [t or "" for t in batch]
-            other = [[h for h in hits(others, t, t.translate(_ASCII_LOWER), VARIANT) if h["t"] not in shared.value] for t in texts]
+            other = [[h for h in hits(others, t, t.translate(ASCII_LOWER), VARIANT) if h["t"] not in shared.value] for t in texts]
             yield pd.DataFrame({"terms": [hits(exact, t, t, 1.0) for t in texts], "variants": other})
 
     return docs.withColumn("_m", match.asNondeterministic()("text")).select(*docs.columns, "_m.terms", "_m.variants")
@@ -176,17 +187,17 @@ def _document_variants(texts: pd.Series, found: pd.Series) -> pd.Series:
         words = _folded_variants({x["t"]: x["type"] for x in names if x["confidence"] >= CONFIDENT} if names is not None else {}, frozenset())
         if not text or not words:
             return []
-        folded = text.translate(_ASCII_LOWER)
+        folded = text.translate(ASCII_LOWER)
         pattern = re.compile(r"(?<![^\W])(?:" + "|".join(map(re.escape, sorted(words, key=lambda w: (-len(w), w)))) + r")(?![^\W])")
         return [_hit(text, m.start(), m.end(), words[m[0]], VARIANT) for m in pattern.finditer(folded)]
 
     return pd.Series([one(t, x) for t, x in zip(texts, found)])
 
 
-def with_document_variants(text: Column, found: Column) -> Column:
+def with_document_variants(text: Column, found: Column, allow: frozenset[str] | None = None) -> Column:
     """The settled candidates of a text and, where they leave room, whole-token variants of the confident ones among them."""
     more = F.pandas_udf(_document_variants, f"array<{CANDIDATE}>").asNondeterministic()(text, found)
-    return settle(more, protected(text), found)
+    return settle(unlisted(more, allow), protected(text), found)
 
 
 def should_alias(name: Column, entity_type: Column, confirmed: Column) -> Column:

@@ -1,37 +1,80 @@
-"""The leak gate: what of the known names survived, in any spelling, and whether an export may go out."""
+"""The leak gate: what of the known names survived, in any spelling, where, and whether an export may go out."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.functions import text as fn
+from twinframe.operators import detect
+
+#: Names go to the executors as one automaton; more must be watched by scope.
+MAX_NAMES = 300_000
+LEAK = "array<struct<real_name:string,matched:string,byte_start:int,byte_end:int,line:int,col:int>>"
+
+
+def watched(names: DataFrame, allow: list[str] | None = None) -> dict[str, str]:
+    """Lower-cased variant -> name: every spelling of the names that identify and aren't allowed, in any case. The first name owns a shared one."""
+    rows = names.where(fn.is_identifying(F.col("real_name"))).select("real_name").distinct().limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ValueError("too many names for one gate; watch them by scope")
+    allowed = {a.lower() for a in allow or ()}
+    out: dict[str, str] = {}
+    for name in sorted(r.real_name for r in rows):
+        if name.lower() not in allowed:
+            for v in detect.spellings(name):
+                out.setdefault(v.translate(detect.ASCII_LOWER), name)
+    return out
+
+
+def places(docs: DataFrame, names: DataFrame, allow: list[str] | None = None, text: str = "text") -> DataFrame:
+    """Adds leaks to docs: array of struct<real_name, matched, byte_start, byte_end, line, col> by place; line and col count from 1, col in bytes.
 
-#: Up to so many name variants are broadcast to the token join; more are joined by shuffle.
-BROADCAST_VARIANTS = 500_000
+    Leftmost longest variants that are whole tokens, where an underscore ends a token; a variant that isn't whole consumes its text. Map-only:
+    nothing but the hits leaves a task.
+    """
+    import ahocorasick
 
+    shared = docs.sparkSession.sparkContext.broadcast(watched(names, allow))
 
-def watched(names: DataFrame, allow: list[str] | None = None) -> DataFrame:
-    """real_name, variant (lower-cased): every spelling of names that identify and aren't allowed."""
-    kept = names.where(fn.is_identifying(F.col("real_name")))
-    if allow:
-        kept = kept.where(~F.lower("real_name").isin([a.lower() for a in allow]))
-    return kept.select("real_name", F.explode(fn.case_variants(F.col("real_name"))).alias("v")).select("real_name", F.lower("v").alias("variant")).distinct()
+    def one(machine, text: str | None) -> list[dict]:
+        out, line, at, begun, passed = [], 1, 0, 0, 0  # passed: bytes before ``at``; begun: bytes before the line
+        if not text:
+            return out
+        for end, (n, name) in machine.iter_long(text.translate(detect.ASCII_LOWER)):
+            s, e = end + 1 - n, end + 1
+            if s and text[s - 1].isalnum() or text[e : e + 1].isalnum():
+                continue
+            gap = text[at:s]
+            if (last := gap.rfind("\n")) >= 0:
+                line += gap.count("\n")
+                begun = passed + len(gap[: last + 1].encode())
+            passed += len(gap.encode())
+            size = len(text[s:e].encode())
+            out.append({"real_name": name, "matched": text[s:e], "byte_start": passed, "byte_end": passed + size, "line": line, "col": passed - begun + 1})
+            at = s
+        return out
 
+    @F.pandas_udf(LEAK)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = ahocorasick.Automaton()
+        for variant, name in shared.value.items():
+            machine.add_word(variant, (len(variant), name))
+        if shared.value:
+            machine.make_automaton()
+        for batch in batches:
+            yield pd.Series([one(machine, t) if shared.value else [] for t in batch])
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, token: lower-cased runs of letters and digits (an underscore is a boundary here)."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return docs.select("doc_id", F.posexplode(words).alias("pos", "token"))
+    return docs.withColumn("leaks", find.asNondeterministic()(text))
 
 
 def leaks(docs: DataFrame, names: DataFrame, allow: list[str] | None = None) -> DataFrame:
-    """doc_id, real_name, n: whole-token occurrences of any variant that is one token."""
-    single = watched(names, allow).where(F.rlike("variant", F.lit(r"^[\p{L}\p{N}]+$")))
-    side = single.withColumnRenamed("variant", "token")
-    if names.count() * 20 <= BROADCAST_VARIANTS:
-        side = F.broadcast(side)
-    return tokens(docs).groupBy("doc_id", "token").agg(F.count("*").alias("n")).join(side, "token").groupBy("doc_id", "real_name").agg(F.sum("n").alias("n"))
+    """doc_id, real_name, n: how often each document holds a name in any spelling."""
+    found = places(docs.select("doc_id", "text"), names, allow).select("doc_id", F.explode("leaks").alias("x"))
+    return found.groupBy("doc_id", F.col("x.real_name").alias("real_name")).agg(F.count("*").alias("n"))
 
 
 def top_leaks(found: DataFrame, n: int) -> DataFrame:

@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 from twinframe.functions import spans
 
 MARKER = "<<REDACTED:"
-#: Rule, pattern, confidence. Earlier rules win where spans start at one place. Written without look-around.
+#: Rule, pattern, confidence, what every match holds. Earlier rules win where spans start at one place. Written without look-around.
 RULES = (
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----", "high"),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "high"),
-    ("github_token", r"gh[pousr]_[A-Za-z0-9]{30,}", "high"),
-    ("aws_access_key_id", r"AKIA[0-9A-Z]{16}", "high"),
-    ("api_key", r"sk_(?:live|test)_[A-Za-z0-9]{16,}", "high"),
-    ("connection_string", r"[a-z][a-z0-9+]*://[^\s:/@]+:[^\s:/@]+@[^\s]+", "high"),
-    ("hex_token", r"[0-9a-f]{40}", "high"),
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "low"),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----", "high", "-----BEGIN "),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "high", "eyJ"),
+    ("github_token", r"gh[pousr]_[A-Za-z0-9]{30,}", "high", "gh"),
+    ("aws_access_key_id", r"AKIA[0-9A-Z]{16}", "high", "AKIA"),
+    ("api_key", r"sk_(?:live|test)_[A-Za-z0-9]{16,}", "high", "sk_"),
+    ("connection_string", r"[a-z][a-z0-9+]*://[^\s:/@]+:[^\s:/@]+@[^\s]+", "high", "://"),
+    ("hex_token", r"[0-9a-f]{40}", "high", ""),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "low", "@"),
 )
 ENTROPY, LENGTH = 3.5, 20
+QUOTED = r"[:=]\s*[\"'][A-Za-z0-9+/=_.-]{20,}[\"']"
 FINDING = "s int, e int, t string, type string, confidence string"
 
 
@@ -41,8 +42,8 @@ def _ranked(rank: int, kind: str, confidence: str):
 
 def scan(text: Column) -> Column:
     """array<struct<s, e, t, type, confidence>> by start: findings in code points; earliest start, then longest, then rule order wins."""
-    found = [F.transform(spans.find(text, pattern, in_bytes=False), _ranked(rank, kind, confidence)) for rank, (kind, pattern, confidence) in enumerate(RULES)]
-    quoted = spans.find(text, r"[:=]\s*[\"'][A-Za-z0-9+/=_.-]{20,}[\"']", in_bytes=False)
+    found = [F.transform(spans.find(text, pattern, False, needle), _ranked(rank, kind, confidence)) for rank, (kind, pattern, confidence, needle) in enumerate(RULES)]
+    quoted = spans.find(text, QUOTED, in_bytes=False)
     value = F.transform(quoted, lambda x: F.struct((x["e"] - 1 - F.length(F.regexp_extract(x["t"], r"[\"'](.*)[\"']", 1))).alias("s"), (1 - x["e"]).alias("far"), F.lit(99).alias("rank"), (x["e"] - 1).alias("e"), F.regexp_extract(x["t"], r"[\"'](.*)[\"']", 1).alias("t"), F.lit("high_entropy").alias("type"), F.lit("high").alias("confidence")))
     found.append(F.filter(value, lambda x: entropy(x["t"]) >= ENTROPY))
     ordered = F.array_sort(F.concat(*found))
@@ -59,6 +60,15 @@ def blocks_export(findings: Column) -> Column:
     return F.exists(findings, lambda f: f["confidence"] == "high")
 
 
+def text_blocks_export(text: Column) -> Column:
+    """blocks_export of a text's findings; the findings are made only where a rule of high confidence matches at all."""
+    high = F.rlike(text, F.lit(QUOTED))
+    for _, pattern, confidence, needle in RULES:
+        if confidence == "high":
+            high = (F.contains(text, F.lit(needle)) & F.rlike(text, F.lit(pattern))) | high
+    return F.when(high, blocks_export(scan(text))).otherwise(F.lit(False))
+
+
 def secret_index(key: bytes):
     """Keyed hash of a secret, so that a known one is recognised and none can be looked up by guessing."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,13 +25,15 @@ def resolve(tokens: DataFrame, words: DataFrame) -> DataFrame:
     affix = "(" + "|".join(sorted(vocab.AFFIXES, key=lambda a: (-len(a), a))) + ")$"
     fuzzy = words.where("NOT ambiguous").groupBy("canonical").agg(F.min("real_name").alias("fuzzy_name"))
     stem = F.when(F.rlike("token", F.lit(affix)), F.regexp_replace("token", affix, ""))
-    d = tokens.withColumn("_canonical", fn.canonical(F.col("token"))).withColumn("_stem", fn.canonical(stem))
+    # Tokens repeat: the distinct ones are looked up, and what they are goes back to all.
+    d = tokens.select("token").distinct().withColumn("_canonical", fn.canonical(F.col("token"))).withColumn("_stem", fn.canonical(stem))
     d = d.join(words.select(F.col("alias").alias("token"), F.col("real_name").alias("_exact")), "token", "left")
     d = d.join(fuzzy.select(F.col("canonical").alias("_canonical"), F.col("fuzzy_name").alias("_fuzzy")), "_canonical", "left")
     d = d.join(fuzzy.select(F.col("canonical").alias("_stem"), F.col("fuzzy_name").alias("_by_stem")), "_stem", "left")
     kind = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_fuzzy").isNotNull(), "canonical").when(F.col("_by_stem").isNotNull(), "affix")
     d = d.withColumn("real_name", F.coalesce("_exact", "_fuzzy", "_by_stem")).withColumn("match_kind", kind)
-    return d.withColumn("unresolved", F.col("real_name").isNull() & fn.is_alias(F.col("token"))).drop("_canonical", "_stem", "_exact", "_fuzzy", "_by_stem")
+    known = d.select("token", "real_name", "match_kind", (F.col("real_name").isNull() & fn.is_alias(F.col("token"))).alias("unresolved"))
+    return tokens.join(known, "token", "left")
 
 
 def tokens_of(docs: DataFrame, id_column: str) -> DataFrame:
@@ -53,13 +56,13 @@ def restore_text(docs: DataFrame, identities: list[tuple[str, str]]) -> DataFram
         return re.sub(r"(?<![0-9])0+(?=[0-9])", "", out)
 
     @F.pandas_udf(f"restored string, unresolved array<string>, notes {NOTES}")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         exact = dict(shared.value)
         fuzzy: dict[str, str | None] = {}
         for alias, name in shared.value:
             c = canon(alias)
             fuzzy[c] = name if fuzzy.get(c, name) == name else None
-        inside = re.compile("|".join(sorted(map(re.escape, exact), key=lambda a: (-len(a), a)))) if exact else None
+        inside = re.compile(f"(?:{fn._PREFIXES})_[0-9]+")  # aliases have one shape, whatever their number
         shape = re.compile(fn.ALIAS)
         affixes = sorted(vocab.AFFIXES, key=len, reverse=True)
 
@@ -72,7 +75,7 @@ def restore_text(docs: DataFrame, identities: list[tuple[str, str]]) -> DataFram
                 return name, "fuzzy"
             if shape.match(token):
                 return token, "unresolved"
-            return inside.sub(lambda x: exact[x[0]], token) if inside else token, None
+            return inside.sub(lambda x: exact.get(x[0], x[0]), token), None
 
         def one(text):
             if text is None:
@@ -87,6 +90,7 @@ def restore_text(docs: DataFrame, identities: list[tuple[str, str]]) -> DataFram
                 line, at = line + new.count("\n"), m.end()
             return "".join(out) + text[at:], [x["token"] for x in notes if x["kind"] == "unresolved"], notes
 
-        return pd.DataFrame([one(t) for t in texts], columns=["restored", "unresolved", "notes"])
+        for texts in batches:
+            yield pd.DataFrame([one(t) for t in texts], columns=["restored", "unresolved", "notes"])
 
     return docs.withColumn("_r", run("text")).select(*docs.columns, "_r.restored", "_r.unresolved", "_r.notes")

@@ -20,3 +20,18 @@ def match_spans(found: DataFrame, labels: DataFrame) -> DataFrame:
     inside = (F.col("l.file") == F.col("f.file")) & (F.col("l.s") <= F.col("f.s")) & (F.col("f.e") <= F.col("l.e"))
     joined = found.alias("f").join(labels.alias("l"), inside, "left").groupBy("f.file", "f.s", "f.e").agg(F.max(F.col("l.gated")).alias("gated"))
     return joined.withColumn("outcome", F.when(F.col("gated"), "hit").when(F.col("gated").isNotNull(), "neutral").otherwise("false"))
+
+
+def corpus_report(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """type (null: all), tp, fp, fn, recall, precision of found spans (file, s, e, type) against labels (file, s, e, type, gated).
+
+    A gated label is found if some span lies on or in it; a span outside every label is a false alarm of its own type, one inside a label that
+    isn't gated counts for nothing.
+    """
+    spans = found.select("file", "s", "e", "type").distinct()
+    judged = match_spans(spans, labels).join(spans, ["file", "s", "e"])
+    alarms = judged.where("outcome = 'false'").select("type", F.lit(0).alias("actual"), F.lit(1).alias("predicted"))
+    wanted = labels.where("gated").select("file", "s", "e", "type").distinct()
+    inside = (F.col("f.file") == F.col("l.file")) & (F.col("l.s") <= F.col("f.s")) & (F.col("f.e") <= F.col("l.e"))
+    hit = wanted.alias("l").join(spans.select("file", "s", "e").distinct().alias("f"), inside, "left").groupBy("l.file", "l.s", "l.e", "l.type").agg(F.max(F.col("f.s").isNotNull().cast("int")).alias("predicted"))
+    return report(hit.select("type", F.lit(1).alias("actual"), "predicted").unionByName(alarms), "type")

@@ -6,10 +6,13 @@ leaves the former state. One writer at a time.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from twinframe.operators import catalog, detect, diff, gate, identity, redaction, restore
+from twinframe.operators import catalog, detect, diff, gate, identity, redaction, restore, score
 from twinframe.plans import sanitize
 
 TABLES = {
@@ -18,15 +21,59 @@ TABLES = {
     "occurrences": "uuid string, file_id bigint, byte_start int, byte_end int",
     "redactions": "file_id bigint, byte_start int, byte_end int, secret_type string, match_idx string",
     "terms": "real_name string, entity_type string",
-    "allowed": "real_name string",
+    "allowed": "number bigint, real_name string",
     "concepts": "uuid string, concept string",
     "audit": "id bigint, at timestamp, action string, count bigint",
+    "keys": "id bigint, wrapped binary",
 }
+#: Columns that are sealed in a project with a passphrase, and the columns that name their rows.
+SEALED = {"identities": ("real_name", "alias"), "terms": ("real_name", "entity_type"), "allowed": ("real_name", "number")}
+
+
+class ExportRefused(Exception):
+    """What the gate found: ``high_secrets`` credentials and ``leaks`` names are left in the twins or their paths."""
+
+    def __init__(self, high_secrets: int, leaks: int):
+        super().__init__(f"{high_secrets} secrets, {leaks} leaks")
+        self.high_secrets, self.leaks = high_secrets, leaks
 
 
 class Project:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """With a passphrase, names are stored sealed by a random key that the passphrase wraps; the catalog then opens with that alone."""
+
+    def __init__(self, spark: SparkSession, root: str, passphrase: str | None = None):
+        self.spark, self.root, self._key = spark, root.rstrip("/"), None
+        kept = self.table("keys").orderBy(F.desc("id")).first()
+        if kept is None and passphrase is not None and not self._versions("identities"):
+            self._set_key(os.urandom(32), passphrase)
+        elif kept is not None:
+            if passphrase is None:
+                raise ValueError("the catalog is sealed: it takes a passphrase")
+            self._key = catalog.unwrap_key(spark, bytes(kept.wrapped), passphrase)
+
+    def _set_key(self, key: bytes, passphrase: str) -> None:
+        self.put("keys", self.spark.createDataFrame([(1, bytearray(catalog.wrap_key(self.spark, key, passphrase)))], TABLES["keys"]))
+        self._key = key
+
+    def passphrase(self, new: str) -> None:
+        """Wraps the key anew; no table changes."""
+        if self._key is None:
+            raise ValueError("the catalog isn't sealed")
+        self._set_key(self._key, new)
+        self.log("passphrase", 1)
+
+    def rotate_key(self, passphrase: str) -> None:
+        """Seals every name by a new key. Hashes of secrets by the old one are cleared. The key is stored last: a failure leaves the old state
+        only until the first table is put, so rotate a backup's copy where that matters."""
+        if self._key is None:
+            raise ValueError("the catalog isn't sealed")
+        tables = {name: sanitize.cut(self.table(name)) for name in SEALED}
+        redactions = sanitize.cut(catalog.without_index(self.table("redactions")))
+        self._set_key(os.urandom(32), passphrase)
+        for name, df in tables.items():
+            self.put(name, df)
+        self.put("redactions", redactions)
+        self.log("rotate-key", 1)
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -41,13 +88,25 @@ class Project:
     def table(self, name: str) -> DataFrame:
         """The newest committed version; an empty table where none is."""
         have = self._versions(name)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v{have[-1]}") if have else self.spark.createDataFrame([], TABLES[name])
+        if not have:
+            return self.spark.createDataFrame([], TABLES[name])
+        df = self.spark.read.schema(self._stored(name)).parquet(f"{self.root}/{name}/v{have[-1]}")
+        return catalog.unsealed(df, name, *SEALED[name], self._key) if self._key and name in SEALED else df
+
+    def _stored(self, name: str) -> StructType:
+        """A table's schema as it is stored: sealed columns are bytes."""
+        schema = StructType.fromDDL(TABLES[name])
+        closed = SEALED[name][0] if self._key and name in SEALED else None
+        return StructType([StructField(f.name, BinaryType() if f.name == closed else f.dataType) for f in schema])
 
     def put(self, name: str, df: DataFrame) -> None:
         """Commits a new version and drops those before the last two, which readers may still hold."""
         have = self._versions(name)
         new = have[-1] + 1 if have else 1
-        df.select(*self.table(name).columns).write.mode("overwrite").parquet(f"{self.root}/{name}/v{new}")
+        df = df.select(*StructType.fromDDL(TABLES[name]).names)
+        if self._key and name in SEALED:
+            df = catalog.sealed(df, name, *SEALED[name], self._key)
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{new}")
         for old in have[:-1]:
             fs, where = self._fs(f"{self.root}/{name}/v{old}")
             fs.delete(where, True)
@@ -64,7 +123,13 @@ class Project:
         self.put("terms", catalog.upsert(self.table("terms"), row, "real_name"))
 
     def allow(self, name: str) -> None:
-        self.put("allowed", self.table("allowed").unionByName(self.spark.createDataFrame([(name,)], TABLES["allowed"])).distinct())
+        have = self.table("allowed")
+        if have.where(F.col("real_name") == name).isEmpty():
+            last = have.agg(F.max("number")).first()[0] or 0
+            self.put("allowed", have.unionByName(self.spark.createDataFrame([(last + 1, name)], TABLES["allowed"])))
+
+    def _allowed(self) -> frozenset[str]:
+        return frozenset(r.real_name for r in self.table("allowed").collect())
 
     def _terms(self) -> dict[str, str]:
         allowed = {r.real_name.lower() for r in self.table("allowed").collect()}
@@ -72,14 +137,22 @@ class Project:
 
     def scan(self, docs: DataFrame) -> DataFrame:
         """A dry run over docs (doc_id, path, text): doc_id, found, findings."""
-        return sanitize.candidates(sanitize.redacted(docs), self._terms()).select("doc_id", "found", "findings")
+        return sanitize.candidates(sanitize.redacted(docs), self._terms(), self._allowed()).select("doc_id", "found", "findings")
 
-    def export(self, docs: DataFrame, key: bytes = b"twinframe") -> DataFrame:
-        """Twins of docs: doc_id, path, twin_path, twin, outcome. Identities issued before keep their aliases; the catalog records the run."""
-        twins, known = sanitize.export(docs, self._terms(), self.table("identities"))
+    def export(self, docs: DataFrame, key: bytes, strict: bool = False) -> DataFrame:
+        """Twins of docs: doc_id, path, twin_path, twin, outcome. Identities issued before keep their aliases; the catalog records the run.
+
+        ``key`` hashes the secrets for the catalog and must be kept secret. Refuses, and records nothing, where a credential is left in a
+        twin or, if ``strict``, a known name in a twin or a path.
+        """
+        twins, known = sanitize.export(docs, self._terms(), self.table("identities"), self._allowed())
         known, twins = sanitize.cut(known), sanitize.cut(twins)
         paths = sanitize.twin_paths(docs.select("path").distinct(), known)
         out = sanitize.cut(docs.select("doc_id", "path", F.sha2("text", 256).alias("checksum")).join(twins, "doc_id").join(paths, "path", "left"))
+        left = out.select(F.explode(redaction.scan(F.coalesce("twin", F.lit("")))).alias("x")).select("x.confidence")
+        policy = gate.export_policy(left, self._leaks(out.select("doc_id", "path", F.col("twin").alias("text"), "twin_path"), known), strict).first()
+        if policy.refused:
+            raise ExportRefused(policy.high_secrets, policy.leaks)
         files = out.select(F.col("doc_id").alias("file_id"), "path", "checksum", "twin_path", "outcome")
         places = out.select(F.col("doc_id").alias("file_id"), F.explode("applied").alias("x")).select("file_id", F.col("x.s").alias("byte_start"), F.col("x.e").alias("byte_end"), F.col("x.r").alias("alias"))
         places = places.join(known.select("uuid", "alias"), "alias").drop("alias")
@@ -93,12 +166,22 @@ class Project:
         self.log("export", out.count())
         return out.select("doc_id", "path", "twin_path", "twin", "outcome")
 
+    def _leaks(self, twins: DataFrame, known: DataFrame) -> DataFrame:
+        names = known.where(F.col("entity_type").isin(*detect.vocab.IDENTITY)).select("real_name").distinct()
+        parts = [F.struct(F.lit("text").alias("part"), F.col("text").alias("t"))]
+        if "twin_path" in twins.columns:
+            parts.append(F.struct(F.lit("path").alias("part"), F.col("twin_path").alias("t")))
+        each = twins.select("doc_id", F.explode(F.array(*parts)).alias("x")).select("doc_id", "x.part", F.col("x.t").alias("text"))
+        found = gate.places(each, names, sorted(self._allowed())).select("doc_id", "part", F.explode("leaks").alias("x"))
+        return found.select("doc_id", "part", "x.*")
+
     def verify(self, twins: DataFrame) -> DataFrame:
-        """doc_id, real_name, n: the catalog's names that twins (doc_id, text) still hold. Refuses a catalog without any name."""
-        names = self.table("identities").where(F.col("entity_type").isin(*detect.vocab.IDENTITY)).select("real_name").distinct()
-        if names.isEmpty():
+        """doc_id, part (text or path), real_name, matched, byte_start, byte_end, line, col: the catalog's names that twins (doc_id, text and, if
+        there, twin_path) still hold. Refuses a catalog without any name."""
+        known = self.table("identities")
+        if known.where(F.col("entity_type").isin(*detect.vocab.IDENTITY)).isEmpty():
             raise ValueError("no names to look for: such a check can't fail")
-        return gate.leaks(twins, names, [r.real_name for r in self.table("allowed").collect()])
+        return self._leaks(twins, known)
 
     def _pairs(self) -> list[tuple[str, str]]:
         rows = self.table("identities").select("alias", "real_name").limit(sanitize.MAX_TERMS + 1).collect()
@@ -150,8 +233,26 @@ class Project:
 
     def backup(self, to: str) -> None:
         """Copies every table to another project's empty folder."""
-        other = Project(self.spark, to)
-        if any(other._versions(name) for name in TABLES):
-            raise FileExistsError(to)
-        for name in TABLES:
-            other.put(name, self.table(name))
+        copy_tables(self.spark, self.root, to)
+
+    @staticmethod
+    def restore_backup(spark: SparkSession, backup: str, root: str) -> None:
+        """Makes a catalog of a backup, in an empty folder; it opens with the passphrase that the backup had."""
+        copy_tables(spark, backup, root)
+
+    def report(self, labels: DataFrame, docs: DataFrame) -> DataFrame:
+        """Scores a dry run over docs (doc_id, path, text) against labels (see sources.labels): type (null: all), tp, fp, fn, recall, precision."""
+        found = self.scan(docs).join(docs.select("doc_id", "path"), "doc_id").select(F.col("path").alias("file"), F.explode("found").alias("x"))
+        found = found.select("file", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.type").alias("type"), F.col("x.confidence").alias("confidence"))
+        return score.corpus_report(found.where(F.col("confidence") >= detect.CONFIDENT), labels)
+
+
+def copy_tables(spark: SparkSession, source: str, to: str) -> None:
+    """Copies the newest version of every table, as it is stored, to an empty folder."""
+    old, new = Project.__new__(Project), Project.__new__(Project)
+    old.spark, old.root, new.spark, new.root = spark, source.rstrip("/"), spark, to.rstrip("/")
+    if any(new._versions(name) for name in TABLES):
+        raise FileExistsError(to)
+    for name in TABLES:
+        if have := old._versions(name):
+            spark.read.parquet(f"{old.root}/{name}/v{have[-1]}").write.parquet(f"{new.root}/{name}/v1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinframe.functions import spans, text as fn
@@ -16,10 +16,13 @@ MAX_TERMS = 300_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder, so that passes share one result; a temporary folder only where none is set."""
+    """Cuts lineage through the shared checkpoint folder, so that passes share one result. Only a local session may do without a folder's name."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="twinframe-"))
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith(("local[", "local")) or context.master.startswith("local-cluster") and not root:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="twinframe-"))
     return df.checkpoint()
 
 
@@ -29,21 +32,22 @@ def redacted(docs: DataFrame) -> DataFrame:
     return d.withColumn("source", F.col("text")).withColumn("text", redaction.redact(F.coalesce("text", F.lit("")), F.col("findings")))
 
 
-def candidates(docs: DataFrame, terms: dict[str, str] | None = None) -> DataFrame:
+def candidates(docs: DataFrame, terms: dict[str, str] | None = None, allow: frozenset[str] = frozenset()) -> DataFrame:
     """Adds found: the settled candidates of each redacted text; structural names of its format claim their spans first."""
-    d = detect.dictionary_matches(docs, terms or {})
+    d = detect.dictionary_matches(docs, terms or {}, allow)
     d = d.withColumn("parser", fn.format_of(F.coalesce("path", F.lit("")), F.col("text")))
     declared = F.transform(structure.declared("parser", "text"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["name"].alias("t"), x["type"].alias("type"), F.lit(1.0).alias("confidence")))
     d = d.withColumn("declared", declared)
-    d = d.withColumn("found", detect.settle(F.concat("declared", detect.scan_text(F.col("text"), F.col("terms"), F.col("variants"))), detect.protected(F.col("text"))))
-    return d.withColumn("found", detect.with_document_variants(F.col("text"), F.col("found")))
+    d = d.withColumn("found", detect.settle(F.concat("declared", detect.scan_text(F.col("text"), F.col("terms"), F.col("variants"), allow)), detect.protected(F.col("text"))))
+    return d.withColumn("found", detect.with_document_variants(F.col("text"), F.col("found"), allow))
 
 
 def identities(found: DataFrame, confirmed: dict[str, str] | None = None, existing: DataFrame | None = None) -> DataFrame:
     """uuid, scope_path, entity_type, real_name, number, alias of all that is to be aliased, numbered by first path and place."""
     each = found.select("path", "doc_id", F.explode("found").alias("x")).select("path", "doc_id", F.lit("file").alias("scope_path"), F.col("x.type").alias("entity_type"), F.col("x.t").alias("real_name"), F.col("x.s").alias("s"), F.col("x.confidence").alias("confidence"))
-    sure = F.col("real_name").isin(list(confirmed)) if confirmed else F.lit(False)
-    kept = each.where((F.col("confidence") >= detect.CONFIDENT) & detect.should_alias(F.col("real_name"), F.col("entity_type"), sure))
+    names = each.sparkSession.createDataFrame([(n,) for n in confirmed or {}], "_sure string")  # a dictionary's terms, as many as its automaton holds
+    each = each.join(F.broadcast(names), each["real_name"] == names["_sure"], "left")
+    kept = each.where((F.col("confidence") >= detect.CONFIDENT) & detect.should_alias(F.col("real_name"), F.col("entity_type"), F.col("_sure").isNotNull()))
     seen = identity.first_seen(kept, "path", "doc_id", "s")
     numbered = identity.allocate(seen, F.struct("place", "real_name"), existing)
     return numbered.withColumn("uuid", identity.key_of(F.col("scope_path"), F.col("entity_type"), F.col("real_name"))).drop("place")
@@ -77,27 +81,39 @@ def bytes_applied(text, edits):
     return F.concat(F.array_join(done["out"], ""), F.decode(F.substring(raw, done["at"] + 1, F.octet_length(text)), "UTF-8"))
 
 
-def export(docs: DataFrame, terms: dict[str, str] | None = None, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def export(docs: DataFrame, terms: dict[str, str] | None = None, existing: DataFrame | None = None, allow: frozenset[str] = frozenset()) -> tuple[DataFrame, DataFrame]:
     """(twins, identities) of docs (doc_id, path, text). Two passes: a name learned in any document is found in every other.
 
-    Identities issued before (``existing``) keep their aliases and are looked for as well.
+    Identities issued before (``existing``) keep their aliases and are looked for as well; names in ``allow`` stay readable.
     """
     safe = cut(redacted(docs))
-    first = identities(candidates(safe, terms), terms, existing)
+    first = identities(candidates(safe, terms, allow), terms, existing)
     first = cut(first if existing is None else existing.unionByName(first.select(*existing.columns)))
     learned = {r.real_name: r.entity_type for r in first.select("real_name", "entity_type").limit(MAX_TERMS + 1).collect()}
     if len(learned) > MAX_TERMS:
         raise ValueError("too many names for one dictionary; export by scope")
-    second = cut(candidates(safe, learned | (terms or {})))
+    second = cut(candidates(safe, learned | (terms or {}), allow))
     known = first.unionByName(identities(second, terms, first).select(*first.columns))
     return twins(second, known), known
 
 
 def twin_paths(paths: DataFrame, known: DataFrame) -> DataFrame:
-    """path, twin_path: components that are known names are aliased whole; extensions stay."""
+    """path, twin_path: components that are known names are aliased whole, known names inside other components where they stand.
+
+    The resolver's extension of the last component stays.
+    """
     parts = paths.select("path", F.posexplode(fn.components(F.col("path"))).alias("pos", "part"))
-    parts = parts.withColumn("stem", fn.split_module_stem(F.col("part"))["stem"]).withColumn("ext", fn.split_module_stem(F.col("part"))["extension"])
+    last = F.col("pos") == F.max("pos").over(Window.partitionBy("path"))
+    cut_ = F.when(last, fn.split_module_stem(F.col("part"))).otherwise(F.struct(F.col("part").alias("stem"), F.lit("").alias("extension")))
+    parts = parts.withColumn("_c", cut_).select("path", "pos", F.col("_c.stem").alias("text"), F.col("_c.extension").alias("ext"))
     names = known.select(fn.fold_name(F.col("real_name")).alias("folded"), "alias").groupBy("folded").agg(F.min("alias").alias("alias"))
-    d = parts.withColumn("folded", fn.fold_name(F.col("stem"))).join(names, "folded", "left")
-    whole = F.concat(F.coalesce("alias", "stem"), "ext")
-    return d.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", whole.alias("p")))), lambda x: x["p"]), "/").alias("twin_path"))
+    whole = parts.select("text").distinct().withColumn("folded", fn.fold_name(F.col("text"))).join(names, "folded", "left")
+    rows = known.where(fn.is_identity(F.col("entity_type"))).groupBy("real_name").agg(F.min(F.struct("entity_type", "alias")).alias("x")).limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError("too many names for one dictionary; export by scope")
+    inner = detect.dictionary_matches(whole.where("alias IS NULL").select("text"), {r.real_name: r.x.entity_type for r in rows}, variants=False)
+    hits = inner.select("text", F.explode("terms").alias("x")).join(known.select("entity_type", "real_name", F.col("alias").alias("r")), (F.col("x.type") == F.col("entity_type")) & (F.col("x.t") == F.col("real_name")))
+    edits = hits.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("x.s", "x.e", "r"))).alias("edits"))
+    twins_ = whole.join(edits, "text", "left").select("text", F.coalesce("alias", bytes_applied(F.col("text"), F.col("edits")), "text").alias("twin"))
+    d = parts.join(twins_, "text").select("path", F.struct("pos", F.concat("twin", "ext").alias("p")).alias("x"))
+    return d.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"]), "/").alias("twin_path"))

@@ -87,7 +87,7 @@ def secret_redact(spark, sf_dir):
 
 @query(f"SELECT doc_id, regexp_matches(text, '{RULES['hex_token']}') AS blocks FROM documents")
 def secret_gate(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", redaction.blocks_export(redaction.scan(F.col("text"))).alias("blocks"))
+    return t(spark, sf_dir, "documents").select("doc_id", redaction.text_blocks_export(F.col("text")).alias("blocks"))
 
 
 @query(r"""WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '[0-9a-f]{40}') AS hits, regexp_split_to_array(text, '[0-9a-f]{40}') AS gaps FROM documents),
@@ -110,11 +110,13 @@ def phrase_top(spark, sf_dir):
     return d.groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(50)
 
 
-@query(r"""WITH x AS (SELECT doc_id, text, regexp_split_to_array(text, '[0-9a-f]{40}')[1] AS before FROM documents WHERE regexp_matches(text, '[0-9a-f]{40}'))
+@query(r"""WITH m AS (SELECT doc_id, text, regexp_split_to_array(text, '[0-9a-f]{40}') AS gaps FROM documents),
+p AS (SELECT doc_id, text, gaps, unnest(range(1, len(gaps))) AS i FROM m),
+x AS (SELECT doc_id, left(text, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + 40 * (i - 1) AS BIGINT)) AS before FROM p)
 SELECT doc_id, CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS BIGINT) AS line,
        CAST(length(string_split(before, chr(10))[-1]) + 1 AS BIGINT) AS col_chars, CAST(strlen(string_split(before, chr(10))[-1]) + 1 AS BIGINT) AS col_bytes FROM x""")
 def line_col(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").select("doc_id", "text", F.get(spans.find(F.col("text"), "[0-9a-f]{40}", in_bytes=False), F.lit(0))["s"].alias("s")).where("s IS NOT NULL")
+    d = t(spark, sf_dir, "documents").select("doc_id", "text", F.explode(spans.find(F.col("text"), "[0-9a-f]{40}", in_bytes=False)).alias("x")).select("doc_id", "text", "x.s")
     return d.select("doc_id", fn.line_of(F.col("text"), F.col("s")).alias("line"), fn.column_of(F.col("text"), F.col("s")).alias("col_chars"), fn.column_of(F.col("text"), F.col("s"), True).alias("col_bytes"))
 
 
@@ -224,37 +226,53 @@ LINE_SQL = "'Pays by Stripe in ' || n_name || '; striped okta. @author Jane Okaf
 LINE = "concat('Pays by Stripe in ', n_name, '; striped okta. @author Jane Okafor\\nContact: Max Anne Berg, set ', replace(n_name, ' ', '_'), '_MAX_KEY')"
 
 
-@query(f"""WITH x AS (SELECT n_nationkey, unnest(regexp_extract_all({LINE_SQL}, '(?i)stripe|okta')) AS name FROM nation)
-SELECT n_nationkey, name, CASE WHEN lower(name) = 'stripe' THEN 'payment_provider' ELSE 'partner' END AS entity_type, count(*) AS n FROM x GROUP BY ALL""")
+NAMED_SQL = "n AS (SELECT d.doc_id, d.text || ' ' || {line} || ' ' || {word} AS text FROM documents d JOIN nation ON d.doc_id % 25 = n_nationkey)"
+NAMED_SQL = NAMED_SQL.format(line=LINE_SQL, word=PASCAL_SQL)
+
+
+def _named(spark, sf_dir):
+    """Every document with a line of names after it."""
+    d = t(spark, sf_dir, "documents").join(F.broadcast(t(spark, sf_dir, "nation")), F.col("doc_id") % 25 == F.col("n_nationkey"))
+    return d.select("doc_id", F.concat_ws(" ", "text", F.expr(LINE), F.expr(PASCAL)).alias("text"))
+
+
+@query(f"""WITH {NAMED_SQL}, x AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i){"|".join(sorted(vocab.PAYMENT_PROVIDERS + vocab.PARTNERS, key=lambda v: (-len(v), v))).replace(".", "[.]")}')) AS name FROM n)
+SELECT doc_id, name, CASE WHEN lower(name) IN ({", ".join(f"'{v.lower()}'" for v in vocab.PAYMENT_PROVIDERS)}) THEN 'payment_provider' ELSE 'partner' END AS entity_type, count(*) AS n FROM x GROUP BY ALL""")
 def vendor_match(spark, sf_dir):
-    d = t(spark, sf_dir, "nation").select("n_nationkey", F.explode(detect.vendors(F.expr(LINE))).alias("x"))
-    return d.groupBy("n_nationkey", F.col("x.t").alias("name"), F.col("x.type").alias("entity_type")).agg(F.count("*").alias("n"))
+    d = _named(spark, sf_dir).select("doc_id", F.explode(detect.vendors(F.col("text"))).alias("x"))
+    return d.groupBy("doc_id", F.col("x.t").alias("name"), F.col("x.type").alias("entity_type")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT n_nationkey, unnest(regexp_extract_all({LINE_SQL}, '(?i)(?:author|contact):?[ \\t]+((?-i:[A-Z][a-z]+(?:[ \\t]+[A-Z][a-z]+){{1,2}}))', 1)) AS name FROM nation")
+@query(f"WITH {NAMED_SQL} SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|[\\s*/#@-])(?:{'|'.join(vocab.PERSON_MARKERS)})[ \\t]*[:=@]?[ \\t]+((?-i:[A-Z][a-z]+(?:[ \\t]+[A-Z][a-z]+){{1,2}}))', 1)) AS name FROM n")
 def person_marker(spark, sf_dir):
-    return t(spark, sf_dir, "nation").select("n_nationkey", F.explode(detect.persons(F.expr(LINE))).alias("x")).select("n_nationkey", F.col("x.t").alias("name"))
+    return _named(spark, sf_dir).select("doc_id", F.explode(detect.persons(F.col("text"))).alias("x")).select("doc_id", F.col("x.t").alias("name"))
 
 
-@query("SELECT n_nationkey, unnest([n_name, n_name || '_MAX_KEY']) AS name FROM nation")
+@query(f"WITH {NAMED_SQL} SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\\b')) AS name FROM n")
 def env_var_scan(spark, sf_dir):
-    return t(spark, sf_dir, "nation").select("n_nationkey", F.explode(detect.env_vars(F.expr(LINE))).alias("x")).select("n_nationkey", F.col("x.t").alias("name"))
+    return _named(spark, sf_dir).select("doc_id", F.explode(detect.env_vars(F.col("text"))).alias("x")).select("doc_id", F.col("x.t").alias("name"))
 
 
-@query(f"WITH x AS (SELECT n_nationkey, {PASCAL_SQL} AS w FROM nation) SELECT n_nationkey, w AS name, coalesce(CASE {SUFFIX_CASE} END, 'dto') AS entity_type, CASE WHEN CASE {SUFFIX_CASE} END IS NULL THEN 0.8 ELSE 0.85 END::DOUBLE AS confidence FROM x")
+# RE2's word boundary knows ASCII letters only, so accented ones become underscores, which are no boundary either.
+@query(f"""WITH {NAMED_SQL}, x AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[\\x{{00C0}}-\\x{{024F}}]', '_', 'g'), '\\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\\b')) AS w FROM n)
+SELECT doc_id, w AS name, coalesce(CASE {SUFFIX_CASE} END, 'dto') AS entity_type, CASE WHEN CASE {SUFFIX_CASE} END IS NULL THEN 0.8 ELSE 0.85 END::DOUBLE AS confidence FROM x
+WHERE w NOT IN ({", ".join(f"'{w}'" for w in vocab.STOP_LIST)})""")
 def pascal_scan(spark, sf_dir):
-    d = t(spark, sf_dir, "nation").select("n_nationkey", F.explode(detect.compounds(F.concat(F.lit("use "), F.expr(PASCAL), F.lit(" now")))).alias("x"))
-    return d.select("n_nationkey", F.col("x.t").alias("name"), F.col("x.type").alias("entity_type"), F.col("x.confidence").alias("confidence"))
+    d = _named(spark, sf_dir).select("doc_id", F.explode(detect.compounds(F.col("text"))).alias("x"))
+    return d.select("doc_id", F.col("x.t").alias("name"), F.col("x.type").alias("entity_type"), F.col("x.confidence").alias("confidence"))
 
 
 DICT = {"the": "column", "License": "organization", "Version": "product", "Apache License": "organization"}
+# The character before and after each match decides whether it stands by itself.
+EDGES = """m AS (SELECT doc_id, regexp_extract_all(text, '{p}') AS h, regexp_split_to_array(text, '{p}') AS g FROM {d}),
+e AS (SELECT doc_id, h[i] AS w, right(coalesce(h[i - 1], '') || g[i], 1) AS a, left(g[i + 1] || coalesce(h[i + 1], ''), 1) AS z FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m))"""
 
 
-@query("""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+')) AS w FROM documents WHERE regexp_matches(text, 'GNU General'))
-SELECT doc_id, 'License' AS term, count(*) AS n FROM x WHERE w = 'License' GROUP BY doc_id""")
+@query(f"""WITH {EDGES.format(p="Apache License|License|Version|the", d="documents")}
+SELECT doc_id, w AS term, count(*) AS n FROM e WHERE CASE WHEN w = 'the' THEN NOT regexp_matches(a, '[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(z, '[\\p{{L}}\\p{{N}}_]')
+ ELSE NOT regexp_matches(a, '[\\p{{Lu}}\\p{{N}}]' ) AND (NOT regexp_matches(z, '[\\p{{L}}\\p{{N}}]') OR regexp_matches(z, '\\p{{Lu}}')) AND NOT (regexp_matches(a, '\\p{{N}}')) END GROUP BY ALL""")
 def dictionary_match(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").where(F.contains("text", F.lit("GNU General"))).select("doc_id", "text")
-    d = detect.dictionary_matches(d, {"License": "organization"}).select("doc_id", F.explode("terms").alias("x"))
+    d = detect.dictionary_matches(t(spark, sf_dir, "documents").select("doc_id", "text"), DICT, variants=False).select("doc_id", F.explode("terms").alias("x"))
     return d.groupBy("doc_id", F.col("x.t").alias("term")).agg(F.count("*").alias("n"))
 
 
@@ -350,14 +368,41 @@ def marker_count(spark, sf_dir):
     return d.select("doc_id", F.regexp_count("r", F.lit(redaction.MARKER)).cast("bigint").alias("markers"))
 
 
-LEAKS = """n AS (SELECT w AS real_name, unnest([lower(w), lower(w) || 's']) AS token FROM (SELECT unnest(['licensed', 'Apache', 'Version', 'mit', 'gnu']) AS w) WHERE w <> 'Version'),
-x AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS token FROM documents),
-k AS (SELECT doc_id, real_name, count(*) AS n FROM x JOIN n USING (token) GROUP BY ALL)"""
+GATED = ("licensed", "Apache", "Version", "mit", "gnu", "Apache License", "GNU General Public License")
+
+
+def _spelled(name: str) -> str:
+    """All spellings of a name of separate words, lower-cased, as a pattern."""
+    words = name.lower().split()
+    return "(?:" + "|".join(by.join(words) for by in ("_", "-", "[.]", " ", "")[: 5 if len(words) > 1 else 1]) + ")s?"
+
+
+WATCHED = [n for n in sorted(GATED, key=lambda n: -len(n)) if n != "Version"]  # an ordinary word isn't watched
+WHOSE = " ".join(f"WHEN regexp_full_match(w, '{_spelled(n)}') THEN '{n}'" for n in WATCHED)
+LEAKS = f"""l AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+{EDGES.format(p="|".join(map(_spelled, WATCHED)), d="l")},
+o AS (SELECT *, CASE {WHOSE} END AS real_name FROM e WHERE NOT regexp_matches(a, '[\\p{{L}}\\p{{N}}]') AND NOT regexp_matches(z, '[\\p{{L}}\\p{{N}}]')),
+k AS (SELECT doc_id, real_name, count(*) AS n FROM o GROUP BY ALL)"""
+
+
+def _gated(spark):
+    return spark.createDataFrame([(w,) for w in GATED], "real_name string")
 
 
 def _leaks(spark, sf_dir):
-    names = spark.createDataFrame([(w,) for w in ("licensed", "Apache", "Version", "mit", "gnu")], "real_name string")
-    return gate.leaks(t(spark, sf_dir, "documents"), names)
+    return gate.leaks(t(spark, sf_dir, "documents"), _gated(spark))
+
+
+@query(f"""WITH l AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, text AS original FROM documents),
+m AS (SELECT doc_id, original, regexp_extract_all(text, '{"|".join(map(_spelled, WATCHED))}') AS h, regexp_split_to_array(text, '{"|".join(map(_spelled, WATCHED))}') AS g FROM l),
+i AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m),
+e AS (SELECT doc_id, h[i] AS w, right(coalesce(h[i - 1], '') || g[i], 1) AS a, left(g[i + 1] || coalesce(h[i + 1], ''), 1) AS z,
+ left(original, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS BIGINT)) AS before FROM i)
+SELECT doc_id, CASE {WHOSE} END AS real_name, CAST(strlen(before) AS INT) AS byte_start, CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS INT) AS line,
+ CAST(strlen(string_split(before, chr(10))[-1]) + 1 AS INT) AS col FROM e WHERE NOT regexp_matches(a, '[\\p{{L}}\\p{{N}}]') AND NOT regexp_matches(z, '[\\p{{L}}\\p{{N}}]')""")
+def leak_places(spark, sf_dir):
+    d = gate.places(t(spark, sf_dir, "documents").select("doc_id", "text"), _gated(spark)).select("doc_id", F.explode("leaks").alias("x"))
+    return d.select("doc_id", "x.real_name", "x.byte_start", "x.line", "x.col")
 
 
 @query(f"WITH {LEAKS} SELECT doc_id, real_name, n FROM k")
@@ -376,9 +421,9 @@ def export_policy(spark, sf_dir):
     return gate.export_policy(found, _leaks(spark, sf_dir), True)
 
 
-@query(f"""SELECT c_name AS real_name, o_orderkey AS file_id, 'o/' || o_orderstatus || '/' || o_orderkey AS path FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 5 = 0""")
+@query(f"""SELECT c_name AS real_name, o_orderkey AS file_id, 'o/' || o_orderstatus || '/' || o_orderkey AS path FROM customer LEFT JOIN orders ON o_custkey = c_custkey""")
 def locate(spark, sf_dir):
-    ids = t(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("uuid"), F.col("c_name").alias("real_name"))
+    ids = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uuid"), F.col("c_name").alias("real_name"))
     orders = t(spark, sf_dir, "orders")
     files = orders.select(F.col("o_orderkey").alias("file_id"), F.concat(F.lit("o/"), "o_orderstatus", F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"))
     return catalog.locate(ids, orders.select(F.col("o_custkey").alias("uuid"), F.col("o_orderkey").alias("file_id")), files).select("real_name", "file_id", "path")
@@ -448,15 +493,26 @@ def format_dispatch(spark, sf_dir):
 
 @query("SELECT s_suppkey, s_name AS opened, true AS hidden FROM supplier")
 def sealed_round_trip(spark, sf_dir):
+    one, two = catalog.derive_key("one", b"salt"), catalog.derive_key("two", b"salt")
     d = t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    s = catalog.rotated(catalog.sealed(d, "supplier", "s_name", "s_suppkey", "one"), "supplier", "s_name", "s_suppkey", "one", "two").withColumn("hidden", ~F.contains(F.hex("s_name"), F.hex(F.lit("Supplier"))))
-    return catalog.unsealed(s, "supplier", "s_name", "s_suppkey", "two").select("s_suppkey", F.col("s_name").alias("opened"), "hidden")
+    s = catalog.rotated(catalog.sealed(d, "supplier", "s_name", "s_suppkey", one), "supplier", "s_name", "s_suppkey", one, two).withColumn("hidden", ~F.contains(F.hex("s_name"), F.hex(F.lit("Supplier"))))
+    return catalog.unsealed(s, "supplier", "s_name", "s_suppkey", two).select("s_suppkey", F.col("s_name").alias("opened"), "hidden")
+
+
+TERM = "GNU General Public License"
 
 
-@query()
+# The whole export where only secrets, hosts and one confirmed term occur: redacted first, then aliased in the order of path and place.
+@query(f"""WITH r AS (SELECT doc_id, 'd/' || doc_id || '.txt' AS path, regexp_replace(regexp_replace(coalesce(text, ''), '{RULES["hex_token"]}', '<<REDACTED:hex_token>>', 'g'), '{RULES["email"]}', '<<REDACTED:email>>', 'g') AS text FROM documents),
+x AS (SELECT doc_id, path, regexp_extract_all(text, '{HOST_SQL}') AS hits, regexp_split_to_array(text, '{HOST_SQL}') AS gaps FROM r),
+y AS (SELECT *, unnest(range(1, len(gaps) + 1)) AS i FROM x),
+f AS (SELECT hits[i] AS host, min((path, doc_id, i)) AS place FROM y WHERE regexp_matches(hits[i], '\\.[a-z]{{2,}}$') GROUP BY hits[i]),
+a AS (SELECT host, 'DOMAIN_' || lpad(CAST(row_number() OVER (ORDER BY place, host) AS VARCHAR), 3, '0') AS alias FROM f),
+z AS (SELECT doc_id, i, replace(gaps[i], '{TERM}', 'ORG_001') || coalesce(a.alias, hits[i], '') AS part, len(string_split(gaps[i], '{TERM}')) - 1 + (a.alias IS NOT NULL)::INT AS n FROM y LEFT JOIN a ON a.host = y.hits[i])
+SELECT doc_id, md5(string_agg(part, '' ORDER BY i)) AS twin_md5, CAST(sum(n) AS BIGINT) AS applied, CASE WHEN sum(n) = 0 THEN 'unchanged' ELSE 'not_structured' END AS outcome FROM z GROUP BY doc_id""")
 def sanitize_twin(spark, sf_dir):
     from twinframe.plans import sanitize
 
     docs = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
-    out, _ = sanitize.export(docs, {"GNU General Public License": "organization"})
+    out, _ = sanitize.export(docs, {TERM: "organization"})
     return out.select("doc_id", F.md5(F.col("twin").cast("binary")).alias("twin_md5"), F.size("applied").cast("bigint").alias("applied"), "outcome")

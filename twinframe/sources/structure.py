@@ -19,28 +19,14 @@ COUNTS = "map<string,bigint>"
 NODES = "array<struct<path:string,what:string,text:string,s:int,e:int>>"
 
 
-def markdown_lines(text: Column) -> Column:
-    """struct<fences, headings, lines, h1..h6>: headings with a title outside fenced code."""
-    start = F.struct(F.lit(False).alias("fenced"), F.lit(0).alias("fences"), *(F.lit(0).alias(f"h{k}") for k in range(1, 7)))
-
-    def step(acc, line):
-        fence = F.rlike(line, F.lit("^\\s*(```|~~~)"))
-        level = F.when(acc["fenced"] | fence, 0).otherwise(F.length(F.regexp_extract(line, r"^(#{1,6})[ \t]+\S", 1)))
-        return F.struct(
-            (acc["fenced"] != fence).alias("fenced"), (acc["fences"] + fence.cast("int")).alias("fences"),
-            *((acc[f"h{k}"] + (level == k).cast("int")).alias(f"h{k}") for k in range(1, 7)),
-        )
-
-    return F.aggregate(F.split(text, "\n"), start, step)
-
-
 def markdown_fingerprint(text: Column) -> Column:
-    s = markdown_lines(text)
-    heads = [s[f"h{k}"] for k in range(1, 7)]
-    total = heads[0]
-    for h in heads[1:]:
-        total = total + h
-    pairs = [("headings", total), ("fences", s["fences"]), ("lines", F.size(F.split(text, "\n"))), *((f"h{k}", h) for k, h in zip(range(1, 7), heads))]
+    """headings (with a title, outside fenced code), fences, lines and h1..h6."""
+    parts = F.split(text, r"(?md)^\s*(?:```|~~~)[^\n]*")  # every other part lies between two fences
+    outside = F.array_join(F.filter(parts, lambda x, i: i % 2 == 0), "\n")
+    heads = F.transform(F.regexp_extract_all(outside, F.lit(r"(?md)^(#{1,6})[ \t]+\S"), F.lit(1)), F.length)
+    pairs = [("headings", F.size(heads)), ("fences", F.size(parts) - 1), ("lines", F.size(F.split(text, "\n")))]
+    count = lambda level: F.size(F.filter(heads, lambda n: n == level))
+    pairs += [(f"h{k}", count(k)) for k in range(1, 7)]
     return F.create_map(*(x for k, v in pairs for x in (F.lit(k), v.cast("bigint"))))
 
 
