@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The examples are a bounded sample of the labelled rows; every term of theirs is indexed. A term's weight is (1 + log tf) idf, times the
-chi-squared of its document frequency between toxic and clean examples, so that terms which tell nothing hardly count; none is left out.
+chi-squared of its document frequency between toxic and clean examples, so that terms which tell nothing hardly count; none is left
+out. Of a query, the terms that together can't add 1e-6 to any cosine are passed over.
 The index cuts the examples into blocks; each term has its postings per block and its largest weight per block, so the sum over a query's
 terms bounds every cosine in a block. The blocks of highest bound are scored first, then all whose bound reaches the k-th best cosine
 found, so the k nearest are exact. Their votes, weighted by closeness, are calibrated by isotonic regression on leave-one-out votes of
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,13 @@ from pyspark.sql.types import DataType, StructType
 from twinframe.llm.common import documents, fresh, prepare, table
 
 #: Labelled rows that the index holds at most: those of smallest hash of doc_id.
-MAX_EXAMPLES = 6_000
+MAX_EXAMPLES = 2_000
 #: Neighbours, examples of a block, blocks that are scored first, and the score from which a text is predicted toxic.
 NEAREST, BLOCK, FIRST, THRESHOLD = 15, 64, 4, 0.3
 #: Added to each chi-squared, so that the terms of an uninformative sample still weigh.
 FLOOR = 1e-3
+#: What all terms that a query leaves out can add to a cosine.
+TAIL = 1e-6
 #: Toxic examples from which the calibrated vote outweighs the vote itself: with few, the fit follows chance.
 PRIOR = 300
 STEM = 5
@@ -42,8 +46,10 @@ def words(text: bytes | None) -> list[str]:
 def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All positions of the ranges one after another, and the range that each is of."""
     size = stop - start
-    of = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(of)) + np.repeat(start - np.cumsum(size) + size, size), of
+    of = np.repeat(np.arange(len(size), dtype="i4"), size)
+    at = np.repeat((start - np.cumsum(size) + size).astype("i4"), size)
+    at += np.arange(len(of), dtype="i4")
+    return at, of
 
 
 class Index:
@@ -66,14 +72,15 @@ class Index:
         weight /= np.sqrt(np.bincount(example, weight**2, n))[example]
         order = np.lexsort((example, term))
         given = term
-        self.example, self.weight, term = example[order].astype("i4"), weight[order].astype("f4"), term[order]
+        self.example, self.weight, term = example[order].astype("i8"), weight[order].astype("f4"), term[order]
         block = self.example // BLOCK
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.empty(0, int)
         self.n_blocks = -(-n // BLOCK)
-        self.block = block[first]
+        self.block = block[first].astype("i8")
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0, "f4")
-        self.postings = np.r_[first, len(term)]
-        self.entries = np.searchsorted(term[first], np.arange(len(terms) + 1))
+        self.postings = np.r_[first, len(term)].astype("i4")
+        self.entries = np.searchsorted(term[first], np.arange(len(terms) + 1)).astype("i4")
+        self.highest = np.maximum.reduceat(self.most, self.entries[:-1]) if len(terms) else np.empty(0, "f4")
         self.steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         if n > bare.sum():
             back = np.argsort(example, kind="stable")
@@ -90,6 +97,10 @@ class Index:
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, skip: int = -1, k: int = NEAREST) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine over 0; ties go to the earlier example."""
+        most = weight * self.highest[term]
+        order = np.argsort(most)
+        kept = order[np.cumsum(most[order]) > TAIL]
+        term, weight = term[kept], weight[kept]
         entry, of = ranges(self.entries[term], self.entries[term + 1])
         block, q = self.block[entry], weight[of]
         bound = np.bincount(block, q * self.most[entry], self.n_blocks)
@@ -125,8 +136,11 @@ class Index:
     def score(self, text: bytes | None) -> tuple[float, list[tuple[float, int]]]:
         if self.numbers is None:
             self.numbers = {t: k for k, t in enumerate(self.terms)}
-        known = [(self.numbers[w], n) for w, n in Counter(words(text)).items() if w in self.numbers]
-        near = self.nearest(*self.vector(*np.array(sorted(known)).T)) if known else []
+        found = Counter(words(text))
+        term = np.fromiter(map(self.numbers.get, found, repeat(-1)), int, len(found))
+        tf = np.fromiter(found.values(), int, len(found))
+        known = term >= 0
+        near = self.nearest(*self.vector(term[known], tf[known])) if known.any() else []
         if not near:
             return self.empty_rate, near
         vote, toxic = self.vote(near), self.labels.sum()
