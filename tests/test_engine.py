@@ -79,7 +79,7 @@ def test_structure(spark):
     api = "openapi: 3.0.0\ninfo:\n  title: Billing\ncomponents:\n  schemas:\n    Plan:\n      properties:\n        id: {type: string}\n"
     d = spark.createDataFrame([("sql", sql), ("plantuml", puml), ("typescript", ts), ("openapi", api), ("typescript", "class {"), ("text", "x"), ("sql", None)], "parser string, content string")
     got = [{(n.type, n.name) for n in r.x} for r in d.select(structure.declared("parser", "content").alias("x")).collect()]
-    assert got[0] == {("table", "a.users"), ("column", "id"), ("column", "org_id"), ("table", "orgs"), ("index", "ix")}
+    assert got[0] == {("table", "a"), ("table", "users"), ("column", "id"), ("column", "org_id"), ("table", "orgs"), ("index", "ix")}
     assert got[1] == {("dto", "Plan"), ("service", "Jane"), ("service", "j")}
     assert got[2] >= {("dto", "PlanDto"), ("column", "id"), ("column", "tier"), ("service", "BillingService"), ("path_segment", "plan-tier.dto")}
     assert got[3] == {("api", "Billing"), ("dto", "Plan"), ("column", "id")}
@@ -259,3 +259,21 @@ def test_words_rebuild_name(spark, parts):
     name = "".join(parts)
     words = value(spark, fn.split_words(F.col("t")), t=name)
     assert "".join(words) == "".join(c for c in name if c.isalnum())
+
+
+def test_prose_stays_in_its_regions_and_takes_the_parsers_key(spark):
+    code = 'import x from "x";\nconst PlanTier = 1; // Okta, MAX_KEY and InvoiceDto\nexport class InvoiceDto {}\nlet MIN_KEY = "MIN_KEY";\n'
+    docs = spark.createDataFrame([(1, "a.ts", code)], "doc_id long, path string, text string")
+    found = sanitize.candidates(sanitize.redacted(docs)).first().found
+    got = {(x.t, x.type, x.scope) for x in found}
+    assert ("Okta", "partner", "") in got and ("InvoiceDto", "dto", "ts::InvoiceDto") in got and ("MAX_KEY", "env_var", "") in got
+    assert not any(t == "PlanTier" for t, *_ in got) and [x.t for x in found].count("MIN_KEY") == 1 and [x.t for x in found].count("InvoiceDto") == 2
+
+
+def test_structure_keeps_its_scope(spark):
+    sql = "create table a (vendor_ref int); create table b (vendor_ref int);"
+    docs = spark.createDataFrame([(1, "a.sql", sql)], "doc_id long, path string, text string")
+    out, known = sanitize.export(docs, {"vendor_ref": "column"})
+    assert sorted((r.scope_path, r.alias) for r in known.collect()) == [("sql::a.vendor_ref", "COLUMN_001"), ("sql::b.vendor_ref", "COLUMN_002")]
+    row = out.first()
+    assert row.twin == "create table a (COLUMN_001 int); create table b (COLUMN_002 int);" and row.outcome == "verified"

@@ -22,14 +22,14 @@ PHRASE = r"\b[A-Z][a-z]{2,}(?:[ \t]+[A-Z][a-z]{2,})*\b"
 PERSON = r"(?i)(?:^|[\s*/#@-])(?:" + "|".join(vocab.PERSON_MARKERS) + r")[ \t]*[:=@]?[ \t]+((?-i:[A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){1,2}))"
 VENDOR = "(?i)" + "|".join(v.replace(".", r"\.") for v in sorted(vocab.PAYMENT_PROVIDERS + vocab.PARTNERS, key=lambda v: (-len(v), v)))
 PROTECTED = r"<<REDACTED:(?:(?!>>)[\s\S])*(?:>>|$)|(?<![A-Za-z0-9_])(?:" + fn._PREFIXES + r")_[0-9]+(?![A-Za-z0-9_])"
-CANDIDATE = "struct<s:int,e:int,t:string,type:string,confidence:double>"
+CANDIDATE = "struct<s:int,e:int,t:string,type:string,confidence:double,scope:string>"
 CONFIDENT = 0.8
 
 
 def _typed(found: Column, kind, confidence) -> Column:
     kind = kind if callable(kind) else lambda t, k=kind: F.lit(k)
     confidence = confidence if callable(confidence) else lambda t, c=confidence: F.lit(c)
-    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), kind(x["t"]).cast("string").alias("type"), confidence(x["t"]).cast("double").alias("confidence")))
+    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), kind(x["t"]).cast("string").alias("type"), confidence(x["t"]).cast("double").alias("confidence"), F.lit("").alias("scope")))
 
 
 def hosts(text: Column) -> Column:
@@ -46,7 +46,7 @@ def persons(text: Column) -> Column:
     """Names after a marker on the same line; the span is the name alone."""
     hits = spans.find(text, PERSON)
     name = lambda t: F.regexp_extract(t, PERSON, 1)
-    return F.transform(hits, lambda x: F.struct((x["e"] - F.octet_length(name(x["t"]))).alias("s"), x["e"].alias("e"), name(x["t"]).alias("t"), F.lit("person").alias("type"), F.lit(0.9).alias("confidence")))
+    return F.transform(hits, lambda x: F.struct((x["e"] - F.octet_length(name(x["t"]))).alias("s"), x["e"].alias("e"), name(x["t"]).alias("t"), F.lit("person").alias("type"), F.lit(0.9).alias("confidence"), F.lit("").alias("scope")))
 
 
 def env_vars(text: Column) -> Column:
@@ -142,7 +142,7 @@ def _bounded(text: str, s: int, e: int, identity: bool) -> bool:
 
 def _hit(text: str, s: int, e: int, kind: str, confidence: float) -> dict:
     at = len(text[:s].encode())
-    return {"s": at, "e": at + len(text[s:e].encode()), "t": text[s:e], "type": kind, "confidence": confidence}
+    return {"s": at, "e": at + len(text[s:e].encode()), "t": text[s:e], "type": kind, "confidence": confidence, "scope": ""}
 
 
 def dictionary_matches(docs: DataFrame, terms: dict[str, str], allow: frozenset[str] = frozenset(), variants: bool = True) -> DataFrame:
@@ -194,10 +194,17 @@ def _document_variants(texts: pd.Series, found: pd.Series) -> pd.Series:
     return pd.Series([one(t, x) for t, x in zip(texts, found)])
 
 
-def with_document_variants(text: Column, found: Column, allow: frozenset[str] | None = None) -> Column:
+def in_prose(offered: Column, regions: Column | None) -> Column:
+    """The candidates inside one of the regions (array<struct<s, e>>; null: everywhere), and identities wherever they are."""
+    if regions is None:
+        return offered
+    return F.filter(offered, lambda x: regions.isNull() | F.exists(regions, lambda r: (r["s"] <= x["s"]) & (x["e"] <= r["e"])) | fn.is_identity(x["type"]))
+
+
+def with_document_variants(text: Column, found: Column, allow: frozenset[str] | None = None, regions: Column | None = None) -> Column:
     """The settled candidates of a text and, where they leave room, whole-token variants of the confident ones among them."""
     more = F.pandas_udf(_document_variants, f"array<{CANDIDATE}>").asNondeterministic()(text, found)
-    return settle(unlisted(more, allow), protected(text), found)
+    return settle(in_prose(unlisted(more, allow), regions), protected(text), found)
 
 
 def should_alias(name: Column, entity_type: Column, confirmed: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinframe.functions import spans, text as fn
@@ -36,15 +36,37 @@ def candidates(docs: DataFrame, terms: dict[str, str] | None = None, allow: froz
     """Adds found: the settled candidates of each redacted text; structural names of its format claim their spans first."""
     d = detect.dictionary_matches(docs, terms or {}, allow)
     d = d.withColumn("parser", fn.format_of(F.coalesce("path", F.lit("")), F.col("text")))
-    declared = F.transform(structure.declared("parser", "text"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["name"].alias("t"), x["type"].alias("type"), F.lit(1.0).alias("confidence")))
-    d = d.withColumn("declared", declared)
-    d = d.withColumn("found", detect.settle(F.concat("declared", detect.scan_text(F.col("text"), F.col("terms"), F.col("variants"), allow)), detect.protected(F.col("text"))))
-    return d.withColumn("found", detect.with_document_variants(F.col("text"), F.col("found"), allow))
+    declared = F.transform(structure.declared("parser", "text"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["name"].alias("t"), x["type"].alias("type"), F.lit(1.0).alias("confidence"), x["scope"].alias("scope")))
+    d = d.withColumn("declared", declared).withColumn("regions", structure.regions("parser", "text"))
+    # What the parser claims stands first; prose is looked for where the format has prose at all.
+    prose = detect.scan_text(F.col("text"), F.col("terms"), F.col("variants"), allow)
+    inside = detect.in_prose(prose, F.col("regions"))
+    d = d.withColumn("found", detect.settle(F.concat("declared", inside), detect.protected(F.col("text"))))
+    d = d.withColumn("found", detect.with_document_variants(F.col("text"), F.col("found"), allow, F.col("regions")))
+    return d.withColumn("found", resolved(F.col("found"), F.col("declared"))).drop("regions")
+
+
+def resolved(found: Column, declared: Column) -> Column:
+    """Mentions in prose under the parser's own key, where it declares just one of that name and both are identities or neither is."""
+
+    def one(x):
+        keys = F.array_distinct(F.transform(F.filter(declared, lambda d: d["t"] == x["t"]), lambda d: F.struct(d["scope"], d["type"])))
+        key = F.get(keys, F.lit(0))
+        same = (x["scope"] == "") & (F.size(keys) == 1) & (fn.is_identity(key["type"]) == fn.is_identity(x["type"]))
+        kind, scope = F.when(same, key["type"]).otherwise(x["type"]), F.when(same, key["scope"]).otherwise(x["scope"])
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), kind.alias("type"), x["confidence"].alias("confidence"), scope.alias("scope"))
+
+    return F.transform(found, one)
+
+
+def scope(declared: Column) -> Column:
+    """The parser's scope, or the one of all names that no parser declares."""
+    return F.when(declared != "", declared).otherwise("file")
 
 
 def identities(found: DataFrame, confirmed: dict[str, str] | None = None, existing: DataFrame | None = None) -> DataFrame:
     """uuid, scope_path, entity_type, real_name, number, alias of all that is to be aliased, numbered by first path and place."""
-    each = found.select("path", "doc_id", F.explode("found").alias("x")).select("path", "doc_id", F.lit("file").alias("scope_path"), F.col("x.type").alias("entity_type"), F.col("x.t").alias("real_name"), F.col("x.s").alias("s"), F.col("x.confidence").alias("confidence"))
+    each = found.select("path", "doc_id", F.explode("found").alias("x")).select("path", "doc_id", scope(F.col("x.scope")).alias("scope_path"), F.col("x.type").alias("entity_type"), F.col("x.t").alias("real_name"), F.col("x.s").alias("s"), F.col("x.confidence").alias("confidence"))
     names = each.sparkSession.createDataFrame([(n,) for n in confirmed or {}], "_sure string")  # a dictionary's terms, as many as its automaton holds
     each = each.join(F.broadcast(names), each["real_name"] == names["_sure"], "left")
     kept = each.where((F.col("confidence") >= detect.CONFIDENT) & detect.should_alias(F.col("real_name"), F.col("entity_type"), F.col("_sure").isNotNull()))
@@ -56,7 +78,8 @@ def identities(found: DataFrame, confirmed: dict[str, str] | None = None, existi
 def twins(found: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, twin, applied, outcome: rewritten texts. A rewrite that changes a format's structure is given up; redactions stay."""
     each = found.select("doc_id", F.posexplode("found").alias("pos", "x")).select("doc_id", "x.*")
-    hits = each.join(known.select("entity_type", "real_name", "alias"), (F.col("type") == F.col("entity_type")) & (F.col("t") == F.col("real_name")))
+    each = each.withColumn("_scope", identity.scope_of(F.col("type"), scope(F.col("scope"))))
+    hits = each.join(known.select("scope_path", "entity_type", "real_name", "alias"), (F.col("type") == F.col("entity_type")) & (F.col("t") == F.col("real_name")) & (F.col("_scope") == F.col("scope_path")))
     plan = hits.where(F.col("confidence") >= detect.CONFIDENT).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", F.col("alias").alias("r")))).alias("edits"))
     d = found.select("doc_id", "parser", "text").join(plan, "doc_id", "left")
     chosen = spans.select(F.coalesce("edits", F.array().cast("array<struct<s:int,e:int,r:string>>")), "struct<s:int,e:int,r:string>")

@@ -1,20 +1,19 @@
-"""Structure of source artifacts: fingerprints that a rewrite must keep, and declared names with their places.
+"""Structure of source artifacts: fingerprints that a rewrite must keep, declared names with their places, and prose regions.
 
-Fingerprints are maps name -> count. Markdown, SQL and diagram counts are built-in expressions; YAML and source code, which need a
-parser with state, are pandas UDFs.
+Fingerprints are maps name -> count. Markdown's are built-in expressions; the formats that need a parser with state are pandas UDFs over
+sources.parsers.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinframe.functions import text as fn
+from twinframe.sources import parsers
 
 NAMES = "array<struct<scope:string,type:string,name:string,s:int,e:int>>"
+REGIONS = "array<struct<s:int,e:int>>"
 COUNTS = "map<string,bigint>"
 NODES = "array<struct<path:string,what:string,text:string,s:int,e:int>>"
 
@@ -35,172 +34,54 @@ def section_at(outline: Column, offset: Column) -> Column:
     return F.try_element_at(F.filter(outline, lambda h: h["s"] <= offset), F.lit(-1))["title"]
 
 
-def sql_fingerprint(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"--[^\n]*|/\*[\s\S]*?\*/", "")
-    count = lambda p: F.size(F.regexp_extract_all(bare, F.lit(p), F.lit(0))).cast("bigint")
-    pairs = {"statements": r";", "tables": r"(?i)\bcreate\s+table\b", "indexes": r"(?i)\bcreate\s+(unique\s+)?index\b", "types": r"(?i)\bcreate\s+type\b", "constraints": r"(?i)\b(primary\s+key|references|unique|check)\b"}
-    return F.create_map(*(x for k, p in pairs.items() for x in (F.lit(k), count(p))))
+_NAMES = {"sql": parsers.sql_names, "plantuml": parsers.plantuml_names, "typescript": parsers.typescript_names, "openapi": parsers.openapi_names}
+_REGIONS = {"plantuml": parsers.plantuml_regions, "typescript": parsers.typescript_regions}
+_COUNTS = {
+    "sql": parsers.sql_counts, "plantuml": parsers.plantuml_counts, "typescript": parsers.typescript_counts,
+    "openapi": parsers.openapi_counts, "yaml": parsers.yaml_counts, "json": parsers.yaml_counts,
+}
 
 
-def plantuml_fingerprint(text: Column) -> Column:
-    count = lambda p: F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0))).cast("bigint")
-    pairs = {"diagrams": r"(?m)^\s*@start", "ends": r"(?m)^\s*@end", "declarations": f"(?m){DECLARATION}", "arrows": r"[-.]+(\|?>|>>)|<(\|?[-.]+)", "braces": r"[{}]", "notes": r"(?mi)^\s*note\b", "lines": r"\n"}
-    return F.create_map(*(x for k, p in pairs.items() for x in (F.lit(k), count(p))))
+class _Bytes:
+    """Byte offsets of character offsets, asked for in ascending order or not."""
 
+    def __init__(self, text: str):
+        self.text, self.plain = text, text.isascii()
 
-# Declaration keywords of diagrams and the type each declares, longest first.
-KEYWORDS = {
-    "abstract class": "dto", "annotation": "interface", "participant": "service", "collections": "service", "rectangle": "service",
-    "component": "service", "interface": "interface", "namespace": "path_segment", "protocol": "interface", "boundary": "service",
-    "database": "table", "abstract": "dto", "artifact": "service", "usecase": "endpoint", "storage": "service", "control": "service",
-    "package": "path_segment", "folder": "path_segment", "object": "dto", "struct": "dto", "entity": "dto", "actor": "service",
-    "queue": "event", "frame": "service", "cloud": "service", "agent": "service", "class": "dto", "card": "service", "node": "service",
-    "enum": "enum",
-}
-DECLARATION = r"^[ \t]*(" + "|".join(KEYWORDS) + r")[ \t]+(?:\"([^\"]+)\"(?:[ \t]+as[ \t]+(\w+))?|(\w[\w.]*))"
-
-
-def _bytes(text: str, at: int) -> int:
-    return len(text[:at].encode())
-
-
-def _row(text: str, scope: str, kind: str, m: re.Match, group) -> dict:
-    return {"scope": scope, "type": kind, "name": m[group], "s": _bytes(text, m.start(group)), "e": _bytes(text, m.end(group))}
-
-
-def _plantuml(text: str) -> list[dict]:
-    return [_row(text, "puml", KEYWORDS[m[1]], m, g) for m in re.finditer(DECLARATION, text, re.M) for g in (2, 3, 4) if m[g]]
-
-
-def _sql(text: str) -> list[dict]:
-    out = []
-    for m in re.finditer(r"create\s+table\s+(?:if\s+not\s+exists\s+)?([\w.]+)\s*\(", text, re.I):
-        table = m[1]
-        out.append(_row(text, f"sql::{table}", "table", m, 1))
-        depth, at, item = 1, m.end(), m.end()
-        while at < len(text) and depth:
-            c = text[at]
-            depth += (c == "(") - (c == ")")
-            if depth == 1 and c == "," or not depth:
-                col = re.compile(r"\s*(\w+)\s+\w").match(text, item, at)
-                if col and col[1].lower() not in ("primary", "foreign", "unique", "check", "constraint"):
-                    out.append(_row(text, f"sql::{table}.{col[1]}", "column", col, 1))
-                for ref in re.compile(r"references\s+([\w.]+)", re.I).finditer(text, item, at):
-                    out.append(_row(text, f"sql::{ref[1]}", "table", ref, 1))
-                item = at + 1
-            at += 1
-        if depth:
-            return []  # doesn't parse: nothing is claimed
-    for pattern, kind in ((r"create\s+(?:unique\s+)?index\s+(?:if\s+not\s+exists\s+)?(\w+)\s+on\b", "index"), (r"create\s+type\s+(\w+)", "enum")):
-        out += [_row(text, f"sql::{m[1]}", kind, m, 1) for m in re.finditer(pattern, text, re.I)]
-    return out
-
-
-def _blank(text: str) -> str | None:
-    """Source code with comments and strings blanked out; null if a string, comment or bracket isn't closed."""
-    out, stack, at = list(text), [], 0
-    token = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[\s\S]")
-    while at < len(text):
-        m = token.match(text, at)
-        t = m[0]
-        if len(t) > 1:
-            out[at : m.end()] = [c if c == "\n" else " " for c in t]
-        elif t in "\"'`":
-            return None
-        elif t in "([{":
-            stack.append(t)
-        elif t in ")]}" and (not stack or stack.pop() != "([{"[")]}".index(t)]):
-            return None
-        at = m.end()
-    return None if stack else "".join(out)
-
-
-def _typescript(text: str) -> list[dict]:
-    bare = _blank(text)
-    if bare is None:
-        return []
-    out = []
-    kinds = {"class": "service", "function": "service", "interface": "dto", "type": "dto", "enum": "enum"}
-    suffixes = sorted(fn.vocab.TYPED_SUFFIXES, key=lambda s: -len(s[0]))
-    for m in re.finditer(r"\b(class|function|interface|type|enum)\s+([A-Za-z_$][\w$]*)", bare):
-        kind = next((k for s, k in suffixes if m[2].endswith(s) and len(m[2]) > len(s)), kinds[m[1]])
-        out.append(_row(text, "ts", kind, m, 2))
-        if m[1] == "interface" and (body := re.compile(r"[^{]*\{([^{}]*)\}").match(bare, m.end())):
-            out += [_row(text, "ts::property", "column", p, 1) for p in re.compile(r"(?:^|[;,\n{])\s*(?:readonly\s+)?([A-Za-z_$][\w$]*)\??\s*:").finditer(bare, body.start(1) - 1, body.end(1))]
-    for m in re.finditer(r"\bfrom\s*[\"']([^\"']+)[\"']", text):
-        if m[1].startswith("."):
-            out += [{"scope": "path", "type": "path_segment", "name": p[0], "s": _bytes(text, m.start(1) + p.start()), "e": _bytes(text, m.start(1) + p.end())} for p in re.finditer(r"[^./][^/]*", m[1])]
-    return sorted(out, key=lambda r: r["s"])
-
-
-def _nodes(text: str) -> list[tuple[str, str, str, int, int]] | None:
-    """(path, key or value, text, start, end) of a YAML or JSON document; null if it doesn't parse."""
-    import yaml
-
-    out = []
-
-    def walk(node, path):
-        if isinstance(node, yaml.MappingNode):
-            for k, v in node.value:
-                here = f"{path}.{k.value}" if path else str(k.value)
-                out.append((here, "key", str(k.value), k.start_mark.index, k.end_mark.index))
-                walk(v, here)
-        elif isinstance(node, yaml.SequenceNode):
-            for i, v in enumerate(node.value):
-                walk(v, f"{path}[{i}]")
-        elif node is not None:
-            out.append((path, "value", str(node.value), node.start_mark.index, node.end_mark.index))
-
-    try:
-        for doc in yaml.compose_all(text, Loader=yaml.SafeLoader):
-            walk(doc, "")
-    except yaml.YAMLError:
-        return None
-    return out
-
-
-def _openapi(text: str) -> list[dict]:
-    rules = ((r"info\.title$", "value", "api"), (r"components\.schemas\.[^.]+$", "key", "dto"), (r"\.properties\.[^.]+$", "key", "column"), (r"\.operationId$", "value", "endpoint"), (r"\.parameters\[\d+\]\.name$", "value", "column"), (r"\.required\[\d+\]$", "value", "column"))
-    out = []
-    for path, what, name, s, e in _nodes(text) or []:
-        kind = next((k for p, w, k in rules if w == what and re.search(p, path)), None)
-        quoted = text[s : s + 1] in "\"'" and text[s : s + 1] != ""
-        if kind:
-            out.append({"scope": f"openapi::{path}", "type": kind, "name": name, "s": _bytes(text, s + quoted), "e": _bytes(text, e - quoted)})
-        elif what == "value" and path.endswith(".$ref"):
-            tail = name.rsplit("/", 1)[-1]
-            at = e - quoted - len(tail)
-            out.append({"scope": f"openapi::components.schemas.{tail}", "type": "dto", "name": tail, "s": _bytes(text, at), "e": _bytes(text, at + len(tail))})
-    return sorted(out, key=lambda r: r["s"])
-
-
-_PARSERS = {"sql": _sql, "plantuml": _plantuml, "typescript": _typescript, "openapi": _openapi}
+    def __call__(self, at: int) -> int:
+        return at if self.plain else len(self.text[:at].encode())
 
 
 def _declared(parser: pd.Series, content: pd.Series) -> pd.Series:
     """Declared names by format; markdown, text, yaml and json declare none. What doesn't parse declares nothing."""
-    return pd.Series([_PARSERS.get(p, lambda _: [])(c or "") for p, c in zip(parser, content)])
+
+    def one(p, c):
+        at = _Bytes(c or "")
+        return [{"scope": scope, "type": kind, "name": name, "s": at(s), "e": at(e)} for scope, kind, name, s, e in _NAMES.get(p, lambda _: [])(c or "")]
+
+    return pd.Series([one(p, c) for p, c in zip(parser, content)])
+
+
+def _regions(parser: pd.Series, content: pd.Series) -> pd.Series:
+    def one(p, c):
+        found, at = _REGIONS[p](c or "") if p in _REGIONS else None, _Bytes(c or "")
+        return None if found is None else [{"s": at(s), "e": at(e)} for s, e in found]
+
+    return pd.Series([one(p, c) for p, c in zip(parser, content)])
 
 
 def _node_lists(content: pd.Series) -> pd.Series:
     """The node index of YAML and JSON with dotted paths and byte offsets; null if it doesn't parse."""
-    return pd.Series([None if (n := _nodes(c or "")) is None else [{"path": p, "what": w, "text": t, "s": _bytes(c, s), "e": _bytes(c, e)} for p, w, t, s, e in n] for c in content])
 
+    def one(c):
+        found, at = parsers.nodes(c or ""), _Bytes(c or "")
+        return None if found is None else [{"path": p, "what": w, "text": t, "s": at(s), "e": at(e)} for p, w, t, s, e in found]
 
-def _code_counts(parser: pd.Series, content: pd.Series) -> pd.Series:
-    """Counts for yaml, json, openapi and typescript; null if the content doesn't parse."""
+    return pd.Series([one(c) for c in content])
 
-    def one(p, c):
-        if p in ("yaml", "json", "openapi"):
-            n = _nodes(c or "")
-            return None if n is None else {"keys": sum(x[1] == "key" for x in n), "scalars": sum(x[1] == "value" for x in n), "depth": max((x[0].count(".") + 1 for x in n), default=0)}
-        bare = _blank(c or "")
-        if bare is None:
-            return None
-        words = ("class", "function", "interface", "type", "enum", "import", "export")
-        return {w: len(re.findall(rf"\b{w}\b", bare)) for w in words} | {"braces": bare.count("{")}
 
-    return pd.Series([one(p, c) for p, c in zip(parser, content)])
+def _code_counts(parser: pd.Series, content: pd.Series) -> pd.Series:
+    return pd.Series([_COUNTS[p](c or "") if p in _COUNTS else None for p, c in zip(parser, content)])
 
 
 # The functions below make their UDFs when called, so that importing needs no session; non-deterministic ones aren't inlined into the
@@ -213,13 +94,19 @@ def nodes(content: Column | str) -> Column:
     return F.pandas_udf(_node_lists, NODES).asNondeterministic()(content)
 
 
+def regions(parser: Column | str, content: Column | str) -> Column:
+    """Where prose may stand: comments and strings of code, a diagram's lines but for the renderer's; null where all of a text is prose."""
+    return F.pandas_udf(_regions, REGIONS).asNondeterministic()(parser, content)
+
+
 def code_fingerprint(parser: Column | str, content: Column | str) -> Column:
     return F.pandas_udf(_code_counts, COUNTS)(parser, content)
 
 
 def fingerprint(parser: Column, content: Column) -> Column:
-    coded = F.when(parser.isin("yaml", "json", "openapi", "typescript"), code_fingerprint(parser, content))
-    return F.when(parser == "markdown", markdown_fingerprint(content)).when(parser == "sql", sql_fingerprint(content)).when(parser == "plantuml", plantuml_fingerprint(content)).otherwise(coded)
+    """The counts of a format; null for plain text and for what doesn't parse."""
+    coded = F.when(parser.isin(*_COUNTS), code_fingerprint(parser, content))
+    return F.when(parser == "markdown", markdown_fingerprint(content)).otherwise(coded)
 
 
 def differences(before: Column, after: Column) -> Column:
