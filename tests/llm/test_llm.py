@@ -242,6 +242,34 @@ def test_overlaps_of_scattered_substitutions_and_short_items(spark):
     assert got[5, 3] == (1, 2, 2) and (6, 3) not in got and not any(i == 4 for _, i in got)
 
 
+def test_every_overlap_of_substituted_passages_is_found(spark):
+    """Recall against brute force over passages with 5 to 20 % of their words substituted."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    items = [[word() for _ in range(rng.randrange(12, 60))] for _ in range(60)]
+    texts = []
+    for k in range(300):
+        item = items[k % 60]
+        rate = rng.choice((0.05, 0.1, 0.15, 0.2))
+        texts.append(" ".join([*(word() for _ in range(15)), *(word() if rng.random() < rate else w for w in item), *(word() for _ in range(15))]))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.overlaps(docs(spark, texts), bench).collect()}
+    want = {(k, k % 60) for k, t in enumerate(texts) if brute_leak(t, [items[k % 60]])}
+    assert want <= got and len(want) > 250
+    assert all(brute_leak(texts[d], [items[i]]) for d, i in got)
+
+
+def test_overlaps_of_odd_rows(spark, monkeypatch):
+    bench = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(20))), (0, "x y"), (None, "alone here"), (3, None)], "item_id long, text string")
+    hit = " ".join(f"w{i}" for i in range(20))
+    table = docs(spark, [hit, "clean", None, "x y", "alone here", LONG + " " + hit, "", hit, "other"], [1, 1, None, None, None, 7, 8, None, None])
+    want = [(1, 0), (7, 0), (None, 0), (None, None)]
+    for limit in (500_000, 0):
+        monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", limit)
+        assert sorted(((r.doc_id, r.item_id) for r in decontamination.overlaps(table, bench).collect()), key=str) == sorted(want, key=str)
+    assert decontamination.overlaps(docs(spark, []), bench).count() == 0
+
+
 def test_overlaps_join_without_broadcast(spark, monkeypatch):
     bench = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
     table = docs(spark, ["x y " + " ".join(f"w{i}" for i in range(20)), "none"])
