@@ -103,10 +103,17 @@ def test_tree(spark, tmp_path):
     (tmp_path / "src/a.ts").write_text("class A {}")
     (tmp_path / "b.bin").write_bytes(b"a\0b")
     (tmp_path / "skip.log").write_text("x")
+    (tmp_path / ".gitignore").write_text("# no\n*.tmp\n!keep.tmp\n/out\n")
+    (tmp_path / "out").mkdir()
+    for name in ("x.tmp", "src/keep.tmp", "out/y.md"):
+        (tmp_path / name).write_text("x")
     got = {r.path: (r.is_text, r.parser) for r in tree.scan(spark, str(tmp_path), ["*.log"]).collect()}
-    assert got == {"src/a.ts": (True, "typescript"), "b.bin": (False, None)}
+    assert got == {"src/a.ts": (True, "typescript"), "b.bin": (False, None), "src/keep.tmp": (True, "text")}
     out = f"file://{tmp_path}/twin"
-    tree.write_tree(spark.createDataFrame([("x/y.txt", "é")], "p string, c string"), out, "p", "c").collect()
+    with pytest.raises(Exception):
+        tree.write_tree(spark.createDataFrame([("x/y.txt", "é"), ("../z", "")], "p string, c string"), out, "p", "c")
+    assert not list(tmp_path.glob("twin*"))
+    assert tree.write_tree(spark.createDataFrame([("x/y.txt", "é")], "p string, c string"), out, "p", "c") == (1, 2)
     assert (tmp_path / "twin/x/y.txt").read_text() == "é"
     with pytest.raises(FileExistsError):
         tree.write_tree(spark.createDataFrame([("x", "y")], "p string, c string"), out, "p", "c")
@@ -233,6 +240,12 @@ def test_sealed_project(spark, tmp_path):
     q.rotate_key("third")
     assert {r.real_name for r in project.Project(spark, root, "third").table("identities").collect()} == {"Vantor"}
     assert q.table("redactions").first().match_idx is None
+    blob = q.escrow("code")
+    with pytest.raises(ValueError):
+        project.Project.open_escrow(spark, root, blob, "other", "x")
+    assert project.Project.open_escrow(spark, root, blob, "code", "fourth").where("vantor").count() == 1
+    project.Project(spark, root, "fourth").passphrase("third")
+    assert {(r.kind, r.name) for r in q.context().collect()} == {("name", "Vantor"), ("folded", "vantor")}
     q.backup(f"file://{tmp_path}/copy")
     project.Project.restore_backup(spark, f"file://{tmp_path}/copy", f"file://{tmp_path}/again")
     assert project.Project(spark, f"file://{tmp_path}/again", "third").where("vantor").count() == 1

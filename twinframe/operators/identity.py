@@ -86,5 +86,15 @@ def resolve(existing: DataFrame, alias: str, name: str, entity_type: str, scope:
     return existing.unionByName(row.select(*(c for c in row.columns if c in existing.columns)), allowMissingColumns=True)
 
 
+def context(identities: DataFrame) -> DataFrame:
+    """kind (member, name, folded), name: what a project knows, for readers of one file: its field names, all names, and their folded forms."""
+    kinds = F.array(
+        F.struct(F.when(F.col("entity_type") == "column", "member").alias("kind"), F.col("real_name").alias("name")),
+        F.struct(F.lit("name").alias("kind"), F.col("real_name").alias("name")),
+        F.struct(F.lit("folded").alias("kind"), fn.fold_name(F.col("real_name")).alias("name")),
+    )
+    return identities.select(F.explode(kinds).alias("x")).select("x.kind", "x.name").where("kind IS NOT NULL").distinct()
+
+
 def type_counts(rows: DataFrame, column: str = "entity_type") -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))

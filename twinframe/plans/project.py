@@ -62,6 +62,26 @@ class Project:
         self._set_key(self._key, new)
         self.log("passphrase", 1)
 
+    def escrow(self, code: str) -> bytes:
+        """The key wrapped by a recovery code, to be kept apart from the catalog."""
+        if self._key is None:
+            raise ValueError("the catalog isn't sealed")
+        self.log("escrow", 1)
+        return catalog.wrap_key(self.spark, self._key, code)
+
+    @staticmethod
+    def open_escrow(spark: SparkSession, root: str, blob: bytes, code: str, passphrase: str) -> Project:
+        """Opens a catalog whose passphrase is lost, by what ``escrow`` gave, and sets a new passphrase."""
+        p = Project.__new__(Project)
+        p.spark, p.root, p._key = spark, root.rstrip("/"), catalog.unwrap_key(spark, blob, code)
+        if p._versions("identities"):
+            p.table("identities").agg(F.count("real_name")).first()  # fails for the key of another catalog
+        p._set_key(p._key, passphrase)
+        return p
+
+    def context(self) -> DataFrame:
+        return identity.context(self.table("identities"))
+
     def rotate_key(self, passphrase: str) -> None:
         """Seals every name by a new key. Hashes of secrets by the old one are cleared. The key is stored last: a failure leaves the old state
         only until the first table is put, so rotate a backup's copy where that matters."""

@@ -316,6 +316,12 @@ def rekey(spark, sf_dir):
     return identity.rekey(_identities(spark, sf_dir)).select("c_custkey", "new_alias", "changed")
 
 
+@query("""WITH i AS (SELECT p_name AS real_name, CASE WHEN p_size % 2 = 0 THEN 'column' ELSE 'table' END AS t FROM part)
+SELECT 'name' AS kind, real_name AS name FROM i UNION SELECT 'member', real_name FROM i WHERE t = 'column' UNION SELECT 'folded', lower(regexp_replace(real_name, '[^A-Za-z0-9]', '', 'g')) FROM i""")
+def context_build(spark, sf_dir):
+    return identity.context(t(spark, sf_dir, "part").select(F.col("p_name").alias("real_name"), F.expr("CASE WHEN p_size % 2 = 0 THEN 'column' ELSE 'table' END").alias("entity_type")))
+
+
 @query(f"SELECT {KIND} AS entity_type, count(*) AS n FROM customer GROUP BY ALL")
 def type_counts(spark, sf_dir):
     return identity.type_counts(_customers(spark, sf_dir))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.functions import text as fn
@@ -13,18 +14,42 @@ MAX_BYTES = 5 * 1024 * 1024
 SNIFF = 8192
 
 
+#: Files at a tree's root whose lines are ignore patterns.
+IGNORE_FILES = (".gitignore", ".twinframeignore")
+
+
+def ignore_lines(root: str) -> list[str]:
+    """The patterns of the root's ignore files, in order; a later one overrides an earlier one, and ``!`` takes one back."""
+    import pyarrow.fs as pafs
+
+    fs, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    lines = []
+    for name in IGNORE_FILES:
+        if fs.get_file_info(f"{base}/{name}").type == pafs.FileType.File:
+            with fs.open_input_stream(f"{base}/{name}") as f:
+                lines += [x for x in f.read().decode().splitlines() if x.strip() and not x.startswith("#")]
+    return lines
+
+
+def ignored(path: Column, lines: list[str]) -> Column:
+    out = F.lit(False)
+    for line in lines:
+        out = F.when(F.rlike(path, F.lit(_regex(line.removeprefix("!").rstrip()))), not line.startswith("!")).otherwise(out)
+    return out
+
+
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
     """path, size, modified, is_text, checksum, parser, content (null if binary) of files up to 5 MiB, outside ignored paths.
 
-    Ignore patterns are few and become one predicate; the size filter reaches the file source.
+    Ignore patterns, those given and those of the root's ignore files, are few and become one predicate; the size filter reaches the
+    file source.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MAX_BYTES)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), "^" + base + "/", "")
     d = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     d = d.where(~F.rlike("path", F.lit(r"(^|/)\.(git|twinframe)/")))
-    for pattern in ignore or []:
-        d = d.where(~F.rlike("path", F.lit(_regex(pattern))))
+    d = d.where(~ignored(F.col("path"), [*ignore_lines(root), *(ignore or [])]))
     binary = F.locate("00", F.hex(F.substring("content", 1, SNIFF)))
     nul = F.exists(F.sequence(F.lit(0), F.least(F.length("content"), F.lit(SNIFF)) - 1), lambda i: F.substring("content", i + 1, F.lit(1)) == F.unhex(F.lit("00")))
     d = d.withColumn("is_text", ~((F.length("content") > 0) & (binary > 0) & nul))
@@ -39,32 +64,43 @@ def _regex(pattern: str) -> str:
     return ("^" if anchored else "(^|/)") + body + "(/|$)"
 
 
-def write_tree(df: DataFrame, root: str, path_column: str, content_column: str) -> DataFrame:
-    """Writes each row's content to root/path from the executors; returns path, bytes. Refuses an existing root.
+def write_tree(df: DataFrame, root: str, path_column: str, content_column: str) -> tuple[int, int]:
+    """Writes each row's content to root/path from the executors; returns how many files and bytes. Refuses an existing root.
 
-    A retried task writes the same files again.
+    All or nothing: files are staged beside the root, which gets its name when all are there. A retried task writes the same files again.
     """
     import pyarrow.fs as pafs
 
     fs, base = pafs.FileSystem.from_uri(root)
     if fs.get_file_info(base).type != pafs.FileType.NotFound:
         raise FileExistsError(root)
+    stage = f"{base}.{uuid.uuid4().hex}"
 
     def write(batches):
         import pandas as pd
 
-        fs, base = pafs.FileSystem.from_uri(root)
+        fs, _ = pafs.FileSystem.from_uri(root)
         for batch in batches:
             sizes = []
             for path, content in zip(batch["path"], batch["content"]):
+                if ".." in path.split("/"):
+                    raise ValueError(f"{path} leaves the tree")
                 data = content if isinstance(content, bytes) else (content or "").encode()
-                fs.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
-                with fs.open_output_stream(f"{base}/{path}") as out:
+                fs.create_dir(f"{stage}/{path}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{stage}/{path}") as out:
                     out.write(data)
                 sizes.append(len(data))
-            yield pd.DataFrame({"path": batch["path"], "bytes": sizes})
-
-    return df.select(F.col(path_column).alias("path"), F.col(content_column).alias("content")).mapInPandas(write, "path string, bytes long")
+            yield pd.DataFrame({"bytes": sizes})
+
+    fs.create_dir(stage, recursive=True)
+    try:
+        done = df.select(F.col(path_column).alias("path"), F.col(content_column).alias("content")).mapInPandas(write, "bytes long")
+        files, total = done.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        fs.move(stage, base)
+    except BaseException:
+        fs.delete_dir(stage)
+        raise
+    return files, total
 
 
 def restore_paths(files: DataFrame, catalog: DataFrame) -> DataFrame:
