@@ -290,3 +290,28 @@ def test_structure_keeps_its_scope(spark):
     assert sorted((r.scope_path, r.alias) for r in known.collect()) == [("sql::a.vendor_ref", "COLUMN_001"), ("sql::b.vendor_ref", "COLUMN_002")]
     row = out.first()
     assert row.twin == "create table a (COLUMN_001 int); create table b (COLUMN_002 int);" and row.outcome == "verified"
+
+
+def test_phrases(spark):
+    text = "The Nimbus Labs team met. Vantor went. * Okapi\nwith Okapi Group and TypeScript by Contact"
+    assert [(x.t, x.confidence) for x in value(spark, detect.phrases(F.col("t")), t=text)] == [("Okapi Group", 0.35)]
+
+
+def test_conflicts_and_protected_regions(spark):
+    kind = "array<struct<s:int,e:int,t:string,type:string,confidence:double,scope:string>>"
+    row = spark.createDataFrame([([(0, 9, "BigStripe", "dto", 0.9, ""), (3, 9, "Stripe", "partner", 0.9, ""), (0, 9, "BigStripe", "enum", 0.9, ""), (4, 6, "tr", "organization", 0.9, ""), (20, 24, "kept", "column", 0.9, "")], [(18, 21, "x")])], f"o {kind}, g array<struct<s:int,e:int,t:string>>")
+    got = row.select(detect.settle(F.col("o"), F.col("g")).alias("x")).first().x
+    assert [(x.t, x.type) for x in got] == [("BigStripe", "dto"), ("Stripe", "partner")]
+    text = "see <<REDACTED:email>> and ORG_001 or <<REDACTED:open"
+    assert [x.t for x in value(spark, detect.protected(F.col("t")), t=text)] == ["<<REDACTED:email>>", "ORG_001", "<<REDACTED:open"]
+
+
+def test_a_rewrite_that_breaks_structure_is_given_up(spark):
+    sql = "create table vantor (a int);"
+    docs = spark.createDataFrame([(1, "a.sql", sql, sql, "sql", [(13, 19, "vantor", "organization", 1.0, "")])], f"doc_id long, path string, text string, source string, parser string, found array<{detect.CANDIDATE}>")
+    known = spark.createDataFrame([("identity", "organization", "vantor", "ORG_001"), ("identity", "organization", "other", "ORG_002")], "scope_path string, entity_type string, real_name string, alias string")
+    assert sanitize.twins(docs, known).first()[1:] == ("create table ORG_001 (a int);", [(13, 19, "ORG_001")], "verified")
+    broken = known.withColumn("alias", F.lit("x (b int); create table y"))
+    assert sanitize.twins(docs, broken).first()[1:] == (sql, [], "structure_changed")
+    unclosed = known.withColumn("alias", F.lit("x ("))
+    assert sanitize.twins(docs, unclosed).first()[1:] == (sql, [], "twin_did_not_parse")
