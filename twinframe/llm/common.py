@@ -21,7 +21,7 @@ BATCH_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the Arrow batches; texts have no length limit, so the default of 10,000 rows could fill a worker.
+    """Bounds the rows of Arrow batches, whose bytes Spark bounds (64 MB): the lists that workers make of a batch take several times its size.
 
     Workers find this package where the driver found it (on a cluster: installed, or sent with --py-files).
     """
