@@ -315,3 +315,16 @@ def test_a_rewrite_that_breaks_structure_is_given_up(spark):
     assert sanitize.twins(docs, broken).first()[1:] == (sql, [], "structure_changed")
     unclosed = known.withColumn("alias", F.lit("x ("))
     assert sanitize.twins(docs, unclosed).first()[1:] == (sql, [], "twin_did_not_parse")
+
+
+def test_token_spans_overlap_and_extensions(spark):
+    got = lambda text, word, ignore=False: [(x.s, x.e, x.t) for x in value(spark, spans.find_token(F.col("t"), word, ignore), t=text)]
+    assert got("a-a-a b_a a", "a-a") == [(0, 3, "a-a"), (2, 5, "a-a")] and got("é Plan plan PLAN_x plan", "plan", True) == [(3, 7, "Plan"), (8, 12, "plan"), (20, 24, "plan")]
+    assert got("İ plan Plan", "plan", True) == [(3, 7, "plan")] and got("", "x") == [] and got("x", "xy") == []
+    parts = [tuple(value(spark, fn.split_extension(F.col("t")), t=t)) for t in ("a.b.c", ".env", "x", "y.", ".a.b")]
+    assert parts == [("a.b", ".c"), (".env", ""), ("x", ""), ("y", "."), (".a", ".b")]
+
+
+def test_more_secret_rules(spark):
+    text = 'AWS_SECRET_ACCESS_KEY = "' + "aB3/" * 10 + '" whsec_abcdefghijklmnop Bearer abcdefghij.klmnopqrst k="your-api-key-goes-here-1234567890"'
+    assert [x.type for x in value(spark, redaction.scan(F.col("t")), t=text)] == ["aws_secret_access_key", "webhook_secret", "bearer"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,30 @@ def find(text: Column, pattern: str, in_bytes: bool = True, needle: str = "") ->
     return F.when(F.contains(text, F.lit(needle)) & there if needle else there, F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast(SPAN))
 
 
+def find_token(text: Column, word: str, ignore_case: bool = False) -> Column:
+    """array<struct<s, e, t>> in bytes: where a word stands as a whole token (an underscore is part of one); hits may overlap each other.
+
+    Where a text's lower-cased form differs in length, case isn't ignored.
+    """
+    part, quoted = r"[\p{L}\p{N}_]", re.sub(r"([^\w\s])", r"\\\1", word)
+
+    def hits(flags: str) -> Column:
+        ahead = f"{flags}(?<!{part})(?={quoted}(?!{part}))"  # of no width, so that hits may overlap
+        gaps = F.split(text, ahead, -1)
+        words = F.regexp_extract_all(text, F.lit(f"{flags}(?<!{part})(?=({quoted})(?!{part}))"), F.lit(1))
+        first = F.rlike(text, F.lit(f"{flags}^{quoted}(?!{part})"))  # a split never makes an empty first part
+        inner = F.slice(gaps, F.lit(1), F.size(gaps) - 1)
+        none = F.array().cast("array<int>")
+        begins = F.aggregate(inner, F.when(first, F.array(F.lit(0))).otherwise(none), lambda acc, g: F.concat(acc, F.array(F.octet_length(g))))
+        places = F.aggregate(begins, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out")))["out"]
+        found = F.zip_with(places, words, lambda s, t: F.struct(s.alias("s"), (s + F.octet_length(t)).alias("e"), t.alias("t")))
+        return F.when(F.rlike(text, F.lit(ahead)), found).otherwise(F.array().cast(SPAN))
+
+    if not ignore_case:
+        return hits("")
+    return F.when(F.octet_length(F.lower(text)) == F.octet_length(text), hits("(?iu)")).otherwise(hits(""))
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return (a["s"] < b["e"]) & (b["s"] < a["e"])
 

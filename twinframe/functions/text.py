@@ -99,6 +99,13 @@ def split_module_stem(component: Column) -> Column:
     return F.struct(F.when(hit, F.regexp_extract(component, pattern, 1)).otherwise(component).alias("stem"), F.when(hit, F.regexp_extract(component, pattern, 2)).otherwise("").alias("extension"))
 
 
+def split_extension(component: Column) -> Column:
+    """struct<stem, extension>: cut at the last dot, which belongs to the extension; a name that only begins with a dot has none."""
+    pattern = r"(?s)^(.+)(\.[^.]*)$"
+    hit = F.rlike(component, F.lit(pattern))
+    return F.struct(F.when(hit, F.regexp_extract(component, pattern, 1)).otherwise(component).alias("stem"), F.when(hit, F.regexp_extract(component, pattern, 2)).otherwise("").alias("extension"))
+
+
 def components(path: Column) -> Column:
     return F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: p != "")
 

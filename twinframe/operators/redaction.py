@@ -20,11 +20,16 @@ RULES = (
     ("aws_access_key_id", r"AKIA[0-9A-Z]{16}", "high", "AKIA"),
     ("api_key", r"sk_(?:live|test)_[A-Za-z0-9]{16,}", "high", "sk_"),
     ("connection_string", r"[a-z][a-z0-9+]*://[^\s:/@]+:[^\s:/@]+@[^\s]+", "high", "://"),
+    ("webhook_secret", r"whsec_[A-Za-z0-9]{16,}", "high", "whsec_"),
+    ("bearer", r"[Bb]earer [A-Za-z0-9._~+/-]{20,}=*", "high", "earer "),
+    ("aws_secret_access_key", r"(?i)aws_?secret_?access_?key[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9/+]{40}", "high", ""),
     ("hex_token", r"[0-9a-f]{40}", "high", ""),
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "low", "@"),
 )
 ENTROPY, LENGTH = 3.5, 20
 QUOTED = r"[:=]\s*[\"'][A-Za-z0-9+/=_.-]{20,}[\"']"
+#: Quoted values that stand for a secret without being one.
+PLACEHOLDER = r"(?i)example|placeholder|change_?me|dummy|your[_-]|x{4,}|\*{4,}"
 FINDING = "s int, e int, t string, type string, confidence string"
 
 
@@ -45,7 +50,7 @@ def scan(text: Column) -> Column:
     found = [F.transform(spans.find(text, pattern, False, needle), _ranked(rank, kind, confidence)) for rank, (kind, pattern, confidence, needle) in enumerate(RULES)]
     quoted = spans.find(text, QUOTED, in_bytes=False)
     value = F.transform(quoted, lambda x: F.struct((x["e"] - 1 - F.length(F.regexp_extract(x["t"], r"[\"'](.*)[\"']", 1))).alias("s"), (1 - x["e"]).alias("far"), F.lit(99).alias("rank"), (x["e"] - 1).alias("e"), F.regexp_extract(x["t"], r"[\"'](.*)[\"']", 1).alias("t"), F.lit("high_entropy").alias("type"), F.lit("high").alias("confidence")))
-    found.append(F.filter(value, lambda x: entropy(x["t"]) >= ENTROPY))
+    found.append(F.filter(value, lambda x: (entropy(x["t"]) >= ENTROPY) & ~F.rlike(x["t"], F.lit(PLACEHOLDER))))
     ordered = F.array_sort(F.concat(*found))
     chosen = spans.select(ordered, "struct<s:int,far:int,rank:int,e:int,t:string,type:string,confidence:string>")
     return F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), x["type"].alias("type"), x["confidence"].alias("confidence")))

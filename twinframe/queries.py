@@ -482,6 +482,22 @@ def path_components(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", F.array_join(fn.components(F.regexp_replace("url", "^[a-z]+://", "")), "|").alias("components"))
 
 
+@query(r"""WITH x AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda p: p <> '')[-1] AS c FROM pages)
+SELECT page_id, CASE WHEN regexp_full_match(c, '.+\.[^.]*') THEN regexp_extract(c, '^(.+)(\.[^.]*)$', 1) ELSE c END AS stem, regexp_extract(c, '^.+(\.[^.]*)$', 1) AS extension FROM x""")
+def path_extension(spark, sf_dir):
+    last = F.element_at(fn.components(F.regexp_replace("url", "^[a-z]+://", "")), -1)
+    return t(spark, sf_dir, "pages").select("page_id", fn.split_extension(last).alias("x")).select("page_id", "x.stem", "x.extension")
+
+
+@query(r"""WITH m AS (SELECT doc_id, regexp_extract_all(lower(text), 'license') AS h, regexp_split_to_array(lower(text), 'license') AS g, text FROM documents WHERE strlen(lower(text)) = strlen(text)),
+i AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m)
+SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: strlen(x))) + 7 * (i - 1) AS INT) AS s FROM i
+WHERE NOT regexp_matches(right(g[i], 1), '[\p{L}\p{N}_]') AND NOT regexp_matches(left(g[i + 1], 1), '[\p{L}\p{N}_]') AND (g[i] <> '' OR i = 1) AND (g[i + 1] <> '' OR i = len(h))""")
+def token_spans(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").where(F.octet_length(F.lower("text")) == F.octet_length("text"))
+    return d.select("doc_id", F.explode(spans.find_token(F.col("text"), "License", True)).alias("x")).select("doc_id", "x.s")
+
+
 @query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'src/a/dto/x' || n_nationkey WHEN 1 THEN 'src/y' || n_nationkey || '.dto' WHEN 2 THEN NULL ELSE NULL END AS module FROM nation""")
 def resolve_import(spark, sf_dir):
     spec = F.expr("CASE n_nationkey % 4 WHEN 0 THEN concat('./dto/x', n_nationkey, '.ts') WHEN 1 THEN concat('../y', n_nationkey, '.dto') WHEN 2 THEN 'rxjs' ELSE '../../../up' END")
