@@ -310,7 +310,8 @@ def deduplicated(docs: DataFrame, threshold: int) -> DataFrame:
     row = fresh("row", docs)
     every = numbered(docs, row)
     found = written(near_groups(every.select(F.col(row).alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias(row), "component_id"), "groups")
-    several = found.where(F.col(row) != F.col("component_id")).select("component_id").distinct()
+    # A table of its own: next to an aggregate in the same stage, the rows of a very large group couldn't be split.
+    several = written(found.where(F.col(row) != F.col("component_id")).select("component_id").distinct(), "several")
     members = found.join(several, "component_id").join(every.select(row, F.col("doc_id").cast("long").alias("own_id")), row)
     stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull(), "own_id", F.col(row).alias("number"))).alias("x")).select(F.col("x.number").alias(row))
     return without(every, members.select(row).join(stays, row, "left_anti"), row)
