@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from twinframe.llm import (
+    common,
     components,
     decontamination,
     exact_dedup,
@@ -514,6 +515,15 @@ def test_stages_judge_each_row_by_its_own_text(spark, tables):
         assert filtered(spark, name, [], tables) == []
 
 
+def test_rows_of_a_scan_keep_their_numbers(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(7).write.parquet(f"{tmp_path}/d")
+    scan = spark.read.parquet(f"{tmp_path}/d")
+    one, two = common.numbered(scan, "n"), common.numbered(scan, "n")
+    a = {r.doc_id: r.n for r in one.select("doc_id", "n").collect()}
+    assert "twinframe" not in "".join(one.inputFiles()) and a == {r.doc_id: r.n for r in two.collect()} == {r.doc_id: r.n for r in one.where(F.length("text") >= 0).collect()}
+    assert "twinframe" in "".join(common.numbered(scan.repartition(3), "n").inputFiles())
+
+
 def brute_leak(text, items):
     """Whether an aligned segment of ten words, or of a shorter item's length, has 0.8 of its words equal."""
     t = re.findall(r"[^\W_]+", (text or "").lower())

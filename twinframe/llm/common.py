@@ -82,8 +82,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, column: str) -> DataFrame:
-    """The rows as a table in the shared folder, with a number of their own that stays the same in every later reading."""
-    return written(df.withColumn(column, F.monotonically_increasing_id()), "rows")
+    """The rows with a number of their own that stays the same in every later reading.
+
+    A plain scan of files splits and orders its rows alike each time, whatever columns are read, so their place in it is the number;
+    anything else is written to the shared folder first.
+    """
+    rows = df.withColumn(column, F.monotonically_increasing_id())
+    nodes = set(re.findall(r"^[^A-Za-z\n]*([A-Za-z]+)", df._jdf.queryExecution().executedPlan().toString(), re.M))
+    plain = "FileScan" in nodes and nodes <= {"FileScan", "ColumnarToRow", "Project", "Filter"}
+    return rows if plain else written(rows, "rows")
 
 
 #: Up to so many row numbers (8 bytes each) are broadcast.

@@ -182,7 +182,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     to any other. Rows that repeat a doc_id and a text share one outcome. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    rows = numbered(digests(docs.select("doc_id", "text")), "row")  # 60 bytes a document: the texts are read once
+    rows = digests(docs.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows, "digests")  # 60 bytes a document: the texts are read once
     group = groups(rows, rows.count()).select("digest", "keep_id", "group_size")
     return rows.join(group, "digest", "left").select(
         "doc_id",
