@@ -410,6 +410,14 @@ def test_nearest_is_exact():
         assert [s for s, _ in near] == pytest.approx([-s for s, _ in want], abs=1e-5)
 
 
+def test_toxicity_score_stays_within_1():
+    rng = random.Random(4)
+    index = toxicity.Index(np.arange(20), np.ones(20, int), ["a"], np.arange(20), np.zeros(20, int), np.ones(20, int))
+    for n in (1, 2, 15):
+        votes = [index.vote([(rng.random(), rng.randrange(20)) for _ in range(n)]) for _ in range(500)]
+        assert max(votes) == 1
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(5, 1, 1), (None, 1, 1), (6, None, 1)], "doc_id long, toxic int, score int")
     assert toxicity.toxicity(docs(spark, ODD), labels).count() == len(ODD)

@@ -131,7 +131,7 @@ class Index:
         if not near:
             return self.empty_rate
         weights = [1 / (1.05 - min(s, 1.0)) for s, _ in near]
-        return float(sum(w * self.labels[i] for w, (_, i) in zip(weights, near)) / sum(weights))
+        return min(1.0, float(sum(w * self.labels[i] for w, (_, i) in zip(weights, near)) / sum(weights)))
 
     def score(self, text: bytes | None) -> tuple[float, list[tuple[float, int]]]:
         if self.numbers is None:
@@ -144,7 +144,7 @@ class Index:
         if not near:
             return self.empty_rate, near
         vote, toxic = self.vote(near), self.labels.sum()
-        return float((toxic * np.interp(vote, *self.steps) + PRIOR * vote) / (toxic + PRIOR)), near
+        return min(1.0, float((toxic * np.interp(vote, *self.steps) + PRIOR * vote) / (toxic + PRIOR))), near
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
