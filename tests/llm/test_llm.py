@@ -410,6 +410,48 @@ def test_nearest_is_exact():
         assert [s for s, _ in near] == pytest.approx([-s for s, _ in want], abs=1e-5)
 
 
+def test_nearest_of_texts_together(monkeypatch):
+    """Cosines by brute force in double precision, for texts scored at once, one by one and with few postings read at a time."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefgh\u00e9\u0142") for _ in range(rng.randrange(2, 10))) for _ in range(4000)]
+    said = [" ".join(vocabulary[min(int(rng.paretovariate(0.5)), 4000) - 1] for _ in range(rng.randrange(0, 250))) for _ in range(700)]
+    labels = np.array([int(k % 9 == 0) for k in range(700)])
+    texts = [(t + " vile" * (k % 3 + 1) if y else t).encode() for k, (t, y) in enumerate(zip(said, labels))]
+    tf = [Counter(toxicity.words(t)) for t in texts]
+    terms = sorted({w for c in tf for w in c})
+    at = {w: k for k, w in enumerate(terms)}
+    flat = np.array([(k, at[w], n) for k, c in enumerate(tf) for w, n in c.items()])
+    index = toxicity.Index(np.arange(700), labels, terms, *flat.T)
+    assert 0 < len(index.long) < len(terms)
+    queries = [None, b"", b"vile", b"unknown", *(b" ".join(texts[k : k + 2]) + b" vile" * (k % 2) for k in range(0, 300, 2))]
+
+    def vectors(counts):
+        out = np.zeros((len(counts), len(terms)))
+        for k, c in enumerate(counts):
+            for w in c.keys() & at.keys():
+                out[k, at[w]] = (1 + math.log(c[w])) * index.factor[at[w]]
+        return out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-300)
+
+    want = vectors([Counter(toxicity.words(t)) for t in queries]) @ vectors(tf).T
+    together = index.scores(queries)
+    for k, cosines in enumerate(want):
+        best = np.sort(cosines[cosines > 0])[::-1][: toxicity.NEAREST]
+        assert together[3][together[1] == k] == pytest.approx(best, abs=1e-7)
+    monkeypatch.setattr(toxicity, "POSTINGS", 2_000)
+    apart = index.scores(queries)
+    assert all((a == b).all() for a, b in zip(together, apart))
+    for k, (score, near) in enumerate(map(index.score, queries)):
+        mine = together[1] == k
+        assert score == together[0][k] and near == list(zip(together[3][mine], together[2][mine]))
+
+
+def test_toxicity_words_of_any_character():
+    every = "".join(map(chr, range(0xD800)))
+    for text in ["a" + "a".join(every[:256]), "B".join(every[:256]), "x ".join(every), "Caf\u00e9_na\u00efve\u00a0\u0130stanbul\x1cEnd\x85abcdefg"]:
+        found = re.findall(r"[^\W_]+", text.lower())
+        assert toxicity.words(text.encode()) == found + [w[:5] + "~" for w in found if len(w) > 5]
+
+
 def test_toxicity_score_stays_within_1():
     rng = random.Random(4)
     index = toxicity.Index(np.arange(20), np.ones(20, int), ["a"], np.arange(20), np.zeros(20, int), np.ones(20, int))

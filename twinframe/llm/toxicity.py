@@ -2,17 +2,21 @@
 
 The examples are a bounded sample of the labelled rows; every term of theirs is indexed. A term's weight is (1 + log tf) idf, times the
 chi-squared of its document frequency between toxic and clean examples, so that terms which tell nothing hardly count; none is left
-out. Of a query, the terms that together can't add 1e-6 to any cosine are passed over.
-The index cuts the examples into blocks; each term has its postings per block and its largest weight per block, so the sum over a query's
-terms bounds every cosine in a block. The blocks of highest bound are scored first, then all whose bound reaches the k-th best cosine
-found, so the k nearest are exact. Their votes, weighted by closeness, are calibrated by isotonic regression on leave-one-out votes of
-the examples, shrunk towards the vote itself where toxic examples are few. A text without any of the terms takes the rate of the examples that have none.
+out, of the examples or of a query.
+The index cuts the examples into blocks. The lists of rare terms are read whole. The lists of frequent terms, which have most of the
+postings that a text meets, are kept by block with their largest weight there: what the rare terms gave and the sum of those weights
+bound every cosine in a block. The blocks of highest bound are scored first, then all whose bound reaches the k-th best cosine found, so
+the k nearest are exact. Several texts share the reading of a block, as a matrix product in single precision; what comes within its
+rounding error of the k-th best is summed again in double precision.
+The neighbours' votes, weighted by closeness, are calibrated by isotonic regression on leave-one-out votes of the examples, shrunk
+towards the vote itself where toxic examples are few. A text without any of the terms takes the rate of the examples that have none.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -29,17 +33,32 @@ MAX_EXAMPLES = 2_000
 NEAREST, BLOCK, FIRST, THRESHOLD = 15, 64, 4, 0.3
 #: Added to each chi-squared, so that the terms of an uninformative sample still weigh.
 FLOOR = 1e-3
-#: What all terms that a query leaves out can add to a cosine.
-TAIL = 1e-6
+#: A list is kept by block if so large a share of the examples have its term, for so many terms at most.
+LONG, MAX_LONG = 0.05, 2_048
+#: Texts that are scored at once, and postings of rare terms that are read at once (unless a single text has more).
+TEXTS, POSTINGS = 64, 1_000_000
 #: Toxic examples from which the calibrated vote outweighs the vote itself: with few, the fit follows chance.
 PRIOR = 300
 STEM = 5
 WORD = r"[^\W_]+"
 
 
+#: The characters of one byte in Latin-1, with a space in place of those that are in no word.
+LATIN = bytes(c if re.match(WORD, chr(c)) else 32 for c in range(256))
+
+
+def tokens(text: bytes | None) -> list[str]:
+    """Words in lower case."""
+    lower = (text or b"").decode().lower()
+    try:
+        return lower.encode("latin-1").translate(LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return re.findall(WORD, lower)
+
+
 def words(text: bytes | None) -> list[str]:
     """Words, and the beginnings of longer ones with a mark, since inflected and compound words share their stem."""
-    found = re.findall(WORD, (text or b"").decode().lower())
+    found = tokens(text)
     return found + [w[:STEM] + "~" for w in found if len(w) > STEM]
 
 
@@ -53,13 +72,12 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Index:
-    """Examples as unit vectors over all their terms: ids, labels and, by term and block, postings and largest weights."""
+    """Examples as unit vectors over all their terms: ids, labels and the postings of each term."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, terms: list[str], example: np.ndarray, term: np.ndarray, tf: np.ndarray):
         """``example``, ``term`` and ``tf`` are parallel: which example has which term how often. Examples are numbered as in ``ids``."""
         self.ids, self.labels = ids, labels.astype("f8")
         self.terms = terms
-        self.numbers: dict[str, int] | None = None
         n, toxic = len(ids), self.labels.sum()
         bare = np.ones(n, bool)
         bare[example] = False
@@ -68,83 +86,175 @@ class Index:
         spread = df * (n - df) * toxic * (n - toxic)
         chi2 = np.divide(n * (a * n - df * toxic) ** 2, spread, out=np.zeros(len(terms)), where=spread > 0)
         self.factor = (np.log((1 + n) / (1 + df)) + 1) * (chi2 + FLOOR)
-        weight = (1 + np.log(tf)) * self.factor[term]
-        weight /= np.sqrt(np.bincount(example, weight**2, n))[example]
+        order = np.lexsort((term, example))
+        example, term = example[order], term[order]
+        own = self.unit(example, term, tf[order], n)
         order = np.lexsort((example, term))
-        given = term
-        self.example, self.weight, term = example[order].astype("i8"), weight[order].astype("f4"), term[order]
-        block = self.example // BLOCK
-        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.empty(0, int)
-        self.n_blocks = -(-n // BLOCK)
-        self.block = block[first].astype("i8")
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0, "f4")
-        self.postings = np.r_[first, len(term)].astype("i4")
-        self.entries = np.searchsorted(term[first], np.arange(len(terms) + 1)).astype("i4")
-        self.highest = np.maximum.reduceat(self.most, self.entries[:-1]) if len(terms) else np.empty(0, "f4")
+        self.example, self.weight = example[order].astype("i4"), own[order].astype("f4")
+        self.starts = np.r_[0, np.cumsum(df)]
+        often = np.argsort(-df, kind="stable")[:MAX_LONG]
+        #: Terms whose lists are kept by block.
+        self.long = np.sort(often[df[often] >= max(LONG * n, 1)])
         self.steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         if n > bare.sum():
-            back = np.argsort(example, kind="stable")
-            cuts = np.searchsorted(example[back], np.arange(n + 1))
-            own = [back[a:b] for a, b in zip(cuts, cuts[1:])]
-            held = np.flatnonzero(~bare).tolist()
-            votes = np.array([self.vote(self.nearest(*self.vector(given[own[k]], tf[own[k]]), skip=k)) for k in held])
-            self.steps = isotonic(votes, self.labels[held])
-
-    def vector(self, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct term numbers and their weights, of length 1."""
+            votes = self.votes(*self.nearest(example, term, own, n, skip=np.arange(n)), n)
+            self.steps = isotonic(votes[~bare], self.labels[~bare])
+
+    def __getstate__(self) -> dict:
+        """Workers derive anew what follows from the postings, so that only those are broadcast."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "stems", "places", "rows", "most")}
+
+    @cached_property
+    def numbers(self) -> dict[str, int]:
+        return {t: k for k, t in enumerate(self.terms)}
+
+    @cached_property
+    def stems(self) -> np.ndarray:
+        """The number of each word's beginning, or -1."""
+        get = self.numbers.get
+        return np.array([get(t[:STEM] + "~", -1) if len(t) > STEM and t[-1] != "~" else -1 for t in self.terms], int)
+
+    @cached_property
+    def places(self) -> np.ndarray:
+        """The column of each term in ``rows``, or -1."""
+        at = np.full(len(self.terms), -1)
+        at[self.long] = np.arange(len(self.long))
+        return at
+
+    @cached_property
+    def rows(self) -> np.ndarray:
+        """Weights of the long lists, a row for each example; the last block is filled up with zeros."""
+        at, of = ranges(self.starts[self.long], self.starts[self.long + 1])
+        out = np.zeros((-(-len(self.ids) // BLOCK) * BLOCK, len(self.long)), "f4")
+        out[self.example[at], of] = self.weight[at]
+        return out
+
+    @cached_property
+    def most(self) -> np.ndarray:
+        """Largest weight of each long list in each block."""
+        return self.rows.reshape(len(self.rows) // BLOCK, BLOCK, len(self.long)).max(1)
+
+    def unit(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
+        """Weights of the terms of ``n`` texts, each text's vector of length 1."""
         w = (1 + np.log(tf)) * self.factor[term]
-        return term, w / np.sqrt((w * w).sum())
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, skip: int = -1, k: int = NEAREST) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a cosine over 0; ties go to the earlier example."""
-        most = weight * self.highest[term]
-        order = np.argsort(most)
-        kept = order[np.cumsum(most[order]) > TAIL]
-        term, weight = term[kept], weight[kept]
-        entry, of = ranges(self.entries[term], self.entries[term + 1])
-        block, q = self.block[entry], weight[of]
-        bound = np.bincount(block, q * self.most[entry], self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        score = np.zeros(len(self.ids))
-        done = np.zeros(self.n_blocks, bool)
-
-        def add(blocks: np.ndarray) -> None:
-            done[blocks] = True
-            chosen = np.zeros(self.n_blocks, bool)
-            chosen[blocks] = True
-            here = chosen[block]
-            at, e = ranges(self.postings[entry[here]], self.postings[entry[here] + 1])
-            np.add(score, np.bincount(self.example[at], q[here][e] * self.weight[at], len(score)), out=score)
-            if skip >= 0:
-                score[skip] = 0
-
-        add(order[:FIRST])
-        least = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        add(np.flatnonzero((bound > 0) & (bound >= least - 1e-6) & ~done))
-        top = np.flatnonzero(score > 0)
-        if len(top) > k:
-            top = top[score[top] >= np.partition(score[top], -k)[-k]]
-        top = top[np.lexsort((top, -score[top]))][:k]
-        return list(zip(score[top].tolist(), top.tolist()))
+        return w / np.sqrt(np.bincount(doc, w * w, n))[doc]
+
+    def counted(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, term and frequency of the known terms, in that order, as ``words`` gives them."""
+        get = self.numbers.get
+        number: list[int] = []
+        tf: list[int] = []
+        sizes = []
+        more: list[tuple[int, int, int]] = []  # beginnings of unknown words
+        for k, text in enumerate(texts):
+            found = Counter(tokens(text))
+            here = list(map(get, found, repeat(-1)))
+            number += here
+            tf += found.values()
+            sizes.append(len(here))
+            more += [(k, get(w[:STEM] + "~", -1), c) for (w, c), i in zip(found.items(), here) if i < 0 and len(w) > STEM]
+        term, doc, n = np.array(number, int), np.repeat(np.arange(len(texts)), sizes), np.array(tf, int)
+        stem = np.where(term >= 0, self.stems[term], -1) if len(self.terms) else term
+        doc2, stem2, n2 = np.array(more, int).reshape(-1, 3).T
+        doc, term, n = np.r_[doc, doc, doc2], np.r_[term, stem, stem2], np.r_[n, n, n2]
+        known = np.flatnonzero(term >= 0)
+        key = doc[known] * len(self.terms) + term[known]
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else order
+        doc, term = np.divmod(key[first], max(len(self.terms), 1))
+        return doc, term, np.add.reduceat(n[known][order], first) if len(key) else n[:0]
+
+    def nearest(
+        self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, skip: np.ndarray | None = None, k: int = NEAREST
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, example and cosine of the k nearest of each text with a cosine over 0, nearest first; ties go to the smaller id.
+
+        ``doc`` (of ``n``), ``term`` and ``weight`` are the texts' vectors in order of text; ``skip`` names an example for each that doesn't count.
+        """
+        reads = np.where(self.places[term] < 0, self.starts[term + 1] - self.starts[term], 0)
+        cost = np.cumsum(np.bincount(doc, reads, n))
+        parts = []
+        start = 0
+        while start < n and len(self.ids):
+            before = cost[start - 1] if start else 0
+            stop = min(start + TEXTS, max(start + 1, int(np.searchsorted(cost, before + POSTINGS, "right"))))
+            a, b = np.searchsorted(doc, [start, stop])
+            text, example, cosine = self._nearest(doc[a:b] - start, term[a:b], weight[a:b], stop - start, None if skip is None else skip[start:stop], k)
+            parts.append((text + start, example, cosine))
+            start = stop
+        if not parts:
+            return np.empty(0, int), np.empty(0, int), np.empty(0)
+        text, example, cosine = map(np.concatenate, zip(*parts))
+        return text, example, cosine
+
+    def _nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, skip: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        width = len(self.rows)
+        place = self.places[term]
+        short, far = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
+        at, of = ranges(self.starts[term[short]], self.starts[term[short] + 1])
+        key = self.example[at] + (doc[short] * width)[of]
+        rare = np.bincount(key, weight[short][of] * self.weight[at], n * width).reshape(n, width).astype("f8")
+        if skip is not None:
+            rare[np.arange(n), skip] = -np.inf
+        query = np.zeros((n, len(self.long)), "f4")
+        query[doc[far], place[far]] = weight[far]
+        cuts = np.searchsorted(doc[far], np.arange(n + 1))
+        error = (np.diff(cuts) + 2) * 2.0**-23  # bounds the relative rounding error of a product in single precision, twice over
+        bound = (rare.reshape(n, -1, BLOCK).max(2) + query @ self.most.T) * (1 + error)[:, None]
+        score = rare.copy()
+        done = np.zeros(bound.shape, bool)
+
+        def add(todo: np.ndarray) -> None:
+            np.logical_or(done, todo, out=done)
+            for b in np.flatnonzero(todo.any(0)):
+                texts, examples = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                score[texts, examples] += query[texts] @ self.rows[examples].T
+
+        def least() -> np.ndarray:
+            kth = np.partition(score, -k, 1)[:, -k] if width > k else np.zeros(n)
+            return np.maximum(kth * (1 - error), 0)
+
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, 1)[:, :FIRST], True, 1)
+        add(first)
+        add((bound > 0) & (bound >= least()[:, None]) & ~done)
+        text, example = np.nonzero((score > 0) & (score * (1 + error)[:, None] >= least()[:, None]))
+        cosine = rare[text, example]
+        ends = np.searchsorted(text, np.arange(n + 1))
+        for t in np.flatnonzero((np.diff(ends) > 0) & (np.diff(cuts) > 0)).tolist():
+            here, own = slice(ends[t], ends[t + 1]), far[cuts[t] : cuts[t + 1]]
+            products = self.rows.take((example[here] * len(self.long))[:, None] + place[own]) * weight[own]
+            cosine[here] += products.sum(1)
+        order = np.lexsort((self.ids[example], -cosine, text))
+        order = order[np.arange(len(order)) - ends[text] < k]
+        return text[order], example[order], cosine[order]
+
+    def votes(self, text: np.ndarray, example: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
+        """Share of toxic ones among the neighbours of each of ``n`` texts, by closeness; the rate of bare examples without neighbours."""
+        w = 1 / (1.05 - np.minimum(cosine, 1))
+        total = np.bincount(text, w, n)
+        out = np.full(n, self.empty_rate)
+        np.divide(np.bincount(text, w * self.labels[example], n), total, out=out, where=total > 0)
+        return np.minimum(out, 1)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        if not near:
-            return self.empty_rate
-        weights = [1 / (1.05 - min(s, 1.0)) for s, _ in near]
-        return min(1.0, float(sum(w * self.labels[i] for w, (_, i) in zip(weights, near)) / sum(weights)))
+        """The vote of the (cosine, example) of one text's neighbours."""
+        return float(self.votes(np.zeros(len(near), int), np.array([i for _, i in near], int), np.array([s for s, _ in near]), 1)[0])
+
+    def scores(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The score of each text; text, example and cosine of the neighbours."""
+        n = len(texts)
+        doc, term, tf = self.counted(texts)
+        text, example, cosine = self.nearest(doc, term, self.unit(doc, term, tf, n), n)
+        vote, toxic = self.votes(text, example, cosine, n), self.labels.sum()
+        score = np.minimum((toxic * np.interp(vote, *self.steps) + PRIOR * vote) / (toxic + PRIOR), 1)
+        return np.where(np.bincount(text, minlength=n) > 0, score, self.empty_rate), text, example, cosine
 
     def score(self, text: bytes | None) -> tuple[float, list[tuple[float, int]]]:
-        if self.numbers is None:
-            self.numbers = {t: k for k, t in enumerate(self.terms)}
-        found = Counter(words(text))
-        term = np.fromiter(map(self.numbers.get, found, repeat(-1)), int, len(found))
-        tf = np.fromiter(found.values(), int, len(found))
-        known = term >= 0
-        near = self.nearest(*self.vector(term[known], tf[known])) if known.any() else []
-        if not near:
-            return self.empty_rate, near
-        vote, toxic = self.vote(near), self.labels.sum()
-        return min(1.0, float((toxic * np.interp(vote, *self.steps) + PRIOR * vote) / (toxic + PRIOR))), near
+        """The score of one text, and (cosine, example) of its neighbours."""
+        score, _, example, cosine = self.scores([text])
+        return float(score[0]), list(zip(cosine.tolist(), example.tolist()))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,15 +306,15 @@ def scored(docs: DataFrame, index: Index, score: str = "score", evidence: str |
     def run(batches):
         model = shared.value
         for batch in batches:
-            scores, why = [], []
-            for t in batch.column("text").cast(pa.binary()).to_pylist():
-                s, near = model.score(t)
-                scores.append(s)
-                if evidence:
-                    why.append([{"doc_id": int(model.ids[i]), "label": int(model.labels[i]), "cosine": c} for c, i in near])
-            arrays = [*batch.columns, pa.array(scores, pa.float64())]
+            texts = batch.column("text").cast(pa.binary())
+            parts = [model.scores(texts[a : a + TEXTS].to_pylist()) for a in range(0, len(texts), TEXTS)]
+            arrays = [*batch.columns, pa.array(np.concatenate([s for s, *_ in parts]) if parts else np.empty(0))]
             if evidence:
-                arrays.append(pa.array(why, pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))))
+                sizes = [np.bincount(text, minlength=len(s)) for s, text, _, _ in parts]
+                example = np.concatenate([np.empty(0, int), *(e for _, _, e, _ in parts)])
+                why = [model.ids[example].astype("i8"), model.labels[example].astype("i4"), np.concatenate([np.empty(0), *(c for *_, c in parts)])]
+                offsets = np.cumsum(np.concatenate([[0], *sizes])).astype("i4")
+                arrays.append(pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(w) for w in why], ["doc_id", "label", "cosine"])))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     names = [*docs.columns, score, *([evidence] if evidence else [])]
