@@ -1,6 +1,6 @@
 """Registry of the training-data queries, and the SQL of those that SQL can express."""
 
-from twinframe.llm import decontamination, exact_dedup, licences, lm_scores, near_dedup, packing, secrets, token_counts, token_files, toxicity
+from twinframe.llm import decontamination, exact_dedup, licences, lm_scores, merkle, near_dedup, packing, secrets, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_licence_scans": licences.op9_licence_scans,
     "op10_lm_scores": lm_scores.op10_lm_scores,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
-SQL = {"op2_exact_dedup": exact_dedup.SQL, "op6_minhash_near_dedup": near_dedup.SQL, "op10_lm_scores": lm_scores.SQL}
+SQL = {"op2_exact_dedup": exact_dedup.SQL, "op6_minhash_near_dedup": near_dedup.SQL, "op10_lm_scores": lm_scores.SQL, "op11_merkle_manifest": merkle.SQL}
