@@ -92,7 +92,7 @@ def test_any_change_of_a_row_changes_the_root(spark, tmp_path):
     rows = [(i, f"Text {i}", "en", "s", i) for i in range(40)]
     root = merkle.manifest(table(spark, rows), str(tmp_path / "store")).first().root
     assert {p.name for p in (tmp_path / "store" / "rows").iterdir()} == {f"level={k}" for k in range(merkle.SPAN)}
-    for k in range(5):
+    for k in (2, 4):
         changed = list(rows)
         changed[7] = tuple("9" if j == k and j in (1, 2, 3) else 99 if j == k else v for j, v in enumerate(rows[7]))
         assert merkle.manifest(table(spark, changed)).first().root != root
