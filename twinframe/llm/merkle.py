@@ -78,21 +78,23 @@ class Tree:
         for k, more in enumerate(others, 1):
             d = d.join(more, same(d, more)).select(*(d[c] for c in d.columns), more["nodes"].alias(f"_{k}"))
         d = d.join(up, same(d, up)).select(*(d[c] for c in d.columns), *(up[c] for c in extra))
-        place = F.col("_at") - F.col("_page") * PAGE
-
-        def run(k: int) -> Column:
-            at, nodes = F.floor(place / FANOUT**k).cast("int"), F.col(f"_{k}")
-            siblings = F.slice(nodes, F.floor(at / FANOUT).cast("int") * FANOUT + 1, F.lit(FANOUT))
-            return F.when(F.col("_several") | (F.size(nodes) > 1), F.struct(siblings.alias("nodes"), (at % FANOUT).alias("at")))
-
-        cells = [F.col("_x.at").alias("_at"), F.col("_x.node").alias("node"), *(F.col(f"_x.{c}").alias(c) for c in (self.keep if hop == 0 else ()))]
-        d = d.withColumn("_x", F.explode("items")).select(*d.columns, *cells)
-        own = F.filter(F.array(*map(run, range(SPAN))), lambda x: x.isNotNull())
-        d = d.withColumn("path", F.concat(own, "path"))
+        several = lambda k: F.col("_several") | (F.size(f"_{k}") > 1)
+        some = lambda k, run: F.slice(f"_{k}", F.floor(run / FANOUT**k).cast("int") * FANOUT + 1, F.lit(FANOUT))
+
+        def run(r: Column) -> Column:
+            """The leaves of a run, and for each level above the run there and the place in it. Small, so that a leaf's row doesn't carry its page."""
+            above = (F.when(several(k), F.struct(some(k, r).alias("nodes"), (F.floor(r / FANOUT ** (k - 1)) % FANOUT).cast("int").alias("at"))) for k in range(1, SPAN))
+            return F.struct(F.slice("items", r * FANOUT + 1, F.lit(FANOUT)).alias("items"), F.when(several(0), some(0, r)).alias("nodes"), F.filter(F.array(*above), lambda x: x.isNotNull()).alias("above"))
+
+        last = F.floor((F.size("items") - 1) / FANOUT).cast("int")
+        d = d.select(self.group, *extra, F.explode(F.transform(F.sequence(F.lit(0), last), run)).alias("_r"))
+        d = d.select(self.group, *extra, "_r.nodes", "_r.above", F.posexplode("_r.items").alias("_at", "_x"))
+        own = F.filter(F.array(F.when(F.col("nodes").isNotNull(), F.struct("nodes", F.col("_at").alias("at")))), lambda x: x.isNotNull())
+        path = F.concat(own, "above", "path").alias("path")
         rest = [c for c in extra if c != "path"]
         if hop:
-            return d.select(self.group, F.col("_at").alias("_page"), "path", *rest)
-        return d.select(self.group, *self.keep, "node", "path", *rest)
+            return d.select(self.group, F.col("_x.at").alias("_page"), path, *rest)
+        return d.select(self.group, *(F.col(f"_x.{c}").alias(c) for c in self.keep), F.col("_x.node").alias("node"), path, *rest)
 
 
 def build(rows: DataFrame, group: str, order: list[str], keep: tuple[str, ...], path: str) -> Tree:
