@@ -1,6 +1,6 @@
 """Registry of the training-data queries, and the SQL of those that SQL can express."""
 
-from twinframe.llm import decontamination, exact_dedup, licences, lm_scores, merkle, near_dedup, packing, secrets, simhash, token_counts, token_files, toxicity
+from twinframe.llm import decontamination, exact_dedup, hard_negatives, licences, lm_scores, merkle, near_dedup, packing, secrets, simhash, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -15,5 +15,12 @@ QUERIES = {
     "op10_lm_scores": lm_scores.op10_lm_scores,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_simhash_near_dedup": simhash.op12_simhash_near_dedup,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
+}
+SQL = {
+    "op2_exact_dedup": exact_dedup.SQL,
+    "op6_minhash_near_dedup": near_dedup.SQL,
+    "op10_lm_scores": lm_scores.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
-SQL = {"op2_exact_dedup": exact_dedup.SQL, "op6_minhash_near_dedup": near_dedup.SQL, "op10_lm_scores": lm_scores.SQL, "op11_merkle_manifest": merkle.SQL}
