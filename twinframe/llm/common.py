@@ -14,6 +14,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinframe.sources import rows
+
 #: The six ASCII white-space characters: space and tab to carriage return.
 WHITE = r"[\x20\x09-\x0D]"
 #: Arrow rows per batch handed to Python, so that a batch of long texts stays a few tens of MB.
@@ -82,25 +84,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, column: str) -> DataFrame:
-    """The rows with a number of their own that stays the same in every later reading.
+    """The rows with a number of their own that stays the same in every later reading, by any number of cores.
 
-    A plain scan of files splits and orders its rows alike each time, whatever columns are read, so their place in it is the number;
-    anything else is written to the shared folder first.
+    Rows of Parquet files are known by file and place there, without a copy; anything else is written to the shared folder first.
     """
-    rows = df.withColumn(column, F.monotonically_increasing_id())
-    nodes = set(re.findall(r"^[^A-Za-z\n]*([A-Za-z]+)", df._jdf.queryExecution().executedPlan().toString(), re.M))
-    plain = "FileScan" in nodes and nodes <= {"FileScan", "ColumnarToRow", "Project", "Filter"}
-    return rows if plain else written(rows, "rows")
+    return rows.numbered(df, column, lambda d: written(d, "rows"))
 
 
 #: Up to so many row numbers (8 bytes each) are broadcast.
 BROADCAST_IDS = 1_000_000
 
 
-def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+def without(kept: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     """The numbered rows whose number isn't in ``gone`` (distinct), without the number. Texts are shuffled only if too many go to broadcast."""
     gone = written(gone, "gone")
-    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, column, "left_anti").drop(column)
+    return kept.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, column, "left_anti").drop(column)
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
