@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,19 +19,38 @@ def find(text: Column, pattern: str, in_bytes: bool = True, needle: str = "") ->
 
     ``needle`` is a string that every match holds: texts without it are passed over without the pattern.
     """
+    return _found(text, pattern, in_bytes, needle, False)
+
+
+def find_after(text: Column, pattern: str) -> Column:
+    """array<struct<s, e, t, gap>> as of ``find``, in bytes; gap is the text between a match and the one before it."""
+    return _found(text, pattern, True, "", True)
+
+
+def bound(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it, in its lambdas too. Not for the arguments of a Python function."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _found(text: Column, pattern: str, in_bytes: bool, needle: str, gap: bool) -> Column:
     size = F.octet_length if in_bytes else F.length
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("g"), hits.alias("h"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
+    # Numbers alone are gathered one by one: each step copies what there is, and copies of texts would take the time.
     def step(acc, x):
         s = acc["at"] + size(x["g"])
-        e = s + F.coalesce(size(x["h"]), F.lit(0))
-        new = F.array(F.struct(s.alias("s"), e.alias("e"), x["h"].alias("t")))
-        return F.struct(e.alias("at"), F.when(x["h"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], new)).alias("out"))
-
+        return F.struct((s + F.coalesce(size(x["h"]), F.lit(0))).alias("at"), F.concat(acc["out"], F.array(s)).alias("out"))
+
+    starts = F.aggregate(F.arrays_zip(gaps.alias("g"), hits.alias("h")), start, step)["out"]  # one more than there are hits
+    starts = F.slice(starts, F.lit(1), F.size(starts) - 1)
+    if gap:
+        made = F.zip_with(F.arrays_zip(hits.alias("t"), F.slice(gaps, F.lit(1), F.size(gaps) - 1).alias("gap")), starts, lambda x, s: F.struct(s.alias("s"), (s + size(x["t"])).alias("e"), x["t"].alias("t"), x["gap"].alias("gap")))
+    else:
+        made = F.zip_with(hits, starts, lambda t, s: F.struct(s.alias("s"), (s + size(t)).alias("e"), t.alias("t")))
     there = F.rlike(text, F.lit(pattern))
-    return F.when(F.contains(text, F.lit(needle)) & there if needle else there, F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast(SPAN))
+    none = F.array().cast("array<struct<s:int,e:int,t:string,gap:string>>" if gap else SPAN)
+    return F.when(F.contains(text, F.lit(needle)) & there if needle else there, made).otherwise(none)
 
 
 def find_token(text: Column, word: str, ignore_case: bool = False) -> Column:
@@ -59,8 +82,59 @@ def overlaps(a: Column, b: Column) -> Column:
 
 
 def select(spans: Column, element: str) -> Column:
-    """Greedy choice in the array's order: a span stays if it overlaps none chosen before it."""
-    return F.aggregate(spans, F.array().cast(f"array<{element}>"), lambda acc, x: F.when(F.exists(acc, lambda y: overlaps(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    """Greedy choice from the left of spans in order of their start: a span stays if it begins where the last chosen one has ended."""
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))["e"]
+    return F.aggregate(spans, F.array().cast(f"array<{element}>"), lambda acc, x: F.when(x["s"] < F.coalesce(last(acc), x["s"]), acc).otherwise(F.concat(acc, F.array(x))))
+
+
+class _Disjoint:
+    """Spans that don't overlap each other, in order."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+
+    def meets(self, s: int, e: int) -> bool:
+        k = bisect_left(self.spans, (e,)) - 1  # the last that starts before e
+        return k >= 0 and self.spans[k][1] > s
+
+    def add(self, s: int, e: int) -> None:
+        self.spans.insert(bisect_left(self.spans, (s, e)), (s, e))
+
+
+def _ranked(s: list[int], e: list[int], strong: list[bool], standing: int, guards: list[tuple[int, int]]) -> list[int]:
+    guarded, firm, weak, out = _Disjoint(), _Disjoint(), _Disjoint(), []
+    for a, b in sorted(guards):  # those that overlap become one
+        if guarded.spans and a < guarded.spans[-1][1]:
+            a, b = guarded.spans[-1][0], max(guarded.spans.pop()[1], b)
+        guarded.spans.append((a, b))
+    for k, (a, b, f) in enumerate(zip(s, e, strong)):
+        if k >= standing and (guarded.meets(a, b) or firm.meets(a, b) or not f and weak.meets(a, b)):
+            continue
+        out.append(k)
+        (firm if f else weak).add(a, b)
+    return out
+
+
+def ranked(spans: pa.Array, strong: pa.Array, standing: pa.Array, guarded: pa.Array) -> pa.Array:
+    """For workers: the spans that stand, of each row's in order of their rank (list<struct<s, e, ...>>).
+
+    Each looks for a span that it overlaps among those that stand by then, by binary search. Strong spans (a flag for each of all rows'
+    spans) yield to strong and guarded ones, weak ones to all. The first ``standing`` ones of a row stand anyhow. Null lists count as empty.
+    """
+
+    def cut(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        return lists.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+
+    def places(flat: pa.Array) -> tuple[list[int], list[int]]:
+        return flat.field("s").to_pylist(), flat.field("e").to_pylist()
+
+    (flat, at), (fences, fence) = cut(spans), cut(guarded)
+    (s, e), (fs, fe), strong, standing = places(flat), places(fences), strong.to_pylist(), pc.fill_null(standing, 0).to_pylist()
+    kept, sizes = [], [0]
+    for k, (a, b, ga, gb) in enumerate(zip(at, at[1:], fence, fence[1:])):
+        kept += [a + x for x in _ranked(s[a:b], e[a:b], strong[a:b], standing[k], list(zip(fs[ga:gb], fe[ga:gb])))] if b > a else []
+        sizes.append(len(kept))
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat.take(pa.array(kept, pa.int64())))
 
 
 def without(spans: Column, claimed: Column) -> Column:

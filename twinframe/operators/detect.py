@@ -7,6 +7,8 @@ import string
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ CANDIDATE = "struct<s:int,e:int,t:string,type:string,confidence:double,scope:str
 CONFIDENT = 0.8
 
 
-def _typed(found: Column, kind, confidence) -> Column:
+def typed(found: Column, kind, confidence) -> Column:
     kind = kind if callable(kind) else lambda t, k=kind: F.lit(k)
     confidence = confidence if callable(confidence) else lambda t, c=confidence: F.lit(c)
     return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), kind(x["t"]).cast("string").alias("type"), confidence(x["t"]).cast("double").alias("confidence"), F.lit("").alias("scope")))
@@ -39,7 +41,7 @@ def hosts(text: Column) -> Column:
 
 def vendors(text: Column) -> Column:
     paying = [v.lower() for v in vocab.PAYMENT_PROVIDERS]
-    return _typed(spans.find(text, VENDOR), lambda t: F.when(F.lower(t).isin(paying), "payment_provider").otherwise("partner"), 0.95)
+    return typed(spans.find(text, VENDOR), lambda t: F.when(F.lower(t).isin(paying), "payment_provider").otherwise("partner"), 0.95)
 
 
 def persons(text: Column) -> Column:
@@ -50,21 +52,24 @@ def persons(text: Column) -> Column:
 
 
 def env_vars(text: Column) -> Column:
-    return _typed(F.filter(spans.find(text, SCREAMING), lambda x: ~x["t"].isin(*vocab.STOP_LIST)), "env_var", 0.9)
+    return typed(F.filter(spans.find(text, SCREAMING), lambda x: ~x["t"].isin(*vocab.STOP_LIST)), "env_var", 0.9)
 
 
 def compounds(text: Column) -> Column:
     found = F.filter(spans.find(text, PASCAL), lambda x: ~x["t"].isin(*vocab.STOP_LIST))
-    return _typed(found, lambda t: F.coalesce(fn.classify_pascal(t), F.lit("dto")), lambda t: F.when(fn.classify_pascal(t).isNotNull(), 0.85).otherwise(0.8))
+    return typed(found, lambda t: F.coalesce(fn.classify_pascal(t), F.lit("dto")), lambda t: F.when(fn.classify_pascal(t).isNotNull(), 0.85).otherwise(0.8))
 
 
 def phrases(text: Column) -> Column:
     """Capitalised phrases, suggested only; without ordinary sentence beginnings and bare markers."""
-    gaps = spans.find(text, PHRASE)
-    before = lambda x: F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), x["s"]), "UTF-8"), r"\s+$", "")
-    noise = lambda x: F.split(x["t"], r"[ \t]+")[0].isin(*vocab.SENTENCE_STARTERS) | (~F.rlike(x["t"], F.lit(r"[ \t]")) & ((before(x) == "") | F.rlike(before(x), F.lit(r"[.!?\n#*|-]$"))))
-    kept = F.filter(gaps, lambda x: ~x["t"].isin(*vocab.STOP_LIST) & ~F.lower(x["t"]).isin(*vocab.PERSON_MARKERS) & ~noise(x))
-    return _typed(kept, "organization", 0.35)
+    found = spans.find_after(text, PHRASE)
+    alone = lambda x: ~F.rlike(x["t"], F.lit(r"[ \t]"))
+    before = lambda x: F.regexp_replace(x["gap"], r"\s+$", "")
+    # of a gap of white space alone, what stands before it is the phrase before, or nothing at all
+    begins = lambda x: F.rlike(before(x), F.lit(r"[.!?\n#*|-]$")) | ((before(x) == "") & (x["s"] == F.octet_length(x["gap"])))
+    noise = lambda x: F.split(x["t"], r"[ \t]+")[0].isin(*vocab.SENTENCE_STARTERS) | (alone(x) & begins(x))
+    kept = F.filter(found, lambda x: ~x["t"].isin(*vocab.STOP_LIST) & ~F.lower(x["t"]).isin(*vocab.PERSON_MARKERS) & ~noise(x))
+    return typed(kept, "organization", 0.35)
 
 
 def protected(text: Column) -> Column:
@@ -77,14 +82,16 @@ def settle(offered: Column, guarded: Column, already: Column | None = None) -> C
 
     Candidates of ``already`` stand; the offered ones come after them.
     """
-    start = F.array().cast(f"array<{CANDIDATE}>") if already is None else already
+    settled = F.arrow_udf(_settled, f"array<{CANDIDATE}>").asNondeterministic()  # so that no rule copies it
+    fences = F.transform(guarded, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    if already is None:
+        return F.array_sort(settled(offered, F.lit(0), fences))
+    return F.array_sort(settled(F.concat(already, offered), F.size(already), fences))
 
-    def step(acc, x):
-        identity = fn.is_identity(x["type"])
-        clash = F.exists(acc, lambda y: spans.overlaps(x, y) & (~identity | fn.is_identity(y["type"])))
-        return F.when(clash | F.exists(guarded, lambda y: spans.overlaps(x, y)), acc).otherwise(F.concat(acc, F.array(x)))
 
-    return F.array_sort(F.aggregate(offered, start, step))
+def _settled(offered: pa.Array, standing: pa.Array, guarded: pa.Array) -> pa.Array:
+    strong = pc.is_in(offered.flatten().field("type"), pa.array(sorted(vocab.IDENTITY)))
+    return spans.ranked(offered, strong, standing, guarded)
 
 
 def unlisted(offered: Column, allow: frozenset[str] | None) -> Column:
@@ -99,7 +106,7 @@ def scan_text(text: Column, dictionary: Column | None = None, variants: Column |
 
     Allowed names come from no pass.
     """
-    passes = [vendors(text), persons(text), env_vars(text), _typed(hosts(text), "domain", 0.9), compounds(text), phrases(text)]
+    passes = [vendors(text), persons(text), env_vars(text), typed(hosts(text), "domain", 0.9), compounds(text), phrases(text)]
     offered = F.concat(*(x for x in (dictionary, *passes, variants) if x is not None))
     return settle(unlisted(offered, allow), protected(text))
 
@@ -201,10 +208,15 @@ def in_prose(offered: Column, regions: Column | None) -> Column:
     return F.filter(offered, lambda x: regions.isNull() | F.exists(regions, lambda r: (r["s"] <= x["s"]) & (x["e"] <= r["e"])) | fn.is_identity(x["type"]))
 
 
-def with_document_variants(text: Column, found: Column, allow: frozenset[str] | None = None, regions: Column | None = None) -> Column:
-    """The settled candidates of a text and, where they leave room, whole-token variants of the confident ones among them."""
+def document_variants(text: Column, found: Column, allow: frozenset[str] | None = None, regions: Column | None = None) -> Column:
+    """Candidates: whole-token variants of the confident ones among a text's settled candidates."""
     more = F.pandas_udf(_document_variants, f"array<{CANDIDATE}>").asNondeterministic()(text, found)
-    return settle(in_prose(unlisted(more, allow), regions), protected(text), found)
+    return in_prose(unlisted(more, allow), regions)
+
+
+def with_document_variants(text: Column, found: Column, allow: frozenset[str] | None = None) -> Column:
+    """The settled candidates of a text and, where they leave room, ``document_variants``."""
+    return settle(document_variants(text, found, allow), protected(text), found)
 
 
 def should_alias(name: Column, entity_type: Column, confirmed: Column) -> Column:

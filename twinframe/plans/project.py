@@ -168,7 +168,7 @@ class Project:
         twins, known = sanitize.export(docs, self._terms(), self.table("identities"), self._allowed())
         known, twins = sanitize.cut(known), sanitize.cut(twins)
         paths = sanitize.twin_paths(docs.select("path").distinct(), known)
-        out = sanitize.cut(docs.select("doc_id", "path", F.sha2("text", 256).alias("checksum")).join(twins, "doc_id").join(paths, "path", "left"))
+        out = sanitize.cut(twins.withColumn("checksum", F.sha2("source", 256)).drop("source").join(paths, "path", "left"))
         left = out.select(F.explode(redaction.scan(F.coalesce("twin", F.lit("")))).alias("x")).select("x.confidence")
         policy = gate.export_policy(left, self._leaks(out.select("doc_id", "path", F.col("twin").alias("text"), "twin_path"), known), strict).first()
         if policy.refused:

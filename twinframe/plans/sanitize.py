@@ -27,9 +27,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """Adds findings and redacted text to docs (doc_id, path, text)."""
-    d = docs.withColumn("findings", redaction.scan(F.coalesce("text", F.lit(""))))
-    return d.withColumn("source", F.col("text")).withColumn("text", redaction.redact(F.coalesce("text", F.lit("")), F.col("findings")))
+    """row, doc_id, path, text (redacted), source, findings of docs (doc_id, path, text). ``row`` tells rows apart that share a doc_id or have
+    none; only what ``cut`` has stored keeps it."""
+    d = docs.select("doc_id", "path", "text", redaction.scan(F.coalesce("text", F.lit(""))).alias("findings"), F.monotonically_increasing_id().alias("row"))
+    return d.select("row", "doc_id", "path", redaction.redact(F.coalesce("text", F.lit("")), F.col("findings")).alias("text"), F.col("text").alias("source"), "findings")
 
 
 def candidates(docs: DataFrame, terms: dict[str, str] | None = None, allow: frozenset[str] = frozenset()) -> DataFrame:
@@ -40,10 +41,12 @@ def candidates(docs: DataFrame, terms: dict[str, str] | None = None, allow: froz
     d = d.withColumn("declared", declared).withColumn("regions", structure.regions("parser", "text"))
     # What the parser claims stands first; prose is looked for where the format has prose at all.
     prose = detect.scan_text(F.col("text"), F.col("terms"), F.col("variants"), allow)
-    inside = detect.in_prose(prose, F.col("regions"))
-    d = d.withColumn("found", detect.settle(F.concat("declared", inside), detect.protected(F.col("text"))))
-    d = d.withColumn("found", detect.with_document_variants(F.col("text"), F.col("found"), allow, F.col("regions")))
-    return d.withColumn("found", resolved(F.col("found"), F.col("declared"))).drop("regions")
+    # Columns of their own: a Python function takes no argument that has a lambda within a lambda.
+    d = d.withColumn("inside", detect.in_prose(prose, F.col("regions")))
+    d = d.withColumn("found", detect.settle(F.concat("declared", "inside"), detect.protected(F.col("text"))))
+    d = d.withColumn("inside", detect.document_variants(F.col("text"), F.col("found"), allow, F.col("regions")))
+    d = d.withColumn("found", detect.settle(F.col("inside"), detect.protected(F.col("text")), F.col("found")))
+    return d.withColumn("found", resolved(F.col("found"), F.col("declared"))).drop("regions", "inside")
 
 
 def resolved(found: Column, declared: Column) -> Column:
@@ -76,12 +79,15 @@ def identities(found: DataFrame, confirmed: dict[str, str] | None = None, existi
 
 
 def twins(found: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, twin, applied, outcome: rewritten texts. A rewrite that changes a format's structure is given up; redactions stay."""
-    each = found.select("doc_id", F.posexplode("found").alias("pos", "x")).select("doc_id", "x.*")
+    """row, doc_id, path, source, twin, applied, outcome: rewritten texts, one for each row of ``found``, whatever its doc_id.
+
+    A rewrite that changes a format's structure is given up; redactions stay.
+    """
+    each = found.select("row", F.explode("found").alias("x")).select("row", "x.*")
     each = each.withColumn("_scope", identity.scope_of(F.col("type"), scope(F.col("scope"))))
     hits = each.join(known.select("scope_path", "entity_type", "real_name", "alias"), (F.col("type") == F.col("entity_type")) & (F.col("t") == F.col("real_name")) & (F.col("_scope") == F.col("scope_path")))
-    plan = hits.where(F.col("confidence") >= detect.CONFIDENT).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", F.col("alias").alias("r")))).alias("edits"))
-    d = found.select("doc_id", "parser", "text").join(plan, "doc_id", "left")
+    plan = hits.where(F.col("confidence") >= detect.CONFIDENT).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "e", F.col("alias").alias("r")))).alias("edits"))
+    d = found.select("row", "doc_id", "path", "source", "parser", "text").join(plan, "row", "left")
     chosen = spans.select(F.coalesce("edits", F.array().cast("array<struct<s:int,e:int,r:string>>")), "struct<s:int,e:int,r:string>")
     d = d.withColumn("edits", chosen)
     d = d.withColumn("twin", bytes_applied(F.col("text"), F.col("edits")))
@@ -89,24 +95,28 @@ def twins(found: DataFrame, known: DataFrame) -> DataFrame:
     outcome = F.when(F.size("edits") == 0, "unchanged").when(F.col("parser") == "text", "not_structured").when(before.isNull(), "original_did_not_parse").when(after.isNull(), "twin_did_not_parse").when(F.size(structure.differences(before, after)) > 0, "structure_changed").otherwise("verified")
     d = d.withColumn("outcome", outcome)
     failed = F.col("outcome").isin("twin_did_not_parse", "structure_changed")
-    return d.select("doc_id", F.when(failed, F.col("text")).otherwise(F.col("twin")).alias("twin"), F.when(failed, F.array().cast("array<struct<s:int,e:int,r:string>>")).otherwise(F.col("edits")).alias("applied"), "outcome")
+    return d.select("row", "doc_id", "path", "source", F.when(failed, F.col("text")).otherwise(F.col("twin")).alias("twin"), F.when(failed, F.array().cast("array<struct<s:int,e:int,r:string>>")).otherwise(F.col("edits")).alias("applied"), "outcome")
 
 
 def bytes_applied(text, edits):
     """Applies edits given in byte offsets, on character boundaries."""
     raw = F.encode(text, "UTF-8")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    ends = F.concat(F.array(F.lit(0)), F.transform(edits, lambda x: x["e"]))
+    cut_ = lambda raw, a, b: F.decode(F.substring(raw, a + 1, b - a), "UTF-8")
 
-    def step(acc, x):
-        return F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(F.decode(F.substring(raw, acc["at"] + 1, x["s"] - acc["at"]), "UTF-8"), x["r"])).alias("out"))
+    def whole(raw):
+        parts = F.zip_with(edits, F.slice(ends, F.lit(1), F.size(edits)), lambda x, at: F.concat(cut_(raw, at, x["s"]), x["r"]))
+        return F.concat(F.array_join(parts, ""), cut_(raw, F.element_at(ends, -1), F.octet_length(text)))
 
-    done = F.aggregate(edits, start, step)
-    return F.concat(F.array_join(done["out"], ""), F.decode(F.substring(raw, done["at"] + 1, F.octet_length(text)), "UTF-8"))
+    return spans.bound(raw, whole)
 
 
 def export(docs: DataFrame, terms: dict[str, str] | None = None, existing: DataFrame | None = None, allow: frozenset[str] = frozenset()) -> tuple[DataFrame, DataFrame]:
     """(twins, identities) of docs (doc_id, path, text). Two passes: a name learned in any document is found in every other.
 
+    Every row is a text of its own: rows that share a doc_id, or whose doc_id is null, each get the twin of their own text. A null text
+    counts as empty, and a null path as the first.
+
     Identities issued before (``existing``) keep their aliases and are looked for as well; names in ``allow`` stay readable.
     """
     safe = cut(redacted(docs))

@@ -521,6 +521,36 @@ def sealed_round_trip(spark, sf_dir):
     return catalog.unsealed(s, "supplier", "s_name", "s_suppkey", two).select("s_suppkey", F.col("s_name").alias("opened"), "hidden")
 
 
+# Passes in order of rank, each a pattern and a type: structure yields to any claim before it, an identity to identities, all to guarded spans.
+CLAIMS = {"a": ("[a-z]+ing [a-z]+", "dto"), "b": ("[a-z]{9,}", "organization"), "c": ("[a-z]+ [a-z]+ [a-z]+", "partner"), "d": ("[a-z]{3,}", "enum")}
+GUARD = "[0-9a-f]{40}"
+
+
+def _claims_sql() -> str:
+    def spans_(name: str, pattern: str) -> str:
+        at = "CAST(sum(strlen(g[i])) OVER w + coalesce(sum(strlen(h[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)"
+        return f"""{name}0 AS MATERIALIZED (SELECT doc_id, s, s + n AS e FROM (SELECT doc_id, strlen(h[i]) AS n, {at} AS s FROM
+ (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS h, regexp_split_to_array(text, '{pattern}') AS g FROM documents)) WINDOW w AS (PARTITION BY doc_id ORDER BY i)))"""
+
+    def kept(name: str, over: str) -> str:
+        rows = f"{name}0"
+        for o in over:  # the spans of one pass are disjoint, so the last that starts before this one's end tells
+            rows = f"(SELECT x.* FROM {rows} x ASOF LEFT JOIN {o} y ON x.doc_id = y.doc_id AND x.e > y.s WHERE y.e IS NULL OR y.e <= x.s)"
+        return f"{name} AS MATERIALIZED (SELECT * FROM {rows})"
+
+    over = {"a": ["g0"], "b": ["g0"], "c": ["g0", "b"], "d": ["g0", "a", "b", "c"]}
+    each = [spans_("g", GUARD), *(f"{spans_(k, p)},\n{kept(k, over[k])}" for k, (p, _) in CLAIMS.items())]
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS entity_type, s, e FROM {k}" for k, (_, t) in CLAIMS.items())
+    return "WITH " + ",\n".join(each) + f" SELECT doc_id, entity_type, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM ({rows}) GROUP BY ALL"
+
+
+@query(_claims_sql())
+def span_conflict(spark, sf_dir):
+    passes = [detect.typed(spans.find(F.col("text"), p), t_, 0.9) for p, t_ in CLAIMS.values()]
+    d = t(spark, sf_dir, "documents").select("doc_id", F.explode(detect.settle(F.concat(*passes), spans.find(F.col("text"), GUARD))).alias("x"))
+    return d.groupBy("doc_id", F.col("x.type").alias("entity_type")).agg(F.count("*").alias("n"), F.sum(F.col("x.s").cast("bigint")).alias("starts"), F.sum(F.col("x.e").cast("bigint")).alias("ends"))
+
+
 TERM = "GNU General Public License"
 
 
