@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from twinframe import vocab
 from twinframe.functions import spans, text as fn
+from twinframe.operators import dictionary
+from twinframe.sources import rows
 
 # What hosts, compounds, variables, phrases and people look like.
 HOST = r"\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9][a-z0-9-]*){2,}\b"
@@ -152,43 +154,98 @@ def _hit(text: str, s: int, e: int, kind: str, confidence: float) -> dict:
     return {"s": at, "e": at + len(text[s:e].encode()), "t": text[s:e], "type": kind, "confidence": confidence, "scope": ""}
 
 
-def dictionary_matches(docs: DataFrame, terms: dict[str, str], allow: frozenset[str] = frozenset(), variants: bool = True) -> DataFrame:
-    """Adds ``terms`` and ``variants``: dictionary hits by automata, leftmost longest, with the boundary rule of the term's type.
+#: Terms that are sent to the executors as automata; more are joined to the texts by pieces (see operators.dictionary).
+MAX_TERMS = 300_000
+_MATCHES = f"struct<terms:array<{CANDIDATE}>,variants:array<{CANDIDATE}>>"
 
-    Variants are other spellings of a term in any case, each found under its surface text. ``terms`` maps a term to its type and is
-    broadcast; callers bound it. A longest match that fails its boundary consumes its text.
-    """
+
+def machine(words: dict):
+    """An automaton of words, each with its length and value; None of none."""
     import ahocorasick
 
+    m = ahocorasick.Automaton()
+    for word, value in words.items():
+        m.add_word(word, (len(word), value))
+    if words:
+        m.make_automaton()
+    return m if words else None
+
+
+def _hits(m, text: str, within: str, confidence: float) -> list[dict]:
+    found = ((end + 1 - n, end + 1, kind) for end, (n, kind) in m.iter_long(within)) if m else ()
+    return [_hit(text, s, e, kind, confidence) for s, e, kind in found if _bounded(text, s, e, kind in vocab.IDENTITY)]
+
+
+def _matches(text: str, exact, others, known) -> tuple[list[dict], list[dict]]:
+    return _hits(exact, text, text, 1.0), [h for h in _hits(others, text, text.translate(ASCII_LOWER), VARIANT) if h["t"] not in known]
+
+
+def dictionary_matches(docs: DataFrame, terms: dict[str, str] | DataFrame, allow: frozenset[str] = frozenset(), variants: bool = True) -> DataFrame:
+    """Adds ``terms`` and ``variants``: dictionary hits by automata, leftmost longest, with the boundary rule of the term's type.
+
+    Variants are other spellings of a term in any case, each found under its surface text. ``terms`` maps a term to its type, or is a table
+    of them (real_name, entity_type; the least type counts), of any size: with more than MAX_TERMS, each text has automata of the terms
+    whose pieces it holds, with the same hits. A longest match that fails its boundary consumes its text.
+    """
     folded = frozenset(a.lower() for a in allow)
+    if isinstance(terms, DataFrame):
+        terms = terms.where("real_name IS NOT NULL AND real_name != ''").groupBy("real_name").agg(F.min("entity_type").alias("entity_type"))
+        few = terms.limit(MAX_TERMS + 1).collect()
+        if len(few) > MAX_TERMS:
+            return _joined_matches(docs, terms, folded, variants)
+        terms = {r.real_name: r.entity_type for r in few}
     wanted = {t: k for t, k in terms.items() if t.lower() not in folded and t not in vocab.STOP_LIST}
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    schema = f"struct<terms:array<{CANDIDATE}>,variants:array<{CANDIDATE}>>"
-
-    def machine(words: dict[str, str]):
-        m = ahocorasick.Automaton()
-        for word, kind in words.items():
-            m.add_word(word, (len(word), kind))
-        if words:
-            m.make_automaton()
-        return m if words else None
-
-    def hits(m, text: str, within: str, confidence: float) -> list[dict]:
-        found = ((end + 1 - n, end + 1, kind) for end, (n, kind) in m.iter_long(within)) if m else ()
-        return [_hit(text, s, e, kind, confidence) for s, e, kind in found if _bounded(text, s, e, kind in vocab.IDENTITY)]
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf(_MATCHES)
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         exact = machine(shared.value)
         others = machine(_folded_variants(shared.value, folded)) if variants else None
         for batch in batches:
-            texts = [t or "" for t in batch]
-            other = [[h for h in hits(others, t, t.translate(ASCII_LOWER), VARIANT) if h["t"] not in shared.value] for t in texts]
-            yield pd.DataFrame({"terms": [hits(exact, t, t, 1.0) for t in texts], "variants": other})
+            yield pd.DataFrame([_matches(t or "", exact, others, shared.value) for t in batch], columns=["terms", "variants"])
 
     return docs.withColumn("_m", match.asNondeterministic()("text")).select(*docs.columns, "_m.terms", "_m.variants")
 
 
+def spelled(names: DataFrame, fold: bool = True) -> DataFrame:
+    """variant and the columns of names (real_name, ...): every spelling of each name, ASCII-lower-cased."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [sorted({v.translate(ASCII_LOWER) for v in spellings(n) if fold or v != n}) for n in batch.column("real_name").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.list_(pa.string()))], names=[*batch.schema.names, "variants"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names.schema)
+    return names.mapInArrow(spell, f"{schema}, variants array<string>").select(*names.columns, F.explode("variants").alias("variant"))
+
+
+def _joined_matches(docs: DataFrame, terms: DataFrame, allowed: frozenset[str], variants: bool) -> DataFrame:
+    allowed_ = sorted(allowed)
+    wanted = terms.where(~F.lower("real_name").isin(allowed_) & ~F.col("real_name").isin(*vocab.STOP_LIST))
+    sides = {"_exact": (wanted.select(F.col("real_name").alias("pattern"), F.col("entity_type").alias("kind")), str)}
+    if variants:
+        other = spelled(wanted, fold=False).where((F.octet_length("variant") >= VARIANT_BYTES) & ~F.lower("variant").isin(allowed_))
+        sides["_other"] = other.groupBy(F.col("variant").alias("pattern")).agg(F.min_by("entity_type", "real_name").alias("kind")), ascii_lower
+    row = rows.fresh("_row", docs)
+    d = numbered = rows.numbered(docs, row, rows.cut)
+    for name, (patterns, fold) in sides.items():
+        met = dictionary.candidates(numbered.select(F.col(row).alias("row"), "text"), rows.cut(dictionary.filed(patterns)), fold)
+        d = d.join(met.groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct("pattern", "kind"))).alias(name)), row, "left")
+
+    @F.pandas_udf(_MATCHES)
+    def match(texts: pd.Series, exact: pd.Series, other: pd.Series) -> pd.DataFrame:
+        found = [_matches(t or "", machine(dict(x or {})), machine(dict(o or {})), dict(x or {})) for t, x, o in zip(texts, exact, other)]
+        return pd.DataFrame(found, columns=["terms", "variants"])
+
+    none = F.create_map().cast("map<string,string>")
+    found = match.asNondeterministic()(F.col("text"), F.col("_exact"), F.col("_other") if variants else none)
+    return d.withColumn("_m", found).select(*docs.columns, "_m.terms", "_m.variants")
+
+
+def ascii_lower(text: str) -> str:
+    return text.translate(ASCII_LOWER)
+
+
 def _document_variants(texts: pd.Series, found: pd.Series) -> pd.Series:
     def one(text, names) -> list[dict]:
         words = _folded_variants({x["t"]: x["type"] for x in names if x["confidence"] >= CONFIDENT} if names is not None else {}, frozenset())

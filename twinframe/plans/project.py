@@ -204,8 +204,8 @@ class Project:
         return self._leaks(twins, known)
 
     def _pairs(self) -> list[tuple[str, str]]:
-        rows = self.table("identities").select("alias", "real_name").limit(sanitize.MAX_TERMS + 1).collect()
-        if len(rows) > sanitize.MAX_TERMS:
+        rows = self.table("identities").select("alias", "real_name").limit(detect.MAX_TERMS + 1).collect()
+        if len(rows) > detect.MAX_TERMS:
             raise ValueError("too many names for one vocabulary; restore by scope")
         return [(r.alias, r.real_name) for r in rows]
 

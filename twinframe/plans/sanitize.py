@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinframe.functions import spans, text as fn
 from twinframe.operators import detect, identity, redaction
 from twinframe.sources import structure
-
-#: Learned names and their variants go to the executors as automata; a larger dimension must be cut by scope first.
-MAX_TERMS = 300_000
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder, so that passes share one result. Only a local session may do without a folder's name."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith(("local[", "local")) or context.master.startswith("local-cluster") and not root:
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="twinframe-"))
-    return df.checkpoint()
-
+from twinframe.sources.rows import cut
 
 def redacted(docs: DataFrame) -> DataFrame:
     """row, doc_id, path, text (redacted), source, findings of docs (doc_id, path, text). ``row`` tells rows apart that share a doc_id or have
@@ -33,9 +17,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     return d.select("row", "doc_id", "path", redaction.redact(F.coalesce("text", F.lit("")), F.col("findings")).alias("text"), F.col("text").alias("source"), "findings")
 
 
-def candidates(docs: DataFrame, terms: dict[str, str] | None = None, allow: frozenset[str] = frozenset()) -> DataFrame:
+def candidates(docs: DataFrame, terms: dict[str, str] | DataFrame | None = None, allow: frozenset[str] = frozenset()) -> DataFrame:
     """Adds found: the settled candidates of each redacted text; structural names of its format claim their spans first."""
-    d = detect.dictionary_matches(docs, terms or {}, allow)
+    d = detect.dictionary_matches(docs, {} if terms is None else terms, allow)
     d = d.withColumn("parser", fn.format_of(F.coalesce("path", F.lit("")), F.col("text")))
     declared = F.transform(structure.declared("parser", "text"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["name"].alias("t"), x["type"].alias("type"), F.lit(1.0).alias("confidence"), x["scope"].alias("scope")))
     d = d.withColumn("declared", declared).withColumn("regions", structure.regions("parser", "text"))
@@ -122,10 +106,9 @@ def export(docs: DataFrame, terms: dict[str, str] | None = None, existing: DataF
     safe = cut(redacted(docs))
     first = identities(candidates(safe, terms, allow), terms, existing)
     first = cut(first if existing is None else existing.unionByName(first.select(*existing.columns)))
-    learned = {r.real_name: r.entity_type for r in first.select("real_name", "entity_type").limit(MAX_TERMS + 1).collect()}
-    if len(learned) > MAX_TERMS:
-        raise ValueError("too many names for one dictionary; export by scope")
-    second = cut(candidates(safe, learned | (terms or {}), allow))
+    sure = first.sparkSession.createDataFrame(list((terms or {}).items()), "real_name string, entity_type string")
+    learned = first.select("real_name", "entity_type").join(sure, "real_name", "left_anti").unionByName(sure)
+    second = cut(candidates(safe, learned, allow))
     known = first.unionByName(identities(second, terms, first).select(*first.columns))
     return twins(second, known), known
 
@@ -141,10 +124,8 @@ def twin_paths(paths: DataFrame, known: DataFrame) -> DataFrame:
     parts = parts.withColumn("_c", cut_).select("path", "pos", F.col("_c.stem").alias("text"), F.col("_c.extension").alias("ext"))
     names = known.select(fn.fold_name(F.col("real_name")).alias("folded"), "alias").groupBy("folded").agg(F.min("alias").alias("alias"))
     whole = parts.select("text").distinct().withColumn("folded", fn.fold_name(F.col("text"))).join(names, "folded", "left")
-    rows = known.where(fn.is_identity(F.col("entity_type"))).groupBy("real_name").agg(F.min(F.struct("entity_type", "alias")).alias("x")).limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError("too many names for one dictionary; export by scope")
-    inner = detect.dictionary_matches(whole.where("alias IS NULL").select("text"), {r.real_name: r.x.entity_type for r in rows}, variants=False)
+    terms = known.where(fn.is_identity(F.col("entity_type"))).select("real_name", "entity_type")
+    inner = detect.dictionary_matches(whole.where("alias IS NULL").select("text"), terms, variants=False)
     hits = inner.select("text", F.explode("terms").alias("x")).join(known.select("entity_type", "real_name", F.col("alias").alias("r")), (F.col("x.type") == F.col("entity_type")) & (F.col("x.t") == F.col("real_name")))
     edits = hits.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("x.s", "x.e", "r"))).alias("edits"))
     twins_ = whole.join(edits, "text", "left").select("text", F.coalesce("alias", bytes_applied(F.col("text"), F.col("edits")), "text").alias("twin"))
