@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
-import time
 import uuid
+import weakref
 from pathlib import Path
 
 import pyarrow.fs as pafs
@@ -80,7 +79,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = weakref.ref(table), path
+    return table
+
+
+_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def numbered(df: DataFrame, column: str) -> DataFrame:
@@ -101,19 +105,13 @@ def without(kept: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     return kept.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, column, "left_anti").drop(column)
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that nothing reads any more, and has Spark drop the shuffle files of finished work.
-
-    Spark drops those once the driver's garbage is collected, first Python's references and then the JVM's.
-    """
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave, once all that was made of them is written itself."""
     for df in tables:
-        for file in df.inputFiles()[:1]:
-            if "/twinframe/" in file:
-                drop_path(spark, file.rsplit("/", 1)[0])
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        known = _paths.pop(id(df), None)
+        if known is not None and known[0]() is df:
+            drop_path(df.sparkSession, known[1])
+            _made.remove((df.sparkSession, known[1]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import written
+from twinframe.llm.common import release, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,7 +25,9 @@ def components(links: DataFrame) -> DataFrame:
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = written(large, "large")
+        release(least)
         lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        edges = written(small.select("x.u", "x.v").where("u != v").distinct(), "edges")
+        edges, old = written(small.select("x.u", "x.v").where("u != v").distinct(), "edges"), edges
+        release(old, large, lower)
     return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

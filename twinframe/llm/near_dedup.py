@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import BROADCAST_IDS, documents, fresh, numbered, prepare, without, written
+from twinframe.llm.common import BROADCAST_IDS, documents, fresh, numbered, prepare, release, without, written
 from twinframe.llm.components import components
 
 SHINGLE = 5
@@ -181,7 +181,9 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int)
     both = left.join(full.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b").join(full.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a")
     common = F.size(F.array_intersect("fa", "fb"))
     # Pairs are distinct already; an aggregate here would keep Spark from splitting the rows of a star's centre.
-    return written(both.where(NUMBER * common >= threshold * (F.size("fa") + F.size("fb") - common)).select("a", "b"), "links")
+    links = written(both.where(NUMBER * common >= threshold * (F.size("fa") + F.size("fb") - common)).select("a", "b"), "links")
+    release(left, full)
+    return links
 
 
 def blocks_of(placed: DataFrame) -> DataFrame:
@@ -267,7 +269,11 @@ def across(placed: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int)
         yield _pairs(links(rows))
 
     seen = full_rows.select("key", "block", "node", "component", "signature", "found").mapInArrow(search, "a long, b long")
-    return verified(written(seen.distinct(), "seen"), reps, docs, threshold)
+    seen = written(seen.distinct(), "seen")
+    release(rows, full)
+    links = verified(seen, reps, docs, threshold)
+    release(seen)
+    return links
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -292,9 +298,13 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     links = verified(stars, reps, docs, threshold)
     found = written(components(links), "components")
     placed = buckets.join(found, "node", "left").select("key", "node", "first", F.coalesce("component", "node").alias("component"))
-    more = across(written(placed, "placed"), reps, docs, threshold)
+    placed = written(placed, "placed")
+    release(buckets)
+    more = across(placed, reps, docs, threshold)
+    release(placed)
     if not more.isEmpty():
         found = written(components(links.unionAll(more)), "components")
+    release(links, more)
     of = reps.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = every.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
