@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from twinframe.llm import tokens
 from twinframe.llm.common import documents, filesystem, new_path, partitions, prepare, text_of, written
 
-END_ID = 49407
 BLOCK_TOKENS = 1 << 20
 
 
@@ -34,8 +33,7 @@ def write_flat(docs: DataFrame, tokenizer: str, folder: str, end_id: int, width:
         with fs.open_output_stream(filesystem(path)[1]) as out:
             for batch in batches:
                 for ids in enc.encode(batch.column("text").cast(pa.binary()).to_pylist()):
-                    a = np.frombuffer(ids, "<u4")
-                    out.write(a[a != end_id].astype(kind).tobytes())
+                    out.write(np.frombuffer(ids, "<u4").astype(kind).tobytes())
                     out.write(end)
                 k = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([path] * k, pa.string()), pa.array(range(n, n + k), pa.int64()), batch.column("doc_id")], names=["path", "ordinal", "doc_id"])
@@ -64,7 +62,7 @@ def scan(paths: DataFrame, end_id: int, width: int, block_tokens: int = BLOCK_TO
                 with fs.open_input_file(name) as f:
                     f.seek(width * first)
                     at = np.flatnonzero(np.frombuffer(f.read(width * n), f"<u{width}") == end_id) + first
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([block], pa.int64()), pa.array([first + n], pa.int64()), pa.array([at.tolist()], pa.list_(pa.int64()))], names=["path", "block", "stop", "ends"])
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([block], pa.int64()), pa.array([first + n], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.array(at.astype("i8")))], names=["path", "block", "stop", "ends"])
 
     files = paths.select("path").distinct().mapInArrow(sizes, "path string, n long")
     step = F.lit(block_tokens)
@@ -94,16 +92,23 @@ def scan(paths: DataFrame, end_id: int, width: int, block_tokens: int = BLOCK_TO
     )
 
 
-def token_counts(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def separator(tokenizer: str) -> tuple[int, int]:
+    """The end-of-document id, which no text can spell as it is outside the vocabulary, and the bytes of an id: the largest number of those bytes."""
+    top = max(tokens.encoder(tokenizer).library.get_vocab().values(), default=0)
+    width = 2 if top < (1 << 16) - 1 else 4
+    return (1 << 8 * width) - 1, width
+
+
+def token_counts(docs: DataFrame, tokenizer: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_tokens: writes docs' ids to flat files in the shared folder and counts them by scanning those.
 
-    Null and empty texts have 0 tokens. Repeated rows and null doc_ids are counted each for itself. A text that spells the
-    end-of-document token out would end a document, so that id is dropped from texts' ids. An empty table gives an empty result.
+    Null and empty texts have 0 tokens. Repeated rows and null doc_ids are counted each for itself. Every id of a text counts, those of special
+    tokens that it spells out too. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
     tokenizer = tokenizer or tokens.default_path()
-    width = 2 if max(tokens.encoder(tokenizer).library.get_vocab_size() - 1, end_id) < 1 << 16 else 4
+    end_id, width = separator(tokenizer)
     order = write_flat(docs, tokenizer, new_path(spark, "flat"), end_id, width)
     counted = scan(order, end_id, width, block_tokens)
     return order.join(counted.hint("merge"), ["path", "ordinal"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"))
