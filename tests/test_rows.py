@@ -51,3 +51,14 @@ def test_what_is_not_a_scan_is_kept_first(spark, files, tmp_path):
     assert kept == [[*odd, "n"] for odd in (["id", "text"],) * 4 + (["id"], ["id", "text"])]
     assert rows.addressable(d.select("text").where("length(text) > 5"))
     assert rows.numbered(d.where("id < 0"), "n", keep).count() == 0
+
+
+def test_ranks_of_a_group_come_from_many_tasks(spark, monkeypatch):
+    d = spark.range(20_000).select((F.when(F.col("id") % 100 < 97, "big").otherwise(F.concat(F.lit("g"), F.col("id") % 7))).alias("g"), F.xxhash64("id").alias("k"), F.lit(1).alias("n"))
+    d = d.union(spark.createDataFrame([(None, 5, 1), (None, 3, 1)], "g string, k long, n int"))
+    want = d.withColumn("r", F.row_number().over(rows.Window.partitionBy("g").orderBy("k")))
+    got = rows.ranked(d, "g", F.struct("k"), "r")
+    assert got.select("g", "k", F.col("r").cast("int").alias("r")).exceptAll(want.select("g", "k", "r")).isEmpty() and got.count() == 20_002
+    tasks = got.where("g = 'big'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and "Window" not in got._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert rows.ranked(d.where("k IS NULL"), "g", F.col("k"), "r").collect() == []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinframe import vocab
 from twinframe.functions import text as fn
+from twinframe.sources import rows
 
 
 def scope_of(entity_type: Column, scope: Column) -> Column:
@@ -30,14 +31,14 @@ def first_seen(occurrences: DataFrame, *order: str) -> DataFrame:
 def allocate(names: DataFrame, order: Column, existing: DataFrame | None = None) -> DataFrame:
     """Adds number and alias to names (entity_type, real_name, ...): numbers go on from the largest issued, in the given total order.
 
-    Runs over distinct identities, never over occurrences: one partition per type.
+    Runs over distinct identities, never over occurrences; a type's ranks come from a sort by range and a prefix scan, not from one task.
     """
-    w = Window.partitionBy("entity_type").orderBy(order)
-    numbered = names.withColumn("number", F.row_number().over(w).cast("bigint"))
-    if existing is not None:
+    if existing is None:
+        numbered = rows.ranked(names, "entity_type", order, "number")
+    else:
         new = names.join(existing.select("scope_path", "entity_type", "real_name"), ["scope_path", "entity_type", "real_name"], "left_anti")
         issued = existing.groupBy("entity_type").agg(F.max("number").alias("issued"))
-        numbered = new.withColumn("n", F.row_number().over(w)).join(F.broadcast(issued), "entity_type", "left")  # at most one row per type
+        numbered = rows.ranked(new, "entity_type", order, "n").join(F.broadcast(issued), "entity_type", "left")  # at most one row per type
         numbered = numbered.withColumn("number", (F.col("n") + F.coalesce("issued", F.lit(0))).cast("bigint")).drop("n", "issued")
     return numbered.withColumn("alias", fn.format_alias(F.col("entity_type"), F.col("number")))
 
@@ -63,14 +64,17 @@ def propose(keys: DataFrame) -> DataFrame:
 
 def confirm_concepts(identities: DataFrame, concepts: DataFrame) -> DataFrame:
     """Members of a confirmed concept take the number of its first one, where that is free in their type."""
-    shared = identities.join(concepts, "uuid", "left")
+    # Members alone meet by concept; all the others, most of an identity table, stay where they are.
+    shared = identities.join(concepts, "uuid")
+    others = identities.join(concepts, "uuid", "left_anti")
     lead = F.first("number").over(Window.partitionBy("concept").orderBy("number", "uuid"))
     wanted = shared.withColumn("wanted", F.when(F.col("concept").isNotNull(), lead))
     taken = identities.select(F.col("entity_type").alias("_t"), F.col("number").alias("_n")).distinct()
     free = wanted.join(taken, (F.col("entity_type") == F.col("_t")) & (F.col("wanted") == F.col("_n")) & (F.col("wanted") != F.col("number")), "left")
     rank = F.row_number().over(Window.partitionBy("entity_type", "wanted").orderBy("number", "uuid"))
     number = F.when(F.col("wanted").isNotNull() & F.col("_n").isNull() & (rank == 1), F.col("wanted")).otherwise(F.col("number"))
-    return free.withColumn("number", number).withColumn("alias", fn.format_alias(F.col("entity_type"), F.col("number"))).drop("wanted", "_t", "_n")
+    again = free.withColumn("number", number).withColumn("alias", fn.format_alias(F.col("entity_type"), F.col("number"))).drop("wanted", "_t", "_n")
+    return again.unionByName(others.withColumn("concept", F.lit(None).cast("string")))
 
 
 def resolve(existing: DataFrame, alias: str, name: str, entity_type: str, scope: str = "file") -> DataFrame:
@@ -96,5 +100,5 @@ def context(identities: DataFrame) -> DataFrame:
     return identities.select(F.explode(kinds).alias("x")).select("x.kind", "x.name").where("kind IS NOT NULL").distinct()
 
 
-def type_counts(rows: DataFrame, column: str = "entity_type") -> DataFrame:
-    return rows.groupBy(column).agg(F.count("*").alias("n"))
+def type_counts(typed: DataFrame, column: str = "entity_type") -> DataFrame:
+    return typed.groupBy(column).agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ import re
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of one file that numbers leave room for, in bits; the file's own number stands above them.
@@ -57,3 +57,20 @@ def numbered(df: DataFrame, column: str, keep: Callable[[DataFrame], DataFrame])
     near = F.broadcast(files) if files.count() <= BROADCAST_FILES else files
     rows = at.join(near, name)
     return rows.select(*df.columns, (F.shiftleft(number, FILE_BITS) + F.col(column)).alias(column))
+
+
+def ranked(df: DataFrame, group: str, order: Column, column: str) -> DataFrame:
+    """Adds each row's rank in its group, from 1, in the given total order; a group is as many tasks as it needs.
+
+    Rows are sorted by range of group and order; a prefix scan over the counts of each range, one row for each range and group in it, says
+    where its ranks begin.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at, place, run, first, before, same = (fresh(f"_{n}", df) for n in ("order", "place", "run", "first", "before", "group"))
+    d = df.withColumn(at, order).repartitionByRange(width, group, at).sortWithinPartitions(group, at).drop(at)
+    d = cut(d.withColumn(place, F.monotonically_increasing_id())).withColumn(run, F.shiftright(place, 33))
+    counts = d.groupBy(F.col(group).alias(same), F.col(run).alias(run)).agg(F.min(place).alias(first), F.count("*").alias("n"))
+    earlier = Window.partitionBy(same).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(same, F.col(run).alias(run + "_"), first, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    placed = d.join(F.broadcast(counts), F.col(group).eqNullSafe(F.col(same)) & (F.col(run) == F.col(run + "_")))
+    return placed.select(*df.columns, (F.col(place) - F.col(first) + F.col(before) + 1).alias(column))
