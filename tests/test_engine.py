@@ -376,3 +376,24 @@ def test_every_row_gets_its_own_twin(spark, tmp_path):
     assert sorted(((r.doc_id, r.path, r.twin) for r in out.collect()), key=repr) == sorted(want, key=repr)
     got = project.Project(spark, f"file://{tmp_path}/cat").export(docs, b"k").collect()
     assert sorted(((r.doc_id, r.path, r.twin) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_a_refresh_is_the_whole_export(spark, tmp_path):
+    """Names learned from changed files reach others, in any spelling; files that hold none keep their twins."""
+    one = [("a.md", "# Notes\nAuthor: Jane Okafor\n"), ("b.txt", "mira stone and MiraStone, plain"), ("c.txt", "nothing here"), ("d.txt", "uses Okta at api.one.example.com"), ("e.txt", "gone later, Stripe"), ("f.txt", "twice"), ("f.txt", "twice")]
+    two = [("a.md", one[0][1]), ("b.txt", one[1][1]), ("c.txt", "nothing here"), ("d.txt", one[3][1] + " api.two.example.com"), ("g.txt", "Owner: Mira Stone of api.one.example.com"), ("f.txt", "twice"), (None, "Adyen")]
+    table = lambda rows: spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, path string, text string")
+    terms = {"Okta": "partner"}
+    first, known = sanitize.export(table(one), terms)
+    known = sanitize.cut(known)
+    before = sanitize.cut(first.withColumn("checksum", F.sha2("source", 256)))
+    whole, whole_known = sanitize.export(table(two), terms, known)
+    part, part_known = sanitize.refresh(table(two), before, known, terms)
+    rows = lambda d, *c: sorted(repr(tuple(r)) for r in d.select(*c).collect())
+    assert rows(part, "doc_id", "path", "twin", "applied", "outcome") == rows(whole, "doc_id", "path", "twin", "applied", "outcome")
+    assert rows(part_known, *sorted(known.columns)) == rows(whole_known, *sorted(known.columns))
+    assert {r.path: r.redone for r in part.collect()} == {"a.md": False, "b.txt": True, "c.txt": False, "d.txt": True, "g.txt": True, "f.txt": True, None: True}
+    assert "mira stone" not in {r.path: r.twin for r in part.collect()}["b.txt"]
+    p = project.Project(spark, f"file://{tmp_path}/cat")
+    old = sanitize.cut(p.export(table(one), b"k"))
+    assert {r.path: r.redone for r in p.export(table(two), b"k", before=old).collect()}["c.txt"] is False

@@ -159,13 +159,17 @@ class Project:
         """A dry run over docs (doc_id, path, text): doc_id, found, findings."""
         return sanitize.candidates(sanitize.redacted(docs), self._terms(), self._allowed()).select("doc_id", "found", "findings")
 
-    def export(self, docs: DataFrame, key: bytes, strict: bool = False) -> DataFrame:
-        """Twins of docs: doc_id, path, twin_path, twin, outcome. Identities issued before keep their aliases; the catalog records the run.
+    def export(self, docs: DataFrame, key: bytes, strict: bool = False, before: DataFrame | None = None) -> DataFrame:
+        """Twins of docs: doc_id, path, twin_path, twin, outcome, checksum, applied. Identities issued before keep their aliases; the catalog records the run.
 
         ``key`` hashes the secrets for the catalog and must be kept secret. Refuses, and records nothing, where a credential is left in a
-        twin or, if ``strict``, a known name in a twin or a path.
+        twin or, if ``strict``, a known name in a twin or a path. With ``before``, what an earlier export of this project returned, only texts
+        that changed since, or that hold a name learned since, are done anew; names must not have been taken back meanwhile.
         """
-        twins, known = sanitize.export(docs, self._terms(), self.table("identities"), self._allowed())
+        if before is None:
+            twins, known = sanitize.export(docs, self._terms(), self.table("identities"), self._allowed())
+        else:
+            twins, known = sanitize.refresh(docs, before, self.table("identities"), self._terms(), self._allowed())
         known, twins = sanitize.cut(known), sanitize.cut(twins)
         paths = sanitize.twin_paths(docs.select("path").distinct(), known)
         out = sanitize.cut(twins.withColumn("checksum", F.sha2("source", 256)).drop("source").join(paths, "path", "left"))
@@ -184,7 +188,7 @@ class Project:
             self.put(name, catalog.replace_by_file(self.table(name), rows, files))
         self.put("files", catalog.upsert(self.table("files"), files, "file_id"))
         self.log("export", out.count())
-        return out.select("doc_id", "path", "twin_path", "twin", "outcome")
+        return out.select("doc_id", "path", "twin_path", "twin", "outcome", "checksum", "applied", *(["redone"] if before is not None else []))
 
     def _leaks(self, twins: DataFrame, known: DataFrame) -> DataFrame:
         names = known.where(F.col("entity_type").isin(*detect.vocab.IDENTITY)).select("real_name").distinct()

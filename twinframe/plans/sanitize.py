@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinframe.functions import spans, text as fn
-from twinframe.operators import detect, identity, redaction
+from twinframe.operators import detect, dictionary, identity, redaction
 from twinframe.sources import structure
 from twinframe.sources.rows import cut
 
@@ -106,13 +106,51 @@ def export(docs: DataFrame, terms: dict[str, str] | None = None, existing: DataF
     safe = cut(redacted(docs))
     first = identities(candidates(safe, terms, allow), terms, existing)
     first = cut(first if existing is None else existing.unionByName(first.select(*existing.columns)))
-    sure = first.sparkSession.createDataFrame(list((terms or {}).items()), "real_name string, entity_type string")
-    learned = first.select("real_name", "entity_type").join(sure, "real_name", "left_anti").unionByName(sure)
-    second = cut(candidates(safe, learned, allow))
+    second = cut(candidates(safe, _dictionary(first, terms), allow))
     known = first.unionByName(identities(second, terms, first).select(*first.columns))
     return twins(second, known), known
 
 
+def _dictionary(known: DataFrame, terms: dict[str, str] | None) -> DataFrame:
+    """real_name, entity_type of the known names and the confirmed terms, whose own type counts."""
+    sure = known.sparkSession.createDataFrame(list((terms or {}).items()), "real_name string, entity_type string")
+    return known.select("real_name", "entity_type").join(sure, "real_name", "left_anti").unionByName(sure)
+
+
+def holders(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """row of the texts (row, text) that may hold one of the names (real_name) in any spelling: all that do, and few others."""
+    patterns = detect.spelled(names.select("real_name").distinct()).select(F.col("variant").alias("pattern")).distinct()
+    return dictionary.candidates(texts, cut(dictionary.filed(patterns)), detect.ascii_lower).select("row").distinct()
+
+
+def refresh(docs: DataFrame, before: DataFrame, existing: DataFrame, terms: dict[str, str] | None = None, allow: frozenset[str] = frozenset()) -> tuple[DataFrame, DataFrame]:
+    """What ``export`` gives for docs after an earlier export, at the price of what changed: (twins with ``redone``, identities).
+
+    ``before`` holds the earlier twins (path, checksum of the original, twin, applied, outcome) and ``existing`` the identities they were made
+    with; ``terms`` and ``allow`` are those of that export, but for terms that came since. Passes run over texts that are new or have changed,
+    and over those that may hold a name learned since: names are all that one document's twin takes from others. The rest keep their
+    twins. A path that occurs more than once, now or before, or is null, is done anew.
+    """
+    safe = cut(redacted(docs).withColumn("checksum", F.sha2("source", 256)))
+    once = lambda d: d.groupBy("path").agg(F.count("*").alias("n")).where("n = 1 AND path IS NOT NULL").select("path")
+    old = before.select("path", "checksum", "twin", "applied", "outcome").join(once(before), "path").join(once(safe), "path")
+    same = cut(safe.select("row", "path", "checksum").join(old, ["path", "checksum"]).select("row", "twin", "applied", "outcome"))
+    changed = safe.join(same.select("row"), "row", "left_anti")
+    first = identities(candidates(changed, terms, allow), terms, existing)
+    first = cut(existing.unionByName(first.select(*existing.columns)))
+    dictionary_ = _dictionary(first, terms)
+    new = cut(dictionary_.join(existing.select("real_name", "entity_type").distinct(), ["real_name", "entity_type"], "left_anti"))
+    touched = same.select("row").limit(0)
+    if not new.isEmpty():
+        touched = holders(safe.select("row", "text").join(same.select("row"), "row", "left_semi"), new)
+    kept = cut(same.join(touched, "row", "left_anti"))
+    second = cut(candidates(safe.join(kept.select("row"), "row", "left_anti"), dictionary_, allow))
+    known = first.unionByName(identities(second, terms, first).select(*first.columns))
+    again = twins(second, known).withColumn("redone", F.lit(True))
+    rest = safe.select("row", "doc_id", "path", "source").join(kept, "row").withColumn("redone", F.lit(False))
+    return again.unionByName(rest), known
+
+
 def twin_paths(paths: DataFrame, known: DataFrame) -> DataFrame:
     """path, twin_path: components that are known names are aliased whole, known names inside other components where they stand.
 
