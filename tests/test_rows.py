@@ -16,7 +16,10 @@ def files(spark, tmp_path):
     return path
 
 
-def test_numbers_stay_when_cores_come_and_go(spark, files):
+@pytest.mark.parametrize("seeds", [rows.SEEDS, 0])
+def test_numbers_stay_when_cores_come_and_go(spark, files, monkeypatch, seeds):
+    """By hashes of the files' names, and by a table of them."""
+    monkeypatch.setattr(rows, "SEEDS", seeds)
     d = spark.read.parquet(files)
     numbered = rows.numbered(d.where("id % 10 != 3").select("text", "id"), "n", lambda f: f)
     seen, cuts = {}, set()

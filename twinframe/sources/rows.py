@@ -9,8 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one file that numbers leave room for, in bits; the file's own number stands above them.
-FILE_BITS = 40
+#: Rows of one file that numbers leave room for, in bits; the file's own number, of FILE_BITS, stands above them.
+ROW_BITS, FILE_BITS = 36, 27
+#: Hashes of file names that are tried for one that tells all files apart; with many files none does, and their numbers are a table.
+SEEDS = 8
 #: Up to so many files are broadcast with their numbers.
 BROADCAST_FILES = 1_000_000
 
@@ -45,18 +47,23 @@ def addressable(df: DataFrame) -> bool:
 def numbered(df: DataFrame, column: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows with a number of their own in ``column``, the same in every later reading, by any number of cores.
 
-    A row of a Parquet file is known by the file and its place there; how a reading splits the files doesn't matter. Files are
-    numbered by name. Any other rows go through ``keep`` first, which must make a table of them.
+    A row of a Parquet file is known by the file and its place there; how a reading splits the files doesn't matter. A file's number is a
+    hash of its name, if one of a few hashes tells all files apart, else its place among the names. Any other rows go through
+    ``keep`` first, which must make a table of them.
     """
     if not addressable(df):
         return keep(df.withColumn(column, F.monotonically_increasing_id()))
     name, number = column + "_file", column + "_number"
-    at = df.withColumn(name, F.col("_metadata.file_path")).withColumn(column, F.col("_metadata.row_index"))
     files = df.select(F.col("_metadata.file_path").alias(name)).distinct()  # reads no column
+    hashed = lambda path, seed: F.pmod(F.xxhash64(path, F.lit(seed)), F.lit(1 << FILE_BITS))
+    n, *apart = files.agg(F.count("*"), *(F.count_distinct(hashed(name, k)) for k in range(SEEDS))).first()
+    address = lambda file, place: (F.shiftleft(file, ROW_BITS) + place).alias(column)
+    if n in apart:
+        return df.select(*df.columns, address(hashed(F.col("_metadata.file_path"), apart.index(n)), F.col("_metadata.row_index")))
+    at = df.withColumn(name, F.col("_metadata.file_path")).withColumn(column, F.col("_metadata.row_index"))
     files = keep(files.select(name, F.row_number().over(Window.orderBy(name)).cast("long").alias(number)))
-    near = F.broadcast(files) if files.count() <= BROADCAST_FILES else files
-    rows = at.join(near, name)
-    return rows.select(*df.columns, (F.shiftleft(number, FILE_BITS) + F.col(column)).alias(column))
+    rows = at.join(F.broadcast(files) if n <= BROADCAST_FILES else files, name)
+    return rows.select(*df.columns, address(F.col(number), F.col(column)))
 
 
 def ranked(df: DataFrame, group: str, order: Column, column: str) -> DataFrame:
