@@ -397,3 +397,26 @@ def test_a_refresh_is_the_whole_export(spark, tmp_path):
     p = project.Project(spark, f"file://{tmp_path}/cat")
     old = sanitize.cut(p.export(table(one), b"k"))
     assert {r.path: r.redone for r in p.export(table(two), b"k", before=old).collect()}["c.txt"] is False
+
+
+def test_ignore_rules_of_a_hierarchy(spark, tmp_path):
+    files = {
+        ".gitignore": "src/*.log\n*.tmp\n!keep.tmp\n/out\ncache/\n**/gen/**\n\\!odd\na?c.txt\n[xy]z\n!cache/x\ndoc/**/draft\nspace\\ \n",
+        "sub/.gitignore": "*.md\n/only\n!*.tmp\n",
+        "sub/deep/.gitignore": "!good.md\n",
+        ".twinframeignore": "!important.log\nvendor/\n",
+    }
+    kept = ["src/a/b.log", "x/src/b.log", "keep.tmp", "x/out/f", "cache", "gen", "abbc.txt", "zz", "sub/x.tmp", "sub/deep/good.md", "x/only", "sub/x/only", "doc/draft2", "top.md", "src/important.log", "vendor2/f", "é/漢.txt", "xz2", "space"]
+    gone = ["src/b.log", "z.tmp", "out/f", "x/cache/f", "cache/x/y", "p/gen/f", "p/gen/q/f", "!odd", "abc.txt", "xz", "q/yz", "sub/a.md", "sub/deep/bad.md", "sub/only", "doc/draft", "doc/a/b/draft", "lib/vendor/f", "given.bin", "space "]
+    for name in [*kept, *gone]:
+        if (tmp_path / name).exists() or any((tmp_path / p).is_file() for p in map(str, __import__("pathlib").Path(name).parents)):
+            kept = [k for k in kept if k != name]  # a name can't be both a file and a folder here
+            continue
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        if not (tmp_path / name).is_dir():
+            (tmp_path / name).write_text("x")
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    got = {r.path for r in tree.scan(spark, str(tmp_path), ["given.*"]).select("path").collect()} - set(files)
+    there = {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()} - set(files)
+    assert got == there - set(gone) and got >= {"src/a/b.log", "x/src/b.log", "keep.tmp", "sub/deep/good.md", "src/important.log", "sub/x/only"}

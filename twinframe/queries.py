@@ -601,3 +601,18 @@ def export_refresh(spark, sf_dir):
     now = d.where("doc_id % 11 != 0").withColumn("text", F.expr(SECOND))
     out, _ = sanitize.refresh(now, before, sanitize.cut(known))
     return out.select("doc_id", F.md5(F.col("twin").cast("binary")).alias("twin_md5"), "redone")
+
+
+IGNORE_LINES = [(0, "", 0, "# of hosts, languages and fragments"), (0, "", 1, "*.example.net/"), (0, "", 2, "!/m.*/"), (0, "", 3, "fr/"), (0, "", 4, "*#top"), (1, "", 0, "!*.example.org/*/6*")]
+
+
+@query("""WITH x AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda p: p <> '') AS c FROM pages)
+SELECT page_id, len(list_filter(range(1, len(c)), lambda i: c[i] LIKE '%.example.net' AND NOT (i = 1 AND c[i] LIKE 'm.%'))) > 0 OR list_contains(c[:-2], 'fr')
+ OR len(list_filter(range(1, len(c) + 1), lambda i: c[i] LIKE '%#top' AND NOT (i = 3 AND c[1] LIKE '%.example.org' AND c[3] LIKE '6%'))) > 0 AS ignored FROM x""")
+def ignore_rules(spark, sf_dir):
+    from twinframe.sources import ignore
+
+    d = t(spark, sf_dir, "pages").select("page_id", F.array_join(fn.components(F.regexp_replace("url", "^[a-z]+://", "")), "/").alias("path"))
+    rules = ignore.rules(spark.createDataFrame(IGNORE_LINES, "kind int, dir string, line int, text string"))
+    out = ignore.ignored(d.select("path"), rules).withColumn("ignored", F.lit(True))
+    return d.join(out, "path", "left").select("page_id", F.coalesce("ignored", F.lit(False)).alias("ignored"))

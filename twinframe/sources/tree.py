@@ -2,54 +2,30 @@
 
 from __future__ import annotations
 
-import fnmatch
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.functions import text as fn
+from twinframe.sources import ignore as ignore_
 
 MAX_BYTES = 5 * 1024 * 1024
 SNIFF = 8192
 
 
-#: Files at a tree's root whose lines are ignore patterns.
-IGNORE_FILES = (".gitignore", ".twinframeignore")
-
-
-def ignore_lines(root: str) -> list[str]:
-    """The patterns of the root's ignore files, in order; a later one overrides an earlier one, and ``!`` takes one back."""
-    import pyarrow.fs as pafs
-
-    fs, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
-    lines = []
-    for name in IGNORE_FILES:
-        if fs.get_file_info(f"{base}/{name}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{base}/{name}") as f:
-                lines += [x for x in f.read().decode().splitlines() if x.strip() and not x.startswith("#")]
-    return lines
-
-
-def ignored(path: Column, lines: list[str]) -> Column:
-    out = F.lit(False)
-    for line in lines:
-        out = F.when(F.rlike(path, F.lit(_regex(line.removeprefix("!").rstrip()))), not line.startswith("!")).otherwise(out)
-    return out
-
-
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
     """path, size, modified, is_text, checksum, parser, content (null if binary) of files up to 5 MiB, outside ignored paths.
 
-    Ignore patterns, those given and those of the root's ignore files, are few and become one predicate; the size filter reaches the
-    file source.
+    Ignore patterns are those of the ignore files of every directory, and those given (see sources.ignore). The size filter reaches the file
+    source.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MAX_BYTES)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), "^" + base + "/", "")
     d = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     d = d.where(~F.rlike("path", F.lit(r"(^|/)\.(git|twinframe)/")))
-    d = d.where(~ignored(F.col("path"), [*ignore_lines(root), *(ignore or [])]))
+    d = d.join(ignore_.ignored(d.select("path"), ignore_.read(root, d.select("path"), ignore)), "path", "left_anti")
     binary = F.locate("00", F.hex(F.substring("content", 1, SNIFF)))
     nul = F.exists(F.sequence(F.lit(0), F.least(F.length("content"), F.lit(SNIFF)) - 1), lambda i: F.substring("content", i + 1, F.lit(1)) == F.unhex(F.lit("00")))
     d = d.withColumn("is_text", ~((F.length("content") > 0) & (binary > 0) & nul))
@@ -57,13 +33,6 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> Dat
     return d.select("path", "size", "modified", "is_text", F.sha2("content", 256).alias("checksum"), text.alias("content"), F.col("content").alias("bytes")).withColumn("parser", F.when(F.col("is_text"), fn.format_of(F.col("path"), F.col("content"))))
 
 
-def _regex(pattern: str) -> str:
-    """An ignore line as a regular expression over relative paths."""
-    anchored = pattern.startswith("/")
-    body = fnmatch.translate(pattern.strip("/")).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z")
-    return ("^" if anchored else "(^|/)") + body + "(/|$)"
-
-
 def write_tree(df: DataFrame, root: str, path_column: str, content_column: str) -> tuple[int, int]:
     """Writes each row's content to root/path from the executors; returns how many files and bytes. Refuses an existing root.
 
