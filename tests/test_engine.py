@@ -420,3 +420,66 @@ def test_ignore_rules_of_a_hierarchy(spark, tmp_path):
     got = {r.path for r in tree.scan(spark, str(tmp_path), ["given.*"]).select("path").collect()} - set(files)
     there = {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()} - set(files)
     assert got == there - set(gone) and got >= {"src/a/b.log", "x/src/b.log", "keep.tmp", "sub/deep/good.md", "src/important.log", "sub/x/only"}
+
+
+def test_a_command_that_fails_anywhere_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    p = project.Project(spark, f"file://{tmp_path}/cat")
+    p.export(spark.createDataFrame([(1, "a.txt", "by Stripe")], "doc_id long, path string, text string"), b"k")
+    state = lambda: {n: sorted(map(repr, p.table(n).collect())) for n in project.TABLES}
+    before, real = state(), project.Project.put
+    more = spark.createDataFrame([(2, "b.txt", "by Adyen, mail a.b@c.org")], "doc_id long, path string, text string")
+    for crash in range(1, 5):
+        left = [crash]
+
+        def put(self, name, df):
+            left[0] -= 1
+            if left[0] < 0:
+                raise RuntimeError("gone")
+            return real(self, name, df)
+
+        monkeypatch.setattr(project.Project, "put", put)
+        with pytest.raises(RuntimeError):
+            p.export(more, b"k")
+        monkeypatch.setattr(project.Project, "put", real)
+        assert state() == before
+    p.export(more, b"k")
+    assert {r.real_name for r in p.table("identities").collect()} == {"Stripe", "Adyen"}
+
+
+def test_of_two_writers_one_is_run_again(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/cat"
+    a, b = project.Project(spark, root), project.Project(spark, root)
+    a.term("One", "product")
+    with a.transaction():
+        a.put("terms", catalog.upsert(a.table("terms"), spark.createDataFrame([("Two", "product")], project.TABLES["terms"]), "real_name"))
+        b.allow("elsewhere")  # another table: no conflict
+    assert a.table("terms").count() == 2 and a.table("allowed").count() == 1
+    with pytest.raises(project.Conflict):
+        with a.transaction():
+            rows = a.table("terms")
+            b.term("Three", "product")
+            a.put("terms", catalog.upsert(rows, spark.createDataFrame([("Four", "product")], project.TABLES["terms"]), "real_name"))
+    assert {r.real_name for r in b.table("terms").collect()} == {"One", "Two", "Three"}
+    real, raced = catalog.upsert, []
+
+    def upsert(old, new, *key):
+        if not raced:
+            raced.append(1)
+            b.put("terms", real(b.table("terms"), spark.createDataFrame([("Five", "product")], project.TABLES["terms"]), "real_name"))
+        return real(old, new, *key)
+
+    monkeypatch.setattr(catalog, "upsert", upsert)
+    a.term("Six", "product")
+    assert {r.real_name for r in a.table("terms").collect()} == {"One", "Two", "Three", "Five", "Six"}
+
+
+def test_a_catalog_without_snapshots_is_taken_over(spark, tmp_path):
+    for v in (1, 2):
+        spark.createDataFrame([(f"Name{v}", "product")], project.TABLES["terms"]).write.parquet(str(tmp_path / f"terms/v{v}"))
+    p = project.Project(spark, f"file://{tmp_path}")
+    assert [r.real_name for r in p.table("terms").collect()] == ["Name2"]
+    p.term("Other", "product")
+    assert project.Project(spark, f"file://{tmp_path}").table("terms").count() == 2
+    (tmp_path / "_log/9.json").write_text('{"schema": 99, "tables": {}}')
+    with pytest.raises(ValueError):
+        project.Project(spark, f"file://{tmp_path}")

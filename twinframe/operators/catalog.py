@@ -9,7 +9,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 1
+#: Of the catalog's layout: since 2, snapshots name the versions of tables.
+SCHEMA_VERSION = 2
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -1,12 +1,18 @@
 """A project: one catalog of Parquet tables in a shared folder, and the engine's commands over it.
 
-A table's versions are folders of their own; the newest one that Spark has committed (_SUCCESS) is the table, so a command that fails
-leaves the former state. One writer at a time.
+A table's versions are folders of their own, and a snapshot is one small file that names a version of every table. A command works on the
+snapshot that it began with, writes what it changes to new folders, and commits them all by the next snapshot's file, which only one
+writer can make. A command that fails anywhere before leaves the former state; one that finds that others have changed what it read or
+writes is run again.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,23 +44,50 @@ class ExportRefused(Exception):
         self.high_secrets, self.leaks = high_secrets, leaks
 
 
+class Conflict(Exception):
+    """Others have committed changes to what a command read or writes."""
+
+
+#: Times that a command is run before a conflict is given up, and snapshots whose tables are kept for those who still read them.
+ATTEMPTS, KEPT = 4, 2
+
+
+def atomic(command):
+    """Makes a command one transaction: all of its tables change at once, or none does."""
+
+    @functools.wraps(command)
+    def run(self, *args, **named):
+        for attempt in range(ATTEMPTS):
+            try:
+                with self.transaction():
+                    return command(self, *args, **named)
+            except Conflict:
+                if self._open is not None or attempt == ATTEMPTS - 1:
+                    raise
+
+    return run
+
+
 class Project:
     """With a passphrase, names are stored sealed by a random key that the passphrase wraps; the catalog then opens with that alone."""
 
     def __init__(self, spark: SparkSession, root: str, passphrase: str | None = None):
-        self.spark, self.root, self._key = spark, root.rstrip("/"), None
+        self.spark, self.root, self._key, self._open = spark, root.rstrip("/"), None, None
+        self._migrate()
         kept = self.table("keys").orderBy(F.desc("id")).first()
-        if kept is None and passphrase is not None and not self._versions("identities"):
+        if kept is None and passphrase is not None and "identities" not in self._snapshot()[1]:
             self._set_key(os.urandom(32), passphrase)
         elif kept is not None:
             if passphrase is None:
                 raise ValueError("the catalog is sealed: it takes a passphrase")
             self._key = catalog.unwrap_key(spark, bytes(kept.wrapped), passphrase)
 
+    @atomic
     def _set_key(self, key: bytes, passphrase: str) -> None:
         self.put("keys", self.spark.createDataFrame([(1, bytearray(catalog.wrap_key(self.spark, key, passphrase)))], TABLES["keys"]))
         self._key = key
 
+    @atomic
     def passphrase(self, new: str) -> None:
         """Wraps the key anew; no table changes."""
         if self._key is None:
@@ -62,6 +95,7 @@ class Project:
         self._set_key(self._key, new)
         self.log("passphrase", 1)
 
+    @atomic
     def escrow(self, code: str) -> bytes:
         """The key wrapped by a recovery code, to be kept apart from the catalog."""
         if self._key is None:
@@ -73,8 +107,8 @@ class Project:
     def open_escrow(spark: SparkSession, root: str, blob: bytes, code: str, passphrase: str) -> Project:
         """Opens a catalog whose passphrase is lost, by what ``escrow`` gave, and sets a new passphrase."""
         p = Project.__new__(Project)
-        p.spark, p.root, p._key = spark, root.rstrip("/"), catalog.unwrap_key(spark, blob, code)
-        if p._versions("identities"):
+        p.spark, p.root, p._key, p._open = spark, root.rstrip("/"), catalog.unwrap_key(spark, blob, code), None
+        if "identities" in p._snapshot()[1]:
             p.table("identities").agg(F.count("real_name")).first()  # fails for the key of another catalog
         p._set_key(p._key, passphrase)
         return p
@@ -82,9 +116,9 @@ class Project:
     def context(self) -> DataFrame:
         return identity.context(self.table("identities"))
 
+    @atomic
     def rotate_key(self, passphrase: str) -> None:
-        """Seals every name by a new key. Hashes of secrets by the old one are cleared. The key is stored last: a failure leaves the old state
-        only until the first table is put, so rotate a backup's copy where that matters."""
+        """Seals every name by a new key, all at once. Hashes of secrets by the old one are cleared."""
         if self._key is None:
             raise ValueError("the catalog isn't sealed")
         tables = {name: sanitize.cut(self.table(name)) for name in SEALED}
@@ -100,17 +134,104 @@ class Project:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def _versions(self, name: str) -> list[int]:
-        fs, where = self._fs(f"{self.root}/{name}")
+    def _snapshot(self) -> tuple[int, dict[str, str]]:
+        """The number of the newest snapshot (0: none yet) and each table's folder in it."""
+        fs, where = self._fs(f"{self.root}/_log")
         found = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-        return sorted(int(v[1:]) for v in found if self._fs(f"{self.root}/{name}/{v}/_SUCCESS")[0].exists(self._fs(f"{self.root}/{name}/{v}/_SUCCESS")[1]))
+        last = max((int(n.split(".")[0]) for n in found if n.endswith(".json")), default=0)
+        return (last, self._manifest(last)["tables"]) if last else (0, {})
+
+    def _manifest(self, number: int) -> dict:
+        fs, where = self._fs(f"{self.root}/_log/{number}.json")
+        stream = fs.open(where)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, number: int, tables: dict[str, str]) -> bool:
+        """Makes a snapshot's file, whole or not at all; false where another writer has made it."""
+        jvm, made = self.spark.sparkContext._jvm, f"{self.root}/_log/{uuid.uuid4().hex}.part"
+        fs, part = self._fs(made)
+        out = fs.create(part, False)
+        out.write(bytearray(json.dumps({"schema": catalog.SCHEMA_VERSION, "tables": tables}).encode()))
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.valueOf("NONE")  # never over a file that is there
+        try:
+            context.rename(part, self._fs(f"{self.root}/_log/{number}.json")[1], how)
+            return True
+        except Exception as e:
+            fs.delete(part, False)
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+
+    @contextmanager
+    def transaction(self):
+        """What is put inside is committed at its end, all at once; one within another is part of it."""
+        if self._open is not None:
+            yield
+            return
+        number, tables = self._snapshot()
+        self._open = {"base": dict(tables), "tables": dict(tables), "read": set(), "written": set()}
+        key = self._key
+        try:
+            yield
+            work = self._open
+            while work["written"]:
+                now, latest = self._snapshot()
+                others = {t for t in {*latest, *work["base"]} if latest.get(t) != work["base"].get(t)}
+                if others & (work["read"] | work["written"]):
+                    raise Conflict(", ".join(sorted(others)))
+                if self._publish(now + 1, latest | {t: work["tables"][t] for t in work["written"]}):
+                    self._drop_old(now + 1)
+                    break
+        except BaseException:
+            self._key = key
+            for name in self._open["written"]:
+                fs, where = self._fs(f"{self.root}/{self._open['tables'][name]}")
+                fs.delete(where, True)
+            raise
+        finally:
+            self._open = None
+
+    def _drop_old(self, number: int) -> None:
+        """Deletes the tables that were in the snapshot before the last KEPT ones and are in none of these."""
+        if number <= KEPT:
+            return
+        used = {f for n in range(number - KEPT + 1, number + 1) for f in self._manifest(n)["tables"].values()}
+        for folder in set(self._manifest(number - KEPT)["tables"].values()) - used:
+            fs, where = self._fs(f"{self.root}/{folder}")
+            fs.delete(where, True)
+
+    def _migrate(self) -> None:
+        """Brings a catalog of an earlier schema up to this one: schema 1 had no snapshots, and a table was its newest committed version."""
+        number, _ = self._snapshot()
+        if number:
+            if self._manifest(number)["schema"] > catalog.SCHEMA_VERSION:
+                raise ValueError("the catalog was written by a later version")
+            return
+        tables = {}
+        for name in TABLES:
+            fs, where = self._fs(f"{self.root}/{name}")
+            found = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+            done = sorted(int(v[1:]) for v in found if v[1:].isdigit() and fs.exists(self._fs(f"{self.root}/{name}/{v}/_SUCCESS")[1]))
+            if done:
+                tables[name] = f"{name}/v{done[-1]}"
+        if tables:
+            self._publish(1, tables)
 
     def table(self, name: str) -> DataFrame:
-        """The newest committed version; an empty table where none is."""
-        have = self._versions(name)
-        if not have:
+        """A table of the newest snapshot, or of the one that the open transaction began with and its own changes; empty where it has none."""
+        if self._open is not None:
+            self._open["read"].add(name)
+        folder = (self._open["tables"] if self._open is not None else self._snapshot()[1]).get(name)
+        if folder is None:
             return self.spark.createDataFrame([], TABLES[name])
-        df = self.spark.read.schema(self._stored(name)).parquet(f"{self.root}/{name}/v{have[-1]}")
+        df = self.spark.read.schema(self._stored(name)).parquet(f"{self.root}/{folder}")
         return catalog.unsealed(df, name, *SEALED[name], self._key) if self._key and name in SEALED else df
 
     def _stored(self, name: str) -> StructType:
@@ -119,18 +240,18 @@ class Project:
         closed = SEALED[name][0] if self._key and name in SEALED else None
         return StructType([StructField(f.name, BinaryType() if f.name == closed else f.dataType) for f in schema])
 
+    @atomic
     def put(self, name: str, df: DataFrame) -> None:
-        """Commits a new version and drops those before the last two, which readers may still hold."""
-        have = self._versions(name)
-        new = have[-1] + 1 if have else 1
+        """Writes a new version of a table, which the transaction commits."""
         df = df.select(*StructType.fromDDL(TABLES[name]).names)
         if self._key and name in SEALED:
             df = catalog.sealed(df, name, *SEALED[name], self._key)
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{new}")
-        for old in have[:-1]:
-            fs, where = self._fs(f"{self.root}/{name}/v{old}")
-            fs.delete(where, True)
+        folder = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        self._open["tables"][name] = folder
+        self._open["written"].add(name)
 
+    @atomic
     def log(self, action: str, count: int) -> None:
         audit = self.table("audit")
         last = audit.agg(F.max("id")).first()[0] or 0
@@ -138,10 +259,12 @@ class Project:
         self.put("audit", audit.unionByName(row))
 
     # Settings: hundreds of rows, as people enter them.
+    @atomic
     def term(self, name: str, entity_type: str) -> None:
         row = self.spark.createDataFrame([(name, entity_type)], TABLES["terms"])
         self.put("terms", catalog.upsert(self.table("terms"), row, "real_name"))
 
+    @atomic
     def allow(self, name: str) -> None:
         have = self.table("allowed")
         if have.where(F.col("real_name") == name).isEmpty():
@@ -159,6 +282,7 @@ class Project:
         """A dry run over docs (doc_id, path, text): doc_id, found, findings."""
         return sanitize.candidates(sanitize.redacted(docs), self._terms(), self._allowed()).select("doc_id", "found", "findings")
 
+    @atomic
     def export(self, docs: DataFrame, key: bytes, strict: bool = False, before: DataFrame | None = None) -> DataFrame:
         """Twins of docs: doc_id, path, twin_path, twin, outcome, checksum, applied. Identities issued before keep their aliases; the catalog records the run.
 
@@ -219,6 +343,7 @@ class Project:
     def review(self, docs: DataFrame) -> DataFrame:
         return diff.review(docs, self._pairs())
 
+    @atomic
     def resolve(self, alias: str, name: str, entity_type: str) -> None:
         self.put("identities", identity.resolve(self.table("identities"), alias, name, entity_type))
         self.log("resolve", 1)
@@ -235,10 +360,12 @@ class Project:
     def unify(self) -> DataFrame:
         return identity.propose(self.table("identities"))
 
+    @atomic
     def confirm(self, concept: str, uuids: list[str]) -> None:
         rows = self.spark.createDataFrame([(u, concept) for u in uuids], TABLES["concepts"])
         self.put("concepts", catalog.upsert(self.table("concepts"), rows, "uuid"))
 
+    @atomic
     def rekey(self) -> int:
         """Renumbers all identities; returns how many aliases changed. Twins made before can't be restored any more."""
         d = sanitize.cut(identity.rekey(self.table("identities")))
@@ -275,8 +402,11 @@ def copy_tables(spark: SparkSession, source: str, to: str) -> None:
     """Copies the newest version of every table, as it is stored, to an empty folder."""
     old, new = Project.__new__(Project), Project.__new__(Project)
     old.spark, old.root, new.spark, new.root = spark, source.rstrip("/"), spark, to.rstrip("/")
-    if any(new._versions(name) for name in TABLES):
+    old._migrate()
+    if new._snapshot()[0]:
         raise FileExistsError(to)
-    for name in TABLES:
-        if have := old._versions(name):
-            spark.read.parquet(f"{old.root}/{name}/v{have[-1]}").write.parquet(f"{new.root}/{name}/v1")
+    tables = old._snapshot()[1]
+    for folder in tables.values():
+        spark.read.parquet(f"{old.root}/{folder}").write.parquet(f"{new.root}/{folder}")
+    if tables:
+        new._publish(1, tables)
