@@ -278,23 +278,28 @@ def dictionary_match(spark, sf_dir):
 
 TIERS = "concat('Plan_Tier of ', n_name, ', planTier; PLAN-TIERS planTierX xplan_tier ', repeat('plan.tier ', int(n_nationkey % 3)))"
 TIERS_SQL = "'Plan_Tier of ' || n_name || ', planTier; PLAN-TIERS planTierX xplan_tier ' || repeat('plan.tier ', n_nationkey % 3)"
-TIERS_FOUND = f"""WITH x AS (SELECT n_nationkey, unnest(regexp_split_to_array({TIERS_SQL}, '[ ,;]+')) AS name FROM nation)
-SELECT n_nationkey, name, count(*) AS n FROM x WHERE regexp_full_match(name, '(?i)plan[._-]?tiers?') GROUP BY ALL"""
+TIERS_FOUND = f"""WITH x AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text || ' ', '') || {TIERS_SQL}, '[ ,;]+')) AS name FROM documents JOIN nation ON doc_id % 25 = n_nationkey)
+SELECT doc_id, name, count(*) AS n FROM x WHERE regexp_full_match(name, '(?i)plan[._-]?tiers?') GROUP BY ALL"""
+
+
+def _tiered(spark, sf_dir, first: str):
+    """Every document, with a word before it and spellings of a name after it."""
+    d = t(spark, sf_dir, "documents").join(F.broadcast(t(spark, sf_dir, "nation")), F.col("doc_id") % 25 == F.col("n_nationkey"))
+    return d.select("doc_id", F.concat_ws(" ", F.lit(first), "text", F.expr(TIERS)).alias("text"))
 
 
 @query(TIERS_FOUND)
 def variant_match(spark, sf_dir):
-    d = t(spark, sf_dir, "nation").select("n_nationkey", F.expr(TIERS).alias("text"))
-    d = detect.dictionary_matches(d, {"PlanTier": "dto"}).select("n_nationkey", F.explode("variants").alias("x"))
-    return d.groupBy("n_nationkey", F.col("x.t").alias("name")).agg(F.count("*").alias("n"))
+    d = detect.dictionary_matches(_tiered(spark, sf_dir, ""), {"PlanTier": "dto"}).select("doc_id", F.explode("variants").alias("x"))
+    return d.groupBy("doc_id", F.col("x.t").alias("name")).agg(F.count("*").alias("n"))
 
 
 @query(TIERS_FOUND)
 def doc_variants(spark, sf_dir):
-    d = t(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("PlanTier "), F.expr(TIERS)).alias("text"))
+    d = _tiered(spark, sf_dir, "PlanTier")
     d = d.withColumn("found", detect.scan_text(F.col("text"))).withColumn("found", detect.with_document_variants(F.col("text"), F.col("found")))
-    d = d.select("n_nationkey", F.explode("found").alias("x")).where(F.col("x.confidence") == detect.VARIANT)
-    return d.groupBy("n_nationkey", F.col("x.t").alias("name")).agg(F.count("*").alias("n"))
+    d = d.select("doc_id", F.explode("found").alias("x")).where((F.col("x.confidence") == detect.VARIANT) & F.rlike("x.t", F.lit("(?i)^plan.?tier")))
+    return d.groupBy("doc_id", F.col("x.t").alias("name")).agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT c_custkey, c_name AS real_name, {KIND} AS entity_type, {PREFIX} || '_' || CASE WHEN n < 100 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS alias
@@ -489,28 +494,28 @@ def path_extension(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", fn.split_extension(last).alias("x")).select("page_id", "x.stem", "x.extension")
 
 
-@query(r"""WITH m AS (SELECT doc_id, regexp_extract_all(lower(text), 'license') AS h, regexp_split_to_array(lower(text), 'license') AS g, text FROM documents WHERE strlen(lower(text)) = strlen(text)),
+@query(r"""WITH l AS (SELECT doc_id, CASE WHEN strlen(lower(text)) = strlen(text) THEN lower(text) ELSE replace(replace(text, 'license', 'LICENSE'), 'License', 'license') END AS text FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(text, 'license') AS h, regexp_split_to_array(text, 'license') AS g FROM l),
 i AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m)
 SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: strlen(x))) + 7 * (i - 1) AS INT) AS s FROM i
 WHERE NOT regexp_matches(right(g[i], 1), '[\p{L}\p{N}_]') AND NOT regexp_matches(left(g[i + 1], 1), '[\p{L}\p{N}_]') AND (g[i] <> '' OR i = 1) AND (g[i + 1] <> '' OR i = len(h))""")
 def token_spans(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").where(F.octet_length(F.lower("text")) == F.octet_length("text"))
-    return d.select("doc_id", F.explode(spans.find_token(F.col("text"), "License", True)).alias("x")).select("doc_id", "x.s")
+    return t(spark, sf_dir, "documents").select("doc_id", F.explode(spans.find_token(F.col("text"), "License", True)).alias("x")).select("doc_id", "x.s")
 
 
-@query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'src/a/dto/x' || n_nationkey WHEN 1 THEN 'src/y' || n_nationkey || '.dto' WHEN 2 THEN NULL ELSE NULL END AS module FROM nation""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'src/a/dto/x' || o_orderkey WHEN 1 THEN 'src/y' || o_orderkey || '.dto' WHEN 2 THEN NULL ELSE NULL END AS module FROM orders""")
 def resolve_import(spark, sf_dir):
-    spec = F.expr("CASE n_nationkey % 4 WHEN 0 THEN concat('./dto/x', n_nationkey, '.ts') WHEN 1 THEN concat('../y', n_nationkey, '.dto') WHEN 2 THEN 'rxjs' ELSE '../../../up' END")
-    return t(spark, sf_dir, "nation").select("n_nationkey", fn.resolve_import(F.lit("src/a/b.ts"), spec).alias("module"))
+    spec = F.expr("CASE o_orderkey % 4 WHEN 0 THEN concat('./dto/x', o_orderkey, '.ts') WHEN 1 THEN concat('../y', o_orderkey, '.dto') WHEN 2 THEN 'rxjs' ELSE '../../../up' END")
+    return t(spark, sf_dir, "orders").select("o_orderkey", fn.resolve_import(F.lit("src/a/b.ts"), spec).alias("module"))
 
 
-FORMAT_PATH = "concat('f/', n_nationkey, element_at(array('.MD', '.ddl', '.yaml', '.json', '.tsx', '.puml', '.log', '', '.yml'), 1 + n_nationkey % 9))"
+FORMAT_PATH = "concat('f/', doc_id, element_at(array('.MD', '.ddl', '.yaml', '.json', '.tsx', '.puml', '.log', '', '.yml'), int(1 + doc_id % 9)))"
 
 
-@query("SELECT n_nationkey, ['markdown', 'sql', 'openapi', 'json', 'typescript', 'plantuml', 'text', 'plantuml', 'yaml'][1 + n_nationkey % 9] AS parser FROM nation")
+@query("SELECT doc_id, ['markdown', 'sql', 'openapi', 'json', 'typescript', 'plantuml', 'text', 'plantuml', 'yaml'][1 + doc_id % 9] AS parser FROM documents")
 def format_dispatch(spark, sf_dir):
-    content = F.expr("CASE n_nationkey % 9 WHEN 2 THEN 'info: x\\nopenapi: 3.0' WHEN 7 THEN '  @startuml' ELSE n_name END")
-    return t(spark, sf_dir, "nation").select("n_nationkey", fn.format_of(F.expr(FORMAT_PATH), content).alias("parser"))
+    content = F.expr("concat(CASE doc_id % 9 WHEN 2 THEN 'info: x\\nopenapi: 3.0\\n' WHEN 7 THEN '  @startuml\\n' ELSE '' END, coalesce(text, ''))")
+    return t(spark, sf_dir, "documents").select("doc_id", fn.format_of(F.expr(FORMAT_PATH), content).alias("parser"))
 
 
 @query("SELECT s_suppkey, s_name AS opened, true AS hidden FROM supplier")
