@@ -483,3 +483,23 @@ def test_a_catalog_without_snapshots_is_taken_over(spark, tmp_path):
     (tmp_path / "_log/9.json").write_text('{"schema": 99, "tables": {}}')
     with pytest.raises(ValueError):
         project.Project(spark, f"file://{tmp_path}")
+
+
+def test_a_sealed_table_is_searched_without_opening_it(spark, tmp_path):
+    p = project.Project(spark, f"file://{tmp_path}/cat", "pass")
+    p.put("identities", spark.createDataFrame([(f"u{k}", "identity", "organization", f"Name {k}", k, f"ORG_{k:03}") for k in range(9)], project.TABLES["identities"]))
+    folder = p._snapshot()[1]["identities"]
+    raw = spark.read.parquet(f"{p.root}/{folder}")
+    assert raw.where(F.col(catalog.INDEX) == catalog.blind("NAME 3", p._key)).select("uuid").collect() == [("u3",)]
+    assert not raw.where(F.col(catalog.INDEX) == catalog.blind("Name 3", b"x" * 32)).count()
+    spoiled = raw.withColumn("real_name", F.when(F.col("uuid").isin("u3", "u5"), F.col("real_name")).otherwise(F.lit(b"spoiled")))
+    spoiled.write.parquet(f"{p.root}/identities/spoiled")
+    assert p._publish(p._snapshot()[0] + 1, p._snapshot()[1] | {"identities": "identities/spoiled"})
+    assert [r.uuid for r in p.named("identities", "nAME 3").collect()] == ["u3"] and [r.uuid for r in p.where("ORG_005").collect()] == ["u5"]
+    with pytest.raises(Exception):
+        p.table("identities").collect()
+    old = [r[catalog.INDEX] for r in raw.collect()]
+    p._publish(p._snapshot()[0] + 1, p._snapshot()[1] | {"identities": folder})
+    p.rotate_key("other")
+    new = spark.read.parquet(f"{p.root}/{p._snapshot()[1]['identities']}")
+    assert not set(old) & {r[catalog.INDEX] for r in new.collect()} and [r.uuid for r in p.named("identities", "name 7").collect()] == ["u7"]

@@ -232,12 +232,31 @@ class Project:
         if folder is None:
             return self.spark.createDataFrame([], TABLES[name])
         df = self.spark.read.schema(self._stored(name)).parquet(f"{self.root}/{folder}")
-        return catalog.unsealed(df, name, *SEALED[name], self._key) if self._key and name in SEALED else df
+        return self._opened(name, df)
+
+    def _opened(self, name: str, df: DataFrame) -> DataFrame:
+        return catalog.unsealed(df, name, *SEALED[name], self._key).drop(catalog.INDEX) if self._key and name in SEALED else df
+
+    def named(self, name: str, value: str) -> DataFrame:
+        """The rows of a table whose name is a value, in any case, or whose alias it is. Of a sealed table, nothing but these is opened."""
+        folder = (self._open["tables"] if self._open is not None else self._snapshot()[1]).get(name)
+        column = SEALED[name][0]
+        is_alias = F.col("alias") == value if "alias" in StructType.fromDDL(TABLES[name]).names else F.lit(False)
+        if not self._key or folder is None:
+            return self.table(name).where((F.lower(column) == value.lower()) | is_alias)
+        if self._open is not None:
+            self._open["read"].add(name)
+        df = self.spark.read.schema(self._stored(name)).parquet(f"{self.root}/{folder}")
+        # Tables of before this index have none; their rows are opened.
+        mine = F.col(catalog.INDEX).isNull() | (F.col(catalog.INDEX) == catalog.blind(value, self._key)) | is_alias
+        return self._opened(name, df.where(mine)).where((F.lower(column) == value.lower()) | is_alias)
 
     def _stored(self, name: str) -> StructType:
         """A table's schema as it is stored: sealed columns are bytes."""
         schema = StructType.fromDDL(TABLES[name])
         closed = SEALED[name][0] if self._key and name in SEALED else None
+        if closed:
+            schema = schema.add(catalog.INDEX, "string")
         return StructType([StructField(f.name, BinaryType() if f.name == closed else f.dataType) for f in schema])
 
     @atomic
@@ -245,7 +264,7 @@ class Project:
         """Writes a new version of a table, which the transaction commits."""
         df = df.select(*StructType.fromDDL(TABLES[name]).names)
         if self._key and name in SEALED:
-            df = catalog.sealed(df, name, *SEALED[name], self._key)
+            df = catalog.sealed(catalog.indexed(df, SEALED[name][0], self._key), name, *SEALED[name], self._key)
         folder = f"{name}/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
         self._open["tables"][name] = folder
@@ -267,7 +286,7 @@ class Project:
     @atomic
     def allow(self, name: str) -> None:
         have = self.table("allowed")
-        if have.where(F.col("real_name") == name).isEmpty():
+        if self.named("allowed", name).where(F.col("real_name") == name).isEmpty():
             last = have.agg(F.max("number")).first()[0] or 0
             self.put("allowed", have.unionByName(self.spark.createDataFrame([(last + 1, name)], TABLES["allowed"])))
 
@@ -352,7 +371,7 @@ class Project:
         return catalog.changes(self.table("files"), docs.select("path", F.sha2("text", 256).alias("checksum")))
 
     def where(self, name: str) -> DataFrame:
-        return catalog.locate(self.table("identities"), self.table("occurrences"), self.table("files"), name)
+        return catalog.locate(self.named("identities", name), self.table("occurrences"), self.table("files"), name)
 
     def secrets(self) -> DataFrame:
         return catalog.secret_sites(self.table("redactions"), self.table("files"))
