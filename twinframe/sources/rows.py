@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 ROW_BITS, FILE_BITS = 36, 27
 #: Hashes of file names that are tried for one that tells all files apart; with many files none does, and their numbers are a table.
 SEEDS = 8
-#: Up to so many files are broadcast with their numbers.
+#: Up to so many files are broadcast with their numbers, and so many ranges with theirs.
 BROADCAST_FILES = 1_000_000
 
 
@@ -79,5 +79,7 @@ def ranked(df: DataFrame, group: str, order: Column, column: str) -> DataFrame:
     counts = d.groupBy(F.col(group).alias(same), F.col(run).alias(run)).agg(F.min(place).alias(first), F.count("*").alias("n"))
     earlier = Window.partitionBy(same).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(same, F.col(run).alias(run + "_"), first, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
-    placed = d.join(F.broadcast(counts), F.col(group).eqNullSafe(F.col(same)) & (F.col(run) == F.col(run + "_")))
+    counts = cut(counts)
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_FILES else counts  # as many rows as there are ranges and groups
+    placed = d.join(counts, F.col(group).eqNullSafe(F.col(same)) & (F.col(run) == F.col(run + "_")))
     return placed.select(*df.columns, (F.col(place) - F.col(first) + F.col(before) + 1).alias(column))
