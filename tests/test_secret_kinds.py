@@ -19,7 +19,7 @@ def folder(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["export_policy", "export_refresh", "sanitize_twin", "secret_counts", "secret_gate"])
+@pytest.mark.parametrize("name", ["export_policy", "export_refresh", "sanitize_twin", "secret_counts", "secret_gate", "secret_redact"])
 def test_the_sqls_kinds_alone(spark, folder, name):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
