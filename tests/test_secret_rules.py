@@ -45,3 +45,9 @@ def test_counts(spark, folder, db):
     out = QUERIES["secret_counts"](spark, folder).toPandas()
     assert sorted(out.itertuples(index=False, name=None)) == sorted((k, kind, n) for k, (_, kinds) in enumerate(TEXTS) for kind, n in kinds.items())
     assert rows(out) == rows(db.sql(SQL["secret_counts"]).df())
+
+
+def test_gate(spark, folder, db):
+    out = QUERIES["secret_gate"](spark, folder)
+    assert {r.doc_id: r.blocks for r in out.collect()} == {k: None if text is None else bool(set(kinds) - {"email"}) for k, (text, kinds) in enumerate(TEXTS)}
+    assert rows(out.toPandas()) == rows(db.sql(SQL["secret_gate"]).df())
